@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "\\u4e00-\\u9fff"
+PLAIN_WORD = r"\d+\p{L}*|\p{L}+"
 WORD = rf"\d+[\p{{L}}&&[^{CJK}]]*|[\p{{L}}&&[^{CJK}]]+|[{CJK}]+"
 
 
@@ -20,8 +21,9 @@ def tokens(text: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1)))
         return F.when(w.rlike(f"^[{CJK}]{{2,}}$"), F.transform(at, lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
 
+    plain = F.regexp_extract_all(F.lower(text), F.lit(PLAIN_WORD), F.lit(0))
     has_cjk = text.rlike(f"[{CJK}]")
-    return F.when(has_cjk, F.flatten(F.transform(words, pairs))).otherwise(words)
+    return F.when(has_cjk, F.flatten(F.transform(words, pairs))).otherwise(plain)
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from panelweave.operators.calendar import rebalance_dates
+from panelweave.operators.cross_section import with_date_stats
 from panelweave.operators.grid import inner_align
 
 LIMITATION_NOTE = "weights are a research sample and not an investable index"
@@ -41,6 +42,22 @@ def combine_factors(factors: dict[str, DataFrame], weights: dict[str, float], di
     return scored.groupBy("date", "code").agg(F.sum("_z").alias("value"))
 
 
+def combine_columns(panel: DataFrame, weights: dict[str, float], directions: dict[str, int]) -> DataFrame:
+    """As ``combine_factors`` for factors that are columns of one dense panel.
+
+    The cells are aligned already, so the only step beside the scan is the per-date statistics.
+    """
+    check_combination(weights, weights, directions)
+    total = float(sum(weights.values()))
+    signed = panel.select("date", "code", *[(F.col(f) * d).alias(f) for f, d in directions.items()])
+    stats = [a for f in weights for a in (F.avg(f).alias(f"_m_{f}"), F.stddev_samp(f).alias(f"_s_{f}"))]
+    score = F.lit(0.0)
+    for f, w in weights.items():
+        z = F.try_divide(F.col(f) - F.col(f"_m_{f}"), F.nullif(F.col(f"_s_{f}"), F.lit(0.0)))
+        score = score + F.coalesce(z, F.lit(0.0)) * (float(w) / total)
+    return with_date_stats(signed, *stats).select("date", "code", score.alias("value"))
+
+
 def generate_index(composite: DataFrame, top_n: int, weighting: str = "equal", rebalance: str = "monthly") -> DataFrame:
     """Top names and weights per rebalance date; ties go to the first code.
 

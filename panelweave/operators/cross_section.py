@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.operators.ordering import fits_one_task, positions
+from panelweave.operators.ordering import groups_fit, positions
 
 DATE = ["date"]
+FEW_INDUSTRIES = 200
 
 
 def percentile_rank(panel: DataFrame, value: str, out: str, keys: list[str] = DATE) -> DataFrame:
@@ -32,7 +33,7 @@ def winsorize(panel: DataFrame, cols: list[str], lower: float = 0.01, upper: flo
     if not 0 <= lower < upper <= 1:
         raise ValueError("need 0 <= lower < upper <= 1")
     bounds = None
-    if fits_one_task(panel):
+    if groups_fit(panel, DATE):
         quantiles = [
             F.percentile(c, F.lit(p)).alias(f"_{side}_{c}") for c in cols for side, p in (("lo", lower), ("hi", upper))
         ]
@@ -81,14 +82,18 @@ def industry_neutralize(panel: DataFrame, cols: list[str], industries: DataFrame
 
     Every code must have exactly one industry; a missing or partial map is refused.
     """
-    codes = panel.select("code").distinct()
-    bad = codes.join(industries, "code", "left_anti").limit(1).count()
-    if bad:
-        raise ValueError("the industry map does not cover every code of the panel")
-    if industries.groupBy("code").count().filter("count > 1").limit(1).count():
+    mapped = industries.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("code").alias("codes"), F.count_distinct("industry").alias("industries")
+    ).first()
+    if mapped.rows != mapped.codes:
         raise ValueError("a code has more than one industry")
+    if panel.select("code").distinct().join(industries, "code", "left_anti").limit(1).count():
+        raise ValueError("the industry map does not cover every code of the panel")
     tagged = panel.join(industries.select("code", F.col("industry").alias("_ind")), "code")
     means = tagged.groupBy("date", "_ind").agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
+    if mapped.industries <= FEW_INDUSTRIES:
+        # At most one row per day and industry, with few industries.
+        means = F.broadcast(means)
     out = [(F.col(c) - F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in panel.columns]
     return tagged.join(means, ["date", "_ind"]).select(*out)
 

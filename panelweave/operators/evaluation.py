@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from panelweave.operators.grid import number_dates
-from panelweave.operators.ordering import numbered, positions
+from panelweave.operators.ordering import groups_fit, numbered, positions
+from panelweave.session import freeze
 
 MIN_CROSS_SECTION = 5
 
@@ -22,6 +23,12 @@ def align_forward(factor: DataFrame, returns: DataFrame) -> DataFrame:
     return factor.select("date", "code", F.col("value").alias("x")).join(nxt, ["date", "code"])
 
 
+def align_columns(panel: DataFrame, factor: str, returns: str) -> DataFrame:
+    """As ``align_forward`` when both are columns of one dense panel: a window and no join."""
+    ahead = F.lead(returns, 1).over(W.partitionBy("code").orderBy("date"))
+    return panel.select("date", "code", F.col(factor).alias("x"), ahead.alias("y"))
+
+
 def date_sizes(aligned: DataFrame) -> DataFrame:
     """Usable and shared codes per date."""
     ok = F.col("x").isNotNull() & F.col("y").isNotNull()
@@ -33,9 +40,16 @@ def usable_dates(aligned: DataFrame, min_cross_section: int = MIN_CROSS_SECTION)
 
 
 def usable_rows(aligned: DataFrame, min_cross_section: int = MIN_CROSS_SECTION) -> DataFrame:
-    """Rows with both values, on dates with enough of them. Dates are a broadcast row per day."""
-    good = usable_dates(aligned, min_cross_section).filter("evaluated").select("date")
+    """Rows with both values, on dates with enough of them.
+
+    While dates fit a task they are counted in a window, whose shuffle by date the ranks need
+    anyway. Otherwise dates are counted by an aggregation and joined as a broadcast row per day.
+    """
     both = aligned.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if groups_fit(aligned, ["date"]):
+        counted = both.withColumn("_c", F.count(F.lit(1)).over(W.partitionBy("date")))
+        return counted.filter(F.col("_c") >= min_cross_section).drop("_c")
+    good = usable_dates(aligned, min_cross_section).filter("evaluated").select("date")
     return both.join(F.broadcast(good), "date", "left_semi")
 
 
@@ -80,9 +94,16 @@ def quantile_bucket(usable: DataFrame, groups: int = 5) -> DataFrame:
     in whole numbers: the equal-width cut of the ranks.
     """
     check_groups(groups)
-    enough = usable.groupBy("date").agg(F.count_distinct("x").alias("_d")).filter(F.col("_d") >= groups)
-    rows = usable.join(F.broadcast(enough.select("date")), "date", "left_semi")
-    placed = numbered(rows, [F.col("x"), F.col("code")], ["date"])
+    if groups_fit(usable, ["date"]):
+        day = W.partitionBy("date")
+        ranked = usable.withColumns({
+            "_rn": F.row_number().over(day.orderBy("x", "code")), "_k": F.dense_rank().over(day.orderBy("x")), "_n": F.count(F.lit(1)).over(day),
+        })
+        placed = ranked.withColumn("_d", F.max("_k").over(day)).filter(F.col("_d") >= groups).drop("_k", "_d")
+    else:
+        enough = usable.groupBy("date").agg(F.count_distinct("x").alias("_d")).filter(F.col("_d") >= groups)
+        rows = usable.join(F.broadcast(enough.select("date")), "date", "left_semi")
+        placed = numbered(rows, [F.col("x"), F.col("code")], ["date"])
     span = F.col("_n") - 1
     ceil = F.expr(f"((_rn - 1) * {int(groups)} + _n - 2) div (_n - 1)")
     bucket = F.when(span > 0, F.greatest(ceil, F.lit(1)) - 1).otherwise(0)
@@ -146,8 +167,17 @@ def summarise(series: DataFrame, col: str) -> DataFrame:
 
 def analyze_factor(factor: DataFrame, returns: DataFrame, groups: int = 5, min_cross_section: int = MIN_CROSS_SECTION) -> DataFrame:
     """All measures in one row. Raises if nothing can be evaluated."""
+    return analyze_aligned(align_forward(factor, returns), groups, min_cross_section)
+
+
+def analyze_aligned(aligned: DataFrame, groups: int = 5, min_cross_section: int = MIN_CROSS_SECTION) -> DataFrame:
+    """As ``analyze_factor`` for an aligned panel ``(date, code, x, y)``.
+
+    Several measures read the aligned rows, so they are written once to the checkpoint folder
+    instead of being computed again for each.
+    """
     check_groups(groups)
-    aligned = align_forward(factor, returns)
+    aligned = freeze(aligned)
     dates = usable_dates(aligned, min_cross_section)
     n, good = dates.agg(F.count(F.lit(1)), F.count_if("evaluated")).first()
     if n == 0:
@@ -155,10 +185,17 @@ def analyze_factor(factor: DataFrame, returns: DataFrame, groups: int = 5, min_c
     if good == 0:
         raise ValueError(f"no date has at least {min_cross_section} usable codes")
     usable = usable_rows(aligned, min_cross_section)
+    daily = with_ranks(usable).groupBy("date").agg(_pearson("x", "y").alias("ic"), _pearson("rx", "ry").alias("rank_ic"))
     bucketed = quantile_bucket(usable, groups)
+    names = ("mean", "std", "positive_rate", "ir")
+    stats = daily.agg(*[
+        a for s in ("ic", "rank_ic") for a in (
+            F.avg(s).alias(f"{s}_mean"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias(f"{s}_std"), F.avg((F.col(s) > 0).cast("double")).alias(f"{s}_positive_rate"))
+    ])
+    for s in ("ic", "rank_ic"):
+        stats = stats.withColumn(f"{s}_ir", F.coalesce(F.try_divide(f"{s}_mean", F.nullif(f"{s}_std", F.lit(0.0))), F.lit(0.0)))
     parts = [
-        summarise(ic_series(usable), "ic").select(*[F.col(c).alias(f"ic_{c}") for c in ("mean", "std", "positive_rate", "ir")]),
-        summarise(rank_ic_series(usable), "rank_ic").select(*[F.col(c).alias(f"rank_ic_{c}") for c in ("mean", "std", "positive_rate", "ir")]),
+        stats.select(*[f"{s}_{k}" for s in ("ic", "rank_ic") for k in names]),
         spread_and_monotonic(quantile_returns(bucketed), groups),
         top_turnover(bucketed, groups),
         coverage(aligned, min_cross_section),

@@ -16,9 +16,12 @@ ST_TYPES = ("S", "Y", "L")
 def day_rows(intervals: DataFrame, calendar: DataFrame, start: Column, end: Column, closed: str = "left") -> DataFrame:
     """One row per interval and trading day it covers; other columns are kept.
 
-    ``intervals`` has ``start`` and ``end`` (NULL = open). ``closed`` is ``left`` for
+    ``intervals`` has ``code``, ``start`` and ``end`` (NULL = open). ``closed`` is ``left`` for
     start <= day < end and ``both`` for start <= day <= end. Each interval is turned into its
     own days, so there is no range join; the calendar (a row per day) is the broadcast side.
+
+    Intervals are spread by code before they grow into days, in as many tasks as a shuffle has:
+    the many day rows then stay where they are, also when they are grouped by (date, code).
     """
     if closed not in ("left", "both"):
         raise ValueError("closed must be 'left' or 'both'")
@@ -26,12 +29,23 @@ def day_rows(intervals: DataFrame, calendar: DataFrame, start: Column, end: Colu
     lo = F.greatest(F.col("start"), start)
     hi = F.least(F.coalesce(last, end), end)
     keep = [c for c in intervals.columns if c not in ("start", "end")]
-    days = intervals.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi").select(
-        *keep, F.explode(F.sequence("_lo", "_hi")).alias("date")
-    )
+    clipped = intervals.select(*keep, lo.alias("_lo"), hi.alias("_hi")).filter("_lo <= _hi")
+    days = by_code(clipped).select(*keep, F.explode(F.sequence("_lo", "_hi")).alias("date"))
     return days.join(F.broadcast(calendar.select("date").distinct()), "date", "left_semi")
 
 
+def by_code(df: DataFrame) -> DataFrame:
+    """Hash by code into the session's number of shuffle partitions, not coalesced at run time."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code")
+
+
+def longest(intervals: DataFrame) -> DataFrame:
+    """One interval per (code, start), the longest. The days covered stay the same, and a code
+    keeps at most one interval per day, however many rows it has."""
+    end = F.max(F.coalesce("end", F.lit(FAR_FUTURE).cast("date"))).alias("end")
+    return intervals.groupBy("code", "start").agg(end)
+
+
 def calendar_bounds(calendar: DataFrame, start: str | None, end: str | None) -> tuple[Column, Column]:
     lo = F.lit(start).cast("date") if start else calendar.agg(F.min("date")).scalar()
     hi = F.lit(end).cast("date") if end else calendar.agg(F.max("date")).scalar()
@@ -41,8 +55,7 @@ def calendar_bounds(calendar: DataFrame, start: str | None, end: str | None) ->
 def interval_mask(calendar: DataFrame, intervals: DataFrame, start: str | None = None, end: str | None = None, closed: str = "left") -> DataFrame:
     """The (date, code) cells covered by at least one interval."""
     lo, hi = calendar_bounds(calendar, start, end)
-    rows = intervals.select("code", "start", "end")
-    return day_rows(rows, calendar, lo, hi, closed).select("date", "code").distinct()
+    return day_rows(longest(intervals), calendar, lo, hi, closed).select("date", "code").distinct()
 
 
 def st_mask(calendar: DataFrame, st: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -54,33 +67,23 @@ def suspended(calendar: DataFrame, events: DataFrame, daily_status: DataFrame, o
     """Suspended cells: event intervals, overruled by the day's trading status where there is one.
 
     The last status of a day in ``order`` wins and any status other than -1 means suspended.
-    Both inputs meet in one grouping, which reduces repeated days before the shuffle.
+    Both inputs are spread by code and meet in one grouping.
     """
     lo, hi = calendar_bounds(calendar, start, end)
-    none = F.lit(None).cast("int")
-    by_event = day_rows(events.select("code", "start", "end"), calendar, lo, hi).select(
-        "date", "code", F.lit(True).alias("_event"), none.alias("_status"), F.lit(None).alias("_order")
-    )
+    by_event = day_rows(longest(events), calendar, lo, hi).select("date", "code", F.lit(True).alias("_event"), F.lit(None).cast("int").alias("_status"))
     status = daily_status.filter(F.col("status").isNotNull() & F.col("date").between(lo, hi))
     status = status.join(F.broadcast(calendar.select("date").distinct()), "date", "left_semi")
-    key = F.struct(*order)
-    by_status = status.select("date", "code", F.lit(False).alias("_event"), F.col("status").cast("int").alias("_status"), key.alias("_order"))
-    typed = by_event.withColumn("_order", F.col("_order").cast(by_status.schema["_order"].dataType))
-    cells = typed.unionByName(by_status).groupBy("date", "code").agg(
-        F.bool_or("_event").alias("_event"),
-        F.max_by("_status", F.when(F.col("_status").isNotNull(), F.col("_order"))).alias("_status"),
-    )
+    last = status.groupBy("date", "code").agg(F.max_by(F.col("status").cast("int"), F.struct(*order)).alias("_status"))
+    by_status = by_code(last).select("date", "code", F.lit(False).alias("_event"), "_status")
+    cells = by_event.unionByName(by_status).groupBy("date", "code").agg(F.bool_or("_event").alias("_event"), F.max("_status").alias("_status"))
     return cells.filter(F.coalesce(F.col("_status") != -1, F.col("_event"))).select("date", "code")
 
 
 def index_members(members: DataFrame, calendar: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Members of each index on each trading day; both ends of a membership count."""
     lo, hi = calendar_bounds(calendar, start, end)
-    return (
-        day_rows(members.select("index_code", "code", "start", "end", "opdate"), calendar, lo, hi, "both")
-        .groupBy("date", "index_code", "code")
-        .agg(F.max("opdate").alias("opdate"))
-    )
+    spans = members.groupBy("index_code", "code", "start", "end").agg(F.max("opdate").alias("opdate"))
+    return day_rows(spans, calendar, lo, hi, "both").groupBy("date", "index_code", "code").agg(F.max("opdate").alias("opdate"))
 
 
 def members_on(members: DataFrame, day: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Ranks and positions inside groups that may be very large.
 
 A window over ``date`` puts the whole cross-section of a date in one task. That is right
-while the job's input is small, and it is what ``positions`` does then. Beyond the bound the
-rows are cut into ordered buckets per group first: splitters come from a hash-chosen sample,
-each bucket is ranked in its own task, and the buckets' exact counts shift the local ranks to
-their place in the group. Both ways give the same numbers.
+while the job's input is small or no group is large, which is checked first. Otherwise the rows
+are cut into ordered buckets per group: splitters come from a hash-chosen sample, each bucket
+is ranked in its own task, and the buckets' exact counts shift the local ranks to their place
+in the group. Both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from panelweave.session import freeze
 
 ONE_TASK_BYTES = 64 << 20
 ONE_TASK_KEY = "panelweave.oneTaskBytes"
+GROUP_ROWS = 1_000_000
+SPLIT_BYTES = 128 << 20
+GROUP_KEY = "panelweave.groupRows"
 SPLITS = 128
 SAMPLE_PER_SPLIT = 100
 
@@ -26,10 +29,29 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether even a group holding all of ``df`` is small enough for a single task."""
-    bound = int(df.sparkSession.conf.get(ONE_TASK_KEY, str(ONE_TASK_BYTES)))
-    return input_bytes(df) <= bound
+def groups_fit(df: DataFrame, keys: list[str]) -> bool:
+    """Whether every group is small enough for a single task.
+
+    True if the whole input is, which needs no job. Otherwise the largest group is counted: that
+    is one pass over the key columns, pre-summed on the map side.
+    """
+    conf = df.sparkSession.conf
+    if input_bytes(df) <= int(conf.get(ONE_TASK_KEY, str(ONE_TASK_BYTES))):
+        return True
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+    return (largest or 0) <= int(conf.get(GROUP_KEY, str(GROUP_ROWS)))
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """More tasks for costly work on few input splits; large inputs have splits enough.
+
+    A table in one file and row group is one task, whatever it costs per row. Below one default
+    split per core the rows are hashed over the cores first.
+    """
+    sc = df.sparkSession.sparkContext
+    if input_bytes(df) >= sc.defaultParallelism * SPLIT_BYTES:
+        return df
+    return df.repartition(sc.defaultParallelism, *cols)
 
 
 def positions(df: DataFrame, value: str, keys: list[str], row_id: list[str]) -> DataFrame:
@@ -39,7 +61,7 @@ def positions(df: DataFrame, value: str, keys: list[str], row_id: list[str]) ->
     ``row_id`` names columns that tell rows of a group apart; it only drives the sample.
     """
     v = F.col(value)
-    if fits_one_task(df):
+    if groups_fit(df, keys):
         by = W.partitionBy(*keys)
         up = by.orderBy(v.asc_nulls_last())
         return df.select(
@@ -77,7 +99,7 @@ def numbered(df: DataFrame, order: list[Column], keys: list[str], out: str = "_r
 
     ``order`` must be a total order without missing values, ascending.
     """
-    if fits_one_task(df):
+    if groups_fit(df, keys):
         by = W.partitionBy(*keys)
         return df.select(
             "*",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators.ordering import spread
+
 # fixed values: patterns of the text rules
 SECRET_TEXT = r"\bsk-[A-Za-z0-9_-]{20,}|\bgh[pousr]_[A-Za-z0-9]{30,}|\bAKIA[0-9A-Z]{16}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----"
 CONNECTION_TEXT = (
@@ -40,42 +42,32 @@ def scan_text(df: DataFrame, col: str) -> DataFrame:
 def scan_json(df: DataFrame, key: str, col: str, depth: int = 8, allow_excerpt: bool = False, max_excerpt: int = MAX_EXCERPT_CHARS) -> DataFrame:
     """First violation of each JSON document in depth-first order, with its dotted location.
 
-    Objects and lists are opened one level at a time with ordered maps, which keep the key
-    order of the text. Each level is a narrow step over the rows; the first hit per document
-    is a ``min_by`` that is reduced on the map side. Documents nested deeper than ``depth`` are
-    marked in ``deeper`` instead of being passed silently.
+    A document is opened level by level inside its own row: the nodes of a level are an array,
+    the next level is made from it, and the first hit is a minimum over arrays. So nothing is
+    exploded, joined or shuffled. Ordered maps keep the key order of the text. A document nested
+    deeper than ``depth`` is marked in ``deeper`` instead of being passed silently.
     """
-    # A node is its raw JSON text, its kind, its place (positions from the root) and its path.
-    node = df.select(
-        F.col(key).alias("_id"), F.col(col).alias("_raw"), _kind_of(F.col(col)).alias("_kind"),
-        F.array().cast("array<int>").alias("_at"), F.array().cast("array<string>").alias("_path"),
-    )
-    found = None
-    for level in range(depth + 1):
-        opened = _opened(node)
-        hit = _node_rule(opened)
-        last = level == depth
-        deeper = F.col("_kind").isin("object", "list") & F.lit(last)
-        own = opened.select("_id", F.struct("_at", F.lit(1).alias("phase")).alias("_order"), _location().alias("_loc"), hit.alias("_cat"), deeper.alias("_deep"))
-        # Lists over the row limit and data rows are hits of their own, so nothing below matters.
-        below = opened.filter(hit.isNull() & F.col("_kind").isin("object", "list")).select(
-            "_id", "_at", "_path", (F.col("_kind") == "object").alias("_in_object"), F.posexplode("_children").alias("_i", "_c")
-        ).select(
-            "_id", F.array_append("_at", F.col("_i")).alias("_at"), F.array_append("_path", F.col("_c.name")).alias("_path"),
-            F.col("_c.raw").alias("_raw"), F.col("_c.kind").alias("_kind"), F.when(F.col("_in_object"), F.col("_c.name")).alias("_key"),
-        )
-        keyed = _key_rule(F.col("_key"), F.col("_kind"), F.col("_raw"), allow_excerpt, max_excerpt)
-        by_key = below.select("_id", F.struct("_at", F.lit(0).alias("phase")).alias("_order"), _location().alias("_loc"), keyed.alias("_cat"), F.lit(False).alias("_deep"))
-        rows = own.unionByName(by_key) if not last else own
-        rows = rows.filter(F.col("_cat").isNotNull() | F.col("_deep"))
-        found = rows if found is None else found.unionByName(rows)
-        node = below.drop("_key")
-    best = found.groupBy("_id").agg(
-        F.min_by(F.struct("_cat", "_loc"), F.when(F.col("_cat").isNotNull(), F.col("_order"))).alias("_b"), F.bool_or("_deep").alias("deeper")
-    )
-    return df.select(key).join(best, F.col(key) == F.col("_id"), "left").select(
-        key, F.col("_b._cat").alias("category"), F.col("_b._loc").alias("location"), F.coalesce("deeper", F.lit(False)).alias("deeper")
+    root = F.struct(
+        F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("path"), F.col(col).alias("raw"), _kind_of(F.col(col)).alias("kind"),
     )
+    step = spread(df.select(key, col), key).select(key, F.array(root).alias("_level0"))
+    found = []
+    for i in range(depth + 1):
+        step = step.withColumn(f"_open{i}", F.transform(f"_level{i}", _opened))
+        step = step.withColumn(f"_hits{i}", F.concat(
+            F.transform(F.filter(f"_open{i}", lambda n: n["hit"].isNotNull()), lambda n: _hit(n["at"], 1, n["hit"], n["path"])),
+            _key_hits(f"_open{i}", allow_excerpt, max_excerpt),
+        ))
+        # Nothing below a node that is a hit by itself can come before it.
+        step = step.withColumn(f"_level{i + 1}", F.flatten(F.transform(
+            F.filter(f"_open{i}", lambda n: n["hit"].isNull()),
+            lambda n: F.transform(n["children"], lambda c, k: F.struct(
+                F.array_append(n["at"], k).alias("at"), F.array_append(n["path"], c["name"]).alias("path"), c["raw"].alias("raw"), c["kind"].alias("kind"))),
+        )))
+        found.append(f"_hits{i}")
+    first = F.array_min(F.concat(*found))
+    deeper = F.exists(f"_level{depth + 1}", lambda n: n["kind"].isin("object", "list"))
+    return step.select(key, first["category"].alias("category"), first["location"].alias("location"), F.coalesce(deeper, F.lit(False)).alias("deeper"))
 
 
 def _kind_of(raw: Column) -> Column:
@@ -83,30 +75,36 @@ def _kind_of(raw: Column) -> Column:
     return F.when(first == "{", "object").when(first == "[", "list").otherwise("text")
 
 
-def _location() -> Column:
-    return F.when(F.size("_path") == 0, "<root>").otherwise(F.array_join("_path", "."))
+def _hit(at: Column, phase: int, category: Column, path: Column) -> Column:
+    """A hit; the fields before ``category`` are its place in depth-first order."""
+    location = F.when(F.size(path) == 0, "<root>").otherwise(F.array_join(path, "."))
+    return F.struct(at.alias("at"), F.lit(phase).alias("phase"), category.alias("category"), location.alias("location"))
+
+
+def _key_hits(opened: str, allow_excerpt: bool, max_excerpt: int) -> Column:
+    """Hits by key name among the children of the objects of a level."""
+    objects = F.filter(opened, lambda n: n["hit"].isNull() & (n["kind"] == "object"))
+    hits = F.flatten(F.transform(objects, lambda n: F.transform(n["children"], lambda c, k: _hit(
+        F.array_append(n["at"], k), 0, _key_rule(c["name"], c["kind"], c["raw"], allow_excerpt, max_excerpt), F.array_append(n["path"], c["name"])))))
+    return F.filter(hits, lambda h: h["category"].isNotNull())
 
 
-def _opened(node: DataFrame) -> DataFrame:
-    """Children of each node as an array of (name, raw, kind), in text order."""
-    obj = F.col("_kind") == "object"
-    raw_map = F.from_json(F.when(obj, F.col("_raw")), "map<string,string>")
-    typed_map = F.from_json(F.when(obj, F.col("_raw")), "map<string,variant>")
-    raw_list = F.from_json(F.when(F.col("_kind") == "list", F.col("_raw")), "array<string>")
-    typed_list = F.from_json(F.when(F.col("_kind") == "list", F.col("_raw")), "array<variant>")
-    names = F.when(obj, F.map_keys("_m")).otherwise(
-        F.transform("_l", lambda x, i: i.cast("string"))
+def _opened(node: Column) -> Column:
+    """A node with its children ``(name, raw, kind)`` in text order and its own hit."""
+    raw, kind = node["raw"], node["kind"]
+    entry = lambda name, text, value: F.struct(name.alias("name"), text.alias("raw"), _variant_kind(value).alias("kind"))
+    members = F.zip_with(
+        F.map_entries(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,variant>")), lambda e, v: entry(e["key"], e["value"], v)
     )
-    staged = node.withColumns({"_m": raw_map, "_tm": typed_map, "_l": raw_list, "_tl": typed_list})
-    staged = staged.withColumns({
-        "_names": names,
-        "_raws": F.coalesce(F.map_values("_m"), F.col("_l")),
-        "_types": F.coalesce(F.transform(F.map_values("_tm"), _variant_kind), F.transform("_tl", _variant_kind)),
-    })
-    children = F.transform(
-        F.arrays_zip("_names", "_raws", "_types"), lambda z: F.struct(z["_names"].alias("name"), z["_raws"].alias("raw"), z["_types"].alias("kind"))
+    items = F.transform(
+        F.arrays_zip(F.from_json(raw, "array<string>").alias("t"), F.from_json(raw, "array<variant>").alias("v")), lambda z, k: entry(k.cast("string"), z["t"], z["v"])
     )
-    return staged.withColumn("_children", children).drop("_m", "_tm", "_l", "_tl", "_names", "_raws", "_types")
+    none = F.array().cast("array<struct<name:string,raw:string,kind:string>>")
+    children = F.coalesce(F.when(kind == "object", members).when(kind == "list", items), none)
+    # The children are bound once and then looked at by the node's rule.
+    bound = F.transform(F.array(children), lambda c: F.struct(
+        node["at"].alias("at"), node["path"].alias("path"), raw.alias("raw"), kind.alias("kind"), c.alias("children"), _node_rule(kind, raw, c).alias("hit")))
+    return F.element_at(bound, 1)
 
 
 def _variant_kind(v: Column) -> Column:
@@ -117,16 +115,13 @@ def _variant_kind(v: Column) -> Column:
     )
 
 
-def _node_rule(opened: DataFrame) -> Column:
+def _node_rule(kind: Column, raw: Column, children: Column) -> Column:
     """Rule of a node by itself: data row, too many rows, or its text."""
-    names = F.transform("_children", lambda c: c["name"])
-    field_like = F.exists(names, lambda n: n.rlike(FIELD_KEY))
-    observed = F.exists("_children", lambda c: (c["kind"] == "number") | ((c["kind"] == "text") & c["raw"].rlike(DATE_VALUE)))
-    many = (F.size("_children") > MAX_ROWS) & F.forall("_children", lambda c: c["kind"] == "object")
+    field_like = F.exists(children, lambda c: c["name"].rlike(FIELD_KEY))
+    observed = F.exists(children, lambda c: (c["kind"] == "number") | ((c["kind"] == "text") & c["raw"].rlike(DATE_VALUE)))
+    many = (F.size(children) > MAX_ROWS) & F.forall(children, lambda c: c["kind"] == "object")
     return (
-        F.when((F.col("_kind") == "object") & field_like & observed, "raw_data")
-        .when((F.col("_kind") == "list") & many, "full_result_data")
-        .when(F.col("_kind") == "text", text_rule(F.col("_raw")))
+        F.when((kind == "object") & field_like & observed, "raw_data").when((kind == "list") & many, "full_result_data").when(kind == "text", text_rule(raw))
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from panelweave.functions.text import contains_any, tokens
+from panelweave.functions.text import tokens
+from panelweave.operators.ordering import numbered, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PREFERRED_MARKET = "cn_a"
@@ -14,16 +15,16 @@ PREFERRED_MARKET = "cn_a"
 def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Okapi scores of every (query, document) pair that shares a term.
 
-    ``docs(doc_id, text)``, ``queries(query_id, text)``. Terms are counted per document on the
-    map side, and the documents' terms are cut to the queries' terms before they are scored.
+    ``docs(doc_id, text)``, ``queries(query_id, text)``. The documents' words are cut to the queries'
+    words before they are counted and shuffled.
     A negative idf is raised to ``EPSILON`` times the mean idf. A document qualifies by sharing
     a term and not by the sign of its score.
     """
-    tf = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select("doc_id", F.size(tokens(F.col("text"))).cast("double").alias("dl"))
-    shape = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    opened = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", tokens(F.col("text")).alias("_w")).withColumn("dl", F.size("_w").cast("double"))
+    shape = opened.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     n_docs, avgdl = shape.select("n").scalar(), shape.select("avgdl").scalar()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # A document's own distinct terms are known within its row.
+    df = opened.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("_idf", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     floor = raw.agg(F.avg("_idf") * EPSILON).scalar()
     q_terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -33,7 +34,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
         "term", F.when(F.col("_idf") < 0, F.col("_floor")).otherwise(F.col("_idf")).alias("idf")
     )
     weighted = q_terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    hits = tf.join(asked, "term", "left_semi").join(lengths, "doc_id").withColumn("_avgdl", avgdl)
+    words = opened.select("doc_id", "dl", F.explode("_w").alias("term")).join(asked, "term", "left_semi")
+    hits = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("_avgdl", avgdl)
     sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avgdl")))
     scored = hits.select("doc_id", "term", sat.alias("sat")).join(weighted, "term")
     return scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("sat")).alias("score"))
@@ -52,8 +54,8 @@ def market_rank(market: Column, preferred: str = PREFERRED_MARKET) -> Column:
 
 def ranked_by_market(scores: DataFrame, preferred: str = PREFERRED_MARKET, tie: list[str] = ()) -> DataFrame:
     """Candidates in market order first and score second, as a position per query."""
-    order = W.partitionBy("query_id").orderBy(market_rank(F.col("market"), preferred), F.col("score").desc(), *tie)
-    return scores.withColumn("position", F.row_number().over(order))
+    order = [market_rank(F.col("market"), preferred), -F.col("score"), *[F.col(t) for t in tie]]
+    return numbered(scores, order, ["query_id"], "position").drop("_n")
 
 
 def null_safe_constraint(df: DataFrame, asset_type: Column | None, frequency: Column | None) -> DataFrame:

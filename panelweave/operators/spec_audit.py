@@ -1,8 +1,8 @@
 """Batch audit of many formula specs at once.
 
 Specs arrive as tables: ``nodes(spec_id, node_id, depth, type, op, name, value, n_params, window)``
-and ``variables(spec_id, name, …)``. All checks are groupings by spec, pre-summed on the map
-side; sets of names are grouped as (spec, name) rows before they are listed.
+and ``variables(spec_id, name, …)``. All checks are filters or groupings that are pre-summed on
+the map side, and a finding about names is a row per name.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ def _rows(df: DataFrame, severity: str, code: str, detail) -> DataFrame:
 
 
 def _names(df: DataFrame, severity: str, code: str) -> DataFrame:
-    """One finding per spec with its distinct names, sorted."""
-    listed = df.select("spec_id", "name").distinct().groupBy("spec_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("_names"))
-    return _rows(listed, severity, code, F.col("_names"))
+    """One finding per spec and distinct name; lists are not collected."""
+    return _rows(df.select("spec_id", "name").distinct(), severity, code, F.col("name"))
 
 
 def audit_trees(nodes: DataFrame, variables: DataFrame) -> DataFrame:

@@ -129,6 +129,17 @@ def evaluate(tree, panel: DataFrame, out: str = "value") -> DataFrame:
     return fold.df.select("date", "code", col.cast("double").alias(out))
 
 
+def evaluate_all(trees: dict, panel: DataFrame) -> DataFrame:
+    """``(date, code, …)`` with one column per named tree, from a single pass over the panel."""
+    fold = _Fold(panel)
+    cols = []
+    for name, tree in trees.items():
+        if not check_tree(tree, panel.columns):
+            raise ValueError("a formula needs at least one variable")
+        cols.append(fold.column(tree).cast("double").alias(name))
+    return fold.df.select("date", "code", *cols)
+
+
 class _Fold:
     """Turns nodes into columns; rolling and rank nodes become named columns, each once."""
 

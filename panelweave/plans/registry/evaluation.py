@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from panelweave.operators import composite as co
 from panelweave.operators import evaluation as ev
-from panelweave.operators.calendar import rebalance_dates
-from panelweave.plans.formula import evaluate, negative, rolling_mean, rolling_return
+from panelweave.plans.formula import evaluate, evaluate_all, negative, rolling_mean, rolling_return
 from panelweave.plans.registry import query
 from panelweave.plans.registry import sql as S
 
@@ -16,8 +15,8 @@ GROUPS = 5
 
 def aligned(d):
     """Three-month momentum against the next month's return, on one monthly grid."""
-    panel = d.panel("close")
-    return ev.align_forward(evaluate(rolling_return("close", 3), panel), evaluate(rolling_return("close", 1), panel))
+    both = evaluate_all({"x": rolling_return("close", 3), "r": rolling_return("close", 1)}, d.panel("close"))
+    return ev.align_columns(both, "x", "r")
 
 
 def usable(d):
@@ -53,6 +52,13 @@ def summary(col, source):
 
 
 @query("a1_align_forward", f"WITH {ALIGNED} SELECT date, code, x, y FROM al", nums="x y")
+def _(d):
+    """Factor and returns as two tables."""
+    panel = d.panel("close")
+    return ev.align_forward(evaluate(rolling_return("close", 3), panel), evaluate(rolling_return("close", 1), panel))
+
+
+@query("a1_align_columns", f"WITH {ALIGNED} SELECT date, code, x, y FROM al", nums="x y")
 def _(d):
     return aligned(d)
 
@@ -118,8 +124,7 @@ def _(d):
   (SELECT avg(usable / shared) FROM sz WHERE usable >= 5) AS coverage_mean, (SELECT count(*) FROM sz WHERE usable >= 5) AS evaluated_dates, (SELECT count(*) FROM sz WHERE usable < 5) AS skipped_dates FROM a, b""",
   nums="ic_mean ic_std ic_positive_rate ic_ir rank_ic_mean rank_ic_std rank_ic_positive_rate rank_ic_ir long_short_spread turnover_mean coverage_mean", dates="")
 def _(d):
-    panel = d.panel("close")
-    return ev.analyze_factor(evaluate(rolling_return("close", 3), panel), evaluate(rolling_return("close", 1), panel), GROUPS)
+    return ev.analyze_aligned(aligned(d), GROUPS)
 
 
 # ---- composites ----------------------------------------------------------------------
@@ -127,9 +132,12 @@ def _(d):
 
 def composite(d):
     """Momentum up, price level down, steady volume up."""
-    p = d.panel("close", "volume")
-    factors = {"momentum": evaluate(rolling_return("close", 3), p), "level": evaluate(rolling_mean("close", 3), p), "volume": evaluate(negative(rolling_mean("volume", 3)), p)}
-    return co.combine_factors(factors, {"momentum": 2.0, "level": 1.0, "volume": 1.0}, {"momentum": 1, "level": -1, "volume": 1})
+    return co.combine_columns(evaluate_all(LEGS, d.panel("close", "volume")), WEIGHTS, DIRECTIONS)
+
+
+LEGS = {"momentum": rolling_return("close", 3), "level": rolling_mean("close", 3), "volume": negative(rolling_mean("volume", 3))}
+WEIGHTS = {"momentum": 2.0, "level": 1.0, "volume": 1.0}
+DIRECTIONS = {"momentum": 1, "level": -1, "volume": 1}
 
 
 def z(x):
@@ -146,6 +154,13 @@ def _picked(n, every):
 
 
 @query("i1_combine_factors", f"WITH {COMPOSITE} SELECT date, code, value FROM comp", nums="value")
+def _(d):
+    """Factors as tables of their own, aligned by the function."""
+    p = d.panel("close", "volume")
+    return co.combine_factors({name: evaluate(tree, p) for name, tree in LEGS.items()}, WEIGHTS, DIRECTIONS)
+
+
+@query("i1_combine_columns", f"WITH {COMPOSITE} SELECT date, code, value FROM comp", nums="value")
 def _(d):
     return composite(d)
 

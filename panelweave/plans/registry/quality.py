@@ -164,7 +164,7 @@ SPEC_SQL = """WITH nodes AS (SELECT l_orderkey AS spec_id, l_linenumber * 4 AS d
 
 
 def names(severity, code, source):
-    return f"SELECT spec_id, '{severity}' AS severity, '{code}' AS code, string_agg(name, ',' ORDER BY name) AS detail FROM ({source}) GROUP BY spec_id"
+    return f"SELECT DISTINCT spec_id, '{severity}' AS severity, '{code}' AS code, name AS detail FROM ({source})"
 
 
 @query("f1_audit_trees", f"""{SPEC_SQL} {names('error', 'duplicate_variable', 'SELECT * FROM decl WHERE n > 1')}

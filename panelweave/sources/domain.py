@@ -173,7 +173,8 @@ class Domain:
 
     @cached_property
     def asked_codes(self) -> DataFrame:
-        return self.stock_eod.select(F.col("s_info_windcode").alias("code")).unionByName(self.index_eod.select(F.col("s_info_windcode").alias("code"))).distinct()
+        stocks = self.table("supplier").select(F.concat((F.lit(600000) + F.col("s_suppkey")).cast("string"), F.lit(".SH")).alias("code"))
+        return stocks.unionByName(self.index_eod.select(F.col("s_info_windcode").alias("code")).distinct())
 
     @cached_property
     def instrument_tables(self) -> dict[str, DataFrame]:

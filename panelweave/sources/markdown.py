@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.operators.ordering import spread
+
 # fixed values: module -> asset type
 MODULE_ASSET = {
     "中国A股-股票信息": "stock", "中国A股-指数数据": "index", "中国基金-基金信息": "fund",
@@ -73,7 +75,7 @@ def parse_dictionary(files: DataFrame, units: dict[str, str] | None = None) -> D
     keys = F.regexp_extract(note, r"业务主键：\s*(.+?)(?:\s+所属数据库|$)", 1)
     business = F.filter(F.transform(F.split(keys, ","), lambda k: F.trim(k)), lambda k: k != "")
     assets = F.create_map(*[F.lit(x) for kv in MODULE_ASSET.items() for x in kv])
-    per_file = files.select(
+    per_file = spread(files, "path").select(
         "path", F.lower(F.coalesce(_blank_null(head), stem)).alias("table"), note.alias("note"), business.alias("business_keys"),
         F.try_element_at(assets, F.trim(F.regexp_extract("text", r"\*\*所属模块\*\*:\s*(.+)", 1))).alias("asset_type"),
         _first_part(F.regexp_extract(note, r"所属数据库：\s*(\S+)", 1), DATABASE_MARKET).alias("market"), "text",
