@@ -35,8 +35,13 @@ def day_rows(intervals: DataFrame, calendar: DataFrame, start: Column, end: Colu
 
 
 def by_code(df: DataFrame) -> DataFrame:
-    """Hash by code into the session's number of shuffle partitions, not coalesced at run time."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code")
+    """Hash by code into twice the session's shuffle partitions.
+
+    A stated number is not coalesced at run time, where rows look few before they grow into
+    days, and twice the default keeps the step from being dropped as a repeat of a shuffle by code.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(2 * n, "code")
 
 
 def longest(intervals: DataFrame) -> DataFrame:

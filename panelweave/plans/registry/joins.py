@@ -13,11 +13,12 @@ BASE = f"WITH {S.CAL}, {S.INTERVALS}"
 
 
 def per_day(mask):
-    """A mask as one row per day: how many codes, and the first and last of them."""
-    return mask.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("first_code"), F.max("code").alias("last_code"))
+    """A mask as one row per day: how many codes, and the sum and highest of their numbers."""
+    number = F.substring("code", 2, 20).cast("long")
+    return mask.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum(number).alias("code_sum"), F.max(number).alias("last_code"))
 
 
-PER_DAY = "SELECT date, count(*) AS n, min(code) AS first_code, max(code) AS last_code FROM m GROUP BY date"
+PER_DAY = "SELECT date, count(*) AS n, CAST(sum(CAST(substr(code, 2) AS BIGINT)) AS BIGINT) AS code_sum, max(CAST(substr(code, 2) AS BIGINT)) AS last_code FROM m GROUP BY date"
 
 
 @query("j2_interval_mask", f"{BASE}, m AS (SELECT DISTINCT cal.date, code FROM cal JOIN ivs ON cal.date >= s AND (e IS NULL OR cal.date < e)) {PER_DAY}")
