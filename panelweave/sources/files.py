@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from panelweave.functions.numeric import clean
 
@@ -51,7 +50,7 @@ def export_weights(df: DataFrame, path: str) -> None:
     df.select("date", "code", "weight").write.mode("errorifexists").csv(path, header=True)
 
 
-CATALOG_SCHEMA = StructType.fromDDL(
+CATALOG_SCHEMA = (
     "table string, field string, name string, description string, data_type string, fill_rate double, asset_type string,"
     " frequency string, market string, unit string, metadata_source string"
 )
