@@ -1,13 +1,14 @@
 """Operators across the codes of one date.
 
-Statistics per date are aggregated (pre-summed on the map side) and joined back as a table
-with one row per day, which is small enough to broadcast whatever the panel's size; the
-panel itself keeps its partitioning.
+While no date is too large for a task, statistics are windows by date: steps that follow each
+other share one shuffle and the panel is computed once. Otherwise they are aggregated (pre-summed
+on the map side) and joined back as a table with one row per day, which may be broadcast
+whatever the panel's size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from panelweave.operators.ordering import groups_fit, positions
@@ -16,6 +17,10 @@ DATE = ["date"]
 FEW_INDUSTRIES = 200
 
 
+def _fits(panel: DataFrame, fits: bool | None) -> bool:
+    return groups_fit(panel, DATE) if fits is None else fits
+
+
 def percentile_rank(panel: DataFrame, value: str, out: str, keys: list[str] = DATE) -> DataFrame:
     """Average-tie rank divided by the number of non-missing values; missing stays missing."""
     placed = positions(panel, value, keys, ["code"])
@@ -28,26 +33,24 @@ def with_date_stats(panel: DataFrame, *aggs: Column) -> DataFrame:
     return panel.join(F.broadcast(panel.groupBy("date").agg(*aggs)), "date")
 
 
-def winsorize(panel: DataFrame, cols: list[str], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+def winsorize(panel: DataFrame, cols: list[str], lower: float = 0.01, upper: float = 0.99, fits: bool | None = None) -> DataFrame:
     """Clip each column to its own per-date quantiles (linear interpolation between values)."""
     if not 0 <= lower < upper <= 1:
         raise ValueError("need 0 <= lower < upper <= 1")
-    bounds = None
-    if groups_fit(panel, DATE):
-        quantiles = [
-            F.percentile(c, F.lit(p)).alias(f"_{side}_{c}") for c in cols for side, p in (("lo", lower), ("hi", upper))
-        ]
-        bounds = panel.groupBy("date").agg(*quantiles)
+    if _fits(panel, fits):
+        found = panel.withColumns({f"_{side}_{c}": F.percentile(c, F.lit(p)).over(W.partitionBy("date")) for c in cols for side, p in (("lo", lower), ("hi", upper))})
     else:
+        bounds = None
         for c in cols:
             one = _quantiles_by_position(panel, c, {f"_lo_{c}": lower, f"_hi_{c}": upper})
             bounds = one if bounds is None else bounds.join(one, "date", "full_outer")
+        found = panel.join(F.broadcast(bounds), "date", "left")
     clipped = [
         F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_lo_{c}")), F.col(f"_hi_{c}"))).alias(c)
         if c in cols else F.col(c)
         for c in panel.columns
     ]
-    return panel.join(F.broadcast(bounds), "date", "left").select(*clipped)
+    return found.select(*clipped)
 
 
 def _quantiles_by_position(panel: DataFrame, col: str, wanted: dict[str, float]) -> DataFrame:
@@ -66,18 +69,22 @@ def _quantiles_by_position(panel: DataFrame, col: str, wanted: dict[str, float])
     return got.select("date", *blend)
 
 
-def zscore(panel: DataFrame, cols: list[str]) -> DataFrame:
+def zscore(panel: DataFrame, cols: list[str], fits: bool | None = None) -> DataFrame:
     """(x - mean) / sample deviation per date; a date without spread gives missing."""
-    stats = [F.avg(c).alias(f"_m_{c}") for c in cols] + [F.stddev_samp(c).alias(f"_s_{c}") for c in cols]
+    stats = {n: a for c in cols for n, a in ((f"_m_{c}", F.avg(c)), (f"_s_{c}", F.stddev_samp(c)))}
+    if _fits(panel, fits):
+        found = panel.withColumns({n: a.over(W.partitionBy("date")) for n, a in stats.items()})
+    else:
+        found = with_date_stats(panel, *[a.alias(n) for n, a in stats.items()])
     scored = [
         F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.nullif(F.col(f"_s_{c}"), F.lit(0.0))).alias(c)
         if c in cols else F.col(c)
         for c in panel.columns
     ]
-    return with_date_stats(panel, *stats).select(*scored)
+    return found.select(*scored)
 
 
-def industry_neutralize(panel: DataFrame, cols: list[str], industries: DataFrame) -> DataFrame:
+def industry_neutralize(panel: DataFrame, cols: list[str], industries: DataFrame, fits: bool | None = None) -> DataFrame:
     """Subtract the mean of the row's industry on its date.
 
     Every code must have exactly one industry; a missing or partial map is refused.
@@ -90,11 +97,15 @@ def industry_neutralize(panel: DataFrame, cols: list[str], industries: DataFrame
     if panel.select("code").distinct().join(industries, "code", "left_anti").limit(1).count():
         raise ValueError("the industry map does not cover every code of the panel")
     tagged = panel.join(industries.select("code", F.col("industry").alias("_ind")), "code")
+    out = [(F.col(c) - F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in panel.columns]
+    if _fits(panel, fits):
+        # Rows shuffled by date serve the (date, industry) window as well.
+        spread_out = tagged.withColumns({f"_m_{c}": F.avg(c).over(W.partitionBy("date", "_ind")) for c in cols})
+        return spread_out.select(*out)
     means = tagged.groupBy("date", "_ind").agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
     if mapped.industries <= FEW_INDUSTRIES:
         # At most one row per day and industry, with few industries.
         means = F.broadcast(means)
-    out = [(F.col(c) - F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in panel.columns]
     return tagged.join(means, ["date", "_ind"]).select(*out)
 
 

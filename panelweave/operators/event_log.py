@@ -127,15 +127,21 @@ def fold_state(events: DataFrame, transitions=TRANSITIONS, start: str = "created
     moves: dict[str, list[int]] = {}
     for s, e, to in transitions:
         moves.setdefault(e, [0] * len(states))[at[s] - 1] = at[to]
-    table = F.create_map(*[x for e, row in moves.items() for x in (F.lit(e), F.array(*[F.lit(i) for i in row]))])
-    dead = F.array(*[F.lit(0)] * len(states))
-    # A step: one array entry per start state, with the end state and the first dead sequence.
-    step = F.transform(
-        F.coalesce(F.try_element_at(table, F.col("event_type")), dead),
-        lambda to: F.struct(to.alias("to"), F.when(to == 0, F.col("sequence").cast("long")).alias("bad")),
-    )
-    runs = events.select(session, F.col("sequence").cast("long").alias("_seq"), step.alias("_f"))
-    for _ in range(3):
+    # Events travel as small numbers; the last row of the table is for unknown events.
+    number = F.create_map(*[x for i, e in enumerate(moves) for x in (F.lit(e), F.lit(i + 1))])
+    table = F.array(*[F.array(*[F.lit(i) for i in row]) for row in [*moves.values(), [0] * len(states)]])
+    coded = F.coalesce(F.try_element_at(number, F.col("event_type")), F.lit(len(moves) + 1))
+    runs = events.select(session, F.col("sequence").cast("long").alias("_seq"), coded.alias("_e"))
+    ordered = F.array_sort(F.collect_list(F.struct("_seq", "_e")))
+
+    def apply(acc, s):
+        end = lambda a: F.try_element_at(F.try_element_at(table, s["_e"]), F.greatest(a["to"], F.lit(1)))
+        return F.transform(acc, lambda a: F.when(a["to"] == 0, a).otherwise(
+            F.struct(end(a).alias("to"), F.when(end(a) == 0, s["_seq"]).alias("bad"))))
+
+    run = F.shiftright("_seq", CHUNK_BITS).alias("_run")
+    runs = runs.groupBy(session, run).agg(F.aggregate(ordered, _same(len(states)), apply).alias("_f")).withColumnRenamed("_run", "_seq")
+    for _ in range(2):
         runs = _compose(runs.withColumn("_run", F.shiftright("_seq", CHUNK_BITS)), [session, "_run"], len(states)).withColumnRenamed("_run", "_seq")
     whole = _compose(runs, [session], len(states))
     end = F.element_at("_f", at[start])
@@ -144,11 +150,16 @@ def fold_state(events: DataFrame, transitions=TRANSITIONS, start: str = "created
     return whole.select(session, F.when(end["to"] > 0, F.try_element_at(name, end["to"])).alias("state"), end["bad"].alias("illegal_at")).join(sizes, session)
 
 
+def _same(n: int) -> Column:
+    """The function that leaves every state as it is."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(i.alias("to"), F.lit(None).cast("long").alias("bad")))
+
+
 def _compose(runs: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """One function per key out of the functions of its runs, in order."""
     ordered = F.array_sort(F.collect_list(F.struct("_seq", "_f")))
-    same = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(i.alias("to"), F.lit(None).cast("long").alias("bad")))
     folded = F.aggregate(
-        F.transform(ordered, lambda s: s["_f"]), same,
+        F.transform(ordered, lambda s: s["_f"]), _same(n),
         lambda acc, f: F.transform(acc, lambda a: F.when(a["to"] == 0, a).otherwise(F.try_element_at(f, F.greatest(a["to"], F.lit(1))))),
     )
     return runs.groupBy(*keys).agg(folded.alias("_f"))

@@ -127,9 +127,10 @@ def _with_bucket(
     sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     draw = F.pmod(F.xxhash64(*[F.col(c) for c in (row_id or [])], "_key"), F.lit(1 << 40))
     keep = F.lit(float(SPLITS * SAMPLE_PER_SPLIT * (1 << 40))) / F.col("_n")
-    # The sample holds about SPLITS * SAMPLE_PER_SPLIT rows of a group, whatever its size.
+    # Only large groups are cut. The sample holds about SPLITS * SAMPLE_PER_SPLIT rows of each.
+    bound = int(df.sparkSession.conf.get(GROUP_KEY, str(GROUP_ROWS)))
     sample = (
-        present.join(sizes, keys)
+        present.join(sizes.filter(F.col("_n") > bound), keys)
         .filter(draw < keep)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("_key")).alias("_s"))

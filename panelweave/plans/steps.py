@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.operators import cross_section as xs
 from panelweave.operators.grid import value_columns
+from panelweave.operators.ordering import groups_fit
+from panelweave.session import freeze
 
 OPERATIONS = ("winsorize", "zscore", "industry_neutralize", "fillna")
 TARGETS = ("variables", "factor")
@@ -38,19 +40,26 @@ def apply_steps(panel: DataFrame, steps: list[Step], target: str, industries: Da
     """Run the steps of one target in order over every value column."""
     check_steps(steps)
     cols = value_columns(panel)
-    for s in sorted(steps, key=lambda s: s.order):
-        if s.target != target:
+    todo = [s for s in sorted(steps, key=lambda s: s.order) if s.target == target]
+    fits = None
+    for s in todo:
+        if s.operation == "fillna":
+            panel = xs.fillna(panel, cols, **s.parameters)
             continue
+        if fits is None:
+            # Asked once: no step changes how many rows a date has.
+            fits = groups_fit(panel, ["date"])
+        elif not fits:
+            # Aggregated statistics read the panel twice; a written copy keeps that from doubling per step.
+            panel = freeze(panel)
         if s.operation == "industry_neutralize":
             if industries is None:
                 raise ValueError("industry_neutralize needs an industry map")
-            panel = xs.industry_neutralize(panel, cols, industries)
+            panel = xs.industry_neutralize(panel, cols, industries, fits)
         elif s.operation == "winsorize":
-            panel = xs.winsorize(panel, cols, **s.parameters)
-        elif s.operation == "zscore":
-            panel = xs.zscore(panel, cols)
+            panel = xs.winsorize(panel, cols, **s.parameters, fits=fits)
         else:
-            panel = xs.fillna(panel, cols, **s.parameters)
+            panel = xs.zscore(panel, cols, fits)
     return panel
 
 

@@ -33,9 +33,15 @@ def variables_to_columns(stacked: DataFrame, names: list[str]) -> DataFrame:
     return stacked.groupBy("date", "code").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
 
 
-def write_factor(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Factor result by month of date. Rows of a month may fill many files, so a hot month spreads."""
-    df.withColumn("month", F.trunc("date", "month")).write.mode(mode).partitionBy("month").parquet(path)
+def write_factor(df: DataFrame, path: str, mode: str = "errorifexists", files_per_month: int = 16) -> None:
+    """Factor result by month of date, in a few files per month.
+
+    Rows are hashed by month and a code hash, so a month with very many rows is written by
+    several tasks and a task does not open a file for every month.
+    """
+    slot = F.pmod(F.xxhash64("code"), F.lit(files_per_month))
+    by_month = df.withColumn("month", F.trunc("date", "month")).repartition("month", slot)
+    by_month.write.mode(mode).partitionBy("month").parquet(path)
 
 
 def write_audit(path: str, raw: DataFrame, aligned: DataFrame, universe: DataFrame, excluded: DataFrame) -> None:
