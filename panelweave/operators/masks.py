@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.codes import pad_to, padded
@@ -51,6 +51,18 @@ def longest(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("code", "start").agg(end)
 
 
+def merged(intervals: DataFrame) -> DataFrame:
+    """Intervals of a code joined where they overlap, so that no day is covered twice.
+
+    After ``longest`` a code has at most one interval per day, which keeps the window small.
+    """
+    w = W.partitionBy("code").orderBy("start")
+    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    fresh = longest(intervals).withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    islands = fresh.withColumn("_i", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return islands.groupBy("code", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+
+
 def calendar_bounds(calendar: DataFrame, start: str | None, end: str | None) -> tuple[Column, Column]:
     lo = F.lit(start).cast("date") if start else calendar.agg(F.min("date")).scalar()
     hi = F.lit(end).cast("date") if end else calendar.agg(F.max("date")).scalar()
@@ -60,7 +72,7 @@ def calendar_bounds(calendar: DataFrame, start: str | None, end: str | None) ->
 def interval_mask(calendar: DataFrame, intervals: DataFrame, start: str | None = None, end: str | None = None, closed: str = "left") -> DataFrame:
     """The (date, code) cells covered by at least one interval."""
     lo, hi = calendar_bounds(calendar, start, end)
-    return day_rows(longest(intervals), calendar, lo, hi, closed).select("date", "code").distinct()
+    return day_rows(merged(intervals), calendar, lo, hi, closed).select("date", "code")
 
 
 def st_mask(calendar: DataFrame, st: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -75,7 +87,7 @@ def suspended(calendar: DataFrame, events: DataFrame, daily_status: DataFrame, o
     Both inputs are spread by code and meet in one grouping.
     """
     lo, hi = calendar_bounds(calendar, start, end)
-    by_event = day_rows(longest(events), calendar, lo, hi).select("date", "code", F.lit(True).alias("_event"), F.lit(None).cast("int").alias("_status"))
+    by_event = day_rows(merged(events), calendar, lo, hi).select("date", "code", F.lit(True).alias("_event"), F.lit(None).cast("int").alias("_status"))
     status = daily_status.filter(F.col("status").isNotNull() & F.col("date").between(lo, hi))
     status = status.join(F.broadcast(calendar.select("date").distinct()), "date", "left_semi")
     last = status.groupBy("date", "code").agg(F.max_by(F.col("status").cast("int"), F.struct(*order)).alias("_status"))

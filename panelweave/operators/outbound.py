@@ -34,9 +34,13 @@ def text_rule(text: Column) -> Column:
     )
 
 
-def scan_text(df: DataFrame, col: str) -> DataFrame:
-    """Adds ``category`` of the first rule hit; the whole text is matched in one pass."""
-    return df.withColumn("category", text_rule(F.col(col)))
+def scan_text(df: DataFrame, col: str, key: str | None = None) -> DataFrame:
+    """Adds ``category`` of the first rule hit; the whole text is matched in one pass.
+
+    ``key`` names a column to spread the rows by where the input has few splits.
+    """
+    rows = spread(df, key) if key else df
+    return rows.withColumn("category", text_rule(F.col(col)))
 
 
 def scan_json(df: DataFrame, key: str, col: str, depth: int = 8, allow_excerpt: bool = False, max_excerpt: int = MAX_EXCERPT_CHARS) -> DataFrame:

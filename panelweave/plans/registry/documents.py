@@ -150,9 +150,9 @@ SQL_TEXT = """CASE WHEN regexp_matches(text, '\\bsk-[A-Za-z0-9_-]{20,}|\\bgh[pou
 @query("d9_scan_documents", f"SELECT 'documents' AS kind, coalesce({SQL_TEXT}, 'clean') AS category, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'pages', coalesce({SQL_TEXT.replace('(text,', '(html,')}, 'clean'), count(*) FROM pages GROUP BY 2 UNION ALL SELECT 'conversations', coalesce({SQL_TEXT}, 'clean'), count(*) FROM conversations GROUP BY 2", dates="")
 def _(d):
     out = None
-    for kind, col in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
-        one = ob.scan_text(d.table(kind).select(F.lit(kind).alias("kind"), F.col(col).alias("text")), "text")
-        one = one.groupBy("kind", F.coalesce("category", F.lit("clean")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    for kind, key, col in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text")):
+        one = ob.scan_text(d.table(kind).select(key, F.col(col).alias("text")), "text", key)
+        one = one.groupBy(F.lit(kind).alias("kind"), F.coalesce("category", F.lit("clean")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -35,15 +35,14 @@ class Domain:
         price = F.col("l_extendedprice") / F.col("l_quantity")
         net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
         r = lambda c, n: F.round(c + F.lit(NUDGE), 6).alias(n)
-        return (
-            self.table("lineitem")
-            .groupBy(F.trunc("l_shipdate", "month").alias("date"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("code"))
-            .agg(
-                r(F.sum("l_extendedprice") / F.sum("l_quantity"), "close"), r(F.max(price), "high"), r(F.min(price), "low"),
-                F.sum("l_quantity").alias("volume"), r(F.sum("l_extendedprice"), "amount"), r(F.sum(net), "net_profit"),
-                r(F.sum(net * (1 - F.col("l_tax"))), "cfo"), r(F.sum(F.col("l_extendedprice") * F.col("l_tax")), "debt"),
-            )
+        # Grouped by the plain key; the code text is made once per bar.
+        sums = self.table("lineitem").groupBy(F.trunc("l_shipdate", "month").alias("date"), "l_suppkey").agg(
+            r(F.sum("l_extendedprice") / F.sum("l_quantity"), "close"), r(F.max(price), "high"), r(F.min(price), "low"),
+            F.sum("l_quantity").alias("volume"), r(F.sum("l_extendedprice"), "amount"), r(F.sum(net), "net_profit"),
+            r(F.sum(net * (1 - F.col("l_tax"))), "cfo"), r(F.sum(F.col("l_extendedprice") * F.col("l_tax")), "debt"),
         )
+        code = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("code")
+        return sums.select("date", code, "close", "high", "low", "volume", "amount", "net_profit", "cfo", "debt")
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -150,26 +149,29 @@ class Domain:
     @cached_property
     def stock_eod(self) -> DataFrame:
         price = F.col("l_extendedprice") / F.col("l_quantity")
-        g = self.table("lineitem").groupBy(
-            F.concat((F.lit(600000) + F.col("l_suppkey")).cast("string"), F.lit(".SH")).alias("s_info_windcode"), F.date_format("l_shipdate", "yyyyMMdd").alias("trade_dt")
-        ).agg(
+        sums = self.table("lineitem").groupBy("l_suppkey", "l_shipdate").agg(
             F.round(F.sum("l_extendedprice") / F.sum("l_quantity") + F.lit(NUDGE), 4).alias("s_dq_close"), F.round(F.min(price) + F.lit(NUDGE), 4).alias("s_dq_low"),
-            F.round(F.max(price) + F.lit(NUDGE), 4).alias("s_dq_high"), F.sum("l_quantity").alias("s_dq_volume"), F.round(F.sum("l_extendedprice"), 4).alias("s_dq_amount"),
-            (1 + F.max("l_discount")).alias("_f"), (1 - F.max("l_tax")).alias("_b"), F.max("l_returnflag").alias("_flag"),
+            F.round(F.max(price) + F.lit(NUDGE), 4).alias("s_dq_high"), F.sum("l_quantity").alias("s_dq_volume"), F.round(F.sum("l_extendedprice") + F.lit(NUDGE), 4).alias("s_dq_amount"),
+            (1 + F.max("l_discount")).alias("_f"), (1 - F.max("l_tax")).alias("_b"),
+            F.max(F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "N", 2).otherwise(1)).alias("_flag"),
         )
+        g = sums.withColumns({
+            "s_info_windcode": F.concat((F.lit(600000) + F.col("l_suppkey")).cast("string"), F.lit(".SH")), "trade_dt": F.date_format("l_shipdate", "yyyyMMdd"),
+        }).drop("l_suppkey", "l_shipdate")
         up = {f"s_dq_adj{c}": F.col(f"s_dq_{c}") * F.col("_f") for c in ("close", "high", "low", "open", "preclose")}
         return g.withColumns({"s_dq_open": F.col("s_dq_low"), "s_dq_preclose": F.col("s_dq_high")}).withColumns({
             **up, "s_dq_adjclose_backward": F.col("s_dq_close") * F.col("_b"), "s_dq_adjfactor": F.col("_f").cast("string"),
             "s_dq_limit": F.col("s_dq_close") * 1.1, "s_dq_stopping": F.col("s_dq_close") * 0.9,
-            "s_dq_tradestatuscode": F.when(F.col("_flag") == "R", "0").when(F.col("_flag") == "N", "-1"),
+            "s_dq_tradestatuscode": F.when(F.col("_flag") == 3, "0").when(F.col("_flag") == 2, "-1"),
         }).drop("_f", "_b", "_flag")
 
     @cached_property
     def index_eod(self) -> DataFrame:
         code = F.when(F.col("l_returnflag") == "A", "000001.SH").when(F.col("l_returnflag") == "N", "399001.SZ").otherwise("900001.BJ")
-        return self.table("lineitem").groupBy(code.alias("s_info_windcode"), F.date_format("l_shipdate", "yyyyMMdd").alias("trade_dt")).agg(
+        sums = self.table("lineitem").groupBy("l_returnflag", "l_shipdate").agg(
             F.round(F.sum("l_extendedprice") / F.sum("l_quantity") + F.lit(NUDGE), 4).alias("s_dq_close"), F.sum("l_quantity").alias("s_dq_volume")
         )
+        return sums.select(code.alias("s_info_windcode"), F.date_format("l_shipdate", "yyyyMMdd").alias("trade_dt"), "s_dq_close", "s_dq_volume")
 
     @cached_property
     def asked_codes(self) -> DataFrame:
