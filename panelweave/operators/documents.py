@@ -33,7 +33,7 @@ def score_blocks(blocks: DataFrame, signals: dict[str, float] = SIGNALS, k: int
     ``blocks(doc_id, page, block, text)``. The whole text is scored and only the excerpt is cut.
     Scoring is one pass without a join, and the top-k is cut before the shuffle.
     """
-    scored = spread(blocks, "doc_id").withColumn("score", weighted_hits(F.col("text"), signals)).filter("score > 0")
+    scored = spread(blocks, "doc_id", "page", "block").withColumn("score", weighted_hits(F.col("text"), signals)).filter("score > 0")
     eid = F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("b"), F.col("block").cast("string"))
     cut = scored.select("doc_id", "page", eid.alias("evidence_id"), "score", F.substring("text", 1, MAX_EXCERPT_CHARS).alias("excerpt"))
     order = W.partitionBy("doc_id").orderBy(F.col("score").desc(), "page", "evidence_id")

@@ -17,7 +17,7 @@ from panelweave.session import freeze
 ONE_TASK_BYTES = 64 << 20
 ONE_TASK_KEY = "panelweave.oneTaskBytes"
 GROUP_ROWS = 1_000_000
-SPLIT_BYTES = 128 << 20
+SPLIT_BYTES = 16 << 20
 GROUP_KEY = "panelweave.groupRows"
 SPLITS = 128
 SAMPLE_PER_SPLIT = 100
@@ -45,8 +45,8 @@ def groups_fit(df: DataFrame, keys: list[str]) -> bool:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """More tasks for costly work on few input splits; large inputs have splits enough.
 
-    A table in one file and row group is one task, whatever it costs per row. Below one default
-    split per core the rows are hashed over the cores first.
+    A table in one file and row group is one task, whatever it costs per row. Below 16 MB per
+    core the rows are hashed over the cores first.
     """
     sc = df.sparkSession.sparkContext
     if input_bytes(df) >= sc.defaultParallelism * SPLIT_BYTES:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from panelweave.operators import event_log as el
@@ -11,6 +9,7 @@ from panelweave.operators import library as lb
 from panelweave.operators import usage as us
 from panelweave.plans.registry import query
 from panelweave.plans.registry import sql as S
+from panelweave.session import scratch
 from panelweave.sources.domain import EVENT_INVALIDATES, EVENT_STATES, EVENT_WRITES
 from panelweave.streaming import events as st
 
@@ -114,7 +113,7 @@ def _(d):
 
 def landed(d, rows):
     """The rows written as files of a folder, opened as a stream, and room for results."""
-    root = tempfile.mkdtemp(prefix="stream-")
+    root = scratch(d.spark, "stream")
     rows.write.parquet(f"{root}/in")
     return st.follow(d.spark, f"{root}/in", rows.schema), root
 
@@ -182,7 +181,7 @@ def _(d):
     """Two versions published under one name; both stay."""
     from panelweave.sources.registry import metrics
 
-    root = tempfile.mkdtemp(prefix="library-")
+    root = scratch(d.spark, "library")
     for col in ("close", "volume"):
         lb.publish(d.one(col), root, "momentum", ["PB"], metrics(d.spark))
     return lb.read_library(d.spark, root).groupBy("factor_id", "version").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("filled"))

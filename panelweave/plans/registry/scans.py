@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from panelweave.operators import calendar as cal
 from panelweave.operators import grid, library, query_shapes as qs
 from panelweave.plans.registry import query
 from panelweave.plans.registry import sql as S
+from panelweave.session import scratch
 from panelweave.sources import files
 
 # ---- sources and sinks ---------------------------------------------------------------
@@ -33,7 +32,7 @@ def _(d):
 @query("s4_load_variables", f"""WITH {S.BARS} SELECT date, code, 'close' AS variable, close AS value FROM bars UNION ALL SELECT date, code, 'volume', volume FROM bars""", nums="value")
 def _(d):
     """Written once per variable, then read back and stacked."""
-    root = tempfile.mkdtemp(prefix="variables-")
+    root = scratch(d.spark, "variables")
     for v in ("close", "volume"):
         d.bars.select("date", "code", F.col(v).alias("value")).write.parquet(f"{root}/{v}.parquet")
     return files.load_variables(d.spark, root, ["close", "volume"]).select("date", "code", "variable", "value")
@@ -43,7 +42,7 @@ def _(d):
 def _(d):
     from panelweave.plans.formula import evaluate, rank
 
-    root = tempfile.mkdtemp(prefix="factor-") + "/out"
+    root = scratch(d.spark, "factor") + "/out"
     files.write_factor(evaluate(rank("close"), d.panel("close")), root)
     return d.spark.read.parquet(root).select("date", "code", "value")
 
@@ -51,7 +50,7 @@ def _(d):
 @query("s6_write_audit", f"""WITH {S.GRID} SELECT 'raw' AS part, count(*) AS n FROM bars UNION ALL SELECT 'aligned/close', count(*) FROM grid
   UNION ALL SELECT 'aligned/volume', count(*) FROM grid UNION ALL SELECT 'universe', count(*) FROM bars WHERE volume > 0 UNION ALL SELECT 'excluded', count(*) FROM bars WHERE volume < 100""", dates="")
 def _(d):
-    root = tempfile.mkdtemp(prefix="audit-")
+    root = scratch(d.spark, "audit")
     long = d.panel("close", "volume").unpivot(["date", "code"], ["close", "volume"], "variable", "value")
     files.write_audit(root, d.bars, long, d.bars.filter("volume > 0").select("date", "code"), d.bars.filter("volume < 100").select("date", "code"))
     out = d.spark.read.parquet(f"{root}/aligned").groupBy(F.concat(F.lit("aligned/"), "variable").alias("part")).agg(F.count(F.lit(1)).alias("n"))
@@ -83,7 +82,7 @@ def catalog(d):
 
 @query("s8_catalog_json", CATALOG_SQL, dates="")
 def _(d):
-    root = tempfile.mkdtemp(prefix="catalog-") + "/out"
+    root = scratch(d.spark, "catalog") + "/out"
     files.write_catalog(catalog(d).withColumn("table", F.upper("table")), root)
     return files.read_catalog(d.spark, root).select("table", "field", "name")
 
@@ -108,7 +107,7 @@ def _(d):
 def _(d):
     from panelweave.operators.cross_section import with_date_stats
 
-    root = tempfile.mkdtemp(prefix="weights-") + "/out"
+    root = scratch(d.spark, "weights") + "/out"
     w = with_date_stats(d.bars.select("date", "code", "volume"), F.sum("volume").alias("t"))
     files.export_weights(w.select("date", "code", (F.col("volume") / F.col("t")).alias("weight")), root)
     return d.spark.read.schema("date date, code string, weight double").csv(root, header=True)
