@@ -23,22 +23,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running(items: Column, weight: Callable[[Column], Column], block: int = 512) -> Column:
+def running(items: Column, weight: Callable[[Column], Column], join: Callable[[Column, Column], Column] = lambda s, x: s + x, block: int = 512) -> Column:
     """For an array, the sum of ``weight`` over the items before each one, as an array of longs.
 
-    Sums run inside blocks and over the blocks, so the copies that growing an array takes
-    stay near ``block`` times the items, not their square.
+    ``join`` may be another associative operation with 0 as its neutral value, such as the greatest
+    of non-negative numbers. It runs inside blocks and over the blocks, so the copies that growing
+    an array takes stay near ``block`` times the items, not their square.
     """
 
-    def sums(parts: Column, start: Column) -> Column:
+    def before_each(parts: Column, start: Column) -> Column:
         state = F.struct(start.cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
-        return F.aggregate(parts, state, lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        step = lambda s, w: F.struct(join(s["at"], w).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(parts, state, step, lambda s: s["out"])
 
     def whole(weights: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(weights) - 1) / block).cast("int"))
         blocks = F.transform(starts, lambda b: F.slice(weights, b * block + 1, F.lit(block)))
-        totals = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x))
-        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, sums(totals(bs), F.lit(0)), sums)))
+        totals = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: join(s, x)))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, before_each(totals(bs), F.lit(0)), before_each)))
 
     return F.when(F.size(items) > 0, let(F.transform(items, lambda x: weight(x).cast("long")), whole)).otherwise(F.array().cast("array<long>"))
 

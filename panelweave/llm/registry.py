@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import fingerprints, quality_rules
+from panelweave.llm import fingerprints, pii, quality_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,12 +17,16 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.op2(table(spark, folder, "documents"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.op3(table(spark, folder, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.op7(table(spark, folder, "documents"))
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op7_fingerprints)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_pii, op7_fingerprints)}
 
 
 def sql_texts() -> dict[str, str]:
