@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import fingerprints, pii, quality_rules
+from panelweave.llm import bpe, fingerprints, pii, quality_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,12 +21,18 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.op3(table(spark, folder, "documents"))
 
 
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.op4(table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.op7(table(spark, folder, "documents"))
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_pii, op7_fingerprints)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_bpe, op7_fingerprints)}
 
 
 def sql_texts() -> dict[str, str]:
