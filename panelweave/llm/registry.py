@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, fingerprints, pii, quality_rules
+from panelweave.llm import bpe, fingerprints, packing, pii, quality_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.op1(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.op2(table(spark, folder, "documents"))
 
@@ -32,7 +36,7 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_bpe, op7_fingerprints)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op7_fingerprints)}
 
 
 def sql_texts() -> dict[str, str]:
