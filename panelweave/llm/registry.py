@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, fingerprints, packing, pii, quality_rules
+from panelweave.llm import bpe, fingerprints, licenses, packing, pii, quality_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,12 +31,16 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.op4(table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.op6(table(spark, folder, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.op7(table(spark, folder, "documents"))
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op7_fingerprints)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op6_license_scan, op7_fingerprints)}
 
 
 def sql_texts() -> dict[str, str]:
