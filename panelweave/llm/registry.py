@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, fingerprints, licenses, packing, pii, quality_rules
+from panelweave.llm import bpe, fingerprints, licenses, packing, pii, quality_rules, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.op7(table(spark, folder, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.op8(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op6_license_scan, op7_fingerprints)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op6_license_scan, op7_fingerprints, op8_toxicity)}
 
 
 def sql_texts() -> dict[str, str]:
