@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, fingerprints, licenses, packing, pii, quality_rules, toxicity
+from panelweave.llm import bpe, fingerprints, licenses, near_dedup, packing, pii, quality_rules, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,8 +43,12 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.op8(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.op9(table(spark, folder, "documents"))
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op6_license_scan, op7_fingerprints, op8_toxicity)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op6_license_scan, op7_fingerprints, op8_toxicity, op9_near_dedup)}
 
 
 def sql_texts() -> dict[str, str]:
