@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, fingerprints, licenses, near_dedup, packing, pii, quality_rules, toxicity
+from panelweave.llm import bpe, fingerprints, licenses, near_dedup, packing, pii, quality_rules, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.op4(table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.op5(table(spark, folder, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.op6(table(spark, folder, "documents"))
 
@@ -48,7 +52,7 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op6_license_scan, op7_fingerprints, op8_toxicity, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op5_substring_dedup, op6_license_scan, op7_fingerprints, op8_toxicity, op9_near_dedup)}
 
 
 def sql_texts() -> dict[str, str]:
