@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, fingerprints, licenses, near_dedup, packing, pii, quality_rules, substring_dedup, toxicity
+from panelweave.llm import bpe, cotraining, fingerprints, licenses, near_dedup, packing, pii, quality_rules, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,8 +51,12 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.op9(table(spark, folder, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.op10(*(table(spark, folder, t) for t in ("documents", "labels", "pages")))
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op5_substring_dedup, op6_license_scan, op7_fingerprints, op8_toxicity, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op5_substring_dedup, op6_license_scan, op7_fingerprints, op8_toxicity, op9_near_dedup, op10_quality_classifier)}
 
 
 def sql_texts() -> dict[str, str]:
