@@ -21,21 +21,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import WORD
-from panelweave.llm.links import BITS, bit_table, groups, landed
+from panelweave.llm.common import WORD, fresh
+from panelweave.llm.links import groups, landed, maybe_in
 from panelweave.llm.shingles import WordHash, counted, mixed, overlap, shingles, words_of
 from panelweave.session import freeze
 
 M = 128
 BANDS, ROWS = 12, 3
 SIMILAR = 0.8
-#: Sketches that agree at a smaller share belong to texts alike by 0.8 about once in a hundred million.
-SKETCH_SHARE = 0.6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,39 +182,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose texts overlap enough. A text met several times in a row is cut into shingles once."""
+def _bags():
     hashes = WordHash()
-    for batch in batches:
-        a, b, ta, tb = (batch.column(i) for i in range(4))
-        keep, memory = [], {}
-        for i in range(batch.num_rows):
-            bags = []
-            for node, text in ((a[i].as_py(), ta[i]), (b[i].as_py(), tb[i])):
-                if node not in memory:
-                    if len(memory) > 512:
-                        memory.clear()
-                    memory[node] = counted(shingles(hashes.of(words_of(text.as_py()))))
-                bags.append(memory[node])
-            keep.append(overlap(*bags) >= SIMILAR)
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, M) for i in (2, 3))
-        mask = pa.array((a == b).mean(1) >= SKETCH_SHARE)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+    return lambda text: counted(shingles(hashes.of(words_of(text))))
 
 
-def _both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-    """``pairs`` with ``value`` of either node; a node with very many pairs is split by adaptive execution."""
-    for c in ("a", "b"):
-        pairs = pairs.join(of.select(F.col("node").alias(c), F.col(value).alias(f"{value}_{c}")), c)
-    return pairs.select("a", "b", f"{value}_a", f"{value}_b")
+def _overlaps(a: tuple, b: tuple) -> bool:
+    return overlap(a, b) >= SIMILAR
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,23 +203,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
     members = freeze(placed.join(shared, "bucket").select("bucket", "node").distinct())
-    near = freeze(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2", "n", "sketch"))
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(near, "h1"))  # 8 MB at any size of data
-
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        at = h.to_numpy() % BITS
-        table = np.frombuffer(bits.value, np.uint8)
-        return pd.Series((table[at >> 3] >> (at & 7)) & 1 == 1)
-
-    some = docs.select(_text_key().alias("k"), "text").select("k.*", "text").filter(maybe("h1"))
-    bodies = landed(near.select("node", "h1", "h2").join(some, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("text")), "bodies")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        close = freeze(_both(pairs, near, "sketch").mapInArrow(_near, "a long, b long"))
-        return _both(close, bodies, "text").mapInArrow(_alike, "a long, b long")
+    near = freeze(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2", "sketch"))
+    some = docs.select(_text_key().alias("k"), "text").select("k.*", "text").filter(maybe_in(near, "h1")("h1"))
+    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("body"), F.first("sketch").alias("sketch")), "bodies")
 
-    comps = groups(members, check, near.select("node", "n"), SIMILAR)
+    comps = groups(members, bodies, _bags, _overlaps)
     named = texts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("copies"))
     of_text = named.join(names.withColumnRenamed("copies", "total"), "comp").select("h1", "h2", F.col("class_id"), F.col("total").alias("copies"))
@@ -258,6 +217,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
+def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, the first by its number in the input, which must read the same each time.
+
+    Only rows that may have to go move again.
+    """
+    name = fresh(docs)
+    row, hit = name("__row"), name("__hit")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = classes(rows.select(row, F.col(text).alias("text")), row)
+    gone = freeze(found.filter(F.col(row) != F.col("class_id")).select(row))
+    rows = rows.withColumn(hit, maybe_in(gone, row)(row))
+    return rows.filter(~F.col(hit)).unionByName(rows.filter(hit).join(gone, row, "left_anti")).select(*docs.columns)
+
+
 def op9(docs: DataFrame) -> DataFrame:
     """Each document with the class of its near copies, the rows in it, and whether it is the one that stays."""
     found = classes(docs)

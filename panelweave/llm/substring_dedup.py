@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import fresh
-from panelweave.llm.links import BITS, bit_table, groups, landed
+from panelweave.llm.links import BITS, bit_table, groups, landed, maybe_in
 from panelweave.llm.shingles import WordHash, mixed, shingles
 from panelweave.session import freeze
 
@@ -132,19 +132,6 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bit(keys: DataFrame, key: str):
-    """A filter that drops only rows whose key is surely not among ``keys``; what it holds is of fixed size."""
-    bits = keys.sparkSession.sparkContext.broadcast(bit_table(keys, key))
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        at = h.to_numpy() % BITS
-        table = np.frombuffer(bits.value, np.uint8)
-        return pd.Series((table[at >> 3] >> (at & 7)) & 1 == 1)
-
-    return maybe
-
-
 def _bodies(wanted: dict):
     """Texts of the paragraphs whose digest may be wanted."""
 
@@ -166,23 +153,16 @@ def _bodies(wanted: dict):
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets():
     hashes = WordHash()
-    for batch in batches:
-        a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-        keep = []
-        for x, y in zip(ta, tb, strict=True):
-            s, t = (np.unique(shingles(hashes.of(v.split()))) for v in (x, y))
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(both >= SIMILAR * (len(s) + len(t) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+    return lambda body: np.unique(shingles(hashes.of(body.split())))
 
 
-def _with_bodies(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    for c in ("a", "b"):
-        pairs = pairs.join(bodies.select(F.col("node").alias(c), F.col("body").alias(f"body_{c}")), c)
-    return pairs.select("a", "b", "body_a", "body_b")
+def _jaccard(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -201,8 +181,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     near = freeze(found.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2"))
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(near, "h1"))
     some = docs.select("text").mapInArrow(_bodies({"bits": bits}), "h1 long, h2 long, body binary")
-    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body")), "bodies")
-    comps = groups(members, lambda pairs: _with_bodies(pairs, bodies).mapInArrow(_alike, "a long, b long"))
+    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body"), F.lit(None).cast("binary").alias("sketch")), "bodies")
+    comps = groups(members, bodies, _sets, _jaccard)
     named = found.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = named.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("k").alias("total")).filter("total > 1")
     again = named.join(several, "comp").select("h1", "h2", "stays")
@@ -212,7 +192,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     rest = parts.select("row", "at", "segments").join(gone.select("row", "at"), ["row", "at"], "left_anti")
     pieces = landed(rest.mapInArrow(_segments, "seg long, row long, at int, k int"), "segments").withColumn("id", F.monotonically_increasing_id())
     common = freeze(pieces.groupBy("seg").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("seg", "first"))
-    before = pieces.filter(_bit(common, "seg")("seg")).join(common, "seg").filter("id <> first").select("row", "at", "k")
+    before = pieces.filter(maybe_in(common, "seg")("seg")).join(common, "seg").filter("id <> first").select("row", "at", "k")
     touched = freeze(before.groupBy("row", "at").agg(F.array_sort(F.collect_list("k")).alias("ks")))  # bounded by a paragraph's segments
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +245,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str =
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     gone = repeated(rows.select(F.col(key).cast("long").alias("key"), F.col(row).alias("row"), F.col(text).alias("text")))
     by_row = freeze(gone.groupBy("row").agg(F.collect_list(F.struct("at", "start", "end")).alias("removed")))
-    rows = rows.withColumn(hit, _bit(by_row, "row")(row))
+    rows = rows.withColumn(hit, maybe_in(by_row, "row")(row))
     touched = rows.filter(F.col(hit)).join(by_row.withColumnRenamed("row", row).withColumnRenamed("removed", done), row, "left")
 
     @F.pandas_udf("text string, gone long")
