@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import fresh
 from panelweave.llm.links import BITS, bit_table, groups, landed, maybe_in
-from panelweave.llm.shingles import WordHash, mixed, shingles
+from panelweave.llm.shingles import WORDS, WordHash, mixed, shingles
 from panelweave.session import freeze
 
 MIN_WORDS = 25
@@ -44,28 +44,35 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SALT = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
-def segment_ends(words: np.ndarray) -> np.ndarray:
-    """Ends (exclusive) of the segments of a paragraph, chosen by the words around each end."""
-    n = len(words)
+def segment_starts(words: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Starts of the segments of paragraphs that begin at ``start`` in ``words``, chosen by the words before and after."""
     pair = words.copy()
     pair[1:] += mixed(words[:-1])
-    cut = np.flatnonzero(mixed(pair) % np.uint64(CUT_EVERY) == 0) + 1
-    ends, last = [], 0
-    for e in [*cut.tolist(), n]:
-        while e - last > MAX_SEGMENT:
-            last += MAX_SEGMENT
-            ends.append(last)
-        if e > last:
-            ends.append(e)
-            last = e
-    return np.array(ends, np.int64)
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    pair[start] = words[start]
+    first = np.zeros(len(words) + 1, bool)
+    first[1:] = mixed(pair) % np.uint64(CUT_EVERY) == 0
+    first = first[:-1]
+    first[start] = True
+    at = np.flatnonzero(first)
+    size = np.diff(at, append=len(words))
+    parts = -(-size // MAX_SEGMENT)
+    step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(at, parts) + step * MAX_SEGMENT
+
+
+def flat_shingles(words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of paragraphs of at least five words each, and where each paragraph's begin."""
+    found = shingles(words)
+    size = np.diff(start, append=len(words))
+    inside = np.ones(len(words), bool)
+    for k in range(1, WORDS):
+        inside[start + size - k] = False
+    return found[inside[: len(found)]], start - np.arange(len(start)) * (WORDS - 1)
+
+
+def band_keys(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A key per set and band from the least hashes under BANDS * ROWS functions."""
-    flat = np.concatenate(sets)
-    start = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    least = np.stack([np.minimum.reduceat(mixed(flat ^ salt), start) for salt in _SALT], 1).reshape(len(sets), BANDS, ROWS)
+    least = np.stack([np.minimum.reduceat(mixed(flat ^ salt), start) for salt in _SALT], 1).reshape(len(start), BANDS, ROWS)
     key = np.broadcast_to(_SALT[:BANDS], least.shape[:2]).copy()
     for r in range(ROWS):
         key = mixed(key * np.uint64(31) + least[:, :, r])
@@ -87,49 +94,48 @@ def _key(words: list[bytes]) -> tuple[int, int]:
     return (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
 
 
-PARTS = "key long, row long, at int, h1 long, h2 long, n int, bands array<long>, segments binary"
+PARTS = "key long, row long, at int, h1 long, h2 long, n int, bands array<long>, segments array<long>, sizes array<int>"
+_NAMES = ["key", "row", "at", "h1", "h2", "n", "bands", "segments", "sizes"]
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per paragraph: its digest, bands, and its segments' hashes and lengths."""
     hashes = WordHash()
     for batch in batches:
-        keys, rows, texts = (batch.column(i) for i in range(3))
-        for a in range(0, batch.num_rows, 256):
-            out: list[list] = [[], [], [], [], [], [], [], []]
-            sets = []
-            for i in range(a, min(a + 256, batch.num_rows)):
-                for at, _, words in _lines(texts[i].as_py() or ""):
-                    w = hashes.of(words)
-                    h1, h2 = _key(words)
-                    sets.append(np.unique(shingles(w)))
-                    ends = segment_ends(w)
-                    starts = np.concatenate(([0], ends[:-1]))
-                    size = ends - starts
-                    place = np.arange(len(w)) - np.repeat(starts, size)
-                    spun = mixed(w + _SALT[0] * (place.astype(np.uint64) + np.uint64(1)))
-                    seg = mixed(np.add.reduceat(spun, starts) + size.astype(np.uint64))
-                    for k, v in zip(range(8), (keys[i].as_py(), rows[i].as_py(), at, h1, h2, len(w), None, np.stack((seg.view(np.int64), size)).tobytes()), strict=True):
-                        out[k].append(v)
-            if sets:
-                out[6] = list(band_keys(sets))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["key", "row", "at", "h1", "h2", "n", "bands", "segments"])
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per segment: its hash and its place (row, paragraph start, number)."""
-    for batch in batches:
-        blobs = [np.frombuffer(b, np.int64).reshape(2, -1) for b in batch.column(2).to_pylist()]
-        if not blobs:
-            continue
-        count = [b.shape[1] for b in blobs]
-        at = np.repeat(np.arange(len(blobs)), count)
-        k = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        both = np.concatenate(blobs, 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(both[0]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(k.astype(np.int32))], names=["seg", "row", "at", "k"]
-        )
+        texts = batch.column(2)
+        a = 0
+        while a < batch.num_rows:  # some million code points at a time
+            at, h1, h2, words, n, owner, chars = [], [], [], [], [], [], 0
+            while a < batch.num_rows and chars < 1_000_000:
+                text = texts[a].as_py() or ""
+                chars += len(text)
+                for place, _, ws in _lines(text):
+                    x, y = _key(ws)
+                    at.append(place)
+                    h1.append(x)
+                    h2.append(y)
+                    n.append(len(ws))
+                    words += ws
+                    owner.append(a)
+                a += 1
+            if not n:
+                continue
+            w, count = hashes.of(words), np.array(n)
+            start = np.cumsum(count) - count
+            bands = band_keys(*flat_shingles(w, start))
+            first = segment_starts(w, start)
+            size = np.diff(first, append=len(w))
+            place = np.arange(len(w)) - np.repeat(first, size)
+            seg = mixed(np.add.reduceat(mixed(w + _SALT[0] * (place.astype(np.uint64) + np.uint64(1))), first) + size.astype(np.uint64)).view(np.int64)
+            per = np.diff(np.searchsorted(first, start), append=len(first))
+            take = pa.array(owner)
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32())]
+            columns += [_lists(bands.ravel(), np.full(len(n), BANDS), pa.int64()), _lists(seg, per, pa.int64()), _lists(size, per, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
 def _bodies(wanted: dict):
@@ -190,7 +196,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     gone = freeze(whole.select("row", "at", F.lit(0).alias("start"), F.col("n").alias("end")))
     # Runs inside the paragraphs that stay: segments that stood somewhere before.
     rest = parts.select("row", "at", "segments").join(gone.select("row", "at"), ["row", "at"], "left_anti")
-    pieces = landed(rest.mapInArrow(_segments, "seg long, row long, at int, k int"), "segments").withColumn("id", F.monotonically_increasing_id())
+    pieces = landed(rest.select("row", "at", F.posexplode("segments").alias("k", "seg")), "segments").withColumn("id", F.monotonically_increasing_id())
     common = freeze(pieces.groupBy("seg").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("seg", "first"))
     before = pieces.filter(maybe_in(common, "seg")("seg")).join(common, "seg").filter("id <> first").select("row", "at", "k")
     touched = freeze(before.groupBy("row", "at").agg(F.array_sort(F.collect_list("k")).alias("ks")))  # bounded by a paragraph's segments
@@ -198,8 +204,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = [[], [], [], []]
-            for row, at, ks, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ends = np.cumsum(np.frombuffer(blob, np.int64).reshape(2, -1)[1])
+            for row, at, ks, sizes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                ends = np.cumsum(sizes)
                 ks = np.array(ks)
                 for run in np.split(ks, np.flatnonzero(np.diff(ks) != 1) + 1):
                     start, end = int(ends[run[0] - 1]) if run[0] else 0, int(ends[run[-1]])
@@ -208,7 +214,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(c, pa.int32()) for c in out[1:]]], names=["row", "at", "start", "end"])
 
-    inner = touched.join(parts.select("row", "at", "segments"), ["row", "at"]).select("row", "at", "ks", "segments").mapInArrow(runs, gone.schema)
+    inner = touched.join(parts.select("row", "at", "sizes"), ["row", "at"]).select("row", "at", "ks", "sizes").mapInArrow(runs, gone.schema)
     return freeze(gone.unionByName(inner))
 
 
