@@ -4,8 +4,8 @@ Items that share a bucket are candidates. All pairs of a bucket are never listed
 item with one other of its buckets, the one with most links so far, check the pair exactly, and join
 what is alike; a bucket whose items have all come together is closed. What is left (buckets with items
 of several groups) is compared in full, but only from the side of the items outside the bucket's
-largest group, since a pair inside one group adds nothing. There, blocks of SLICE outsiders meet
-blocks of CHUNK items in a task, which tries the likeliest pairs first and stops for a pair of groups
+largest group, since a pair inside one group adds nothing. There, blocks of outsiders meet
+blocks of the bucket's items in a task, which tries the likeliest pairs first and stops for a pair of groups
 once one link has joined them. No bucket size is cut off.
 
 Everything is a join or a grouping by number; small driver values are counts.
@@ -20,14 +20,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelweave.session import freeze, scratch
 
 #: Rounds of one comparison per item before the rest is compared in full.
 ROUNDS = 2
-#: Items in a block of outsiders, and in a block of the bucket that they are compared with.
-SLICE, CHUNK = 64, 256
+#: About as many items are in a block of outsiders, and in a block of the bucket that they are compared with.
+BLOCK = 384
 #: Sketches that agree at a smaller share belong to items alike by 0.8 about once in a hundred million.
 SKETCH_SHARE = 0.6
 #: Bits of the table that tells which keys are surely absent: 8 MB, whatever the data's size.
@@ -105,7 +104,9 @@ def _blocks_alike(prepare: Callable, alike: Callable):
         ready = prepare()
         for batch in batches:
             for row in batch.to_pylist():
-                left, right = row["left"], row["right"]
+                left, right = ([x for x in row["items"] if x["out"] == side] for side in (True, False))
+                if not left or not right:
+                    continue
                 parent: dict[int, int] = {}
 
                 def root(c: int) -> int:
@@ -170,16 +171,19 @@ def groups(members: DataFrame, bodies: DataFrame, prepare: Callable, alike: Call
         else:
             of = freeze(of.select("bucket", "node", "comp"))
             by_comp = of.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-            main = by_comp.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size")).filter("comps > 1")
-            of = freeze(of.join(main, "bucket").withColumn("chunks", F.ceil(F.col("size") / CHUNK)).select("bucket", "node", "comp", "main", "chunks"))
+            main = by_comp.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size")).filter("comps > 1")
+            of = of.join(main, "bucket").withColumns({"slices": F.ceil((F.col("size") - F.col("main.n")) / BLOCK), "chunks": F.ceil(F.col("size") / BLOCK)})
+            of = freeze(of.select("bucket", "node", "comp", (F.col("comp") != F.col("main.comp")).alias("out"), "slices", "chunks"))
             if of.isEmpty():
                 break
-            k = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-            outside = of.filter("comp <> main").withColumn("block", F.floor((k - 1) / SLICE))
-            inside = of.withColumn("block", F.pmod(F.xxhash64("node"), F.col("chunks")))
-            packed = F.collect_list(F.struct("node", "comp", "body", "sketch"))  # about SLICE or CHUNK items
-            side = lambda df, name: df.join(bodies, "node").groupBy("bucket", "block").agg(packed.alias(name)).drop("block")
-            found = side(outside, "left").join(side(inside, "right"), "bucket").select("left", "right").mapInArrow(_blocks_alike(prepare, alike), "a long, b long")
+            # Outsiders go to every chunk of their bucket, all items to every slice: a row of text moves once per cell.
+            upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+            part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+            left = of.filter("out").select("bucket", "node", "comp", "out", part("slices").alias("slice"), upto("chunks").alias("chunk"))
+            right = of.select("bucket", "node", "comp", F.lit(False).alias("out"), upto("slices").alias("slice"), part("chunks").alias("chunk"))
+            items = F.collect_list(F.struct("out", "node", "comp", "body", "sketch")).alias("items")  # about two BLOCKs
+            cells = left.unionByName(right).join(bodies, "node").groupBy("bucket", "slice", "chunk").agg(items)
+            found = cells.select("items").mapInArrow(_blocks_alike(prepare, alike), "a long, b long")
         found = freeze(found)
         if not found.isEmpty():
             links = freeze(links.unionByName(found).distinct())

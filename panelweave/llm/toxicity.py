@@ -193,7 +193,10 @@ def train(docs: DataFrame, toxic: DataFrame, learn: Column, prior: float, key: s
     # About the prior's share of the unlabelled documents lies above one half: the widest gap nearby is the cut.
     margins = np.sort(np.concatenate([x[a : a + 1000] @ weight for a in range(0, len(x), 1000)])[~positive] + bias)
     low, high = (min(len(margins) - 1, max(0, int((1 - share * prior) * len(margins)))) for share in (1.1, 0.8))
-    at = low + int(np.argmax(np.diff(margins[low : high + 1]))) if high > low else low
+    gaps = np.diff(margins)
+    if high <= low or gaps[low:high].max() <= 1e-6:  # nothing but equal margins there: the next gap above
+        high = len(margins) - 1
+    at = low + int(np.argmax(gaps[low:high])) if high > low else low
     cut = (margins[at] + margins[min(at + 1, len(margins) - 1)]) / 2
     return Model(number, scale, weight, bias - float(cut))
 
