@@ -200,9 +200,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     signed = landed(docs.select(_text_key().alias("k"), "text").select("k.*", "text").mapInArrow(_sign, "h1 long, h2 long, n long, bands array<long>, sketch binary"), "signed")
     one = signed.groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = landed(one.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "h1", "h2", "n", "bands", "sketch"), "nodes")
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
-    members = freeze(placed.join(shared, "bucket").select("bucket", "node").distinct())
+    placed = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared = freeze(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
+    members = freeze(placed.filter(maybe_in(shared, "bucket")("bucket")).join(shared, "bucket").select("bucket", "node"))
     near = freeze(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2", "sketch"))
     some = docs.select(_text_key().alias("k"), "text").select("k.*", "text").filter(maybe_in(near, "h1")("h1"))
     bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("body"), F.first("sketch").alias("sketch")), "bodies")

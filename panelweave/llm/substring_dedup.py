@@ -178,24 +178,26 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     parts = landed(docs.select("key", "row", "text").mapInArrow(_parts, PARTS), "paragraphs")
     place = F.struct("key", "row", "at")
-    found = freeze(parts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("k")).withColumn("node", F.monotonically_increasing_id()))
+    spot = F.xxhash64("row", "at")
     # Equal paragraphs have equal bands: one of them stands for all.
-    at_first = found.select("h1", "h2", "node", F.col("first.row").alias("row"), F.col("first.at").alias("at"))
-    placed = landed(parts.select("h1", "h2", "row", "at", "bands").join(at_first, ["h1", "h2", "row", "at"]).select("node", F.explode("bands").alias("bucket")), "bands")
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
-    members = freeze(placed.join(shared, "bucket").select("bucket", "node").distinct())
-    near = freeze(found.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2"))
+    of_text = parts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("k"), F.first("bands").alias("bands"))
+    found = landed(of_text.withColumn("node", F.monotonically_increasing_id()), "found")
+    placed = found.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared = freeze(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
+    members = freeze(placed.filter(maybe_in(shared, "bucket")("bucket")).join(shared, "bucket").select("bucket", "node"))
+    near = freeze(found.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"))
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(near, "h1"))
     some = docs.select("text").mapInArrow(_bodies({"bits": bits}), "h1 long, h2 long, body binary")
     bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body"), F.lit(None).cast("binary").alias("sketch")), "bodies")
     comps = groups(members, bodies, _sets, _jaccard)
-    named = found.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = found.drop("bands").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = named.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("k").alias("total")).filter("total > 1")
-    again = named.join(several, "comp").select("h1", "h2", "stays")
-    whole = parts.select("key", "row", "at", "h1", "h2", "n").join(again, ["h1", "h2"]).filter(place != F.col("stays"))
+    again = freeze(named.join(several, "comp").select("h1", "h2", "stays"))
+    whole = parts.select("key", "row", "at", "h1", "h2", "n").filter(maybe_in(again, "h1")("h1")).join(again, ["h1", "h2"]).filter(place != F.col("stays"))
     gone = freeze(whole.select("row", "at", F.lit(0).alias("start"), F.col("n").alias("end")))
     # Runs inside the paragraphs that stay: segments that stood somewhere before.
-    rest = parts.select("row", "at", "segments").join(gone.select("row", "at"), ["row", "at"], "left_anti")
+    held = parts.select("row", "at", "segments").withColumn("hit", maybe_in(gone.select(spot.alias("spot")), "spot")(spot))
+    rest = held.filter("not hit").unionByName(held.filter("hit").join(gone.select("row", "at"), ["row", "at"], "left_anti"))
     pieces = landed(rest.select("row", "at", F.posexplode("segments").alias("k", "seg")), "segments").withColumn("id", F.monotonically_increasing_id())
     common = freeze(pieces.groupBy("seg").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("seg", "first"))
     before = pieces.filter(maybe_in(common, "seg")("seg")).join(common, "seg").filter("id <> first").select("row", "at", "k")
@@ -214,7 +216,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(c, pa.int32()) for c in out[1:]]], names=["row", "at", "start", "end"])
 
-    inner = touched.join(parts.select("row", "at", "sizes"), ["row", "at"]).select("row", "at", "ks", "sizes").mapInArrow(runs, gone.schema)
+    inner = touched.join(parts.select("row", "at", "sizes").filter(maybe_in(touched.select(spot.alias("spot")), "spot")(spot)), ["row", "at"]).select("row", "at", "ks", "sizes").mapInArrow(runs, gone.schema)
     return freeze(gone.unionByName(inner))
 
 
