@@ -70,13 +70,14 @@ def multi_column(blocks: DataFrame) -> DataFrame:
 
 
 def scanned_pages(pages: DataFrame, cap: int = MAX_OCR_PAGES) -> DataFrame:
-    """The first ``cap`` pages per document that carry no usable text layer.
+    """Pages that carry no usable text layer, with their rank in the document.
 
-    ``pages(doc_id, page, text_density, has_image)``. The cap is part of the feature.
+    ``pages(doc_id, page, text_density, has_image)``. Only the first ``cap`` of a document are to be
+    recognised; ``within_limit`` marks them, and no page is lost.
     """
     scan = (F.col("text_density") < SCAN_DENSITY) | ((F.col("text_density") < SPARSE_WITH_IMAGE) & F.col("has_image"))
     order = W.partitionBy("doc_id").orderBy("page")
-    return pages.filter(scan).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
+    return pages.filter(scan).withColumn("rank", F.row_number().over(order)).withColumn("within_limit", F.col("rank") <= cap)
 
 
 def merge_lines(lines: DataFrame) -> DataFrame:

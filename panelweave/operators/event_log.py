@@ -173,17 +173,20 @@ def snapshot_at(events: DataFrame, version: int, writes=WRITES, invalidates=INVA
 def append_conflicts(events: DataFrame, proposals: DataFrame, transitions=TRANSITIONS, start: str = "created", session: str = "session_id") -> DataFrame:
     """Verdict per proposed event ``(session, proposal_id, event_type, expected_version)``.
 
-    Unknown session, stale version, duplicate (a second proposal for the same version), illegal
-    move, in this order; the first proposal in id order is the one that may be appended.
+    Proposals are taken in id order. Unknown session, stale version, duplicate (the version has been
+    taken by an earlier proposal), illegal move, in this order. An illegal proposal writes nothing,
+    so the first legal one for the current version is appended.
     """
     heads = fold_state(events, transitions, start, session)
     legal = F.create_map(*[F.lit(x) for s, e, to in transitions for x in (f"{s}|{e}", to)])
-    first = proposals.groupBy(session, "expected_version").agg(F.min("proposal_id").alias("_first"))
-    p = proposals.join(heads, session, "left").join(first, [session, "expected_version"], "left")
     to = F.try_element_at(legal, F.concat_ws("|", "state", "event_type"))
+    known = proposals.join(heads, session, "left")
+    able = (F.col("expected_version") == F.col("version")) & F.col("state").isNotNull() & to.isNotNull()
+    first = known.filter(able).groupBy(session).agg(F.min("proposal_id").alias("_first"))
+    p = known.join(first, session, "left")
     verdict = (
         F.when(F.col("version").isNull(), "unknown_session").when(F.col("expected_version") != F.col("version"), "stale_version")
-        .when(F.col("proposal_id") != F.col("_first"), "duplicate_version").when(F.col("state").isNull() | to.isNull(), "illegal_transition").otherwise("appended")
+        .when(F.col("proposal_id") > F.col("_first"), "duplicate_version").when(F.col("state").isNull() | to.isNull(), "illegal_transition").otherwise("appended")
     )
     return p.select(session, "proposal_id", verdict.alias("verdict"), F.when(verdict == "appended", F.col("version") + 1).alias("new_sequence"))
 

@@ -12,12 +12,14 @@ VERSIONS = (
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free content hash: the sum of the rows' 64-bit hashes.
+    """Row count and an order-free content hash: two sums of the rows' 64-bit hashes, each with a seed of its own.
 
-    Sums commute, so partitioning and row order do not change it, and equal rows count each time.
+    Sums commute, so partitioning and row order do not change it, and equal rows count each time. Each
+    column is hashed with whether it is NULL, since a NULL alone leaves a hash as it was.
     """
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(20,0)")
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(row).cast("string"), F.lit("0")).alias("content_hash"))
+    cells = [x for c in sorted(df.columns) for x in (F.col(c).isNull(), F.col(c))]
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(20,0)")).cast("string"), F.lit("0")) for seed in (0, 1)]
+    return df.agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws(":", *sums).alias("content_hash"))
 
 
 def verify_content(df: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -48,8 +48,10 @@ def scan_json(df: DataFrame, key: str, col: str, depth: int = 8, allow_excerpt:
 
     A document is opened level by level inside its own row: the nodes of a level are an array,
     the next level is made from it, and the first hit is a minimum over arrays. So nothing is
-    exploded, joined or shuffled. Ordered maps keep the key order of the text. A document nested
-    deeper than ``depth`` is marked in ``deeper`` instead of being passed silently.
+    exploded, joined or shuffled. Ordered maps keep the key order of the text. The scan fails closed:
+    a document nested deeper than ``depth`` without a hit above is ``too_deep`` (and marked in
+    ``deeper``), and text that is not valid JSON goes through the text rules and is ``unreadable``
+    at least. NULL passes.
     """
     root = F.struct(
         F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("path"), F.col(col).alias("raw"), _kind_of(F.col(col)).alias("kind"),
@@ -71,7 +73,11 @@ def scan_json(df: DataFrame, key: str, col: str, depth: int = 8, allow_excerpt:
         found.append(f"_hits{i}")
     first = F.array_min(F.concat(*found))
     deeper = F.exists(f"_level{depth + 1}", lambda n: n["kind"].isin("object", "list"))
-    return step.select(key, first["category"].alias("category"), first["location"].alias("location"), F.coalesce(deeper, F.lit(False)).alias("deeper"))
+    raw = F.try_element_at("_level0", F.lit(1))["raw"]
+    broken = raw.isNotNull() & F.try_parse_json(raw).isNull()
+    deeper = ~broken & F.coalesce(deeper, F.lit(False))
+    category = F.when(broken, F.coalesce(text_rule(raw), F.lit("unreadable"))).otherwise(F.coalesce(first["category"], F.when(deeper, "too_deep")))
+    return step.select(key, category.alias("category"), F.when(broken, "<root>").otherwise(first["location"]).alias("location"), deeper.alias("deeper"))
 
 
 def _kind_of(raw: Column) -> Column:
@@ -140,5 +146,5 @@ def _key_rule(key: Column, kind: Column, raw: Column, allow_excerpt: bool, max_e
 
 
 def audit_rows(scanned: DataFrame, key: str, text_col: str) -> DataFrame:
-    """What was sent and whether it was stopped; never the text itself."""
+    """What was sent and whether it was stopped; never the text itself. Any category stops it, ``too_deep`` and ``unreadable`` too."""
     return scanned.select(key, F.col("category").isNotNull().alias("blocked"), "category", F.length(text_col).alias("text_length"))

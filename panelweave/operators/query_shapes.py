@@ -21,6 +21,7 @@ REQUIRED_ROLES = {
     "cross_section_asof": ("observation_date",),
     "static_lookup": (),
 }
+# A longer list of codes is joined instead of being written into the filter.
 ISIN_LIMIT = 1000
 
 
@@ -48,9 +49,10 @@ def only_codes(df: DataFrame, code_col: str, codes: list[str] | DataFrame | None
         return df
     if isinstance(codes, DataFrame):
         return df.join(codes.select(F.col("code").alias(code_col)).distinct(), code_col, "left_semi")
+    codes = list(dict.fromkeys(codes))
     if len(codes) > ISIN_LIMIT:
-        raise ValueError("pass more than a thousand codes as a DataFrame")
-    return df.filter(F.col(code_col).isin(*dict.fromkeys(codes)))
+        return only_codes(df, code_col, df.sparkSession.createDataFrame([(c,) for c in codes], "code string"))
+    return df.filter(F.col(code_col).isin(*codes))
 
 
 def _between(col: str, start, end) -> Column:

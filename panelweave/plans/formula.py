@@ -70,8 +70,8 @@ def rolling_std(a, window):
     return _call("rolling_std", a, window=window)
 
 
-def rolling_return(a, window, keep_inf=False):
-    return _call("rolling_return", a, window=window, **({"keep_inf": True} if keep_inf else {}))
+def rolling_return(a, window, keep_inf=True):
+    return _call("rolling_return", a, window=window, **({} if keep_inf else {"keep_inf": False}))
 
 
 def fillna(a, value=0.0):
@@ -176,7 +176,7 @@ class _Fold:
         if op == "rank":
             self.df = percentile_rank(self.df, held, name)
         else:
-            self.df = self.df.withColumn(name, rolling(op, F.col(held), int(params["window"]), bool(params.get("keep_inf"))))
+            self.df = self.df.withColumn(name, rolling(op, F.col(held), int(params["window"]), bool(params.get("keep_inf", True))))
         self.named[node] = name
         return F.col(name)
 
@@ -192,14 +192,14 @@ class _Fold:
         return name
 
 
-def rolling(op: str, x: Column, window: int, keep_inf: bool = False) -> Column:
+def rolling(op: str, x: Column, window: int, keep_inf: bool = True) -> Column:
     """A window over grid rows of one code. A code has one row per date, so it is never hot."""
     by_code = W.partitionBy("code").orderBy("date")
     if op == "rolling_return":
         was = F.lag(x, window).over(by_code)
         if not keep_inf:
             return F.try_divide(x, was) - 1
-        return F.when(was != 0, F.try_divide(x, was) - 1).when(x != 0, F.signum(x) * F.lit(float("inf")))
+        return F.when(was != 0, F.try_divide(x, was) - 1).when((was == 0) & (x != 0), F.signum(x) * F.lit(float("inf")))
     frame = by_code.rowsBetween(1 - window, 0)
     whole = F.count(x).over(frame) == window
     stat = F.avg(x) if op == "rolling_mean" else F.stddev_samp(x)

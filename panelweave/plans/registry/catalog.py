@@ -53,12 +53,12 @@ def _(d):
 
 
 @query("t1_tokens", f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM documents)
-  SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, array_to_string(w[1:5], ' ') AS head, list_max(w) AS last_word FROM t""", dates="")
+  SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, md5(array_to_string(w, ' ')) AS words_md5, list_max(w) AS last_word FROM t""", dates="")
 def _(d):
     from panelweave.functions.text import tokens
 
     t = d.table("documents").select("doc_id", tokens(F.col("text")).alias("w"))
-    return t.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"), F.array_join(F.slice("w", 1, 5), " ").alias("head"), F.array_max("w").alias("last_word"))
+    return t.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"), F.md5(F.array_join("w", " ").cast("binary")).alias("words_md5"), F.array_max("w").alias("last_word"))
 
 
 BM25 = f"""WITH dt AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM dt),

@@ -59,10 +59,10 @@ def _(d):
 
 
 @query("d4_scanned_pages", f"""WITH {PLACED}, s AS (SELECT doc_id, page, chars / 48000.0 AS dens, blocks >= 5 AS img FROM ps)
-  SELECT doc_id, page, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS rank FROM s WHERE dens < 0.02 OR (dens < 0.1 AND img)) WHERE rank <= 50""", dates="")
+  SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS rank, row_number() OVER (PARTITION BY doc_id ORDER BY page) <= 50 AS within_limit FROM s WHERE dens < 0.02 OR (dens < 0.1 AND img)""", dates="")
 def _(d):
     pages = dc.page_stats(placed(d)).select("doc_id", "page", (F.col("chars") / 48000.0).alias("text_density"), (F.col("blocks") >= 5).alias("has_image"))
-    return dc.scanned_pages(pages).select("doc_id", "page", "rank")
+    return dc.scanned_pages(pages).select("doc_id", "page", "rank", "within_limit")
 
 
 @query("d5_merge_lines", """WITH l AS (SELECT conv_id AS doc_id, 1 + turn // 4 AS page, turn AS line, text, (length(text) % 100) / 100.0 AS confidence, (length(text) % 7) * 10.0 AS x, (length(text) % 5) * 0.5 AS y FROM conversations)

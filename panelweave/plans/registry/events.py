@@ -60,14 +60,14 @@ def _(d):
 
 
 @query("e4_append_conflicts", f"""{RUN}, pr AS (SELECT user_id AS session_id, event_id AS proposal_id, event_type, CASE WHEN value < 5 THEN (SELECT version FROM mx WHERE mx.session_id = user_id) - 1 ELSE (SELECT version FROM mx WHERE mx.session_id = user_id) END AS expected_version
-    FROM events WHERE ts >= TIMESTAMP '2024-01-28'), f AS (SELECT session_id, expected_version, min(proposal_id) AS first FROM pr GROUP BY 1, 2),
-  v AS (SELECT pr.session_id, pr.proposal_id, version, CASE WHEN pr.expected_version <> version THEN 'stale_version' WHEN pr.proposal_id <> first THEN 'duplicate_version' WHEN fin.state IS NULL OR tr.t IS NULL THEN 'illegal_transition' ELSE 'appended' END AS verdict
-    FROM pr JOIN fin ON fin.session_id = pr.session_id JOIN f ON f.session_id = pr.session_id AND f.expected_version = pr.expected_version LEFT JOIN tr ON tr.s = fin.state AND tr.e = pr.event_type)
+    FROM events), f AS (SELECT pr.session_id, min(proposal_id) AS first FROM pr JOIN fin ON fin.session_id = pr.session_id AND fin.version = pr.expected_version JOIN tr ON tr.s = fin.state AND tr.e = pr.event_type GROUP BY 1),
+  v AS (SELECT pr.session_id, pr.proposal_id, version, CASE WHEN pr.expected_version <> version THEN 'stale_version' WHEN pr.proposal_id > first THEN 'duplicate_version' WHEN fin.state IS NULL OR tr.t IS NULL THEN 'illegal_transition' ELSE 'appended' END AS verdict
+    FROM pr JOIN fin ON fin.session_id = pr.session_id LEFT JOIN f ON f.session_id = pr.session_id LEFT JOIN tr ON tr.s = fin.state AND tr.e = pr.event_type)
   SELECT session_id, proposal_id, verdict, CASE WHEN verdict = 'appended' THEN CAST(version + 1 AS VARCHAR) END AS new_sequence FROM v""", dates="")
 def _(d):
-    """Late events proposed again, some of them against an older version."""
+    """All events proposed again, some of them against an older version, many of them illegal."""
     heads = d.session_events.groupBy("session_id").agg(F.max("sequence").alias("_v"))
-    late = d.table("events").filter("ts >= TIMESTAMP_NTZ'2024-01-28 00:00:00'").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("proposal_id"), "event_type", "value").join(heads, "session_id")
+    late = d.table("events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("proposal_id"), "event_type", "value").join(heads, "session_id")
     pr = late.withColumn("expected_version", F.when(F.col("value") < 5, F.col("_v") - 1).otherwise(F.col("_v"))).drop("_v", "value")
     got = el.append_conflicts(d.session_events, pr, EVENT_STATES)
     return got.withColumn("new_sequence", F.col("new_sequence").cast("string"))
@@ -201,11 +201,16 @@ def _(d):
     return lb.versions(entries(d))
 
 
-@query("l4_verify_content", "SELECT count(*) AS row_count, true AS unchanged FROM orders UNION ALL SELECT count(*), false FROM orders", dates="")
+@query("l4_verify_content", "SELECT count(*) AS row_count, true AS unchanged FROM orders UNION ALL SELECT count(*), false FROM orders UNION ALL SELECT count(*), false FROM orders", dates="")
 def _(d):
     o = d.table("orders")
     edited = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") == 7, 0.0).otherwise(F.col("o_totalprice")))
-    return lb.verify_content(o.repartition(5), lb.fingerprint(o)).unionByName(lb.verify_content(edited, lb.fingerprint(o))).select("row_count", "unchanged")
+    # A value that moves to a column which was NULL before.
+    one = F.when(F.col("o_orderkey") != 7, F.col("o_orderstatus")), F.when(F.col("o_orderkey") != 7, F.col("o_orderpriority"))
+    held = o.withColumn("o_orderstatus", one[0])
+    moved = o.withColumn("o_orderstatus", F.coalesce(one[0], F.col("o_orderpriority"))).withColumn("o_orderpriority", one[1])
+    checks = [lb.verify_content(o.repartition(5), lb.fingerprint(o)), lb.verify_content(edited, lb.fingerprint(o)), lb.verify_content(moved, lb.fingerprint(held))]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2]).select("row_count", "unchanged")
 
 
 def records(d, second):

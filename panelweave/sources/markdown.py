@@ -30,7 +30,7 @@ ROLE_COLUMNS = {
 FIELD = r"[A-Z][A-Z0-9_]{2,}"
 SIZED = r"(?:VARCHAR2|NUMBER|CHAR)\s*\([\d\s,]+\)"
 TYPE = rf"(?i:{SIZED}|\b(?:DATE|CLOB|FLOAT|INTEGER)\b)"
-FIELD_AND_TYPE = rf"\b({FIELD})\s+((?i:{SIZED}|DATE|CLOB|FLOAT|INTEGER))(?=$|\s)"
+FIELD_AND_TYPE = r"(?i)\b([A-Z][A-Z0-9_]{2,})\s+((?:VARCHAR2|NUMBER|CHAR)\s*\([\d\s,]+\)|DATE|CLOB|FLOAT|INTEGER)(?=$|\s)"
 FILL = r"(\d+(?:\.\d+)?)%"
 FOLDED = (
     rf"([一-鿿（）()A-Za-z0-9:：\-\s]{{2,20}}?)\s*\b({FIELD})\s+"
@@ -102,7 +102,7 @@ def _parse_row(line: Column) -> Column:
     cell that ends in a name and a type, and failing that, a name and a type anywhere in the line.
     """
     cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
-    tail = F.slice(cells, 3, 10_000)
+    tail = F.slice(cells, F.lit(3), F.size(cells))
     at = F.array_position(F.transform(tail, lambda c: c.rlike(rf"^{FIELD}$")), True)
     both = F.array_position(F.reverse(F.transform(tail, lambda c: c.rlike(FIELD_AND_TYPE))), True)
     last = F.size(tail) - both + 1  # place of the last cell with a name and a type
@@ -110,13 +110,13 @@ def _parse_row(line: Column) -> Column:
     plain_at = (at + 2).cast("int")
     plain = _row(
         F.try_element_at(cells, plain_at), F.array_join(F.slice(cells, 2, F.greatest(plain_at - 2, F.lit(0))), " "), F.lit(None).cast("string"),
-        F.slice(cells, plain_at + 1, 10_000),
+        F.slice(cells, plain_at + 1, F.size(cells)),
     )
     merged_at = (last + 2).cast("int")
     cell = F.try_element_at(cells, merged_at)
     merged = _row(
         F.regexp_extract(cell, FIELD_AND_TYPE, 1), F.trim(F.regexp_extract(cell, rf"^(.*?){FIELD_AND_TYPE}", 1)),
-        F.regexp_replace(F.regexp_extract(cell, FIELD_AND_TYPE, 2), r"\s+", ""), F.slice(cells, merged_at + 1, 10_000),
+        F.regexp_replace(F.regexp_extract(cell, FIELD_AND_TYPE, 2), r"\s+", ""), F.slice(cells, merged_at + 1, F.size(cells)),
     )
     folded = F.struct(
         F.lower(_blank_null(F.regexp_extract(line, FOLDED, 2))).alias("field"), F.trim(F.regexp_extract(line, FOLDED, 1)).alias("name"),

@@ -25,8 +25,8 @@ def test_rolling_return_is_a_lag(spark):
 
 def test_rolling_return_zero_base(spark):
     zero = {"a": [0, 5, 0]}
-    assert run(spark, f.rolling_return("close", 1), zero)["a"] == [None, None, -1.0]
-    assert run(spark, f.rolling_return("close", 1, keep_inf=True), zero)["a"][1] == math.inf
+    assert run(spark, f.rolling_return("close", 1, keep_inf=False), zero)["a"] == [None, None, -1.0]
+    assert run(spark, f.rolling_return("close", 1), zero)["a"][1] == math.inf
 
 
 def test_rolling_std_of_one_row_is_missing(spark):

@@ -130,3 +130,12 @@ def test_deeper_documents_are_marked(spark):
     rows = spark.createDataFrame([(1, json.dumps({"a": {"b": {"c": {"password": "x"}}}}))], "id int, doc string")
     assert ob.scan_json(rows, "id", "doc", depth=1).first().deeper
     assert ob.scan_json(rows, "id", "doc", depth=4).first().location == "a.b.c.password"
+
+
+def test_json_scan_fails_closed(spark):
+    deep = '{"a":' * 12 + '{"token":"x"}' + "}" * 12
+    rows = spark.createDataFrame([(1, deep), (2, '{"password":"x"'), (3, "sk-" + "a" * 30), (4, None), (5, '{"fine":1}')], "id int, doc string")
+    got = {r.id: (r.category, r.deeper) for r in ob.scan_json(rows, "id", "doc", depth=3).collect()}
+    assert got == {1: ("too_deep", True), 2: ("unreadable", False), 3: ("secret", False), 4: (None, False), 5: (None, False)}
+    blocked = ob.audit_rows(ob.scan_json(rows, "id", "doc", depth=3).join(rows, "id"), "id", "doc").collect()
+    assert {r.id for r in blocked if r.blocked} == {1, 2, 3}
