@@ -80,8 +80,11 @@ def _pairs(table: dict[str, list[str]]) -> Column:
     return F.create_map(*[x for e, keys in table.items() for x in (F.lit(e), F.array(*[F.lit(k) for k in keys]))])
 
 
-def fold_snapshot(events: DataFrame, writes=WRITES, invalidates=INVALIDATES, session: str = "session_id") -> DataFrame:
-    """Current value of every snapshot key per session.
+def fold_keys(events: DataFrame, writes=WRITES, invalidates=INVALIDATES, session: str = "session_id") -> DataFrame:
+    """Every snapshot key per session that was ever touched: value, the event that set it, and whether it is cleared.
+
+    ``version`` is the last event that set or cleared the key; it only grows as events arrive, in any
+    order, so of several states of a key the one with the highest version is the newest.
 
     ``events(session, sequence, event_type, payload MAP<STRING,STRING>)``. A key survives if its last
     non-missing write is not older than its last clearing; an event clears before it writes. Both
@@ -103,8 +106,16 @@ def fold_snapshot(events: DataFrame, writes=WRITES, invalidates=INVALIDATES, ses
         F.max_by(F.struct("value", "sequence"), F.when(F.col("value").isNotNull(), F.col("sequence"))).alias("_w"),
         F.max(F.when(F.col("clear"), F.col("sequence"))).alias("_c"),
     )
-    alive = F.col("_w.value").isNotNull() & (F.col("_c").isNull() | (F.col("_w.sequence") >= F.col("_c")))
-    return kept.filter(alive).select(session, "key", F.col("_w.value").alias("value"), F.col("_w.sequence").alias("set_at"))
+    alive = F.coalesce(F.col("_w.value").isNotNull() & (F.col("_c").isNull() | (F.col("_w.sequence") >= F.col("_c"))), F.lit(False))
+    return kept.select(
+        session, "key", F.when(alive, F.col("_w.value")).alias("value"), F.when(alive, F.col("_w.sequence")).alias("set_at"),
+        F.greatest("_w.sequence", "_c").alias("version"), (~alive).alias("deleted"),
+    )
+
+
+def fold_snapshot(events: DataFrame, writes=WRITES, invalidates=INVALIDATES, session: str = "session_id") -> DataFrame:
+    """Current value of every snapshot key per session; cleared keys are left out."""
+    return fold_keys(events, writes, invalidates, session).filter("not deleted").select(session, "key", "value", "set_at")
 
 
 def state_names(transitions) -> list[str]:

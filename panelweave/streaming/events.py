@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from panelweave.operators.event_log import INVALIDATES, TRANSITIONS, WRITES, fold_snapshot, idempotency_key
+from panelweave.operators.event_log import INVALIDATES, TRANSITIONS, WRITES, fold_keys, idempotency_key
 
 
 def follow(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,12 +30,19 @@ def drain_updates(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
 
 
 def stream_fold(stream: DataFrame, writes=WRITES, invalidates=INVALIDATES, session: str = "session_id") -> DataFrame:
-    """Snapshot fold over a stream, in update mode.
+    """Snapshot keys over a stream, in update mode: the columns of ``fold_keys``, a row for each key that a batch touched.
 
-    The batch fold is a pair of keyed maxima, so the stream is the same grouping with state: one
+    A cleared key comes out as ``deleted``, so that the sink can retract it; ``latest_snapshot`` reduces
+    what has come out so far. The batch fold is a pair of keyed maxima, so the stream is the same grouping with state: one
     small row per (session, key), kept by Spark and never a session's events.
     """
-    return fold_snapshot(stream, writes, invalidates, session)
+    return fold_keys(stream, writes, invalidates, session)
+
+
+def latest_snapshot(changes: DataFrame, session: str = "session_id") -> DataFrame:
+    """The snapshot that the rows sent by ``stream_fold`` lead to: the newest state of each key, unless deleted."""
+    newest = changes.groupBy(session, "key").agg(F.max_by(F.struct("value", "set_at", "deleted"), "version").alias("s"))
+    return newest.filter("not s.deleted").select(session, "key", "s.value", "s.set_at")
 
 
 def stream_states(stream: DataFrame, transitions=TRANSITIONS, start: str = "created", session: str = "session_id") -> DataFrame:

@@ -98,13 +98,13 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     """State is carried over restarts; repeated events change nothing."""
     events = log(spark, [*DONE, ("formula_revised", {"factor_spec": "s2"})]).union(log(spark, DONE[:3], "t"))
     src, done = str(tmp_path / "in"), events.select("session_id", "sequence", "event_type", "payload")
-    latest, snap = {}, {}
+    latest, changes = {}, []
 
     def keep(batch, n):
         latest.update({r.session_id: (r.state, r.version) for r in batch.collect()})
 
     def keep_snap(batch, n):
-        snap.update({(r.session_id, r.key): r.value for r in batch.collect()})
+        changes.extend(batch.collect())
 
     for part in ("sequence <= 4", "sequence BETWEEN 4 AND 7", "sequence > 7"):
         done.filter(part).write.mode("append").parquet(src)
@@ -112,4 +112,6 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
         st.drain_updates(st.stream_states(stream), keep, str(tmp_path / "c1"))
         st.drain_updates(st.stream_fold(stream), keep_snap, str(tmp_path / "c2"))
     assert latest == {r.session_id: (r.state, r.version) for r in el.fold_state(events).collect()}
-    assert snap[("s", "factor_spec")] == "s2" and snap[("t", "request")] == "r1"
+    sent = spark.createDataFrame(changes, "session_id string, key string, value string, set_at int, version int, deleted boolean")
+    assert any(r.deleted for r in changes)
+    assert sorted(st.latest_snapshot(sent).collect()) == sorted(el.fold_snapshot(events).collect())
