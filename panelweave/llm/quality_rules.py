@@ -122,4 +122,20 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", keep:
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    return apply_rules(docs).select("doc_id", *MEASURES, "base_failed", "kept", "host_rate")
+    return apply_rules(docs).select("doc_id", *MEASURES, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
+
+
+SQL = r"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+  g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+  r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(0, 8)) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1) GROUP BY 1),
+  m AS (SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
+  b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+  h AS (SELECT source AS host, count(*) AS n, sum(CASE WHEN base_failed OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines THEN 1 ELSE 0 END) AS bad FROM b GROUP BY 1),
+  s AS (SELECT sum(bad) * 1.0 / sum(n) AS mu, sum(n) AS n, count(*) AS hosts, sum(n * (bad * 1.0 / n) * (bad * 1.0 / n)) / sum(n) AS sq FROM h),
+  v AS (SELECT mu, n, hosts, sq - mu * mu AS spread, mu * (1 - mu) * hosts / n AS noise FROM s),
+  p AS (SELECT mu, greatest(CASE WHEN spread > noise THEN mu * (1 - mu) / (spread - noise) - 1 ELSE n * 1.0 / hosts END, 1.0) AS weight FROM v),
+  k AS (SELECT host, (bad + mu * weight) / (n + weight) AS rate FROM h, p)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6) AS host_rate
+  FROM b JOIN k ON k.host IS NOT DISTINCT FROM b.source"""

@@ -60,4 +60,4 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql_texts() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality_rules.SQL}

@@ -1,15 +1,18 @@
 """Quality rules, personal data, fingerprints, licenses and BPE against plain Python on small texts."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from panelweave.llm import bpe, fingerprints, licenses, pii, quality_rules
 
+SMALL = "/root/testdata/sf0.001"
 EDGE = [None, "", " ", "\n\n", "a", "word " * 30, "x" * 5000, "é😀 " * 40, "same line of words\nsame line of words\nother", "# $ % <b> | a&b"]
 SCHEMA = "doc_id long, text string, source string, spans string, n_words int"
 
@@ -52,6 +55,16 @@ def test_bad_host_takes_its_documents_along(spark):
     assert quality_rules.op2(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
+def test_rules_equal_their_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = con.execute(quality_rules.SQL)
+    names = [c[0] for c in want.description]
+    got = quality_rules.op2(spark.read.parquet(f"{SMALL}/documents.parquet")).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def luhn(s):
     total = 0
     for i, c in enumerate(reversed(s)):
