@@ -4,9 +4,9 @@ Items that share a bucket are candidates. All pairs of a bucket are never listed
 item with one other of its buckets, the one with most links so far, check the pair exactly, and join
 what is alike; a bucket whose items have all come together is closed. What is left (buckets with items
 of several groups) is compared in full, but only from the side of the items outside the bucket's
-largest group, since a pair inside one group adds nothing. There, blocks of outsiders meet
-blocks of the bucket's items in a task, which tries the likeliest pairs first and stops for a pair of groups
-once one link has joined them. No bucket size is cut off.
+largest group, since a pair inside one group adds nothing. There, blocks of outsiders meet blocks of
+the bucket's items in a task, which gets all overlaps of two blocks from one product of their feature
+tables and keeps as many links as join the groups. No bucket size is cut off.
 
 Everything is a join or a grouping by number; small driver values are counts.
 """
@@ -27,8 +27,8 @@ from panelweave.session import freeze, scratch
 ROUNDS = 2
 #: About as many items are in a block of outsiders, and in a block of the bucket that they are compared with.
 BLOCK = 384
-#: Sketches that agree at a smaller share belong to items alike by 0.8 about once in a hundred million.
-SKETCH_SHARE = 0.6
+#: Columns of a block's feature table that are multiplied at a time.
+COLUMNS = 8192
 #: Bits of the table that tells which keys are surely absent: 8 MB, whatever the data's size.
 BITS = 1 << 26
 
@@ -84,55 +84,69 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _pairs_alike(prepare: Callable, alike: Callable):
-    """Of (a, b, body_a, body_b), the pairs whose bodies are alike."""
+def _pairs_alike(features: Callable, least: float):
+    """Of (a, b, body_a, body_b), the pairs whose feature sets have a Jaccard similarity of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = prepare()
+        ready = features()
         for batch in batches:
-            keep = [alike(ready(x), ready(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                f, g = ready(x), ready(y)
+                both = len(np.intersect1d(f, g, assume_unique=True))
+                keep.append(both > 0 and both >= least * (len(f) + len(g) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
 
 
-def _blocks_alike(prepare: Callable, alike: Callable):
-    """Links between two blocks of items (node, comp, body, sketch), enough to join all groups that are alike."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many features each left set shares with each right one."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(v) for v in x])) for x in (left, right)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    for a in range(0, len(common), COLUMNS):
+        part = common[a : a + COLUMNS]
+        tables = []
+        for (values, owner), n in zip(sides, (len(left), len(right)), strict=True):
+            at = np.searchsorted(part, values)
+            at[at == len(part)] = 0
+            hit = part[at] == values
+            t = np.zeros((n, len(part)), np.float32)
+            t[owner[hit], at[hit]] = 1
+            tables.append(t)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _blocks_alike(features: Callable, least: float):
+    """Links between the two blocks of a cell, enough to join all groups that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = prepare()
+        ready = features()
         for batch in batches:
-            for row in batch.to_pylist():
-                left, right = ([x for x in row["items"] if x["out"] == side] for side in (True, False))
+            for i in range(batch.num_rows):
+                items = batch.column(0)[i].as_py()
+                left, right = ([x for x in items if x["out"] == side] for side in (True, False))
                 if not left or not right:
                     continue
+                f, g = ([ready(x["body"]) for x in side] for side in (left, right))
+                both = overlaps(f, g)
+                size = np.add.outer([len(v) for v in f], [len(v) for v in g])
                 parent: dict[int, int] = {}
 
                 def root(c: int) -> int:
-                    while parent.setdefault(c, c) != c:
-                        c = parent[c]
+                    while parent.setdefault(c, c) != c:  # noqa: B023
+                        c = parent[c]  # noqa: B023
                     return c
 
-                if left[0]["sketch"] is None:
-                    order = ((i, j) for i in range(len(left)) for j in range(len(right)))
-                else:
-                    s, t = (np.stack([np.frombuffer(x["sketch"], np.uint8) for x in side]) for side in (left, right))
-                    share = np.stack([(t == one).mean(1) for one in s])
-                    by = np.argsort(-share, axis=None, kind="stable")
-                    by = by[: int((share >= SKETCH_SHARE).sum())]
-                    order = zip(*(k.tolist() for k in np.unravel_index(by, share.shape)), strict=True)
-                bodies: tuple[dict, dict] = ({}, {})
                 out = []
-                for i, j in order:
-                    x, y = left[i], right[j]
-                    if root(x["comp"]) == root(y["comp"]):
-                        continue
-                    for known, k, item in ((bodies[0], i, x), (bodies[1], j, y)):
-                        if k not in known:
-                            known[k] = ready(item["body"])
-                    if alike(bodies[0][i], bodies[1][j]):
-                        parent[root(x["comp"])] = root(y["comp"])
+                for k, j in zip(*(at.tolist() for at in np.nonzero((both > 0) & (both >= least * (size - both)))), strict=True):
+                    x, y = left[k], right[j]
+                    a, b = root(x["comp"]), root(y["comp"])
+                    if a != b:
+                        parent[a] = b
                         out.append((min(x["node"], y["node"]), max(x["node"], y["node"])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
@@ -140,12 +154,12 @@ def _blocks_alike(prepare: Callable, alike: Callable):
     return run
 
 
-def groups(members: DataFrame, bodies: DataFrame, prepare: Callable, alike: Callable) -> DataFrame:
+def groups(members: DataFrame, bodies: DataFrame, features: Callable, least: float) -> DataFrame:
     """``node, comp`` of the nodes that are linked to another one.
 
-    ``members`` is (bucket, node), distinct, in buckets of two or more; ``bodies`` is (node, body,
-    sketch) of all its nodes, the sketch null if there is none. ``prepare()`` gives a task's function
-    from a body to what ``alike`` compares.
+    ``members`` is (bucket, node), distinct, in buckets of two or more; ``bodies`` is (node, body) of all
+    its nodes. ``features()`` gives a task's function from a body to its distinct features (64-bit
+    numbers); two nodes are alike at a Jaccard similarity of ``least``.
     """
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -167,7 +181,7 @@ def groups(members: DataFrame, bodies: DataFrame, prepare: Callable, alike: Call
             pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
             for c in ("a", "b"):
                 pairs = pairs.join(bodies.select(F.col("node").alias(c), F.col("body").alias(f"body_{c}")), c)
-            found = pairs.select("a", "b", "body_a", "body_b").mapInArrow(_pairs_alike(prepare, alike), "a long, b long")
+            found = pairs.select("a", "b", "body_a", "body_b").mapInArrow(_pairs_alike(features, least), "a long, b long")
         else:
             of = freeze(of.select("bucket", "node", "comp"))
             by_comp = of.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -181,9 +195,9 @@ def groups(members: DataFrame, bodies: DataFrame, prepare: Callable, alike: Call
             part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
             left = of.filter("out").select("bucket", "node", "comp", "out", part("slices").alias("slice"), upto("chunks").alias("chunk"))
             right = of.select("bucket", "node", "comp", F.lit(False).alias("out"), upto("slices").alias("slice"), part("chunks").alias("chunk"))
-            items = F.collect_list(F.struct("out", "node", "comp", "body", "sketch")).alias("items")  # about two BLOCKs
+            items = F.collect_list(F.struct("out", "node", "comp", "body")).alias("items")  # about two BLOCKs
             cells = left.unionByName(right).join(bodies, "node").groupBy("bucket", "slice", "chunk").agg(items)
-            found = cells.select("items").mapInArrow(_blocks_alike(prepare, alike), "a long, b long")
+            found = cells.select("items").mapInArrow(_blocks_alike(features, least), "a long, b long")
         found = freeze(found)
         if not found.isEmpty():
             links = freeze(links.unionByName(found).distinct())

@@ -7,8 +7,8 @@ Jaccard similarity. Heights are cut at 1, 2, 4, 8, …; inside such a part the p
 halves down to single weights, and a part whose first point lies after all points kept so far is
 left alone, so a large weight costs little more than a small one.
 
-Exact copies become one node first. Nodes whose signatures collide in a band are candidates; a short
-sketch of the signature drops those far from alike, and the texts of the others are compared exactly.
+Exact copies become one node first. Nodes whose signatures collide in a band are candidates, and their
+texts are compared exactly.
 
 Defined cases: a null or empty text, or one of white space only, is in a class of its own. A text of
 fewer than five words is one shingle. Rows of one text are in one class whatever their ids; the class
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import WORD, fresh
 from panelweave.llm.links import groups, landed, maybe_in
-from panelweave.llm.shingles import WordHash, counted, mixed, overlap, shingles, words_of
+from panelweave.llm.shingles import WordHash, counted, mixed, shingles, words_of
 from panelweave.session import freeze
 
-M = 128
 BANDS, ROWS = 12, 3
+M = BANDS * ROWS
 SIMILAR = 0.8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,21 +174,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = b
             signature = bagminhash([bags[i] for i in at])
             keys = band_keys(signature)
-            sketch = (signature & np.uint64(255)).astype(np.uint8)
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [h1.take(take), h2.take(take), pa.array([int(bags[i][1].sum()) for i in at], pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())],
-                names=["h1", "h2", "n", "bands", "sketch"],
+                [h1.take(take), h2.take(take), pa.array(list(keys), pa.list_(pa.int64()))],
+                names=["h1", "h2", "bands"],
             )
 
 
-def _bags():
+def _occurrences():
+    """The n-th occurrence of a shingle is a feature of its own: sets of those overlap as the bags do."""
     hashes = WordHash()
-    return lambda text: counted(shingles(hashes.of(words_of(text))))
 
+    def of(text: str) -> np.ndarray:
+        h, n = counted(shingles(hashes.of(words_of(text))))
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return mixed(np.repeat(h, n) + _GOLD * nth.astype(np.uint64))
 
-def _overlaps(a: tuple, b: tuple) -> bool:
-    return overlap(a, b) >= SIMILAR
+    return of
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,17 +199,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = freeze(docs.select("key", _text_key().alias("k"), (~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)).alias("blank")).select("key", "k.*", "blank"))
     # Copies weigh once from here on: one row per text.
     texts = freeze(rows.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    signed = landed(docs.select(_text_key().alias("k"), "text").select("k.*", "text").mapInArrow(_sign, "h1 long, h2 long, n long, bands array<long>, sketch binary"), "signed")
-    one = signed.groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = landed(one.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "h1", "h2", "n", "bands", "sketch"), "nodes")
+    signed = landed(docs.select(_text_key().alias("k"), "text").select("k.*", "text").mapInArrow(_sign, "h1 long, h2 long, bands array<long>"), "signed")
+    one = signed.groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
+    nodes = landed(one.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "h1", "h2", "bands"), "nodes")
     placed = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = freeze(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
     members = freeze(placed.filter(maybe_in(shared, "bucket")("bucket")).join(shared, "bucket").select("bucket", "node"))
-    near = freeze(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2", "sketch"))
+    near = freeze(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2"))
     some = docs.select(_text_key().alias("k"), "text").select("k.*", "text").filter(maybe_in(near, "h1")("h1"))
-    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("body"), F.first("sketch").alias("sketch")), "bodies")
+    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("body")), "bodies")
 
-    comps = groups(members, bodies, _bags, _overlaps)
+    comps = groups(members, bodies, _occurrences, SIMILAR)
     named = texts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("copies"))
     of_text = named.join(names.withColumnRenamed("copies", "total"), "comp").select("h1", "h2", F.col("class_id"), F.col("total").alias("copies"))

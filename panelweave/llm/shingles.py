@@ -59,12 +59,3 @@ def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
     return h[first], np.diff(first, append=len(h))
 
-
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Multiset Jaccard similarity: the sum of smaller counts over the sum of larger ones."""
-    total = int(a[1].sum() + b[1].sum())
-    if not total:
-        return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / (total - both)

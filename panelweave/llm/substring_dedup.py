@@ -164,13 +164,6 @@ def _sets():
     return lambda body: np.unique(shingles(hashes.of(body.split())))
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILAR * (len(a) + len(b) - both)
-
-
 def repeated(docs: DataFrame) -> DataFrame:
     """``row, at, start, end``: words [start, end) of the paragraph at ``at`` that occurred before.
 
@@ -188,8 +181,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     near = freeze(found.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"))
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(near, "h1"))
     some = docs.select("text").mapInArrow(_bodies({"bits": bits}), "h1 long, h2 long, body binary")
-    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body"), F.lit(None).cast("binary").alias("sketch")), "bodies")
-    comps = groups(members, bodies, _sets, _jaccard)
+    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body")), "bodies")
+    comps = groups(members, bodies, _sets, SIMILAR)
     named = found.drop("bands").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = named.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("k").alias("total")).filter("total > 1")
     again = freeze(named.join(several, "comp").select("h1", "h2", "stays"))

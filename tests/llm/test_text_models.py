@@ -154,11 +154,19 @@ def test_groups_without_rounds_compare_every_outsider(spark, monkeypatch):
     monkeypatch.setattr(links, "BLOCK", 2)
     values = [0, 1, 2, 10, 11, 30, 31, 32, 50]
     members = spark.createDataFrame([(7, i) for i in range(9)], "bucket long, node long")
-    bodies = spark.createDataFrame([(i, str(v), None) for i, v in enumerate(values)], "node long, body string, sketch binary")
-    got = links.groups(members, bodies, lambda: int, lambda a, b: abs(a - b) <= 1)
+    bodies = spark.createDataFrame([(i, str(v)) for i, v in enumerate(values)], "node long, body string")
+    # Ten features from the value on: only neighbouring values share enough.
+    got = links.groups(members, bodies, lambda: lambda v: np.arange(int(v), int(v) + 10, dtype=np.uint64), 0.8)
     assert {(r.node, r.comp) for r in got.collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5), (6, 5), (7, 5)}
 
 
+def test_overlaps_of_blocks(monkeypatch):
+    monkeypatch.setattr(links, "COLUMNS", 3)
+    rng = np.random.default_rng(0)
+    sides = [[np.unique(rng.integers(0, 30, rng.integers(0, 20))).astype(np.uint64) for _ in range(n)] for n in (7, 5)]
+    assert links.overlaps(*sides).tolist() == [[len(set(a) & set(b)) for b in sides[1]] for a in sides[0]]
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(1, 2)], "a long, b long")
     assert {(r.comp, r["count"]) for r in links.components(chain).groupBy("comp").count().collect()} == {(100, 41), (1, 2)}
