@@ -5,66 +5,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-# fixed values: snapshot keys by stage
-REQUEST, PARSE, DEFINITION = ["request"], ["ambiguities", "clarifications"], ["factor_spec"]
-CANDIDATES, FIELDS, PLAN = ["field_candidates"], ["field_selections"], ["plan"]
-BUILD, RESULTS, DIAGNOSTICS = ["generated_code", "code_sha256"], ["execution_result", "artifact_uri"], ["last_error"]
-
-# fixed values: event -> keys it may set
-WRITES = {
-    "parse_started": REQUEST, "clarification_requested": PARSE + DEFINITION, "clarification_resolved": PARSE + DEFINITION,
-    "formula_proposed": DEFINITION, "formula_confirmed": DEFINITION, "field_candidates_found": CANDIDATES,
-    "fields_confirmed": FIELDS, "code_generated": PLAN + BUILD, "execution_succeeded": RESULTS, "validation_passed": RESULTS,
-    "execution_failed": RESULTS + DIAGNOSTICS, "validation_failed": RESULTS + DIAGNOSTICS, "repair_proposed": DEFINITION,
-    "request_revised": REQUEST, "formula_revised": DEFINITION, "fields_revised": FIELDS, "universe_revised": REQUEST,
-    "date_range_revised": REQUEST, "preprocessing_revised": DEFINITION, "time_convention_revised": DEFINITION,
-    "session_cloned": REQUEST + DEFINITION,
-}
-# fixed values: event -> keys it clears before it sets its own
-INVALIDATES = {
-    "request_revised": PARSE + DEFINITION + CANDIDATES + FIELDS + PLAN + BUILD + RESULTS + DIAGNOSTICS,
-    "formula_revised": CANDIDATES + FIELDS + PLAN + BUILD + RESULTS + DIAGNOSTICS,
-    "fields_revised": PLAN + BUILD + RESULTS + DIAGNOSTICS,
-    "universe_revised": PLAN + RESULTS + DIAGNOSTICS, "date_range_revised": PLAN + RESULTS + DIAGNOSTICS,
-    "preprocessing_revised": BUILD + RESULTS + DIAGNOSTICS, "time_convention_revised": PLAN + BUILD + RESULTS + DIAGNOSTICS,
-    "execution_cancelled": RESULTS, "rerun_requested": RESULTS + DIAGNOSTICS,
-    "session_cloned": PARSE + CANDIDATES + FIELDS + PLAN + BUILD + RESULTS + DIAGNOSTICS,
-}
-# fixed values: (state, event) -> next state
-_STEPS = [
-    ("created", "parse_started", "parsing_input"),
-    ("parsing_input", "clarification_requested", "needs_clarification"),
-    ("parsing_input", "formula_proposed", "waiting_formula_confirmation"),
-    ("needs_clarification", "clarification_resolved", "parsing_input"),
-    ("needs_clarification", "formula_proposed", "waiting_formula_confirmation"),
-    ("waiting_formula_confirmation", "formula_confirmed", "searching_fields"),
-    ("searching_fields", "field_candidates_found", "waiting_field_confirmation"),
-    ("waiting_field_confirmation", "fields_confirmed", "planning_functions"),
-    ("planning_functions", "code_generated", "code_ready"),
-    ("code_ready", "execution_started", "executing"),
-    ("executing", "execution_succeeded", "validating"),
-    ("validating", "validation_passed", "completed"),
-    ("executing", "execution_failed", "failed"),
-    ("validating", "validation_failed", "failed"),
-    ("failed", "repair_proposed", "waiting_formula_confirmation"),
-    ("failed", "code_generated", "code_ready"),
-    ("executing", "execution_cancelled", "code_ready"),
-    ("completed", "rerun_requested", "code_ready"),
-    ("failed", "rerun_requested", "code_ready"),
-    ("created", "session_cloned", "waiting_formula_confirmation"),
-]
-# fixed values: revisions, the states they are allowed in, and where they lead
-_SETTLED = ["waiting_field_confirmation", "planning_functions", "code_ready", "completed", "failed"]
-_REVISIONS = [
-    ("request_revised", _SETTLED + ["needs_clarification", "waiting_formula_confirmation"], "parsing_input"),
-    ("formula_revised", _SETTLED + ["waiting_formula_confirmation", "searching_fields"], "waiting_formula_confirmation"),
-    ("fields_revised", _SETTLED, "waiting_field_confirmation"),
-    ("universe_revised", _SETTLED, "planning_functions"),
-    ("date_range_revised", _SETTLED, "planning_functions"),
-    ("preprocessing_revised", _SETTLED, "planning_functions"),
-    ("time_convention_revised", _SETTLED, "planning_functions"),
-]
-TRANSITIONS = _STEPS + [(s, e, to) for e, states, to in _REVISIONS for s in states]
+# fixed values: event | snapshot keys it may set | keys it clears before it sets its own
+KEYS = """
+    parse_started | request |
+    clarification_requested | ambiguities clarifications factor_spec |
+    clarification_resolved | ambiguities clarifications factor_spec |
+    formula_proposed | factor_spec |
+    formula_confirmed | factor_spec |
+    field_candidates_found | field_candidates |
+    fields_confirmed | field_selections |
+    code_generated | plan generated_code code_sha256 |
+    execution_succeeded | execution_result artifact_uri |
+    validation_passed | execution_result artifact_uri |
+    execution_failed | execution_result artifact_uri last_error |
+    validation_failed | execution_result artifact_uri last_error |
+    repair_proposed | factor_spec |
+    request_revised | request | ambiguities clarifications factor_spec field_candidates field_selections plan generated_code code_sha256 execution_result artifact_uri last_error
+    formula_revised | factor_spec | field_candidates field_selections plan generated_code code_sha256 execution_result artifact_uri last_error
+    fields_revised | field_selections | plan generated_code code_sha256 execution_result artifact_uri last_error
+    universe_revised | request | plan execution_result artifact_uri last_error
+    date_range_revised | request | plan execution_result artifact_uri last_error
+    preprocessing_revised | factor_spec | generated_code code_sha256 execution_result artifact_uri last_error
+    time_convention_revised | factor_spec | plan generated_code code_sha256 execution_result artifact_uri last_error
+    session_cloned | request factor_spec | ambiguities clarifications field_candidates field_selections plan generated_code code_sha256 execution_result artifact_uri last_error
+    execution_cancelled |  | execution_result artifact_uri
+    rerun_requested |  | execution_result artifact_uri last_error
+"""
+# fixed values: state, event, next state
+MOVES = """
+    created                       parse_started            parsing_input
+    created                       session_cloned           waiting_formula_confirmation
+    parsing_input                 clarification_requested  needs_clarification
+    parsing_input                 formula_proposed         waiting_formula_confirmation
+    needs_clarification           clarification_resolved   parsing_input
+    needs_clarification           formula_proposed         waiting_formula_confirmation
+    needs_clarification           request_revised          parsing_input
+    waiting_formula_confirmation  formula_confirmed        searching_fields
+    waiting_formula_confirmation  request_revised          parsing_input
+    waiting_formula_confirmation  formula_revised          waiting_formula_confirmation
+    searching_fields              field_candidates_found   waiting_field_confirmation
+    searching_fields              formula_revised          waiting_formula_confirmation
+    waiting_field_confirmation    fields_confirmed         planning_functions
+    waiting_field_confirmation    request_revised          parsing_input
+    waiting_field_confirmation    formula_revised          waiting_formula_confirmation
+    waiting_field_confirmation    fields_revised           waiting_field_confirmation
+    waiting_field_confirmation    universe_revised         planning_functions
+    waiting_field_confirmation    date_range_revised       planning_functions
+    waiting_field_confirmation    preprocessing_revised    planning_functions
+    waiting_field_confirmation    time_convention_revised  planning_functions
+    planning_functions            code_generated           code_ready
+    planning_functions            request_revised          parsing_input
+    planning_functions            formula_revised          waiting_formula_confirmation
+    planning_functions            fields_revised           waiting_field_confirmation
+    planning_functions            universe_revised         planning_functions
+    planning_functions            date_range_revised       planning_functions
+    planning_functions            preprocessing_revised    planning_functions
+    planning_functions            time_convention_revised  planning_functions
+    code_ready                    execution_started        executing
+    code_ready                    request_revised          parsing_input
+    code_ready                    formula_revised          waiting_formula_confirmation
+    code_ready                    fields_revised           waiting_field_confirmation
+    code_ready                    universe_revised         planning_functions
+    code_ready                    date_range_revised       planning_functions
+    code_ready                    preprocessing_revised    planning_functions
+    code_ready                    time_convention_revised  planning_functions
+    executing                     execution_succeeded      validating
+    executing                     execution_failed         failed
+    executing                     execution_cancelled      code_ready
+    validating                    validation_passed        completed
+    validating                    validation_failed        failed
+    completed                     rerun_requested          code_ready
+    completed                     request_revised          parsing_input
+    completed                     formula_revised          waiting_formula_confirmation
+    completed                     fields_revised           waiting_field_confirmation
+    completed                     universe_revised         planning_functions
+    completed                     date_range_revised       planning_functions
+    completed                     preprocessing_revised    planning_functions
+    completed                     time_convention_revised  planning_functions
+    failed                        repair_proposed          waiting_formula_confirmation
+    failed                        code_generated           code_ready
+    failed                        rerun_requested          code_ready
+    failed                        request_revised          parsing_input
+    failed                        formula_revised          waiting_formula_confirmation
+    failed                        fields_revised           waiting_field_confirmation
+    failed                        universe_revised         planning_functions
+    failed                        date_range_revised       planning_functions
+    failed                        preprocessing_revised    planning_functions
+    failed                        time_convention_revised  planning_functions
+"""
+
+
+def _keys(column: int) -> dict[str, list[str]]:
+    rows = [[part.split() for part in line.split("|")] for line in KEYS.strip().splitlines()]
+    return {row[0][0]: row[column] for row in rows if row[column]}
+
+
+WRITES, INVALIDATES = _keys(1), _keys(2)
+TRANSITIONS = [tuple(line.split()) for line in MOVES.strip().splitlines()]
 
 DAY = 86_400
 # fixed values: days each class of file is kept; None is for ever
