@@ -51,13 +51,13 @@ def cells(rows: DataFrame, *aggs: Column) -> DataFrame:
     return rows.groupBy("date", "code").agg(*aggs)
 
 
-def to_wide(panel: DataFrame, value: str, codes: list[str]) -> DataFrame:
-    """One column per listed code; for export of a named handful of codes only."""
-    return panel.groupBy("date").pivot("code", codes).agg(F.first(value, ignorenulls=True))
+def to_wide(panel: DataFrame, value: str, names: list[str], name: str = "code", keys: tuple[str, ...] = ("date",)) -> DataFrame:
+    """One row per ``keys`` with a column per listed name: variables of a panel, or a named handful of codes."""
+    return panel.groupBy(*keys).pivot(name, names).agg(F.first(value, ignorenulls=True))
 
 
-def to_long(wide: DataFrame, codes: list[str], value: str = "value") -> DataFrame:
-    return wide.unpivot("date", codes, "code", value)
+def to_long(wide: DataFrame, names: list[str], value: str = "value", name: str = "code", keys: tuple[str, ...] = ("date",)) -> DataFrame:
+    return wide.unpivot(list(keys), names, name, value)
 
 
 def dedup_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

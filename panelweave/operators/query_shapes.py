@@ -51,7 +51,7 @@ def only_codes(df: DataFrame, code_col: str, codes: list[str] | DataFrame | None
         return df.join(codes.select(F.col("code").alias(code_col)).distinct(), code_col, "left_semi")
     codes = list(dict.fromkeys(codes))
     if len(codes) > ISIN_LIMIT:
-        return only_codes(df, code_col, df.sparkSession.createDataFrame([(c,) for c in codes], "code string"))
+        return only_codes(df, code_col, df.sparkSession.createDataFrame([(c,) for c in codes], ["code"]))
     return df.filter(F.col(code_col).isin(*codes))
 
 

@@ -98,9 +98,14 @@ def _(d):
 
 @query("s10_panel_from_matrix", f"WITH {S.BARS} SELECT date, code, close AS value FROM bars", nums="value")
 def _(d):
-    """Each bar sent as a one-cell matrix document and opened again."""
-    doc = d.bars.select(F.array(F.date_format("date", "yyyy-MM-dd")).alias("dates"), F.array("code").alias("codes"), F.array(F.array("close")).alias("values"))
-    return grid.panel_from_matrix(doc).select("date", "code", "value")
+    """Bars of even years as one matrix per date (all codes in a row), of odd years as one per code and year (all dates in a column)."""
+    bars, text = d.bars.select("date", "code", "close"), F.date_format("date", "yyyy-MM-dd")
+    even = F.year("date") % 2 == 0
+    rows = bars.filter(even).groupBy("date").agg(F.array_sort(F.collect_list(F.struct("code", "close"))).alias("x"))
+    rows = rows.select(F.array(text).alias("dates"), F.col("x.code").alias("codes"), F.array("x.close").alias("values"))
+    columns = bars.filter(~even).groupBy("code", F.year("date").alias("year")).agg(F.array_sort(F.collect_list(F.struct(text.alias("date"), "close"))).alias("x"))
+    columns = columns.select(F.col("x.date").alias("dates"), F.array("code").alias("codes"), F.transform("x.close", lambda v: F.array(v)).alias("values"))
+    return grid.panel_from_matrix(rows.unionByName(columns)).select("date", "code", "value")
 
 
 @query("s11_export_weights", f"WITH {S.BARS} SELECT date, code, volume / sum(volume) OVER (PARTITION BY date) AS weight FROM bars", nums="weight")
@@ -267,18 +272,19 @@ def _(d):
 
 # ---- reshape -------------------------------------------------------------------------
 
-WIDE = ["S0", "S1", "S2", "S3", "S4"]
+VARIABLES = ["close", "volume", "amount"]
 
 
-@query("r1_to_wide", f"WITH {S.BARS} SELECT date, " + ", ".join(f"max(CASE WHEN code = '{c}' THEN close END) AS {c}" for c in WIDE) + " FROM bars GROUP BY date", nums=" ".join(WIDE))
+@query("r1_to_wide", f"WITH {S.BARS} SELECT date, code, close, volume, amount FROM bars", nums="close volume amount")
 def _(d):
-    return grid.to_wide(d.bars.select("date", "code", "close"), "close", WIDE)
+    """All cells of three variables, one row per variable, made wide by variable."""
+    long = d.bars.unpivot(["date", "code"], VARIABLES, "variable", "value")
+    return grid.to_wide(long, "value", VARIABLES, "variable", ("date", "code"))
 
 
-@query("r2_to_long", f"WITH {S.BARS}, d AS (SELECT DISTINCT date FROM bars), c AS (SELECT unnest({WIDE!r}) AS code) SELECT d.date, c.code, close AS value FROM d CROSS JOIN c LEFT JOIN bars ON bars.date = d.date AND bars.code = c.code", nums="value")
+@query("r2_to_long", f"WITH {S.BARS} SELECT date, code, 'close' AS variable, close AS value FROM bars UNION ALL SELECT date, code, 'volume', volume FROM bars UNION ALL SELECT date, code, 'amount', amount FROM bars", nums="value")
 def _(d):
-    """Long to wide and back leaves the cells of the listed codes, with gaps spelled out."""
-    return grid.to_long(grid.to_wide(d.bars.select("date", "code", "close"), "close", WIDE), WIDE)
+    return grid.to_long(d.bars.select("date", "code", *VARIABLES), VARIABLES, name="variable", keys=("date", "code"))
 
 
 @query("r3_dedup_last", """SELECT date, code, o_orderkey, value FROM (SELECT CAST(o_orderdate AS DATE) AS date, 'C' || o_custkey AS code, o_orderkey, o_totalprice AS value,

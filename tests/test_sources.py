@@ -112,3 +112,11 @@ def test_merge_catalogs(spark):
     d = spark.createDataFrame([("t", "a", "A", "WDS")], "table string, field string, name string, metadata_source string")
     got = {r.field: r.metadata_source for r in files.merge_catalogs(i, d).collect()}
     assert got == {"a": "WDS", "b": None} and files.catalog_coverage(files.merge_catalogs(i, d)).first().coverage == 0.5
+
+
+def test_long_code_list_is_joined(spark):
+    from panelweave.operators.query_shapes import ISIN_LIMIT, only_codes
+
+    rows = spark.createDataFrame([(i,) for i in range(3000)], "code int")
+    assert only_codes(rows, "code", [*range(0, 2 * ISIN_LIMIT), 5]).count() == 2 * ISIN_LIMIT
+    assert only_codes(rows, "code", [1, 1, 2]).count() == 2
