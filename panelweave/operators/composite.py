@@ -24,6 +24,19 @@ def check_combination(factors: dict, weights: dict, directions: dict) -> None:
         raise ValueError("weights must be finite and sum above zero")
 
 
+def check_overlap(factors: dict[str, DataFrame]) -> None:
+    """Factors without a common date or a common code cannot be combined. Reads the factors' keys once."""
+    for what in ("date", "code"):
+        keys = [F.lit(i).alias("factor") for i in range(len(factors))]
+        seen = None
+        for f, k in zip(factors.values(), keys, strict=True):
+            part = f.filter(F.col("value").isNotNull()).select(what, k)
+            seen = part if seen is None else seen.unionByName(part)
+        shared = seen.groupBy(what).agg(F.countDistinct("factor").alias("n")).filter(F.col("n") == len(factors))
+        if shared.isEmpty():
+            raise ValueError(f"the factors share no {what}")
+
+
 def combine_factors(factors: dict[str, DataFrame], weights: dict[str, float], directions: dict[str, int]) -> DataFrame:
     """Weighted sum of per-date z-scores; a missing or spreadless score counts as 0.
 

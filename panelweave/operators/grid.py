@@ -46,11 +46,6 @@ def densify(panel: DataFrame, dates: DataFrame | None = None, codes: DataFrame |
     return merged.filter("_grid").drop("_grid")
 
 
-def cells(rows: DataFrame, *aggs: Column) -> DataFrame:
-    """Aggregate raw rows to one row per (date, code), pre-summed before the shuffle."""
-    return rows.groupBy("date", "code").agg(*aggs)
-
-
 def to_wide(panel: DataFrame, value: str, names: list[str], name: str = "code", keys: tuple[str, ...] = ("date",)) -> DataFrame:
     """One row per ``keys`` with a column per listed name: variables of a panel, or a named handful of codes."""
     return panel.groupBy(*keys).pivot(name, names).agg(F.first(value, ignorenulls=True))

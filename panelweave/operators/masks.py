@@ -159,8 +159,3 @@ def industry_history(history: DataFrame, code_table: DataFrame, scheme: str, sta
         F.concat("first_code", F.lit(".INDX")).alias("index_code"), F.col("second_name").alias("index_name2"),
         F.concat("second_code", F.lit(".INDX")).alias("index_code2"),
     )
-
-
-def normalise_ends(intervals: DataFrame) -> DataFrame:
-    """Read the end marks of the source tables as open ends."""
-    return intervals.withColumn("end", open_end(F.col("end")))

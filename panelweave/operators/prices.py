@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.codes import looks_like_index
 from panelweave.functions.numeric import lenient_date, natural_log, to_number
+from panelweave.operators.grid import densify
 
 # fixed values: field -> source column, unadjusted
 PRICE_COLUMNS = {
@@ -90,9 +91,20 @@ def latest_adjfactor(rows: DataFrame, as_of: str) -> DataFrame:
     return known.groupBy("code").agg(F.max_by("factor", "date").alias("factor"), F.max("date").alias("factor_date"))
 
 
-def market_cap(rows: DataFrame, log: bool = False, column: str = "s_val_mv") -> DataFrame:
-    """Market value in single currency units, or its logarithm."""
+def market_cap(
+    rows: DataFrame, log: bool = False, column: str = "s_val_mv", order: str | None = None, dates: DataFrame | None = None, codes: DataFrame | None = None,
+) -> DataFrame:
+    """Market value in single currency units, or its logarithm.
+
+    Of several rows for a (date, code) the last by ``order`` counts; without it rows come as they are.
+    With ``dates`` (and ``codes``) the result has every cell of the trading calendar, NULL where there is no row.
+    """
     value = to_number(F.col(column)) * MARKET_CAP_SCALE
-    return rows.select(
-        lenient_date(F.col(DAY)).alias("date"), F.col(CODE).alias("code"), (natural_log(value) if log else value).alias("market_cap")
-    )
+    key = [lenient_date(F.col(DAY)).alias("date"), F.col(CODE).alias("code")]
+    cell = (natural_log(value) if log else value).alias("market_cap")
+    if order is None:
+        out = rows.select(*key, cell)
+    else:
+        last = rows.select(*key, F.struct(cell).alias("_v"), F.col(order).alias("_o")).groupBy("date", "code").agg(F.max_by("_v", "_o").alias("_v"))
+        out = last.select("date", "code", "_v.market_cap")
+    return out if dates is None else densify(out, dates, codes)

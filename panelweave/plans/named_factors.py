@@ -79,7 +79,3 @@ def quality_growth(quality, growth):
 
 def triple(a, b, c, close_window=20):
     return add(add(rank(a), rank(negative(b))), rank(rolling_return(c, close_window)))
-
-
-def log_size(x):
-    return rank(negative(log(x)))

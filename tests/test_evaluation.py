@@ -163,3 +163,21 @@ def test_findings_of_results(spark):
     with pytest.raises(ValueError, match="all_null_result"):
         fi.raise_on_errors(fi.check_result(none))
     fi.raise_on_errors(fi.check_distribution(good))
+
+
+def test_factors_without_overlap_are_refused(spark):
+    a, b = panel(spark, {"A": [1, 2], "B": [3, 4]}), panel(spark, {"A": [1, 2], "B": [3, 4]}, start="2025-01-01")
+    co.check_overlap({"a": a, "b": a})
+    with pytest.raises(ValueError, match="no date"):
+        co.check_overlap({"a": a, "b": b})
+    with pytest.raises(ValueError, match="no code"):
+        co.check_overlap({"a": a, "c": panel(spark, {"C": [1, 2]})})
+
+
+def test_market_cap_takes_the_last_row_on_the_trading_grid(spark):
+    from panelweave.operators import prices
+
+    rows = spark.createDataFrame([("x", "20240102", 1.0, 1), ("x", "20240102", None, 3), ("x", "20240102", 5.0, 2), ("x", "20240104", 2.0, 1)], f"{prices.CODE} string, {prices.DAY} string, s_val_mv double, n int")
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (2, 3, 4)], "date date")
+    got = {r.date.day: r.market_cap for r in prices.market_cap(rows, order="n", dates=days).collect()}
+    assert got == {2: None, 3: None, 4: 20_000.0}
