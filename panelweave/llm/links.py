@@ -26,7 +26,7 @@ from panelweave.session import freeze, scratch
 #: Rounds of one comparison per item before the rest is compared in full.
 ROUNDS = 2
 #: About as many items are in a block of outsiders, and in a block of the bucket that they are compared with.
-BLOCK = 384
+BLOCK = 768
 #: Columns of a block's feature table that are multiplied at a time.
 COLUMNS = 8192
 #: Bits of the table that tells which keys are surely absent: 8 MB, whatever the data's size.
@@ -40,6 +40,15 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` frozen, read back by as many tasks as the cluster has cores.
+
+    What links and labels take is small beside the texts; a shuffle writes some files for each of its
+    input tasks, however few rows they have.
+    """
+    return freeze(df).coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+
+
 def bit_table(keys: DataFrame, key: str) -> bytes:
     """One bit for each hash of ``key`` that occurs; of fixed size, so it may be sent to every task."""
     at = F.pmod(F.col(key), F.lit(BITS)) + 1
@@ -69,14 +78,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels go to neighbours and then jump to their label's label, so chains shorten by powers.
     """
-    both = freeze(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = freeze(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")))
+    both = held(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    labels = held(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")))
     total = None
     while True:
         heard = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("comp").alias("heard"))
         near = labels.join(heard, labels["node"] == heard["u"], "left").select("node", F.least("comp", "heard").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        labels = freeze(near.join(jump, "comp", "left").select("node", F.least("comp", "far").alias("comp")))
+        labels = held(near.join(jump, "comp", "left").select("node", F.least("comp", "far").alias("comp")))
         now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
         if now == total:
             break
@@ -171,7 +180,7 @@ def groups(members: DataFrame, bodies: DataFrame, features: Callable, least: flo
             # Of either end of a bucket's groups: the item with most links, or any one.
             of = of.join(degree, "node", "left")
             rep = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("node").alias("h"), "node")
-            of = freeze(of.select("bucket", "node", "comp", rep.alias("rep")))
+            of = held(of.select("bucket", "node", "comp", rep.alias("rep")))
             by_comp = of.groupBy("bucket", "comp").agg(F.max("rep").alias("rep"))
             ends = by_comp.groupBy("bucket").agg(F.max(F.struct("rep", "comp")).alias("main"), F.min(F.struct("comp", "rep")).alias("low"), F.max(F.struct("comp", "rep")).alias("high")).filter("low.comp < high.comp")
             rest = F.when(F.col("low.comp") == F.col("main.comp"), F.col("high.rep.node")).otherwise(F.col("low.rep.node"))
@@ -183,11 +192,11 @@ def groups(members: DataFrame, bodies: DataFrame, features: Callable, least: flo
                 pairs = pairs.join(bodies.select(F.col("node").alias(c), F.col("body").alias(f"body_{c}")), c)
             found = pairs.select("a", "b", "body_a", "body_b").mapInArrow(_pairs_alike(features, least), "a long, b long")
         else:
-            of = freeze(of.select("bucket", "node", "comp"))
+            of = held(of.select("bucket", "node", "comp"))
             by_comp = of.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
             main = by_comp.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size")).filter("comps > 1")
             of = of.join(main, "bucket").withColumns({"slices": F.ceil((F.col("size") - F.col("main.n")) / BLOCK), "chunks": F.ceil(F.col("size") / BLOCK)})
-            of = freeze(of.select("bucket", "node", "comp", (F.col("comp") != F.col("main.comp")).alias("out"), "slices", "chunks"))
+            of = held(of.select("bucket", "node", "comp", (F.col("comp") != F.col("main.comp")).alias("out"), "slices", "chunks"))
             if of.isEmpty():
                 break
             # Outsiders go to every chunk of their bucket, all items to every slice: a row of text moves once per cell.
@@ -198,8 +207,8 @@ def groups(members: DataFrame, bodies: DataFrame, features: Callable, least: flo
             items = F.collect_list(F.struct("out", "node", "comp", "body")).alias("items")  # about two BLOCKs
             cells = left.unionByName(right).join(bodies, "node").groupBy("bucket", "slice", "chunk").agg(items)
             found = cells.select("items").mapInArrow(_blocks_alike(features, least), "a long, b long")
-        found = freeze(found)
+        found = held(found)
         if not found.isEmpty():
-            links = freeze(links.unionByName(found).distinct())
+            links = held(links.unionByName(found).distinct())
             comps = components(links)
     return comps

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import WORD, fresh
-from panelweave.llm.links import groups, landed, maybe_in
+from panelweave.llm.links import groups, held, landed, maybe_in
 from panelweave.llm.shingles import WordHash, counted, mixed, shingles, words_of
 from panelweave.session import freeze
 
@@ -203,9 +203,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     one = signed.groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
     nodes = landed(one.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "h1", "h2", "bands"), "nodes")
     placed = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
-    shared = freeze(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
-    members = freeze(placed.filter(maybe_in(shared, "bucket")("bucket")).join(shared, "bucket").select("bucket", "node"))
-    near = freeze(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2"))
+    shared = held(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
+    members = held(placed.filter(maybe_in(shared, "bucket")("bucket")).join(shared, "bucket").select("bucket", "node"))
+    near = held(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2"))
     some = docs.select(_text_key().alias("k"), "text").select("k.*", "text").filter(maybe_in(near, "h1")("h1"))
     bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("body")), "bodies")
 
@@ -228,7 +228,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     row, hit = name("__row"), name("__hit")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     found = classes(rows.select(row, F.col(text).alias("text")), row)
-    gone = freeze(found.filter(F.col(row) != F.col("class_id")).select(row))
+    gone = held(found.filter(F.col(row) != F.col("class_id")).select(row))
     rows = rows.withColumn(hit, maybe_in(gone, row)(row))
     return rows.filter(~F.col(hit)).unionByName(rows.filter(hit).join(gone, row, "left_anti")).select(*docs.columns)
 

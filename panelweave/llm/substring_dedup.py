@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import fresh
-from panelweave.llm.links import BITS, bit_table, groups, landed, maybe_in
+from panelweave.llm.links import BITS, bit_table, groups, held, landed, maybe_in
 from panelweave.llm.shingles import WORDS, WordHash, mixed, shingles
-from panelweave.session import freeze
 
 MIN_WORDS = 25
 MIN_RUN = 16
@@ -176,25 +175,25 @@ def repeated(docs: DataFrame) -> DataFrame:
     of_text = parts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("k"), F.first("bands").alias("bands"))
     found = landed(of_text.withColumn("node", F.monotonically_increasing_id()), "found")
     placed = found.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
-    shared = freeze(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
-    members = freeze(placed.filter(maybe_in(shared, "bucket")("bucket")).join(shared, "bucket").select("bucket", "node"))
-    near = freeze(found.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"))
+    shared = held(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
+    members = held(placed.filter(maybe_in(shared, "bucket")("bucket")).join(shared, "bucket").select("bucket", "node"))
+    near = held(found.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"))
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(near, "h1"))
     some = docs.select("text").mapInArrow(_bodies({"bits": bits}), "h1 long, h2 long, body binary")
     bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body")), "bodies")
     comps = groups(members, bodies, _sets, SIMILAR)
     named = found.drop("bands").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = named.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("k").alias("total")).filter("total > 1")
-    again = freeze(named.join(several, "comp").select("h1", "h2", "stays"))
+    again = held(named.join(several, "comp").select("h1", "h2", "stays"))
     whole = parts.select("key", "row", "at", "h1", "h2", "n").filter(maybe_in(again, "h1")("h1")).join(again, ["h1", "h2"]).filter(place != F.col("stays"))
-    gone = freeze(whole.select("row", "at", F.lit(0).alias("start"), F.col("n").alias("end")))
+    gone = held(whole.select("row", "at", F.lit(0).alias("start"), F.col("n").alias("end")))
     # Runs inside the paragraphs that stay: segments that stood somewhere before.
-    held = parts.select("row", "at", "segments").withColumn("hit", maybe_in(gone.select(spot.alias("spot")), "spot")(spot))
-    rest = held.filter("not hit").unionByName(held.filter("hit").join(gone.select("row", "at"), ["row", "at"], "left_anti"))
+    there = parts.select("row", "at", "segments").withColumn("hit", maybe_in(gone.select(spot.alias("spot")), "spot")(spot))
+    rest = there.filter("not hit").unionByName(there.filter("hit").join(gone.select("row", "at"), ["row", "at"], "left_anti"))
     pieces = landed(rest.select("row", "at", F.posexplode("segments").alias("k", "seg")), "segments").withColumn("id", F.monotonically_increasing_id())
-    common = freeze(pieces.groupBy("seg").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("seg", "first"))
+    common = held(pieces.groupBy("seg").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("seg", "first"))
     before = pieces.filter(maybe_in(common, "seg")("seg")).join(common, "seg").filter("id <> first").select("row", "at", "k")
-    touched = freeze(before.groupBy("row", "at").agg(F.array_sort(F.collect_list("k")).alias("ks")))  # bounded by a paragraph's segments
+    touched = held(before.groupBy("row", "at").agg(F.array_sort(F.collect_list("k")).alias("ks")))  # bounded by a paragraph's segments
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +209,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(c, pa.int32()) for c in out[1:]]], names=["row", "at", "start", "end"])
 
     inner = touched.join(parts.select("row", "at", "sizes").filter(maybe_in(touched.select(spot.alias("spot")), "spot")(spot)), ["row", "at"]).select("row", "at", "ks", "sizes").mapInArrow(runs, gone.schema)
-    return freeze(gone.unionByName(inner))
+    return held(gone.unionByName(inner))
 
 
 def without(text: str, removed: list[tuple[int, int, int]]) -> tuple[str, int]:
@@ -245,7 +244,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str =
     row, hit, done = (name(c) for c in ("__row", "__hit", "__cut"))
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     gone = repeated(rows.select(F.col(key).cast("long").alias("key"), F.col(row).alias("row"), F.col(text).alias("text")))
-    by_row = freeze(gone.groupBy("row").agg(F.collect_list(F.struct("at", "start", "end")).alias("removed")))
+    by_row = held(gone.groupBy("row").agg(F.collect_list(F.struct("at", "start", "end")).alias("removed")))
     rows = rows.withColumn(hit, maybe_in(by_row, "row")(row))
     touched = rows.filter(F.col(hit)).join(by_row.withColumnRenamed("row", row).withColumnRenamed("removed", done), row, "left")
 
