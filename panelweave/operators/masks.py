@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.codes import pad_to, padded
-from panelweave.functions.numeric import open_end
 
 FAR_FUTURE = "9999-12-31"
 OPEN_INDUSTRY_END = "2200-12-31"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.plans.formula import add, divide, lit_node, log, multiply, negative, rank, rolling_mean, rolling_return, rolling_std, subtract
+from panelweave.plans.formula import add, divide, lit_node, multiply, negative, rank, rolling_mean, rolling_return, rolling_std, subtract
 
 
 def momentum(close="close", window=20):
