@@ -26,7 +26,7 @@ from panelweave.session import freeze, scratch
 #: Rounds of one comparison per item before the rest is compared in full.
 ROUNDS = 2
 #: About as many items are in a block of outsiders, and in a block of the bucket that they are compared with.
-BLOCK = 768
+BLOCK = 384
 #: Columns of a block's feature table that are multiplied at a time.
 COLUMNS = 8192
 #: Bits of the table that tells which keys are surely absent: 8 MB, whatever the data's size.

@@ -161,7 +161,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, k in enumerate(zip(h1.to_pylist(), h2.to_pylist(), strict=True)):
             # A text that the task has signed already needs no second signature.
             bags.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)) if k in seen else counted(shingles(hashes.of(words_of(texts[i].as_py())))))
-            if len(seen) < 1_000_000:
+            if len(seen) < 100_000:
                 seen.add(k)
         order = sorted((i for i in range(len(bags)) if len(bags[i][0])), key=lambda i: len(bags[i][0]))
         a = 0

@@ -149,7 +149,7 @@ def _bodies(wanted: dict):
                     h1, h2 = _key(words)
                     at = h1 % BITS
                     if table[at >> 3] >> (at & 7) & 1 and (h1, h2) not in seen:
-                        if len(seen) < 500_000:
+                        if len(seen) < 100_000:
                             seen.add((h1, h2))
                         got.append((h1, h2, b" ".join(words)))
                 if got:
