@@ -5,15 +5,22 @@ tuned for recall: BANDS bands of ROWS rows bring a pair alike by 0.8 together wi
 0.9997. Colliding paragraphs are compared exactly (Jaccard 0.8 or more); connected components are the
 groups, and of each group the first paragraph (by document id, then place) stays.
 
-A passage may also stand in the middle of different paragraphs. Paragraphs are therefore cut into
-segments where the hash of the words says so, which cuts equal passages at equal places. Segments
-that occurred before and stand next to each other are a run; runs of MIN_RUN words or more go too.
+A passage may also stand anywhere else: in the middle of different paragraphs, or over several short
+lines. So every run of MIN_RUN words of the whole text, line ends being white space, is looked at, and
+goes if it occurred before. Anchors find such runs: of every MIN_RUN - WORDS + 1 neighbouring five-word
+shingles the least is one, so equal runs have equal anchors. Runs whose anchors stand elsewhere too
+are compared as wholes, by 96 bits over their shingles' hashes; as every run that occurred before goes,
+longer passages go from their first word to their last. A run that overlaps its own first place stays.
+
+Places are ordered by document id, row and word, for paragraphs and runs alike, and a word goes only for
+a word at an earlier place that does not go as part of a paragraph that is merely similar to another. So of
+whatever goes word by word, one place stays. A text that has all words of an earlier one goes whole.
 
 Defined cases: a null text is an empty one and stays null; shorter paragraphs and runs stay. Rows are
-told apart by their number in the input, which must read the same each time, as tables and
-checkpoints do; so repeated or null ids do no harm, and the first of equal rows (null ids before all)
-keeps its text. A paragraph repeated within one document counts as repeated. Extra columns pass through. What
-is removed is the paragraph's or run's words; white space around it stays.
+told apart by their number in the input; so repeated or null ids do no harm, and the first of equal rows
+(null ids before all) keeps its text. A paragraph or run repeated within one document counts as repeated.
+Extra columns pass through. What is removed is the paragraph's or run's words and the blanks between them;
+line ends and white space around it stay.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import fresh
 from panelweave.llm.links import BITS, bit_table, groups, held, landed, maybe_in
-from panelweave.llm.shingles import WORDS, WordHash, mixed, shingles
+from panelweave.llm.shingles import WORDS, WordHash, mixed, shingles, words_of
 
 MIN_WORDS = 25
 MIN_RUN = 16
@@ -78,14 +85,13 @@ def band_keys(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _lines(text: str) -> Iterator[tuple[int, str, list[bytes]]]:
-    """Start, text and words of each paragraph that is long enough."""
+def _lines(text: str) -> Iterator[tuple[int, list[bytes]]]:
+    """Number of its first word in the text, and words, of each line."""
     at = 0
     for line in text.split("\n"):
         words = line.encode("utf-8", "replace").split()
-        if len(words) >= MIN_WORDS:
-            yield at, line, words
-        at += len(line) + 1
+        yield at, words
+        at += len(words)
 
 
 def _key(words: list[bytes]) -> tuple[int, int]:
@@ -93,50 +99,118 @@ def _key(words: list[bytes]) -> tuple[int, int]:
     return (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
 
 
-PARTS = "key long, row long, at int, h1 long, h2 long, n int, bands array<long>, segments array<long>, sizes array<int>"
-_NAMES = ["key", "row", "at", "h1", "h2", "n", "bands", "segments", "sizes"]
+def anchors(words: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For every run of MIN_RUN words of the texts that begin at ``start`` in ``words``, the place of its anchor: its least shingle, the last of equal ones."""
+    size = np.diff(start, append=len(words))
+    runs = np.maximum(size - MIN_RUN + 1, 0)
+    if not runs.sum():
+        return np.zeros(0, np.int64)
+    least = shingles(words)
+    at = np.arange(len(least))
+    wide, most = 1, MIN_RUN - WORDS + 1
+    while wide < most:
+        step = min(wide, most - wide)
+        later = least[step:] <= least[:-step]
+        at, least = np.where(later, at[step:], at[:-step]), np.where(later, least[step:], least[:-step])
+        wide += step
+    return at[np.repeat(start, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)]
+
+
+PARTS = "key long, row long, n int, d1 long, d2 long, paragraphs array<struct<at:int,h1:long,h2:long,n:int,bands:array<long>>>, seeds array<long>, places array<int>"
+_NAMES = ["key", "row", "n", "d1", "d2", "paragraphs", "seeds", "places"]
 
 
-def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
+def _listed(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per paragraph: its digest, bands, and its segments' hashes and lengths."""
+    """A row per text with words: its digest, its paragraphs' digests and bands, and its anchors."""
     hashes = WordHash()
     for batch in batches:
         texts = batch.column(2)
         a = 0
         while a < batch.num_rows:  # some million code points at a time
-            at, h1, h2, words, n, owner, chars = [], [], [], [], [], [], 0
+            at, h1, h2, words, n, own, owner, length, d1, d2, chars = [], [], [], [], [], [], [], [], [], [], 0
+            inside = []
             while a < batch.num_rows and chars < 1_000_000:
                 text = texts[a].as_py() or ""
                 chars += len(text)
-                for place, _, ws in _lines(text):
-                    x, y = _key(ws)
-                    at.append(place)
-                    h1.append(x)
-                    h2.append(y)
-                    n.append(len(ws))
-                    words += ws
+                whole: list[bytes] = []
+                count = 0
+                for place, ws in _lines(text):
+                    if len(ws) >= MIN_WORDS:
+                        x, y = _key(ws)
+                        at.append(place)
+                        h1.append(x)
+                        h2.append(y)
+                        n.append(len(ws))
+                        own += ws
+                        count += 1
+                    whole += ws
+                if whole:
+                    x, y = _key(whole)
                     owner.append(a)
+                    length.append(len(whole))
+                    d1.append(x)
+                    d2.append(y)
+                    inside.append(count)
+                    words += whole
                 a += 1
-            if not n:
+            if not owner:
                 continue
-            w, count = hashes.of(words), np.array(n)
-            start = np.cumsum(count) - count
-            bands = band_keys(*flat_shingles(w, start))
-            first = segment_starts(w, start)
-            size = np.diff(first, append=len(w))
-            place = np.arange(len(w)) - np.repeat(first, size)
-            seg = mixed(np.add.reduceat(mixed(w + _SALT[0] * (place.astype(np.uint64) + np.uint64(1))), first) + size.astype(np.uint64)).view(np.int64)
-            per = np.diff(np.searchsorted(first, start), append=len(first))
+            bands = pa.array([], pa.list_(pa.int64()))
+            if n:
+                w, count = hashes.of(own), np.array(n)
+                bands = _listed(pa.array(band_keys(*flat_shingles(w, np.cumsum(count) - count)).ravel(), pa.int64()), np.full(len(n), BANDS))
+            paragraphs = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), bands], names=["at", "h1", "h2", "n", "bands"])
+            w, size = hashes.of(words), np.array(length)
+            start = np.cumsum(size) - size
+            place = anchors(w, start)
+            place = place[np.flatnonzero(np.diff(place, prepend=-1))]
+            of = np.searchsorted(start, place, "right") - 1
+            per = np.bincount(of, minlength=len(start))
+            seeds = shingles(w)[place].view(np.int64)
             take = pa.array(owner)
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32())]
-            columns += [_lists(bands.ravel(), np.full(len(n), BANDS), pa.int64()), _lists(seg, per, pa.int64()), _lists(size, per, pa.int32())]
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(length, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
+            columns += [_listed(paragraphs, np.array(inside)), _listed(pa.array(seeds, pa.int64()), per), _listed(pa.array(place - start[of], pa.int32()), per)]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
+RUNS = "h1 long, h2 int, key long, row long, at int, near int"
+#: Shingles at these words of a run cover it.
+_COVER = (*range(0, MIN_RUN - WORDS, WORDS), MIN_RUN - WORDS)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, row, text, places, near): each run of MIN_RUN words whose anchor is at one of ``places``. Bit k of ``near``: its k-th word lies in one of the paragraphs ``near``."""
+    hashes = WordHash()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            w = hashes.of(words_of(batch.column(2)[i].as_py()))
+            at = np.flatnonzero(np.isin(anchors(w, np.array([0])), batch.column(3)[i].values.to_numpy()))
+            if not len(at):
+                continue
+            sh, h1, h2 = shingles(w), np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+            for k, step in enumerate(_COVER):
+                part = sh[at + step]
+                h1 += mixed(part + _SALT[2 * k])
+                h2 += mixed(part ^ _SALT[2 * k + 1])
+            near = np.zeros(len(at), np.int32)
+            spans = batch.column(4)[i].as_py()
+            if spans:
+                flag = np.zeros(len(w), np.int32)
+                for x in spans:
+                    flag[x["start"] : x["end"]] = 1
+                for k in range(MIN_RUN):
+                    near |= flag[at + k] << k
+            same = lambda c: pa.array(np.full(len(at), batch.column(c)[i].as_py()), pa.int64()) if batch.column(c)[i].is_valid else pa.nulls(len(at), pa.int64())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mixed(h1).view(np.int64)), pa.array((mixed(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32)), same(0), same(1), pa.array(at, pa.int32()), pa.array(near)],
+                names=["h1", "h2", "key", "row", "at", "near"],
+            )
+
+
 def _bodies(wanted: dict):
     """Texts of the paragraphs whose digest may be wanted."""
 
@@ -145,7 +219,9 @@ def _bodies(wanted: dict):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 got = []
-                for _, _, words in _lines(text or ""):
+                for _, words in _lines(text or ""):
+                    if len(words) < MIN_WORDS:
+                        continue
                     h1, h2 = _key(words)
                     at = h1 % BITS
                     if table[at >> 3] >> (at & 7) & 1 and (h1, h2) not in seen:
@@ -164,13 +240,13 @@ def _sets():
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``row, at, start, end``: words [start, end) of the paragraph at ``at`` that occurred before.
+    """``row, start, end``: words [start, end) of the text that occurred before; they may overlap.
 
-    ``docs`` has key, row and text; rows come by key, then by number.
+    ``docs`` has key, row and text, and the same rows at every read; rows come by key, then by number.
     """
-    parts = landed(docs.select("key", "row", "text").mapInArrow(_parts, PARTS), "paragraphs")
+    texts = landed(docs.select("key", "row", "text").mapInArrow(_parts, PARTS), "parts")
+    parts = texts.select("key", "row", F.explode("paragraphs").alias("p")).select("key", "row", "p.*")
     place = F.struct("key", "row", "at")
-    spot = F.xxhash64("row", "at")
     # Equal paragraphs have equal bands: one of them stands for all.
     of_text = parts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("k"), F.first("bands").alias("bands"))
     found = landed(of_text.withColumn("node", F.monotonically_increasing_id()), "found")
@@ -183,55 +259,52 @@ def repeated(docs: DataFrame) -> DataFrame:
     bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body")), "bodies")
     comps = groups(members, bodies, _sets, SIMILAR)
     named = found.drop("bands").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = named.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("k").alias("total")).filter("total > 1")
-    again = held(named.join(several, "comp").select("h1", "h2", "stays"))
-    whole = parts.select("key", "row", "at", "h1", "h2", "n").filter(maybe_in(again, "h1")("h1")).join(again, ["h1", "h2"]).filter(place != F.col("stays"))
-    gone = held(whole.select("row", "at", F.lit(0).alias("start"), F.col("n").alias("end")))
-    # Runs inside the paragraphs that stay: segments that stood somewhere before.
-    there = parts.select("row", "at", "segments").withColumn("hit", maybe_in(gone.select(spot.alias("spot")), "spot")(spot))
-    rest = there.filter("not hit").unionByName(there.filter("hit").join(gone.select("row", "at"), ["row", "at"], "left_anti"))
-    pieces = landed(rest.select("row", "at", F.posexplode("segments").alias("k", "seg")), "segments").withColumn("id", F.monotonically_increasing_id())
-    common = held(pieces.groupBy("seg").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("seg", "first"))
-    before = pieces.filter(maybe_in(common, "seg")("seg")).join(common, "seg").filter("id <> first").select("row", "at", "k")
-    touched = held(before.groupBy("row", "at").agg(F.array_sort(F.collect_list("k")).alias("ks")))  # bounded by a paragraph's segments
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[int]] = [[], [], [], []]
-            for row, at, ks, sizes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ends = np.cumsum(sizes)
-                ks = np.array(ks)
-                for run in np.split(ks, np.flatnonzero(np.diff(ks) != 1) + 1):
-                    start, end = int(ends[run[0] - 1]) if run[0] else 0, int(ends[run[-1]])
-                    if end - start >= MIN_RUN:
-                        for c, v in zip(out, (row, at, start, end), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(c, pa.int32()) for c in out[1:]]], names=["row", "at", "start", "end"])
-
-    inner = touched.join(parts.select("row", "at", "sizes").filter(maybe_in(touched.select(spot.alias("spot")), "spot")(spot)), ["row", "at"]).select("row", "at", "ks", "sizes").mapInArrow(runs, gone.schema)
-    return held(gone.unionByName(inner))
-
-
-def without(text: str, removed: list[tuple[int, int, int]]) -> tuple[str, int]:
-    """``text`` without words [start, end) of the paragraphs at the given places; and how many words went."""
-    by_place: dict[int, list[tuple[int, int]]] = {}
-    for at, start, end in removed:
-        by_place.setdefault(at, []).append((start, end))
-    out, at, gone = [], 0, 0
-    for line in text.split("\n"):
-        if at in by_place:
-            # Words as the paragraphs were cut: by ASCII white space.
-            spans = [m.span() for m in _WORD.finditer(line)]
-            kept, pos = [], 0
-            for start, end in sorted(by_place[at]):
-                kept.append(line[pos : spans[start][0]])
-                pos = spans[end - 1][1]
-                gone += end - start
-            out.append("".join(kept) + line[pos:])
+    several = named.groupBy("comp").agg(F.min(F.struct("first", "h1", "h2")).alias("stays"), F.sum("k").alias("total")).filter("total > 1")
+    alike = (F.col("h1") != F.col("stays.h1")) | (F.col("h2") != F.col("stays.h2"))
+    again = held(named.join(several, "comp").select("h1", "h2", F.col("stays.first").alias("stays"), alike.alias("alike")))
+    whole = parts.select("key", "row", "at", "h1", "h2", "n").filter(maybe_in(again, "h1")("h1")).join(again, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("stays")))
+    gone = held(whole.select("row", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"), "alike"))
+    # Texts of the same words go whole but for the first, and take no part from here on.
+    who = F.struct("key", "row")
+    same = held(texts.filter(F.col("n") >= MIN_RUN).groupBy("d1", "d2").agg(F.min(who).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
+    copies = held(texts.select("key", "row", "n", "d1", "d2").filter(maybe_in(same, "d1")("d1")).join(same, ["d1", "d2"]).filter(~who.eqNullSafe(F.col("first"))).select("row", "n"))
+    # Runs anywhere in the others.
+    there = texts.select("row", "seeds", "places").withColumn("hit", maybe_in(copies, "row")("row"))
+    rest = there.filter("not hit").unionByName(there.filter("hit").join(copies.select("row"), "row", "left_anti"))
+    seeds = rest.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
+    often = held(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("seed"))
+    met = seeds.filter(maybe_in(often, "seed")("seed")).join(often, "seed").groupBy("row").agg(F.collect_list("at").alias("places"))  # bounded by a text's words
+    alike = gone.filter("alike").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("near"))
+    touched = held(met.join(alike, "row", "left"))
+    runs = docs.filter(maybe_in(touched, "row")("row")).join(touched, "row").select("key", "row", "text", "places", "near").mapInArrow(_runs, RUNS)
+    runs = landed(runs, "runs")
+    plain = F.when(F.col("near") == 0, place)
+    firsts = held(runs.groupBy("h1", "h2").agg(F.min(F.struct("key", "row", "at", "near")).alias("first"), F.min(plain).alias("plain"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
+    # What stands at the first place of all goes but for words that do not stay there; what stands at an earlier place that stays goes.
+    apart = lambda c: ~place.eqNullSafe(F.struct(f"{c}.key", f"{c}.row", f"{c}.at")) & ((F.col("row") != F.col(f"{c}.row")) | (F.col("at") - F.col(f"{c}.at") >= MIN_RUN))
+    kept = F.when(F.col("plain").isNotNull() & (F.col("plain") < place) & apart("plain"), F.lit(0)).when(apart("first"), F.col("first.near"))
+    cut = runs.filter(maybe_in(firsts, "h1")("h1")).join(firsts, ["h1", "h2"]).select("row", "at", kept.alias("kept")).filter("kept is not null")
+    words = cut.filter("kept <> 0").select("row", "kept", "at", F.explode(F.sequence(F.lit(0), F.lit(MIN_RUN - 1))).alias("k")).filter("(shiftright(kept, k) & 1) = 0")
+    inner = cut.filter("kept = 0").select("row", F.col("at").alias("start"), (F.col("at") + MIN_RUN).alias("end")).unionByName(words.select("row", (F.col("at") + F.col("k")).alias("start"), (F.col("at") + F.col("k") + 1).alias("end")))
+    return gone.drop("alike").unionByName(copies.select("row", F.lit(0).alias("start"), F.col("n").alias("end"))).unionByName(inner)
+
+
+def without(text: str, removed: list[tuple[int, int]]) -> tuple[str, int]:
+    """``text`` without words [start, end), which may overlap; and how many words went."""
+    spans = [m.span() for m in _WORD.finditer(text)]  # words as they were counted: by ASCII white space
+    out, pos, gone = [], 0, 0
+    joined: list[list[int]] = []
+    for start, end in sorted(removed):
+        if joined and start <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
         else:
-            out.append(line)
-        at += len(line) + 1
-    return "\n".join(out), gone
+            joined.append([start, end])
+    for start, end in joined:
+        a, b = spans[start][0], spans[end - 1][1]
+        out += [text[pos:a], "\n" * text.count("\n", a, b)]
+        pos = b
+        gone += end - start
+    return "".join(out) + text[pos:], gone
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "words_removed") -> DataFrame:
@@ -244,13 +317,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str =
     row, hit, done = (name(c) for c in ("__row", "__hit", "__cut"))
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     gone = repeated(rows.select(F.col(key).cast("long").alias("key"), F.col(row).alias("row"), F.col(text).alias("text")))
-    by_row = held(gone.groupBy("row").agg(F.collect_list(F.struct("at", "start", "end")).alias("removed")))
+    by_row = held(gone.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("removed")))
     rows = rows.withColumn(hit, maybe_in(by_row, "row")(row))
     touched = rows.filter(F.col(hit)).join(by_row.withColumnRenamed("row", row).withColumnRenamed("removed", done), row, "left")
 
     @F.pandas_udf("text string, gone long")
     def cut(texts: pd.Series, removed: pd.Series) -> pd.DataFrame:
-        done = [(t, 0) if r is None or t is None else without(t, [(x["at"], x["start"], x["end"]) for x in r]) for t, r in zip(texts, removed, strict=True)]
+        done = [(t, 0) if r is None or t is None else without(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(texts, removed, strict=True)]
         return pd.DataFrame(done, columns=["text", "gone"])
 
     made = touched.withColumn(done, cut(F.col(text), F.col(done)))
