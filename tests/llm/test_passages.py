@@ -66,3 +66,11 @@ def test_passages_in_short_lines_go(spark):
     assert [r.words_removed for r in got] == [0, 60, 60, 0, 66]
     assert got[1].text.split() == texts[1].split()[:9] + texts[1].split()[-9:] and got[1].text.count("\n") == texts[1].count("\n")
     assert got[4].text.split() == ["head"]
+
+
+def test_passages_inside_paragraphs_go_whole(spark):
+    rng = random.Random(22)
+    inner = [words(rng, rng.choice((50, 51, 55, 60))) for _ in range(150)]
+    texts = [f"{words(rng, 40)} {p} {words(rng, 40)}" for p in inner * 2]
+    got = substring_dedup.dedup(table(spark, texts)).orderBy("doc_id").collect()
+    assert [r.words_removed for r in got] == [0] * 150 + [len(p.split()) for p in inner]
