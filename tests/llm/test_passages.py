@@ -74,3 +74,11 @@ def test_passages_inside_paragraphs_go_whole(spark):
     texts = [f"{words(rng, 40)} {p} {words(rng, 40)}" for p in inner * 2]
     got = substring_dedup.dedup(table(spark, texts)).orderBy("doc_id").collect()
     assert [r.words_removed for r in got] == [0] * 150 + [len(p.split()) for p in inner]
+
+
+def test_chains_of_common_pieces_stay(spark):
+    rng = random.Random(23)
+    chains = [[words(rng, 7) for _ in range(12)] for _ in range(12)]
+    # Any two neighbouring pieces stood together before, in one place or another; three never did.
+    texts = [f"{words(rng, 30)} {a} {b} {words(rng, 30)}" for c in chains for a, b in zip(c, c[1:])] + [f"{words(rng, 30)} {' '.join(c)} {words(rng, 30)}" for c in chains]
+    assert {r.words_removed for r in substring_dedup.dedup(table(spark, texts)).collect()} == {0}
