@@ -220,13 +220,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, the first by its number in the input, which must read the same each time.
+    """``docs`` with one row of each class, the first by its number in the input.
 
     Only rows that may have to go move again.
     """
     name = fresh(docs)
     row, hit = name("__row"), name("__hit")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = landed(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # a later plan of ``docs`` may split files otherwise
     found = classes(rows.select(row, F.col(text).alias("text")), row)
     gone = held(found.filter(F.col(row) != F.col("class_id")).select(row))
     rows = rows.withColumn(hit, maybe_in(gone, row)(row))

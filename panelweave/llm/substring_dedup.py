@@ -315,7 +315,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str =
     fields = [c for c in docs.columns if c != count]
     name = fresh(docs)
     row, hit, done = (name(c) for c in ("__row", "__hit", "__cut"))
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = landed(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # a later plan of ``docs`` may split files otherwise
     gone = repeated(rows.select(F.col(key).cast("long").alias("key"), F.col(row).alias("row"), F.col(text).alias("text")))
     by_row = held(gone.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("removed")))
     rows = rows.withColumn(hit, maybe_in(by_row, "row")(row))

@@ -82,3 +82,31 @@ def test_chains_of_common_pieces_stay(spark):
     # Any two neighbouring pieces stood together before, in one place or another; three never did.
     texts = [f"{words(rng, 30)} {a} {b} {words(rng, 30)}" for c in chains for a, b in zip(c, c[1:])] + [f"{words(rng, 30)} {' '.join(c)} {words(rng, 30)}" for c in chains]
     assert {r.words_removed for r in substring_dedup.dedup(table(spark, texts)).collect()} == {0}
+
+
+def test_row_numbers_do_not_follow_the_splits(spark, tmp_path, monkeypatch):
+    rng = random.Random(25)
+    passage = [words(rng, 60) for _ in range(10)]
+    texts = [f"{words(rng, rng.randrange(1, 300))}\n{p}" for p in passage for _ in range(6)]
+    path, size = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes"
+    table(spark, texts).repartition(12).write.parquet(path)
+    docs = spark.read.parquet(path)
+
+    def later(f):
+        def run(*a):
+            out = f(*a)
+            spark.conf.set(size, "2k")  # files are split otherwise from here on
+            return out
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "repeated", later(substring_dedup.repeated))
+    monkeypatch.setattr(near_dedup, "classes", later(near_dedup.classes))
+    try:
+        got = " ".join(r.text for r in substring_dedup.dedup(docs).collect())
+        assert [got.count(p) for p in passage] == [1] * 10
+        spark.conf.unset(size)
+        near = spark.read.parquet(path).withColumn("text", F.element_at(F.split("text", "\n"), 2))
+        assert sorted(r.text for r in near_dedup.keep_one(near).collect()) == sorted(passage)
+    finally:
+        spark.conf.unset(size)
