@@ -6,6 +6,10 @@ prior corrects: the positives' loss as positive, plus the unlabelled loss as neg
 that positives among them cause. Where a batch drives that difference below zero, the step goes
 the other way, so the model cannot make it negative by fitting the sample.
 
+A score of one half lies where known toxic and known clean documents part with least error (the sign of
+the margin if no clean ones are known), so how many documents are flagged follows from what they hold
+and not from the labels' toxic share.
+
 Features are chosen first, by how far their mean among positives stands from the unlabelled mean in
 standard errors. Counting them and scoring run on all executors; the driver gets the chosen
 features (at most ``features``) and the sample's values of them, both of bounded size.
@@ -31,9 +35,10 @@ from pyspark.sql import functions as F
 
 from panelweave.session import freeze
 
-#: Bounds of the training sample, in documents, and of the features chosen from it.
+#: Bounds of the training sample and of the known clean documents that place the cut, in documents, and of the features chosen from it.
 MAX_POSITIVES = 4_000
 MAX_UNLABELLED = 8_000
+MAX_CLEAN = 8_000
 MAX_FEATURES = 300
 MIN_Z = 3.5
 MAX_VALUE = 6.0
@@ -121,6 +126,25 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 30
     return w[:-1], float(w[-1])
 
 
+def cut_between(toxic: np.ndarray, clean: np.ndarray, prior: float) -> float:
+    """The margin that parts known toxic from known clean documents with least error, whatever their number: the middle of the widest such gap.
+
+    The error weighs both kinds by the prior. Without either kind, the sign decides.
+    """
+    margins = np.concatenate((toxic, clean))
+    if not len(toxic) or not len(clean) or margins.max() - margins.min() <= 1e-6:
+        return 0.0
+    order = np.argsort(margins, kind="stable")
+    cost = np.concatenate((np.full(len(toxic), prior / len(toxic)), np.full(len(clean), (prior - 1) / len(clean))))[order]
+    margins = margins[order]
+    gap = np.diff(margins)
+    error = 1 - prior + np.cumsum(cost)[:-1]  # toxic ones at or below each place, and clean ones above it
+    error[gap <= 1e-6] = np.inf
+    at = np.flatnonzero(error <= error.min() + 1e-12)
+    k = at[np.argmax(gap[at])]
+    return float(margins[k] + margins[k + 1]) / 2
+
+
 def _sampled(df: DataFrame, key: Column, most: int, n: int) -> DataFrame:
     """About ``most`` of the ``n`` rows, by a hash of their key."""
     share = min(1.0, most / max(n, 1))
@@ -151,10 +175,11 @@ def _moments(sample: DataFrame) -> DataFrame:
     return made.groupBy("feature").agg(side("s", True).alias("sp"), side("s", False).alias("su"), side("ss", False).alias("ssu"), side("ss", True).alias("ssp"))
 
 
-def train(docs: DataFrame, toxic: DataFrame, learn: Column, prior: float, key: str = "doc_id", text: str = "text", features: int = MAX_FEATURES) -> Model | float:
+def train(docs: DataFrame, toxic: DataFrame, learn: Column, prior: float, key: str = "doc_id", text: str = "text", features: int = MAX_FEATURES, clean: DataFrame | None = None) -> Model | float:
     """A model from ``toxic`` ids and the documents for which ``learn`` holds; the prior if there is nothing to learn from.
 
-    ``toxic`` has the one column ``key``, distinct.
+    ``toxic`` has the one column ``key``, distinct; ``clean`` likewise, of documents known not to be toxic,
+    which only place the cut. Without it the cut is the sign of the margin.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(learn, F.lit(True)).alias("learn")).filter("learn").drop("learn")
     toxic = toxic.select(F.col(key).alias("key"))
@@ -184,21 +209,23 @@ def train(docs: DataFrame, toxic: DataFrame, learn: Column, prior: float, key: s
             vs = [text_values(t, known, shared) for t in frame["text"]]
             yield pd.DataFrame({"positive": frame["positive"], "at": [[*v] for v in vs], "x": [[*v.values()] for v in vs]})
 
-    rows = sample.mapInPandas(values, "positive boolean, at array<int>, x array<double>").collect()  # bounded by the sample
-    x = np.zeros((len(rows), len(number)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = np.minimum(np.array(r["x"]) / scale[r["at"]], MAX_VALUE)
-    positive = np.array([r["positive"] for r in rows])
+    def table(rows: list) -> np.ndarray:
+        x = np.zeros((len(rows), len(number)), np.float32)
+        for i, r in enumerate(rows):
+            x[i, r["at"]] = np.minimum(np.array(r["x"]) / scale[r["at"]], MAX_VALUE)
+        return x
+
+    kind = "positive boolean, at array<int>, x array<double>"
+    rows = sample.mapInPandas(values, kind).collect()  # bounded by the sample
+    x, positive = table(rows), np.array([r["positive"] for r in rows])
     weight, bias = fit_nnpu(x, positive, prior)
-    # About the prior's share of the unlabelled documents lies above one half: the widest gap nearby is the cut.
-    margins = np.sort(np.concatenate([x[a : a + 1000] @ weight for a in range(0, len(x), 1000)])[~positive] + bias)
-    low, high = (min(len(margins) - 1, max(0, int((1 - share * prior) * len(margins)))) for share in (1.1, 0.8))
-    gaps = np.diff(margins)
-    if high <= low or gaps[low:high].max() <= 1e-6:  # nothing but equal margins there: the next gap above
-        high = len(margins) - 1
-    at = low + int(np.argmax(gaps[low:high])) if high > low else low
-    cut = (margins[at] + margins[min(at + 1, len(margins) - 1)]) / 2
-    return Model(number, scale, weight, bias - float(cut))
+    if clean is None:
+        return Model(number, scale, weight, bias)
+    clean = clean.select(F.col(key).alias("key"))
+    others = freeze(_sampled(clean, F.col("key"), MAX_CLEAN, clean.count()))  # bounded by MAX_CLEAN
+    known = docs.join(F.broadcast(others), "key").select("text", F.lit(False).alias("positive"))
+    apart = table(known.mapInPandas(values, kind).collect())
+    return Model(number, scale, weight, bias - cut_between(x[positive] @ weight + bias, apart @ weight + bias, prior))
 
 
 def score(docs: DataFrame, model: Model | float, text: str = "text", name: str = "score") -> DataFrame:
@@ -225,7 +252,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame) -> Model | float:
     """A model from the labels and documents that are not held out; the prior is the labels' own toxic share."""
     seen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = seen.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"]
-    return train(docs, seen.filter("toxic = 1").select("doc_id"), ~fold(), float(share or 0.0))
+    return train(docs, seen.filter("toxic = 1").select("doc_id"), ~fold(), float(share or 0.0), clean=seen.filter("toxic <> 1").select("doc_id"))
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
