@@ -84,6 +84,17 @@ def test_chains_of_common_pieces_stay(spark):
     assert {r.words_removed for r in substring_dedup.dedup(table(spark, texts)).collect()} == {0}
 
 
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(24)
+    pieces = [words(rng, n) for n in (5, 9, 15, 16, 17, 24, 25, 31, 52, 70) for _ in range(4)]
+    texts = ["again " * 200, "again " * 70, None, "", "a b c " * 40, "x a b c " + "a b c " * 30]
+    for _ in range(110):
+        part = [wrapped(p, rng.choice((7, 20))) if rng.random() < 0.3 else edited(rng, p, 1) if rng.random() < 0.15 else p for p in rng.choices(pieces, k=rng.randrange(1, 6))]
+        texts.append("".join(f"{x}{rng.choice((' ', chr(10)))}" for p in part for x in (words(rng, rng.choice((0, 3, 30))), p)))
+    texts += texts[20:26]
+    assert remaining(spark, texts) == plain_passages(texts)
+
+
 def test_row_numbers_do_not_follow_the_splits(spark, tmp_path, monkeypatch):
     rng = random.Random(25)
     passage = [words(rng, 60) for _ in range(10)]
