@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Signatures, trained scores and packing have no SQL; tests hold the rows against brute force.
+# Signatures, trained scores and packing have no SQL; tests hold near copies and repeated passages against brute force, not the pipeline.
 ORACLE_SQL = None
 
 

@@ -1,4 +1,4 @@
-"""Repeated passages inside documents: paragraphs by MinHash banding, and runs inside paragraphs.
+"""Repeated passages inside documents: paragraphs by MinHash banding, and runs of words anywhere.
 
 A paragraph (a line of at least MIN_WORDS words) is a set of five-word shingles with MinHash bands
 tuned for recall: BANDS bands of ROWS rows bring a pair alike by 0.8 together with a probability of
