@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, cotraining, fingerprints, licenses, near_dedup, packing, pii, quality_rules, substring_dedup, toxicity
+from panelweave.llm import bpe, cotraining, fingerprints, licenses, merkle, near_dedup, packing, pii, quality_rules, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,9 +55,13 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return cotraining.op10(*(table(spark, folder, t) for t in ("documents", "labels", "pages")))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.op13(table(spark, folder, "documents"))
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op5_substring_dedup, op6_license_scan, op7_fingerprints, op8_toxicity, op9_near_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op5_substring_dedup, op6_license_scan, op7_fingerprints, op8_toxicity, op9_near_dedup, op10_quality_classifier, op13_merkle_manifest)}
 
 
 def sql_texts() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.SQL}
+    return {"op2_quality_rules": quality_rules.SQL, "op13_merkle_manifest": merkle.SQL}
