@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, cotraining, fingerprints, licenses, merkle, near_dedup, packing, phrases, pii, quality_rules, substring_dedup, toxicity
+from panelweave.llm import bpe, cotraining, fingerprints, language_model, licenses, merkle, near_dedup, packing, phrases, pii, quality_rules, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return cotraining.op10(*(table(spark, folder, t) for t in ("documents", "labels", "pages")))
 
 
+def op11_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.op11(table(spark, folder, "documents"))
+
+
 def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.op12(table(spark, folder, "documents"))
 
@@ -64,7 +68,7 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op5_substring_dedup, op6_license_scan, op7_fingerprints, op8_toxicity, op9_near_dedup, op10_quality_classifier, op12_phrases, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_pii, op4_bpe, op5_substring_dedup, op6_license_scan, op7_fingerprints, op8_toxicity, op9_near_dedup, op10_quality_classifier, op11_language_model, op12_phrases, op13_merkle_manifest)}
 
 
 def sql_texts() -> dict[str, str]:
