@@ -34,7 +34,8 @@ from pyspark.sql.window import Window
 
 from panelweave.llm.links import landed
 from panelweave.llm.shingles import mixed
-from panelweave.llm.transducers import COLUMNS, Transducer, build, union
+from panelweave.llm.transducers import COLUMNS, Transducer, build, of_sorted, tally, union
+from panelweave.llm.wordtable import CHUNK, chunks, kinds, split_words
 
 LEAST = 100
 MAX_WORDS = 5
@@ -45,45 +46,9 @@ RANGE_WORDS = 4_000_000
 MAX_BITS = 1 << 30
 #: So many shards' automata are united at a time.
 FAN = 64
-CHUNK = 4_000_000
-HELD = 1_000_000
-_KIND = np.zeros(256, np.uint8)  # 0 in a word, 1 between words, 2 between pieces
-_KIND[[0x20, 0x09]] = 1
-_KIND[[*b".,;:!?\x0a\x0b\x0c\x0d"]] = 2
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[0x41:0x5B] += 32
-
-
-def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Of lower-cased texts: each word's number among the distinct ones, those, its piece and its row."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
-    begin = off[:-1] - off[0]
-    kind = _KIND[raw]
-    word = kind == 0
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    edge = begin[(begin > 0) & (begin < len(raw))]
-    first[edge] |= word[edge]
-    last[edge - 1] |= word[edge - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    row = np.searchsorted(begin, start, "right") - 1
-    piece = np.cumsum(kind == 2, dtype=np.int64)[start] + row  # grows with either
-    offsets = np.concatenate(([0], np.cumsum(end - start, dtype=np.int64)))
-    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(_LOW[raw[word]])]).dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary, piece, row
-
-
-def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of some megabytes of text each (a longer text is one of its own)."""
-    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).cumsum()
-    a = 0
-    while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHUNK, "right")))
-        yield batch.slice(a, b - a)
-        a = b
+#: Rows of a task's tables that are held before they are summed up, and then sent on.
+HELD = 400_000
+_KIND = kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 
 
 def _langs(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
@@ -112,8 +77,8 @@ def _words(seed: int):
             yield from made.to_batches(max_chunksize=50_000)
 
         for batch in batches:
-            for part in chunks(batch):
-                at, words, _, row = split_words(part.column("text"))
+            for part in chunks(batch, CHUNK):
+                at, words, _, row = split_words(part.column("text"), _KIND)
                 code, langs = _langs(part)
                 key, n = np.unique(code[row].astype(np.int64) * max(len(words), 1) + at, return_counts=True)
                 of, at = np.divmod(key, max(len(words), 1))
@@ -148,28 +113,13 @@ def prefix_range(lang: np.ndarray, symbols: Sequence[np.ndarray], parts: int) ->
     return ((run_hash(lang, symbols[:2]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def tally(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of int64 ``columns`` and the sums of their ``n``."""
-    h = run_hash(np.zeros(len(n), np.uint64), columns)
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    equal = same.copy()
-    for c in columns:
-        equal &= c[order][1:] == c[order][:-1]
-    if (equal != same).any():  # different rows of one hash: sort by the columns themselves
-        order = np.lexsort(columns[::-1])
-        equal = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
-    first = np.flatnonzero(np.concatenate(([True], ~equal)))
-    return [c[order][first] for c in columns], np.add.reduceat(n[order], first)
-
-
 SHARDS = f"size int, lang string, part long, task int, {COLUMNS}"
 
 
 def _shards(sizes: Sequence[int], inner: int, bits, seed: int, parts: int):
     """Automata of the runs of ``sizes`` words whose runs of ``inner`` words may all be frequent, by language and range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
         full = np.uint64(len(table) * 8)
         names: dict[str, int] = {}
@@ -182,7 +132,7 @@ def _shards(sizes: Sequence[int], inner: int, bits, seed: int, parts: int):
             held[k] = [tally(columns, np.concatenate([x[1] for x in held[k]]))]
             rows[k] = len(held[k][0][1])
 
-        def out(k: int) -> pd.DataFrame:
+        def out(k: int) -> pa.RecordBatch:
             (lang, *symbols), n = held[k].pop()
             rows[k] = 0
             langs = [*names]
@@ -190,15 +140,18 @@ def _shards(sizes: Sequence[int], inner: int, bits, seed: int, parts: int):
             order = np.lexsort([*symbols[::-1], part, lang])
             lang, part, n, symbols = lang[order], part[order], n[order], [s[order] for s in symbols]
             start = np.flatnonzero(np.concatenate(([True], (lang[1:] != lang[:-1]) | (part[1:] != part[:-1]))))
-            made = []
-            for a, b in zip(start, [*start[1:], len(n)], strict=True):
-                keys = zip(*(s[a:b].tolist() for s in symbols), strict=True)
-                made.append({"size": k, "lang": langs[lang[a]], "part": int(part[a]), "task": task, **build(zip(keys, n[a:b].tolist(), strict=True)).row()})
-            return pd.DataFrame(made)
+            made = [of_sorted([s[a:b] for s in symbols], n[a:b]) for a, b in zip(start, [*start[1:], len(n)], strict=True)]
+            same = lambda x, t: pa.array(np.full(len(start), x), t)
+            columns = [same(k, pa.int32()), pa.array(langs, pa.string()).take(pa.array(lang[start])), pa.array(part[start]), same(task, pa.int32())]
+            for field, t in (("first", pa.int32()), ("label", pa.int64()), ("target", pa.int32()), ("weight", pa.int32()), ("final", pa.bool_()), ("counts", pa.int64())):
+                values = [getattr(m, field) for m in made]
+                offsets = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values)).cast(t)))
+            return pa.RecordBatch.from_arrays(columns, names=["size", "lang", "part", "task", "first", "label", "target", "weight", "final", "counts"])
 
         for batch in batches:
-            for piece_of in chunks(batch):
-                at, words, piece, row = split_words(piece_of.column("text"))
+            for piece_of in chunks(batch, CHUNK):
+                at, words, piece, row = split_words(piece_of.column("text"), _KIND)
                 if not len(at):
                     continue
                 code, langs = _langs(piece_of)
@@ -229,13 +182,7 @@ def _shards(sizes: Sequence[int], inner: int, bits, seed: int, parts: int):
                 fold(k)
                 yield out(k)
 
-    def to_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        int_list, long_list = pa.list_(pa.int32()), pa.list_(pa.int64())
-        kind = pa.schema([("size", pa.int32()), ("lang", pa.string()), ("part", pa.int64()), ("task", pa.int32()), ("first", int_list), ("label", long_list), ("target", int_list), ("weight", int_list), ("final", pa.list_(pa.bool_())), ("counts", long_list)])
-        for made in run(batches):
-            yield from pa.Table.from_pandas(made, kind, preserve_index=False).to_batches(max_chunksize=64)
-
-    return to_arrow
+    return run
 
 
 FREQUENT = f"size int, lang string, part long, {COLUMNS}, hashes array<long>"
@@ -248,10 +195,10 @@ def _hashes(lang: str, keys: list[tuple[int, ...]]) -> list[int]:
 
 def _united(least: int, last: bool):
     def run(shards: pd.DataFrame) -> pd.DataFrame:
-        whole = union([Transducer.of_row(r) for _, r in shards.iterrows()], least)
+        r = shards.iloc[0]
+        whole = union([Transducer(*x) for x in zip(*(shards[c] for c in ("first", "label", "target", "weight", "final", "counts")), strict=True)], int(r["size"]), least)
         if not whole.counts:
             return pd.DataFrame()
-        r = shards.iloc[0]
         more = {"hashes": _hashes(r["lang"], [k for k, _ in whole.items()])} if last else {"task": r["task"] // FAN}
         return pd.DataFrame([{"size": r["size"], "lang": r["lang"], "part": r["part"], **whole.row(), **more}])
 

@@ -4,6 +4,9 @@ A ``Transducer`` is the least automaton for a set of sequences. Each edge weighs
 smaller edges before it, so the weights along a path add up to the sequence's number in ascending order,
 and ``counts`` has the count at that number. Automata share whatever ends alike; counts do not
 keep them apart.
+
+A shard's automaton comes from its sorted sequences as whole columns: one state per prefix, and one end. ``Builder``
+makes the least automaton of a stream of sequences, state by state.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from heapq import merge
+
+import numpy as np
 
 Key = tuple[int, ...]
 #: Columns that hold a transducer in a table.
@@ -39,6 +43,17 @@ class Transducer:
             state = self.target[j]
         return self.counts[number] if self.final[state] else 0
 
+    def columns(self, length: int) -> list[np.ndarray]:
+        """All sequences, which have ``length`` symbols each, in ascending order: an array per place."""
+        first, label, target = (np.asarray(x, np.int64) for x in (self.first, self.label, self.target))
+        state, out = np.array([len(self.final) - 1]), []
+        for _ in range(length):
+            n = first[state + 1] - first[state]
+            edge = np.repeat(first[state] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out = [np.repeat(c, n) for c in out] + [label[edge]]
+            state = target[edge]
+        return out
+
     def items(self) -> Iterator[tuple[Key, int]]:
         """All sequences in ascending order, with their counts."""
         counts = iter(self.counts)
@@ -135,20 +150,47 @@ def build(items: Iterable[tuple[Key, int]]) -> Transducer:
     return b.done()
 
 
-def summed(parts: Sequence[Transducer]) -> Iterator[tuple[Key, int]]:
-    """The sequences of all ``parts`` in ascending order, with the sums of their counts."""
-    last, total = None, 0
-    for key, count in merge(*(p.items() for p in parts)) if len(parts) > 1 else parts[0].items() if parts else ():
-        if key == last:
-            total += count
-        else:
-            if last is not None:
-                yield last, total
-            last, total = key, count
-    if last is not None:
-        yield last, total
-
-
-def union(parts: Sequence[Transducer], least: int = 1) -> Transducer:
-    """One transducer with the sums; sums below ``least`` are left out."""
-    return build((k, n) for k, n in summed(parts) if n >= least)
+def of_sorted(columns: Sequence[np.ndarray], counts: np.ndarray) -> Transducer:
+    """The transducer of sequences of one length, given as ascending, distinct rows of ``columns``: a state per prefix, and one end."""
+    rows, depth = len(counts), len(columns)
+    starts, new = [], np.zeros(rows, bool)
+    new[:1] = True
+    for c in columns:
+        new = new.copy()
+        new[1:] |= c[1:] != c[:-1]
+        starts.append(np.flatnonzero(new))  # where each prefix of one more symbol begins
+    first, label, target, weight, states = [np.zeros(1, np.int64)], [], [], [], 1
+    edges = 0
+    for d in range(depth - 1, -1, -1):
+        at, owner = starts[d], starts[d - 1] if d else np.zeros(min(rows, 1), np.int64)
+        of = np.searchsorted(owner, at, "right") - 1
+        label.append(columns[d][at])
+        target.append(np.zeros(len(at), np.int64) if d == depth - 1 else states - len(at) + np.arange(len(at)))
+        weight.append(at - owner[of])
+        first.append(edges + np.searchsorted(at, owner))
+        edges += len(at)
+        states += len(owner)
+    first.append(np.array([edges]))
+    final = np.zeros(states, bool)
+    final[0] = True
+    return Transducer(*(np.concatenate(x) for x in (first, label, target, weight)), final, counts)
+
+
+def tally(columns: Sequence[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of ``columns`` in ascending order, and the sums of their ``n``."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.add.reduceat(n[order], at) if len(at) else n
+
+
+def union(parts: Sequence[Transducer], length: int, least: int = 1) -> Transducer:
+    """One least transducer of sequences of ``length`` symbols with the sums of their counts; sums below ``least`` are left out."""
+    columns = [np.concatenate(c) for c in zip(*(p.columns(length) for p in parts), strict=True)]
+    columns, n = tally(columns, np.concatenate([np.asarray(p.counts, np.int64) for p in parts]))
+    keep = n >= least
+    return build(zip(zip(*(c[keep].tolist() for c in columns), strict=True), n[keep].tolist(), strict=True))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from panelweave.llm import phrases
-from panelweave.llm.transducers import Transducer, build, union
+from panelweave.llm.transducers import Transducer, build, of_sorted, union
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `rank` string, phrase string, h string"
 
@@ -103,16 +103,20 @@ def test_scores_pass_64_bits(spark):
 def test_transducers_hold_and_add_counts(seed):
     rng = random.Random(seed)
     shards = [Counter(tuple(rng.randrange(5) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(60))) for _ in range(4)]
-    made = [build(sorted(s.items())) for s in shards]
-    for s, t in zip(shards, made):
-        assert [*t.items()] == sorted(s.items())
+    for s in shards:
+        t = build(sorted(s.items()))
+        assert [*t.items()] == sorted(s.items()) and Transducer.of_row(t.row()) == t
         assert all(t.find(k) == n for k, n in s.items()) and t.find((9,)) == 0 == t.find((0, 0, 0, 0))
+    length = seed + 1
+    shards = [Counter(tuple(rng.randrange(5) for _ in range(length)) for _ in range(rng.randrange(1, 60))) for _ in range(4)]
+    made = [of_sorted([np.array(c) for c in zip(*sorted(s))], np.array([s[k] for k in sorted(s)])) for s in shards]
     whole = Counter()
-    for s in shards:
+    for s, t in zip(shards, made):
+        t = Transducer.of_row(t.row())
+        assert [*t.items()] == sorted(s.items()) and all(t.find(k) == n for k, n in s.items()) and t.find((9,) * length) == 0
         whole.update(s)
-    assert [*union(made).items()] == sorted(whole.items())
-    assert [*union(made, 3).items()] == sorted((k, n) for k, n in whole.items() if n >= 3)
-    assert union([Transducer.of_row(t.row()) for t in made]) == union(made)
+    assert [*union(made, length).items()] == sorted(whole.items())
+    assert [*union([*made, union(made, length)], length, 3).items()] == sorted((k, 2 * n) for k, n in whole.items() if 2 * n >= 3)
 
 
 def test_transducers_share_ends():
@@ -123,6 +127,6 @@ def test_transducers_share_ends():
 
 
 def test_split_words():
-    at, words, piece, row = phrases.split_words(pa.array(["A b", None, "b.c", "", "éA"])[0:])
+    at, words, piece, row = phrases.split_words(pa.array(["A b", None, "b.c", "", "éA"]), phrases._KIND)
     assert [words[i].as_py() for i in at.tolist()] == [b"a", b"b", b"b", b"c", "éa".encode()]
     assert row.tolist() == [0, 0, 2, 2, 4] and np.diff(piece).astype(bool).tolist() == [False, True, True, True]
