@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +24,25 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drain_updates(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """As ``drain`` for results that are updated: ``write`` gets each batch's changed rows."""
+    """As ``drain`` for results that are updated: ``write`` gets each batch's changed rows.
+
+    State is kept in RocksDB, which keyed maps of a state need; the session's own setting comes back afterwards.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        _drained(stream, write, checkpoint)
+    finally:
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)
+
+
+def _drained(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -46,34 +63,17 @@ def latest_snapshot(changes: DataFrame, session: str = "session_id") -> DataFram
 
 
 def stream_states(stream: DataFrame, transitions=TRANSITIONS, start: str = "created", session: str = "session_id") -> DataFrame:
-    """State machine over a stream: ``(session, state, version, illegal_at)`` after each batch.
+    """State machine over a stream, for ``drain_updates``: a row ``(session, state, version, illegal_at, missing)`` for each session that a batch touched.
 
-    State per session is (state, last number). Events of a batch are applied in number order;
-    numbers at or below the last one are repeats and are skipped.
+    Numbers may come late, twice, or never; the state is that of all numbers seen so far in their order,
+    as in ``fold_state``, and ``missing`` says how many below ``version`` have not come. What Spark keeps for
+    a session are transition functions of runs of neighbouring numbers (``RunStates``), never its events.
     """
-    moves = {(s, e): to for s, e, to in transitions}
-    key = stream.schema[session].dataType.simpleString()
+    from panelweave.streaming.runs import RunStates
 
-    def apply(ident, batches: Iterator, state):
-        import pandas as pd
-
-        now, last, bad = state.get if state.exists else (start, 0, -1)
-        events = pd.concat(list(batches)).sort_values("sequence")
-        for seq, event in zip(events["sequence"].tolist(), events["event_type"].tolist(), strict=True):
-            if seq <= last:
-                continue
-            last = seq
-            if now is not None:
-                nxt = moves.get((now, event))
-                if nxt is None:
-                    bad = seq
-                now = nxt
-        state.update((now, int(last), int(bad)))
-        yield pd.DataFrame({session: [ident[0]], "state": [now], "version": [int(last)], "illegal_at": [int(bad) if bad >= 0 else None]})
-
-    return stream.select(session, "sequence", "event_type").groupBy(session).applyInPandasWithState(
-        apply, f"{session} {key}, state string, version bigint, illegal_at double",
-        "state string, last bigint, bad bigint", "update", "NoTimeout",
+    key = stream.schema[session].dataType.simpleString()
+    return stream.select(session, F.col("sequence").cast("long").alias("sequence"), "event_type").groupBy(session).transformWithStateInPandas(
+        RunStates(session, transitions, start), f"{session} {key}, state string, version long, illegal_at long, missing long", "Update", "None",
     )
 
 
