@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.ordering import spread
+from panelweave.session import land
 
 # fixed values: patterns of the text rules
 SECRET_TEXT = r"\bsk-[A-Za-z0-9_-]{20,}|\bgh[pousr]_[A-Za-z0-9]{30,}|\bAKIA[0-9A-Z]{16}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----"
@@ -43,41 +44,42 @@ def scan_text(df: DataFrame, col: str, key: str | None = None) -> DataFrame:
     return rows.withColumn("category", text_rule(F.col(col)))
 
 
-def scan_json(df: DataFrame, key: str, col: str, depth: int = 8, allow_excerpt: bool = False, max_excerpt: int = MAX_EXCERPT_CHARS) -> DataFrame:
-    """First violation of each JSON document in depth-first order, with its dotted location.
+def scan_json(df: DataFrame, key: str, col: str, allow_excerpt: bool = False, max_excerpt: int = MAX_EXCERPT_CHARS, levels: int = 3) -> DataFrame:
+    """First violation of each JSON document in depth-first order, with its dotted location, however deep it is.
 
-    A document is opened level by level inside its own row: the nodes of a level are an array,
-    the next level is made from it, and the first hit is a minimum over arrays. So nothing is
-    exploded, joined or shuffled. Ordered maps keep the key order of the text. The scan fails closed:
-    a document nested deeper than ``depth`` without a hit above is ``too_deep`` (and marked in
-    ``deeper``), and text that is not valid JSON goes through the text rules and is ``unreadable``
-    at least. NULL passes.
+    The nodes still to be opened are an array in the document's own row, so nothing is exploded, joined or
+    shuffled. ``levels`` levels are opened at a time; then documents without open nodes are done, and only
+    the others go on. A node that comes after a document's first hit so far is not opened. Ordered maps keep the key
+    order of the text. Text that is not valid JSON goes through the text rules and is ``unreadable`` at
+    least. NULL passes.
     """
-    root = F.struct(
-        F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("path"), F.col(col).alias("raw"), _kind_of(F.col(col)).alias("kind"),
-    )
-    step = spread(df.select(key, col), key).select(key, F.array(root).alias("_level0"))
-    found = []
-    for i in range(depth + 1):
-        step = step.withColumn(f"_open{i}", F.transform(f"_level{i}", _opened))
-        step = step.withColumn(f"_hits{i}", F.concat(
-            F.transform(F.filter(f"_open{i}", lambda n: n["hit"].isNotNull()), lambda n: _hit(n["at"], 1, n["hit"], n["path"])),
-            _key_hits(f"_open{i}", allow_excerpt, max_excerpt),
-        ))
-        # Nothing below a node that is a hit by itself can come before it.
-        step = step.withColumn(f"_level{i + 1}", F.flatten(F.transform(
-            F.filter(f"_open{i}", lambda n: n["hit"].isNull()),
-            lambda n: F.transform(n["children"], lambda c, k: F.struct(
-                F.array_append(n["at"], k).alias("at"), F.array_append(n["path"], c["name"]).alias("path"), c["raw"].alias("raw"), c["kind"].alias("kind"))),
-        )))
-        found.append(f"_hits{i}")
-    first = F.array_min(F.concat(*found))
-    deeper = F.exists(f"_level{depth + 1}", lambda n: n["kind"].isin("object", "list"))
-    raw = F.try_element_at("_level0", F.lit(1))["raw"]
+    raw = F.col(col)
     broken = raw.isNotNull() & F.try_parse_json(raw).isNull()
-    deeper = ~broken & F.coalesce(deeper, F.lit(False))
-    category = F.when(broken, F.coalesce(text_rule(raw), F.lit("unreadable"))).otherwise(F.coalesce(first["category"], F.when(deeper, "too_deep")))
-    return step.select(key, category.alias("category"), F.when(broken, "<root>").otherwise(first["location"]).alias("location"), deeper.alias("deeper"))
+    root = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("path"), raw.alias("raw"), _kind_of(raw).alias("kind"))
+    unread = F.when(broken, _hit(F.array().cast("array<int>"), 0, F.coalesce(text_rule(raw), F.lit("unreadable")), F.array().cast("array<string>")))
+    level = F.filter(F.array(root), lambda _: raw.isNotNull() & ~broken)
+    step = spread(df.select(key, col), key).select(key, unread.alias("_best"), level.alias("_level"))
+    done = None
+    while True:
+        for _ in range(levels):
+            step = step.withColumn("_open", F.transform("_level", _opened))
+            hits = F.array_min(F.concat(
+                F.transform(F.filter("_open", lambda n: n["hit"].isNotNull()), lambda n: _hit(n["at"], 1, n["hit"], n["path"])),
+                _key_hits("_open", allow_excerpt, max_excerpt),
+            ))
+            step = step.withColumn("_best", F.least("_best", hits)).withColumn("_level", F.flatten(F.transform(
+                F.filter("_open", lambda n: n["hit"].isNull()),
+                lambda n: F.transform(n["children"], lambda c, k: F.struct(
+                    F.array_append(n["at"], k).alias("at"), F.array_append(n["path"], c["name"]).alias("path"), c["raw"].alias("raw"), c["kind"].alias("kind"))),
+            )))
+            # What can still come before the best hit, and has something to look at.
+            step = step.withColumn("_level", F.filter("_level", lambda n: n["kind"].isin("object", "list", "text") & (F.col("_best").isNull() | (n["at"] <= F.col("_best.at"))))).drop("_open")
+        step = land(step, "json")
+        ended = step.filter(F.size("_level") == 0).select(key, F.col("_best.category").alias("category"), F.when(F.col("_best.category").isNotNull(), F.col("_best.location")).alias("location"))
+        done = ended if done is None else done.unionByName(ended)
+        step = step.filter(F.size("_level") > 0)
+        if step.isEmpty():
+            return done
 
 
 def _kind_of(raw: Column) -> Column:
@@ -146,5 +148,5 @@ def _key_rule(key: Column, kind: Column, raw: Column, allow_excerpt: bool, max_e
 
 
 def audit_rows(scanned: DataFrame, key: str, text_col: str) -> DataFrame:
-    """What was sent and whether it was stopped; never the text itself. Any category stops it, ``too_deep`` and ``unreadable`` too."""
+    """What was sent and whether it was stopped; never the text itself. Any category stops it, ``unreadable`` too."""
     return scanned.select(key, F.col("category").isNotNull().alias("blocked"), "category", F.length(text_col).alias("text_length"))

@@ -166,13 +166,23 @@ JSON = f"""CASE event_type
   ELSE CASE WHEN value < 5 THEN '[{ROWS21}]' WHEN value < 10 THEN '{{"x":{{"values":[1,2]}},"report_text":"t"}}' WHEN value < 20 THEN '{{"b":{{"values":3,"excerpt":"t"}}}}' WHEN value < 30 THEN '{{"ann_note":"n","when":"20240101"}}' ELSE '{{"fine":["t",{{"q":null}}]}}' END END"""
 
 
-@query("d10_scan_json", """SELECT event_id, CASE event_type WHEN 'view' THEN 'secret' WHEN 'click' THEN 'raw_data' WHEN 'purchase' THEN 'secret' WHEN 'error' THEN 'raw_data'
-  ELSE CASE WHEN value < 5 THEN 'full_result_data' WHEN value < 10 THEN 'full_result_data' WHEN value < 20 THEN 'full_report_body' WHEN value < 30 THEN 'raw_data' END END AS category,
-  CASE event_type WHEN 'view' THEN 'meta.user' WHEN 'click' THEN 'payload.rows.1' WHEN 'purchase' THEN 'zeta' WHEN 'error' THEN 'a.b.c.1'
-  ELSE CASE WHEN value < 5 THEN '<root>' WHEN value < 10 THEN 'x.values' WHEN value < 20 THEN 'b.excerpt' WHEN value < 30 THEN '<root>' END END AS location, false AS deeper FROM events""", dates="")
+NESTED = f"""CASE WHEN event_id % 5 = 0 THEN repeat('{{"deep":[', CAST(1 + event_id % 15 AS INT)) || CASE event_id % 3 WHEN 0 THEN '{{"note":"fine"}}' WHEN 1 THEN '{{"note":"key sk-' || md5(CAST(event_id AS VARCHAR)) || '"}}' ELSE '{{"x":{{"ok":1,"access_token":null}}}}' END || repeat(']}}', CAST(1 + event_id % 15 AS INT)) ELSE {JSON} END"""
+
+
+@query("d10_scan_json", f"""WITH d AS (SELECT event_id, CAST({NESTED} AS JSON) AS doc FROM events),
+  n AS (SELECT event_id, t.id, t.parent, t.key, t.type, t.fullkey, CASE WHEN t.type = 'VARCHAR' THEN t.atom ->> '$' END AS text FROM d, json_tree(d.doc) t),
+  c AS (SELECT event_id, parent, count(*) AS k, bool_and(type = 'OBJECT') AS objects, bool_or(regexp_matches(key, '{ob.FIELD_KEY}')) AS fields,
+    bool_or(type NOT IN ('OBJECT', 'ARRAY', 'VARCHAR', 'NULL') OR (type = 'VARCHAR' AND regexp_matches(text, '{ob.DATE_VALUE}'))) AS observed FROM n WHERE parent IS NOT NULL GROUP BY 1, 2),
+  h AS (SELECT n.event_id, n.id, 1 AS phase, fullkey, CASE WHEN type = 'OBJECT' AND fields AND observed THEN 'raw_data' WHEN type = 'ARRAY' AND k > {ob.MAX_ROWS} AND objects THEN 'full_result_data' WHEN type = 'VARCHAR' THEN {SQL_TEXT} END AS category
+      FROM n LEFT JOIN c ON c.event_id = n.event_id AND c.parent = n.id
+    UNION ALL SELECT n.event_id, n.id, 0, n.fullkey, CASE WHEN regexp_matches(n.key, '{ob.SECRET_KEY}') THEN 'secret' WHEN regexp_matches(n.key, '{ob.CODE_KEY}') THEN 'internal_code'
+      WHEN regexp_matches(n.key, '{ob.RESULT_KEY}') AND n.type IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN 'full_result_data' WHEN regexp_matches(n.key, '{ob.BODY_KEY}|{ob.EXCERPT_KEY}') THEN 'full_report_body' END FROM n JOIN n p ON p.event_id = n.event_id AND p.id = n.parent AND p.type = 'OBJECT'),
+  f AS (SELECT event_id, arg_min(category, (id, phase)) AS category, arg_min(fullkey, (id, phase)) AS place FROM h WHERE category IS NOT NULL GROUP BY 1)
+  SELECT d.event_id, category, CASE place WHEN '$' THEN '<root>' ELSE regexp_replace(replace(place, '$.', ''), '^\\$?\\[(\\d+)\\]|\\[(\\d+)\\]', '.\\1\\2', 'g') END AS location FROM d LEFT JOIN f ON f.event_id = d.event_id""", dates="")
 def _(d):
-    docs = d.table("events").select("event_id", F.expr(JSON.replace("VARCHAR", "STRING")).alias("doc"))
-    return ob.scan_json(docs, "event_id", "doc", depth=5)
+    """Documents of 1 to 33 levels; the SQL walks them as a table of nodes."""
+    docs = d.table("events").select("event_id", F.expr(NESTED.replace("VARCHAR", "STRING")).alias("doc"))
+    return ob.scan_json(docs, "event_id", "doc")
 
 
 @query("d11_audit_rows", f"""WITH t AS (SELECT event_id, event_type, {LEAKY} AS text FROM events)

@@ -58,3 +58,10 @@ def freeze(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def land(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared checkpoint folder and read back: as ``freeze``, but compressed."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -126,16 +126,49 @@ def test_excerpts_may_be_allowed_up_to_a_length(spark):
     assert got == {1: None, 2: "full_report_body"}
 
 
-def test_deeper_documents_are_marked(spark):
-    rows = spark.createDataFrame([(1, json.dumps({"a": {"b": {"c": {"password": "x"}}}}))], "id int, doc string")
-    assert ob.scan_json(rows, "id", "doc", depth=1).first().deeper
-    assert ob.scan_json(rows, "id", "doc", depth=4).first().location == "a.b.c.password"
+def plain_walk(node, path=()):
+    """The first hit of a plain depth-first walk that knows one rule: a key named password."""
+    if isinstance(node, dict):
+        for k, v in node.items():
+            if k == "password":
+                return ".".join((*path, k))
+            found = plain_walk(v, (*path, k))
+            if found:
+                return found
+    elif isinstance(node, list):
+        for i, v in enumerate(node):
+            found = plain_walk(v, (*path, str(i)))
+            if found:
+                return found
+    return None
+
+
+def test_documents_of_any_depth_are_walked_to_the_end(spark):
+    import random
+
+    rng = random.Random(2)
+
+    def made(depth):
+        if depth == 0:
+            return rng.choice(["fine", None, 3, [], {}])
+        kids = [made(depth - 1)] + [made(0) for _ in range(rng.randrange(3))]
+        rng.shuffle(kids)
+        return kids if rng.random() < 0.4 else {("password" if rng.random() < 0.06 else f"k{i}"): v for i, v in enumerate(kids)}
+
+    docs = [made(d) for d in [*range(1, 31), 30, 29, 40, 60] for _ in range(2)]
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id int, doc string")
+    want = {i: plain_walk(d) for i, d in enumerate(docs)}
+    assert sum(v is None for v in want.values()) > 10 and max(v.count(".") for v in want.values() if v) > 15
+    for levels in (1, 4):
+        got = {r.id: r.location for r in ob.scan_json(rows, "id", "doc", levels=levels).collect()}
+        assert got == want
 
 
 def test_json_scan_fails_closed(spark):
     deep = '{"a":' * 12 + '{"token":"x"}' + "}" * 12
-    rows = spark.createDataFrame([(1, deep), (2, '{"password":"x"'), (3, "sk-" + "a" * 30), (4, None), (5, '{"fine":1}')], "id int, doc string")
-    got = {r.id: (r.category, r.deeper) for r in ob.scan_json(rows, "id", "doc", depth=3).collect()}
-    assert got == {1: ("too_deep", True), 2: ("unreadable", False), 3: ("secret", False), 4: (None, False), 5: (None, False)}
-    blocked = ob.audit_rows(ob.scan_json(rows, "id", "doc", depth=3).join(rows, "id"), "id", "doc").collect()
-    assert {r.id for r in blocked if r.blocked} == {1, 2, 3}
+    rows = spark.createDataFrame([(1, deep), (2, '{"password":"x"'), (3, "sk-" + "a" * 30), (4, None), (5, '{"fine":1}'), (6, "")], "id int, doc string")
+    scanned = ob.scan_json(rows, "id", "doc")
+    got = {r.id: (r.category, r.location) for r in scanned.collect()}
+    assert got == {1: ("secret", "a." * 12 + "token"), 2: ("unreadable", "<root>"), 3: ("secret", "<root>"), 4: (None, None), 5: (None, None), 6: ("unreadable", "<root>")}
+    blocked = ob.audit_rows(scanned.join(rows, "id"), "id", "doc").collect()
+    assert {r.id for r in blocked if r.blocked} == {1, 2, 3, 6}
