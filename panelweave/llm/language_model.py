@@ -5,14 +5,15 @@ place; the score of a token is that sum times the token's own vector plus its bi
 by noise-contrastive estimation: tell each token from ones drawn from the unigram distribution. Every
 training text is read once: in each of ROUNDS rounds, every trainer goes over its part of a share
 of the texts, and the trainers' parameters are averaged. Scoring is normalised: products of batches of
-contexts with all token vectors give each context's normaliser, kept in a table by context.
+contexts with all token vectors give the normaliser of every context.
 
 The model's tokens are the MODEL_WORDS most frequent words, the end of a text, and CLASSES classes of all
 other words by their ending. Inside its class a word has the share (c + 1) / (sum of c + 1 over the class, and 1
 for words never seen), so probabilities add up to 1.
 
-Counts are of all words of all training texts. The HEAD most frequent ones go to every task; words beyond
-them are joined with the table of counts, where none of them is a hot key.
+Counts are of all words of all training texts. The most frequent ones, at most HEAD, go to every task; words beyond
+them are joined with the table of counts, where none of them is a hot key. Normalisers of all contexts of two tokens
+are worked out once, in parallel, since their number depends on the model alone.
 
 Defined cases: a null text is an empty one; each text ends with one end token, so none is without tokens. Null
 ids are not held out. Repeated rows and ids are scored each for itself. Without any training text
@@ -22,7 +23,6 @@ order of words go by the word. Other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log10
@@ -30,18 +30,19 @@ from math import log10
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm.links import landed
 from panelweave.llm.wordtable import chunks, kinds, split_words
 
 MODEL_WORDS, CLASSES, WIDTH = 1_500, 256, 24
-#: Words whose counts every task holds.
+#: At most so many words' counts are held by every task.
 HEAD = 200_000
 ROUNDS = 4
-NOISE, BATCH, RATE = 64, 2048, 0.05
+NOISE, BATCH, RATE = 64, 4096, 0.05
 #: So many trainers' parameters are averaged at a time, BLOCK numbers by BLOCK.
 FAN, BLOCK = 64, 8192
 HELD = 1_000_000
@@ -49,8 +50,15 @@ END = 0  #: token of the end; classes follow, then words
 _KIND = kinds(b"\x20\x09\x0a\x0b\x0c\x0d")
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % CLASSES
+def classes_of(words: pa.Array) -> np.ndarray:
+    """The class of each word (large binary): a hash of its last three bytes."""
+    off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and off[-1] else np.zeros(1, np.uint8)
+    ending = np.zeros(len(words), np.uint64)
+    for k in range(3):
+        at = off[1:] - 1 - k
+        ending += np.where(at >= off[:-1], raw[np.maximum(at, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+    return ((ending * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(CLASSES) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass
@@ -60,24 +68,20 @@ class Vocabulary:
     tokens: int  #: N
     distinct: int  #: V
     ends: int
-    head: dict[bytes, tuple[int, int]]  #: word -> (token of the model, or -1; count)
+    head: pa.Array  #: frequent words, the most frequent first
+    count: np.ndarray  #: their counts
+    modelled: int  #: so many of them are tokens of their own
     rest: np.ndarray  #: per class: sum of (count + 1) over its words, and 1
     noise: np.ndarray  #: probability of each token of the model by its count plus 1
 
-    @property
-    def size(self) -> int:
-        return len(self.noise)
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word: its token, its count (-1 if only the whole table knows), and log10 of its share in its token."""
-        token, count, share = (np.zeros(len(words), t) for t in (np.int64, np.int64, np.float64))
-        for i, w in enumerate(words):
-            t, c = self.head.get(w, (-1, -1))
-            if t < 0:
-                k = class_of(w)
-                t, share[i] = 1 + k, -log10(self.rest[k]) + (log10(c + 1) if c >= 0 else 0.0)
-            token[i], count[i] = t, c
-        return token, count, share
+        at = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy().astype(np.int64)
+        count = np.where(at >= 0, np.append(self.count, -1)[at], -1)
+        own = (at >= 0) & (at < self.modelled)
+        kind = classes_of(words)
+        share = np.where(own, 0.0, np.log10(np.maximum(count, 0) + 1.0) - np.log10(self.rest[kind]))
+        return np.where(own, 1 + CLASSES + at, 1 + kind), count, share
 
 
 @dataclass
@@ -116,20 +120,33 @@ def summed_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def nce(model: Model, log_noise: np.ndarray, one: np.ndarray, two: np.ndarray, token: np.ndarray, noise: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
-    """The contrastive loss of a batch against shared ``noise`` tokens, and its gradient: (rows, values) of each part of the model."""
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
+
+
+def contrasts(model: Model, log_noise: np.ndarray, q: np.ndarray, token: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds that each real token, and each drawn one after each context, comes from the model and not from the noise."""
+    ratio = log_noise + np.log(len(noise)).astype(log_noise.dtype)
+    return (q * model.target[token]).sum(1) + (model.bias - ratio)[token], q @ model.target[noise].T + (model.bias - ratio)[noise]
+
+
+def nce_loss(model: Model, log_noise: np.ndarray, one: np.ndarray, two: np.ndarray, token: np.ndarray, noise: np.ndarray) -> float:
+    """The contrastive loss of a batch against ``noise`` tokens that all its contexts share."""
+    real, drawn = contrasts(model, log_noise, model.predicted(one, two), token, noise)
+    return float(np.logaddexp(0, -real).sum() + np.logaddexp(0, drawn).sum())
+
+
+def nce_gradient(model: Model, log_noise: np.ndarray, one: np.ndarray, two: np.ndarray, token: np.ndarray, noise: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The gradient of ``nce_loss``: (rows, values) for each part of the model."""
     q = model.predicted(one, two)
-    ratio = np.log(len(noise))
-    real = (q * model.target[token]).sum(1) + model.bias[token] - log_noise[token] - ratio
-    drawn = q @ model.target[noise].T + (model.bias[noise] - log_noise[noise] - ratio)
-    loss = np.logaddexp(0, -real).sum() + np.logaddexp(0, drawn).sum()
-    pull = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-    push = 1 / (1 + np.exp(-np.clip(drawn, -30, 30)))
+    real, push = contrasts(model, log_noise, q, token, noise)
+    pull, push = -sigmoid(-real), sigmoid(push)
     dq = pull[:, None] * model.target[token] + push @ model.target[noise]
     targets = summed_rows(np.concatenate((token, noise)), np.concatenate((np.column_stack((pull[:, None] * q, pull)), np.column_stack((push.T @ q, push.sum(0))))))
     contexts = summed_rows(np.concatenate((one, two)), np.concatenate((dq * model.place[0], dq * model.place[1])))
     places = np.stack(((dq * model.context[one]).sum(0), (dq * model.context[two]).sum(0)))
-    return float(loss), [contexts, (np.arange(2), places), (targets[0], targets[1][:, :-1]), (targets[0], targets[1][:, -1])]
+    return [contexts, (np.arange(2), places), (targets[0], targets[1][:, :-1]), (targets[0], targets[1][:, -1])]
 
 
 class Trainer:
@@ -149,7 +166,7 @@ class Trainer:
         for a in range(0, len(order), BATCH):
             at = order[a : a + BATCH]
             noise = np.minimum(np.searchsorted(self.up_to, self.rng.random(NOISE), "right"), len(self.up_to) - 1)
-            _, gradient = nce(self.model, self.log_noise, one[at], two[at], token[at], noise)
+            gradient = nce_gradient(self.model, self.log_noise, one[at], two[at], token[at], noise)
             for part, square, (rows, g) in zip(self.model.parts(), self.squares, gradient, strict=True):
                 g = g / np.float32(len(at) ** 0.5)
                 square[rows] += g * g
@@ -182,9 +199,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.group_by("word").aggregate([("n", "sum")])
         for part in table.to_batches(max_chunksize=50_000):
-            words = part.column("word").cast(pa.binary())
-            kind = pa.array([class_of(w) for w in words.to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), kind, part.column("n_sum")], names=["word", "kind", "n"])
+            words = part.column("word")
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()).cast(pa.string()), pa.array(classes_of(words), pa.int32()), part.column("n_sum")], names=["word", "kind", "n"])
 
     for batch in batches:
         texts += batch.num_rows
@@ -201,23 +217,38 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([-1], pa.int32()), pa.array([texts], pa.int64())], names=["word", "kind", "n"])
 
 
+def _least_count(table: DataFrame) -> int:
+    """The least count such that at most HEAD words have it or a greater one, in steps of a sixteenth of a doubling beyond 1024."""
+    n = F.col("n")
+    step = F.when(n < 1024, n).otherwise(1024 + F.floor(16 * F.log2(n / 1024)).cast("long"))
+    rows = table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()  # 2,000 at most
+    total, least = 0, 2**62
+    for r in rows:
+        total += r["k"]
+        if total > HEAD:
+            break
+        least = r["least"]
+    return least
+
+
 def count(texts: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """``word, n`` of all words of the training texts, and what tasks hold of it."""
     words = landed(texts.select("text").mapInArrow(_counted, "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n")), "words")
     ends = words.filter("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     table = words.filter("word is not null")
-    head = table.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    head = sorted(((r["word"].encode(), r["kind"], r["n"]) for r in table.filter(F.col("n") >= _least_count(table)).collect()), key=lambda r: (-r[2], r[0]))
+    own = head[:MODEL_WORDS]
     total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     rest, mass = np.ones(CLASSES), np.zeros(CLASSES)
     for r in table.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():  # a row a class
         rest[r["kind"]] += r["n"] + r["k"]
         mass[r["kind"]] += r["n"]
-    for r in head[:MODEL_WORDS]:
-        rest[r["kind"]] -= r["n"] + 1
-        mass[r["kind"]] -= r["n"]
-    known = {r["word"].encode(): (1 + CLASSES + i if i < MODEL_WORDS else -1, r["n"]) for i, r in enumerate(head)}
-    noise = np.concatenate(([ends], mass, [r["n"] for r in head[:MODEL_WORDS]])) + 1.0
-    return table.select("word", "n"), Vocabulary(int(total + ends), int(distinct + (ends > 0)), int(ends), known, rest, noise / noise.sum())
+    for _, kind, n in own:
+        rest[kind] -= n + 1
+        mass[kind] -= n
+    noise = np.concatenate(([ends], mass, [n for _, _, n in own])) + 1.0
+    known, counts = pa.array([w for w, _, _ in head], pa.large_binary()), np.array([n for _, _, n in head], np.int64)
+    return table.select("word", "n"), Vocabulary(int(total + ends), int(distinct + (ends > 0)), int(ends), known, counts, len(own), rest, noise / noise.sum())
 
 
 def _averaged(blocks: pd.DataFrame) -> pd.DataFrame:
@@ -243,7 +274,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, width: int = WIDTH, rounds:
             for batch in batches:
                 for part in chunks(batch):
                     at, known, _, row = split_words(part.column("text"), _KIND)
-                    token, one, two, _ = with_ends(words.look_up(known.to_pylist())[0][at], row, part.num_rows)
+                    token, one, two, _ = with_ends(words.look_up(known)[0][at], row, part.num_rows)
                     trainer.learn(one, two, token)
             if trainer.tokens:
                 flat = trainer.model.flat().astype(np.float64) * trainer.tokens
@@ -263,27 +294,36 @@ def train(texts: DataFrame, vocabulary: Vocabulary, width: int = WIDTH, rounds:
     return model
 
 
-class Scorer:
-    """Log10 probabilities of tokens after two others; normalisers are kept by context."""
+def normalisers(spark: SparkSession, model: Model) -> np.ndarray:
+    """For every two tokens before, ``[one, two]``, the log of the sum of all tokens' exponentiated scores."""
+    shared = spark.sparkContext.broadcast(model)
+    size = len(model.bias)
 
-    def __init__(self, model: Model):
-        self.model, self.size = model, len(model.bias)
-        self.log_sum = np.full(self.size * self.size, np.nan, np.float32)
-
-    def __call__(self, one: np.ndarray, two: np.ndarray, token: np.ndarray) -> np.ndarray:
-        m = self.model
-        context = one * self.size + two
-        new = np.unique(context[np.isnan(self.log_sum[context])])
-        for a in range(0, len(new), 2048):
-            at = new[a : a + 2048]
-            s = m.predicted(at // self.size, at % self.size) @ m.target.T + m.bias
-            top = s.max(1)
-            self.log_sum[at] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        out = np.empty(len(token), np.float64)
-        for a in range(0, len(token), 65_536):
-            b = slice(a, a + 65_536)
-            out[b] = (m.predicted(one[b], two[b]) * m.target[token[b]]).sum(1) + m.bias[token[b]] - self.log_sum[context[b]]
-        return out / np.log(10)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for one in batch.column(0).to_pylist():
+                s = m.predicted(np.full(size, one), np.arange(size)) @ m.target.T + m.bias
+                top = s.max()
+                s -= top
+                yield pa.RecordBatch.from_arrays([pa.array([one], pa.int64()), pa.array([top + np.log(np.exp(s, out=s).sum(1))])], names=["one", "x"])
+
+    tasks = min(size, 4 * max(spark.sparkContext.defaultParallelism, 1))
+    rows = spark.range(0, size, 1, tasks).mapInArrow(run, "one long, x array<float>").collect()  # the square of the model's tokens
+    out = np.empty((size, size), np.float32)
+    for r in rows:
+        out[r["one"]] = r["x"]
+    shared.unpersist()
+    return out
+
+
+def log10_probabilities(m: Model, log_sum: np.ndarray, one: np.ndarray, two: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Normalised log10 probabilities of tokens after two others."""
+    out = np.empty(len(token), np.float64)
+    for a in range(0, len(token), 65_536):
+        b = slice(a, a + 65_536)
+        out[b] = (m.predicted(one[b], two[b]) * m.target[token[b]]).sum(1) + m.bias[token[b]] - log_sum[one[b], two[b]]
+    return out / np.log(10)
 
 
 SCORED = "id {}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<string>, times array<int>"
@@ -292,28 +332,27 @@ SCORED = "id {}, held_out boolean, n_tokens long, n_known long, base double, sco
 def score(docs: DataFrame, table: DataFrame, vocabulary: Vocabulary, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``key, held_out, n_tokens, n_known, base_score, score``."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, model))  # HEAD words, and the model
+    shared = spark.sparkContext.broadcast((vocabulary, model, normalisers(spark, model)))  # HEAD words, and what the model holds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = shared.value
-        scorer, whole = Scorer(m), log10(v.tokens + v.distinct + 1)
+        v, m, log_sum = shared.value
+        whole = log10(v.tokens + v.distinct + 1)
         for batch in batches:
             for part in chunks(batch):
                 at, known, _, row = split_words(part.column("text"), _KIND)
-                words = known.to_pylist()
-                of_token, of_count, of_share = v.look_up(words)
+                of_token, of_count, of_share = v.look_up(known)
                 rows = part.num_rows
                 token, one, two, owner = with_ends(of_token[at], row, rows)
                 n = np.bincount(row, minlength=rows)
                 add = lambda x: np.bincount(row, x, rows)  # noqa: B023, E731
                 logs = np.log10(np.maximum(of_count, 0) + 1.0)[at]
                 base = add(logs) + log10(v.ends + 1) - (n + 1) * whole
-                score = np.bincount(owner, scorer(one, two, token), rows) + add(of_share[at])
+                score = np.bincount(owner, log10_probabilities(m, log_sum, one, two, token), rows) + add(of_share[at])
                 sure = add((of_count[at] > 0).astype(np.float64)).astype(np.int64) + (v.ends > 0)
                 # Words that only the table knows: counted per text.
                 far = of_count[at] < 0
-                pair, times = np.unique(row[far].astype(np.int64) * max(len(words), 1) + at[far], return_counts=True)
-                of, which = np.divmod(pair, max(len(words), 1))
+                pair, times = np.unique(row[far].astype(np.int64) * max(len(known), 1) + at[far], return_counts=True)
+                of, which = np.divmod(pair, max(len(known), 1))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=rows)))), pa.int32())
                 names = known.take(pa.array(which)).cast(pa.binary()).cast(pa.string())
                 columns = [part.column("id"), part.column("held_out"), pa.array(n + 1, pa.int64()), pa.array(sure, pa.int64()), pa.array(base), pa.array(score)]
