@@ -45,7 +45,7 @@ ROUNDS = 4
 NOISE, BATCH, RATE = 64, 4096, 0.05
 #: So many trainers' parameters are averaged at a time, BLOCK numbers by BLOCK.
 FAN, BLOCK = 64, 8192
-HELD = 1_000_000
+HELD = 300_000
 END = 0  #: token of the end; classes follow, then words
 _KIND = kinds(b"\x20\x09\x0a\x0b\x0c\x0d")
 

@@ -41,13 +41,13 @@ LEAST = 100
 MAX_WORDS = 5
 TOP = 2000
 #: A range of prefixes holds about as many words of the corpus.
-RANGE_WORDS = 4_000_000
+RANGE_WORDS = 2_000_000
 #: Bits of the largest table of frequent runs that is sent to tasks (128 MB).
 MAX_BITS = 1 << 30
 #: So many shards' automata are united at a time.
 FAN = 64
 #: Rows of a task's tables that are held before they are summed up, and then sent on.
-HELD = 400_000
+HELD = 200_000
 _KIND = kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[0x41:0x5B] += 32
 
