@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators.trees import same_trees
+
 MAX_ATTEMPTS = 2
 # fixed values: error codes where only the expression is wrong
 REPAIRABLE = [
@@ -62,6 +64,15 @@ def score_cases(cases: DataFrame) -> DataFrame:
     })
 
 
+def with_tree_match(cases: DataFrame, expected: DataFrame, parsed: DataFrame, labels: list[str]) -> DataFrame:
+    """``cases`` with ``ast_match``: whether the parsed tree of a case is the expected one; no tree on either side is a match.
+
+    Both are tables of nodes ``(spec_id, node_id, parent_id, position, …)`` with ``spec_id`` the case.
+    """
+    same = same_trees(expected, parsed, labels).select(F.col("spec_id").alias("case_id"), "same")
+    return cases.join(same, "case_id", "left").withColumn("ast_match", F.coalesce("same", F.lit(True))).drop("same")
+
+
 def suite_metrics(cases: DataFrame) -> DataFrame:
     """Acceptance figures over all cases; a rate over nothing is 1, the needless rate 0."""
     s = score_cases(cases)
@@ -92,6 +103,12 @@ def failures_by_kind(cases: DataFrame) -> DataFrame:
     return s.select("case_id", F.explode(made).alias("_f")).select("case_id", "_f.kind", "_f.detail")
 
 
+def failure_breakdown(failures: DataFrame) -> DataFrame:
+    """Failures by kind and by what went wrong: the part of the detail before its list."""
+    what = F.substring_index("detail", ":", 1).alias("what")
+    return failures.groupBy("kind", what).agg(F.count(F.lit(1)).alias("failures"), F.count_distinct("case_id").alias("cases"))
+
+
 def tool_accuracy(cases: DataFrame) -> DataFrame:
     """Share of scored cases whose chosen tools are the expected set. Cases without expectation are not scored."""
     scored = F.size("expected_tools") > 0

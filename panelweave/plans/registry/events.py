@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelweave.operators import event_log as el
 from panelweave.operators import library as lb
@@ -303,32 +304,68 @@ def cases(d):
     doc = d.table("documents").join(d.table("labels"), "doc_id")
     q = lambda *pairs: F.array_compact(F.array(*[F.when(w, n) for w, n in pairs]))
     return doc.select(
-        F.col("doc_id").alias("case_id"), F.when(F.col("lang") == "en", "ambiguous").otherwise("concrete").alias("category"), (F.col("n_chars") > 100).alias("parsed"), (F.col("quality") == 1).alias("ast_match"),
+        F.col("doc_id").alias("case_id"), F.when(F.col("lang") == "en", "ambiguous").otherwise("concrete").alias("category"), (F.col("n_chars") > 100).alias("parsed"),
         q((F.col("quality") == 0, "growth"), (F.col("toxic") == 1, "direction")).alias("expected"), q((F.col("quality") == 0, "growth"), (F.col("n_chars") > 3000, "direction")).alias("raised"),
         q((F.col("quality") == 1, "get_price"), (F.col("lang") != "de", "calendar")).alias("expected_tools"), q((F.col("lang") != "de", "calendar"), (F.col("n_chars") < 4000, "get_price"), (F.col("n_chars") < 4000, "get_price")).alias("chosen_tools"),
     )
 
 
-CASES = """c AS (SELECT d.doc_id AS case_id, lang <> 'en' AS concrete, n_chars > 100 AS parsed, quality = 1 AS good, quality = 0 AS eg, toxic = 1 AS ed, quality = 0 AS rg, n_chars > 3000 AS rd, lang, n_chars FROM documents d JOIN labels USING (doc_id)),
+def trees(d):
+    """Expected and parsed trees of the cases: heaps of an order's lines. Parsed ones have other node numbers; some differ in a value, an order of arguments, or a missing node."""
+    w = Window.partitionBy("l_orderkey")
+    li = d.table("lineitem").join(d.table("labels").select(F.col("doc_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    n = F.row_number().over(w.orderBy("l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")).cast("long")
+    li = li.select(F.col("l_orderkey").alias("spec_id"), n.alias("n"), F.count(F.lit(1)).over(w).alias("m"), F.col("l_returnflag").alias("op"), F.col("l_quantity").alias("value"))
+    up = F.when(F.col("n") > 1, F.floor(F.col("n") / 2).cast("long"))
+    expected = li.select("spec_id", F.col("n").alias("node_id"), up.alias("parent_id"), (F.col("n") % 2).alias("position"), "op", "value")
+    kind, last = F.col("spec_id") % 5, F.col("n") == F.col("m")
+    parsed = li.filter(~((kind == 2) & last)).select(
+        "spec_id", (100 - F.col("n")).alias("node_id"), (100 - up).alias("parent_id"), F.when(kind == 3, 1 - F.col("n") % 2).otherwise(F.col("n") % 2).alias("position"), "op",
+        F.when((kind == 4) & last, F.col("value") + 1).otherwise(F.col("value")).alias("value"),
+    )
+    return expected, parsed
+
+
+def scored(d):
+    return us.with_tree_match(cases(d), *trees(d), ["op", "value"])
+
+
+CASES = """WITH RECURSIVE li AS (SELECT l_orderkey AS spec_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey) AS m, l_returnflag AS op, l_quantity AS value FROM lineitem WHERE l_orderkey IN (SELECT doc_id FROM labels)
+    WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_returnflag)),
+  nodes AS (SELECT 'e' AS side, spec_id, n AS id, CASE WHEN n > 1 THEN n // 2 END AS parent, n % 2 AS position, op, value FROM li
+    UNION ALL SELECT 'p', spec_id, 100 - n, CASE WHEN n > 1 THEN 100 - n // 2 END, CASE WHEN spec_id % 5 = 3 THEN 1 - n % 2 ELSE n % 2 END, op, CASE WHEN spec_id % 5 = 4 AND n = m THEN value + 1 ELSE value END FROM li WHERE NOT (spec_id % 5 = 2 AND n = m)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY side, spec_id, parent ORDER BY position) AS place FROM nodes),
+  ways AS (SELECT side, spec_id, id, 'r' AS way, op, value FROM nodes WHERE parent IS NULL UNION ALL SELECT k.side, k.spec_id, k.id, w.way || '.' || k.place, k.op, k.value FROM ways w JOIN placed k ON k.side = w.side AND k.spec_id = w.spec_id AND k.parent = w.id),
+  whole AS (SELECT side, spec_id, string_agg(way || op || value, ';' ORDER BY way) AS tree FROM ways GROUP BY 1, 2),
+  c AS (SELECT d.doc_id AS case_id, lang <> 'en' AS concrete, n_chars > 100 AS parsed, e.tree IS NOT DISTINCT FROM p.tree AS good, quality = 1 AS fine, quality = 0 AS eg, toxic = 1 AS ed, quality = 0 AS rg, n_chars > 3000 AS rd, lang, n_chars FROM documents d JOIN labels USING (doc_id)
+    LEFT JOIN whole e ON e.side = 'e' AND e.spec_id = d.doc_id LEFT JOIN whole p ON p.side = 'p' AND p.spec_id = d.doc_id),
   s AS (SELECT *, CAST(eg AS INTEGER) + CAST(ed AS INTEGER) AS ne, CAST(rg AS INTEGER) + CAST(rd AS INTEGER) AS nr, CAST(eg AND rg AS INTEGER) + CAST(ed AND rd AS INTEGER) AS nc, ed AND NOT rd AS miss, rd AND NOT ed AS spur FROM c)"""
 
 
-@query("m1_suite_metrics", f"""WITH {CASES}, f AS (SELECT *, NOT parsed OR (concrete AND NOT good) OR miss OR spur AS bad FROM s)
+@query("m1_suite_metrics", f"""{CASES}, f AS (SELECT *, NOT parsed OR (concrete AND NOT good) OR miss OR spur AS bad FROM s)
   SELECT count(*) AS cases, count(CASE WHEN bad THEN 1 END) AS failed, count(CASE WHEN NOT bad THEN 1 END) AS passed, count(CASE WHEN parsed THEN 1 END) / count(*) AS parse_success_rate,
   coalesce(count(CASE WHEN concrete AND parsed AND good THEN 1 END) / nullif(count(CASE WHEN concrete THEN 1 END), 0), 1) AS ast_match_rate, coalesce(sum(nc) / nullif(sum(ne), 0), 1) AS blocking_recall,
   coalesce(sum(nc) / nullif(sum(nr), 0), 1) AS blocking_precision, coalesce(count(CASE WHEN concrete AND nr > 0 THEN 1 END) / nullif(count(CASE WHEN concrete THEN 1 END), 0), 0) AS unnecessary_question_rate,
   count(CASE WHEN miss THEN 1 END) AS missed_cases, count(CASE WHEN spur THEN 1 END) AS spurious_cases FROM f""", nums="parse_success_rate ast_match_rate blocking_recall blocking_precision unnecessary_question_rate", dates="")
 def _(d):
-    return us.suite_metrics(cases(d))
+    return us.suite_metrics(scored(d))
+
+
+FAILURES = f"""{CASES}, fa AS (SELECT case_id, 'model' AS kind, 'parse_failed' AS detail FROM s WHERE NOT parsed UNION ALL SELECT case_id, 'model', 'tree_differs' FROM s WHERE parsed AND concrete AND NOT good
+  UNION ALL SELECT case_id, 'model', 'missed:direction' FROM s WHERE miss UNION ALL SELECT case_id, 'model', 'spurious:direction' FROM s WHERE spur)"""
+
+
+@query("m1_failures", f"{FAILURES} SELECT * FROM fa", dates="")
+def _(d):
+    return us.failures_by_kind(scored(d))
 
 
-@query("m1_failures", f"""WITH {CASES} SELECT case_id, 'model' AS kind, 'parse_failed' AS detail FROM s WHERE NOT parsed UNION ALL SELECT case_id, 'model', 'tree_differs' FROM s WHERE parsed AND concrete AND NOT good
-  UNION ALL SELECT case_id, 'model', 'missed:direction' FROM s WHERE miss UNION ALL SELECT case_id, 'model', 'spurious:direction' FROM s WHERE spur""", dates="")
+@query("m1_failure_breakdown", f"{FAILURES} SELECT kind, string_split(detail, ':')[1] AS what, count(*) AS failures, count(DISTINCT case_id) AS cases FROM fa GROUP BY 1, 2", dates="")
 def _(d):
-    return us.failures_by_kind(cases(d))
+    return us.failure_breakdown(us.failures_by_kind(scored(d)))
 
 
-@query("m2_tool_accuracy", f"""WITH {CASES}, t AS (SELECT good OR lang <> 'de' AS scored, (good = (n_chars < 4000)) AS same FROM s)
+@query("m2_tool_accuracy", f"""{CASES}, t AS (SELECT fine OR lang <> 'de' AS scored, (fine = (n_chars < 4000)) AS same FROM s)
   SELECT coalesce(count(CASE WHEN scored AND same THEN 1 END) / nullif(count(CASE WHEN scored THEN 1 END), 0), 1) AS tool_selection_accuracy, count(CASE WHEN scored THEN 1 END) AS planned_cases FROM t""", nums="tool_selection_accuracy", dates="")
 def _(d):
     return us.tool_accuracy(cases(d))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelweave.operators import findings as fi
 from panelweave.operators import spec_audit as sa
@@ -167,18 +168,49 @@ def names(severity, code, source):
     return f"SELECT DISTINCT spec_id, '{severity}' AS severity, '{code}' AS code, name AS detail FROM ({source})"
 
 
-@query("f1_audit_trees", f"""{SPEC_SQL} {names('error', 'duplicate_variable', 'SELECT * FROM decl WHERE n > 1')}
+# The lines of a part are the nodes of a spec: chains, binary heaps, chains with a lost link, chains that bite their tail.
+PARENT = """CASE WHEN spec_id % 9 = 0 AND n = 5 THEN NULL WHEN n = 1 THEN NULL WHEN spec_id % 4 = 1 THEN CAST(floor(n / 2) AS BIGINT)
+  WHEN spec_id % 4 = 2 AND n = 4 THEN n + 1000 WHEN spec_id % 4 = 3 AND n = 2 AND m > 6 THEN CAST(6 AS BIGINT) ELSE n - 1 END"""
+TREE_SQL = f"""WITH RECURSIVE l AS (SELECT *, l_partkey AS spec_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag) AS n, count(*) OVER (PARTITION BY l_partkey) AS m FROM lineitem),
+  nodes AS (SELECT spec_id, n, {PARENT} AS parent, CASE l_returnflag WHEN 'A' THEN 'variable' WHEN 'R' THEN 'literal' ELSE 'call' END AS type,
+    CASE WHEN l_returnflag = 'N' THEN CASE l_linenumber WHEN 1 THEN 'rank' WHEN 2 THEN 'rolling_mean' WHEN 3 THEN 'rolling_std' WHEN 4 THEN 'rolling_return' ELSE 'add' END END AS op,
+    CASE WHEN l_returnflag = 'A' THEN CASE WHEN l_discount > 0.08 THEN 'V' ELSE 'v' END || l_linenumber END AS name, l_returnflag = 'R' AND l_tax = 0 AS bad_literal,
+    CAST(floor(l_quantity / 5) AS INTEGER) AS n_params, CASE WHEN l_discount > 0 THEN l_quantity * 60 + CASE WHEN l_tax > 0.07 THEN 0.5 ELSE 0 END - 60 END AS w FROM l),
+  vars AS (SELECT l_partkey AS spec_id, CASE WHEN l_discount > 0.08 THEN 'V' ELSE 'v' END || l_linenumber AS name FROM lineitem WHERE l_linestatus = 'F'),
+  used AS (SELECT DISTINCT spec_id, name FROM nodes WHERE type = 'variable'), decl AS (SELECT spec_id, name, count(*) AS n FROM vars GROUP BY 1, 2),
+  roll AS (SELECT * FROM nodes WHERE op IN ('rolling_mean', 'rolling_std', 'rolling_return')),
+  lost AS (SELECT a.spec_id, a.n FROM nodes a ANTI JOIN nodes b ON b.spec_id = a.spec_id AND b.n = a.parent WHERE a.parent IS NOT NULL),
+  down AS (SELECT spec_id, n, 1 AS depth FROM nodes WHERE parent IS NULL UNION ALL SELECT spec_id, n, 1 FROM lost UNION ALL SELECT k.spec_id, k.n, d.depth + 1 FROM down d JOIN nodes k ON k.spec_id = d.spec_id AND k.parent = d.n),
+  kids AS (SELECT a.spec_id, a.n, a.type, a.op, count(b.n) AS k FROM nodes a LEFT JOIN nodes b ON b.spec_id = a.spec_id AND b.parent = a.n GROUP BY 1, 2, 3, 4)"""
+
+
+@query("f1_audit_trees", f"""{TREE_SQL} {names('error', 'duplicate_variable', 'SELECT * FROM decl WHERE n > 1')}
   UNION ALL {names('error', 'invalid_variable_name', "SELECT * FROM decl WHERE name LIKE 'V%'")}
   UNION ALL {names('error', 'unbound_variable', 'SELECT spec_id, name FROM used EXCEPT SELECT spec_id, name FROM decl')}
   UNION ALL {names('warning', 'unused_variable', 'SELECT spec_id, name FROM decl EXCEPT SELECT spec_id, name FROM used')}
-  UNION ALL SELECT spec_id, 'error', 'depth_exceeded', CAST(max(depth) AS VARCHAR) FROM nodes GROUP BY 1 HAVING max(depth) > 20
+  UNION ALL SELECT spec_id, 'error', 'depth_exceeded', CAST(max(depth) AS VARCHAR) FROM down GROUP BY 1 HAVING max(depth) > 20
   UNION ALL SELECT spec_id, 'error', 'node_count_exceeded', CAST(count(*) AS VARCHAR) FROM nodes GROUP BY 1 HAVING count(*) > 200
+  UNION ALL SELECT spec_id, 'error', 'root_count', CAST(count(*) - count(parent) AS VARCHAR) FROM nodes GROUP BY 1 HAVING count(*) - count(parent) <> 1
+  UNION ALL SELECT spec_id, 'error', 'cycle', CAST(count(*) AS VARCHAR) FROM nodes ANTI JOIN down USING (spec_id, n) GROUP BY 1
+  UNION ALL SELECT spec_id, 'error', 'orphan_node', CAST(n AS VARCHAR) FROM lost
+  UNION ALL SELECT spec_id, 'error', 'wrong_arity', n || ' ' || coalesce(op, type) || ' ' || k FROM kids WHERE k <> CASE WHEN type <> 'call' THEN 0 WHEN op = 'add' THEN 2 ELSE 1 END
   UNION ALL SELECT spec_id, 'error', 'param_count_exceeded', op FROM nodes WHERE type = 'call' AND n_params > 8
   UNION ALL SELECT spec_id, 'error', 'missing_window', op FROM roll WHERE w IS NULL
   UNION ALL SELECT spec_id, 'error', 'window_out_of_range', op FROM roll WHERE w <> floor(w) OR w < 1 OR w > 2520
   UNION ALL SELECT spec_id, 'error', 'non_finite_literal', 'Infinity' FROM nodes WHERE bad_literal""", dates="")
 def _(d):
-    nodes, variables, _, _ = tables(d)
+    """Only parent links are given; depth, roots, lost links, cycles and arity are found by walking them."""
+    k, w = F.col("l_linenumber"), Window.partitionBy("l_partkey")
+    li = d.table("lineitem").withColumn("n", F.row_number().over(w.orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")).cast("long")).withColumn("m", F.count(F.lit(1)).over(w)).withColumn("spec_id", F.col("l_partkey"))
+    kind = F.when(F.col("l_returnflag") == "A", "variable").when(F.col("l_returnflag") == "R", "literal").otherwise("call")
+    op = F.when(k == 1, "rank").when(k == 2, "rolling_mean").when(k == 3, "rolling_std").when(k == 4, "rolling_return").otherwise("add")
+    name = F.concat(F.when(F.col("l_discount") > 0.08, "V").otherwise("v"), k.cast("string"))
+    nodes = li.select(
+        "spec_id", F.col("n").alias("node_id"), F.expr(PARENT).alias("parent_id"), F.lit(0).alias("position"), kind.alias("type"), F.when(kind == "call", op).alias("op"), F.when(kind == "variable", name).alias("name"),
+        F.when(kind == "literal", F.when(F.col("l_tax") == 0.0, F.lit(float("inf"))).otherwise(F.col("l_tax"))).alias("value"), F.floor(F.col("l_quantity") / 5).cast("int").alias("n_params"),
+        F.when(F.col("l_discount") > 0.0, (F.col("l_quantity") * 60 + F.when(F.col("l_tax") > 0.07, 0.5).otherwise(0.0) - 60)).alias("window"),
+    )
+    variables = d.table("lineitem").filter("l_linestatus = 'F'").select(F.col("l_partkey").alias("spec_id"), name.alias("name"))
     return sa.audit_trees(nodes, variables)
 
 
