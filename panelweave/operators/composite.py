@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from panelweave.operators.calendar import rebalance_dates
 from panelweave.operators.cross_section import with_date_stats
-from panelweave.operators.grid import inner_align
+from panelweave.operators.grid import shared_by_all, stack, within_shared
+from panelweave.session import land
 
 LIMITATION_NOTE = "weights are a research sample and not an investable index"
 SCORE_FLOOR = 1e-9
@@ -25,15 +26,13 @@ def check_combination(factors: dict, weights: dict, directions: dict) -> None:
 
 
 def check_overlap(factors: dict[str, DataFrame]) -> None:
-    """Factors without a common date or a common code cannot be combined. Reads the factors' keys once."""
+    """Factors without a common date or a common code cannot be combined."""
+    _check_shared(stack(factors), len(factors))
+
+
+def _check_shared(stacked: DataFrame, n: int) -> None:
     for what in ("date", "code"):
-        keys = [F.lit(i).alias("factor") for i in range(len(factors))]
-        seen = None
-        for f, k in zip(factors.values(), keys, strict=True):
-            part = f.filter(F.col("value").isNotNull()).select(what, k)
-            seen = part if seen is None else seen.unionByName(part)
-        shared = seen.groupBy(what).agg(F.countDistinct("factor").alias("n")).filter(F.col("n") == len(factors))
-        if shared.isEmpty():
+        if shared_by_all(stacked, what, n).isEmpty():
             raise ValueError(f"the factors share no {what}")
 
 
@@ -41,10 +40,13 @@ def combine_factors(factors: dict[str, DataFrame], weights: dict[str, float], di
     """Weighted sum of per-date z-scores; a missing or spreadless score counts as 0.
 
     The factors are stacked, so any number of them costs one grouping per date and one per
-    cell. The per-(factor, date) statistics are at most one row per factor and day.
+    cell. The per-(factor, date) statistics are at most one row per factor and day. The stack is written once,
+    and factors that share no date or no code raise an error.
     """
     check_combination(factors, weights, directions)
-    stacked = inner_align(factors)
+    whole = stack(factors)
+    _check_shared(whole, len(factors))
+    stacked = within_shared(whole, len(factors))
     sign = F.create_map(*[F.lit(x) for f, d in directions.items() for x in (f, float(d))])
     total = float(sum(weights.values()))
     share = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, float(w) / total)])
@@ -75,12 +77,19 @@ def generate_index(composite: DataFrame, top_n: int, weighting: str = "equal", r
     """Top names and weights per rebalance date; ties go to the first code.
 
     The row-number filter is a top-k per date, which Spark cuts on the map side before the
-    shuffle, so only ``top_n`` rows per task and date move.
+    shuffle, so only ``top_n`` rows per task and date move. The composite is written once; one that is empty, without
+    any value on a rebalance date, or with a (date, code) twice on one raises an error.
     """
     if top_n < 1 or weighting not in ("equal", "factor_score"):
         raise ValueError("need top_n >= 1 and weighting 'equal' or 'factor_score'")
-    days = rebalance_dates(composite, rebalance)
+    composite = land(composite.select("date", "code", "value"), "composite")
+    if composite.isEmpty():
+        raise ValueError("the composite is empty")
+    days = land(rebalance_dates(composite, rebalance), "days")
+    check_unique_dates(composite.join(F.broadcast(days), "date", "left_semi"))
     scores = composite.filter(F.col("value").isNotNull()).join(F.broadcast(days), "date", "left_semi")
+    if scores.isEmpty():
+        raise ValueError("no rebalance date has a usable selection")
     order = W.partitionBy("date").orderBy(F.col("value").desc(), F.col("code"))
     chosen = scores.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= top_n)
     day = W.partitionBy("date")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.numeric import clean
+from panelweave.session import land
 
 KEYS = ["date", "code"]
 
@@ -85,19 +86,29 @@ def panel_from_matrix(df: DataFrame, dates: str = "dates", codes: str = "codes",
     )
 
 
-def inner_align(panels: dict[str, DataFrame], value: str = "value") -> DataFrame:
-    """Stack named panels and keep only cells whose date and code occur in every one."""
+def stack(panels: dict[str, DataFrame], value: str = "value") -> DataFrame:
+    """Named panels below each other, with ``factor``, written once: each panel is computed once however often the stack is read."""
     stacked = None
     for name, panel in panels.items():
         one = panel.select("date", "code", F.lit(name).alias("factor"), F.col(value).alias("value"))
         stacked = one if stacked is None else stacked.unionByName(one)
-    n = len(panels)
+    return land(stacked, "stack")
+
+
+def shared_by_all(stacked: DataFrame, axis: str, n: int) -> DataFrame:
+    """The dates or codes that occur in all ``n`` panels of a stack."""
+    return stacked.groupBy(axis).agg(F.size(F.collect_set("factor")).alias("_k")).filter(F.col("_k") == n).select(axis)
 
-    def shared(axis: str) -> DataFrame:
-        return stacked.groupBy(axis).agg(F.count_distinct("factor").alias("_k")).filter(F.col("_k") == n).select(axis)
 
+def within_shared(stacked: DataFrame, n: int) -> DataFrame:
+    """The cells of a stack whose date and code occur in all ``n`` panels."""
     # Dates are at most one per day, which bounds what is broadcast.
-    return stacked.join(shared("code"), "code", "left_semi").join(F.broadcast(shared("date")), "date", "left_semi")
+    return stacked.join(shared_by_all(stacked, "code", n), "code", "left_semi").join(F.broadcast(shared_by_all(stacked, "date", n)), "date", "left_semi")
+
+
+def inner_align(panels: dict[str, DataFrame], value: str = "value") -> DataFrame:
+    """Stack named panels and keep only cells whose date and code occur in every one."""
+    return within_shared(stack(panels, value), len(panels))
 
 
 def outer_align(left: DataFrame, right: DataFrame) -> DataFrame:

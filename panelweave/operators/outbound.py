@@ -59,27 +59,29 @@ def scan_json(df: DataFrame, key: str, col: str, allow_excerpt: bool = False, ma
     unread = F.when(broken, _hit(F.array().cast("array<int>"), 0, F.coalesce(text_rule(raw), F.lit("unreadable")), F.array().cast("array<string>")))
     level = F.filter(F.array(root), lambda _: raw.isNotNull() & ~broken)
     step = spread(df.select(key, col), key).select(key, unread.alias("_best"), level.alias("_level"))
+    opened = F.transform("_level", _opened)
+    hits = F.array_min(F.concat(
+        F.transform(F.filter("_open", lambda n: n["hit"].isNotNull()), lambda n: _hit(n["at"], 1, n["hit"], n["path"])),
+        _key_hits("_open", allow_excerpt, max_excerpt),
+    ))
+    below = F.flatten(F.transform(
+        F.filter("_open", lambda n: n["hit"].isNull()),
+        lambda n: F.transform(n["children"], lambda c, k: F.struct(
+            F.array_append(n["at"], k).alias("at"), F.array_append(n["path"], c["name"]).alias("path"), c["raw"].alias("raw"), c["kind"].alias("kind"))),
+    ))
+    # What can still come before the best hit, and has something to look at.
+    wanted = F.filter("_below", lambda n: n["kind"].isin("object", "list", "text") & (F.col("_best").isNull() | (n["at"] <= F.col("_best.at"))))
     done = None
     while True:
         for _ in range(levels):
-            step = step.withColumn("_open", F.transform("_level", _opened))
-            hits = F.array_min(F.concat(
-                F.transform(F.filter("_open", lambda n: n["hit"].isNotNull()), lambda n: _hit(n["at"], 1, n["hit"], n["path"])),
-                _key_hits("_open", allow_excerpt, max_excerpt),
-            ))
-            step = step.withColumn("_best", F.least("_best", hits)).withColumn("_level", F.flatten(F.transform(
-                F.filter("_open", lambda n: n["hit"].isNull()),
-                lambda n: F.transform(n["children"], lambda c, k: F.struct(
-                    F.array_append(n["at"], k).alias("at"), F.array_append(n["path"], c["name"]).alias("path"), c["raw"].alias("raw"), c["kind"].alias("kind"))),
-            )))
-            # What can still come before the best hit, and has something to look at.
-            step = step.withColumn("_level", F.filter("_level", lambda n: n["kind"].isin("object", "list", "text") & (F.col("_best").isNull() | (n["at"] <= F.col("_best.at"))))).drop("_open")
+            step = step.withColumn("_open", opened).select(key, F.least("_best", hits).alias("_best"), below.alias("_below")).select(key, "_best", wanted.alias("_level"))
         step = land(step, "json")
-        ended = step.filter(F.size("_level") == 0).select(key, F.col("_best.category").alias("category"), F.when(F.col("_best.category").isNotNull(), F.col("_best.location")).alias("location"))
+        ended = step.filter(F.size("_level") == 0).select(key, F.col("_best.category").alias("category"), F.col("_best.location").alias("location"))
         done = ended if done is None else done.unionByName(ended)
         step = step.filter(F.size("_level") > 0)
         if step.isEmpty():
             return done
+        levels = min(2 * levels, 8)  # what is left is deep
 
 
 def _kind_of(raw: Column) -> Column:

@@ -165,6 +165,30 @@ def test_findings_of_results(spark):
     fi.raise_on_errors(fi.check_distribution(good))
 
 
+def test_combining_and_indexing_refuse_what_they_cannot_use(spark):
+    a, later = panel(spark, {"A": [1, 2], "B": [3, 4]}), panel(spark, {"A": [1, 2], "B": [3, 4]}, start="2025-01-01")
+    one = {"a": 1, "b": 1}
+    with pytest.raises(ValueError, match="no date"):
+        co.combine_factors({"a": a, "b": later}, one, one)
+    with pytest.raises(ValueError, match="no code"):
+        co.combine_factors({"a": a, "b": panel(spark, {"C": [1, 2]})}, one, one)
+    with pytest.raises(ValueError, match="duplicate rows"):
+        co.generate_index(a.union(a), 2)
+    with pytest.raises(ValueError, match="empty"):
+        co.generate_index(a.limit(0), 2)
+    with pytest.raises(ValueError, match="usable selection"):
+        co.generate_index(panel(spark, {"A": [1, None], "B": [3, None]}), 2)
+    # Rows that are doubled between rebalance dates only do no harm.
+    assert co.generate_index(a.union(a.filter("date = '2024-01-01'")), 2).count() == 2
+
+
+def test_factors_are_computed_once(spark):
+    """The combination reads its stack and none of the factors' own sources again."""
+    a = panel(spark, UP).repartition(2)
+    plan = co.combine_factors({"a": a, "b": a}, {"a": 1, "b": 1}, {"a": 1, "b": 1})._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan and "parquet" in plan
+
+
 def test_factors_without_overlap_are_refused(spark):
     a, b = panel(spark, {"A": [1, 2], "B": [3, 4]}), panel(spark, {"A": [1, 2], "B": [3, 4]}, start="2025-01-01")
     co.check_overlap({"a": a, "b": a})
