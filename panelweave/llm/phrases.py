@@ -205,10 +205,8 @@ def _united(least: int, last: bool):
     return run
 
 
-def _frequent(shards: DataFrame, least: int) -> DataFrame:
-    """The frequent runs of every language and range: shards are united FAN at a time, then all of a range."""
-    shards = landed(shards, "shards")
-    tasks = (shards.agg(F.max("task")).first()[0] or 0) + 1
+def _frequent(shards: DataFrame, tasks: int, least: int) -> DataFrame:
+    """The frequent runs of every language and range: the shards of so many tasks are united FAN at a time, then all of a range."""
     while tasks > FAN:
         shards = shards.groupBy("size", "lang", "part", F.expr(f"task div {FAN}").alias("fan")).applyInPandas(_united(1, False), SHARDS)
         tasks = -(-tasks // FAN)
@@ -289,12 +287,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
         return pd.DataFrame([{"size": 1, "lang": r["lang"], "part": r["part"], **made.row(), "hashes": rows["hash"].tolist()}])
 
     one = often.select("lang", "h", "n").mapInPandas(singles, "size int, lang string, h long, n long, part long, hash long")
+    tasks = (docs.agg(F.max(F.spark_partition_id())).first()[0] or 0) + 1
     levels = [landed(one.groupBy("lang", "part").applyInPandas(of_words, FREQUENT), "frequent")]
     plan = [[k] for k in range(2, min(most_words, 3) + 1)] + ([[*range(4, most_words + 1)]] if most_words > 3 else [])
     for sizes in plan:
         known = levels[-1]
         bits = _bits(spark, known.select(F.explode("hashes").alias("h")))
-        levels.append(_frequent(docs.mapInArrow(_shards(sizes, sizes[0] - 1, bits, seed, parts), SHARDS), least))
+        levels.append(_frequent(docs.mapInArrow(_shards(sizes, sizes[0] - 1, bits, seed, parts), SHARDS), tasks, least))
         bits.unpersist()
     everything = levels[0]
     for more in levels[1:]:
