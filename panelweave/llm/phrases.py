@@ -287,7 +287,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
         return pd.DataFrame([{"size": 1, "lang": r["lang"], "part": r["part"], **made.row(), "hashes": rows["hash"].tolist()}])
 
     one = often.select("lang", "h", "n").mapInPandas(singles, "size int, lang string, h long, n long, part long, hash long")
-    tasks = (docs.agg(F.max(F.spark_partition_id())).first()[0] or 0) + 1
+    tasks = (docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
     levels = [landed(one.groupBy("lang", "part").applyInPandas(of_words, FREQUENT), "frequent")]
     plan = [[k] for k in range(2, min(most_words, 3) + 1)] + ([[*range(4, most_words + 1)]] if most_words > 3 else [])
     for sizes in plan:
