@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.session import freeze, scratch
+from panelweave.session import scratch
 
 #: Rounds of one comparison per item before the rest is compared in full.
 ROUNDS = 2
@@ -29,46 +29,62 @@ ROUNDS = 2
 BLOCK = 384
 #: Columns of a block's feature table that are multiplied at a time.
 COLUMNS = 8192
-#: Bits of the table that tells which keys are surely absent: 8 MB, whatever the data's size.
-BITS = 1 << 26
+#: Bits of the largest table that tells which keys are surely absent: 64 MB.
+MAX_BITS = 1 << 29
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: compressed, and safe from lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_landed_at"] = path
+    return out
 
 
 def held(df: DataFrame) -> DataFrame:
-    """``df`` frozen, read back by as many tasks as the cluster has cores.
+    """``df`` landed, for links, labels and other rows that are small beside the texts."""
+    return landed(df, "held")
 
-    What links and labels take is small beside the texts; a shuffle writes some files for each of its
-    input tasks, however few rows they have.
-    """
-    return freeze(df).coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+
+def spent(*frames: DataFrame | None) -> None:
+    """Give back the room of landed frames that nothing reads any more: an empty one takes their place."""
+    for df in frames:
+        path = df.__dict__.pop("_landed_at", None) if df is not None else None
+        if path:
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def bit_table(keys: DataFrame, key: str) -> bytes:
-    """One bit for each hash of ``key`` that occurs; of fixed size, so it may be sent to every task."""
-    at = F.pmod(F.col(key), F.lit(BITS)) + 1
+    """One bit for each hash of ``key`` that occurs, in a table of 16 bits a key or more, up to MAX_BITS; it may be sent to every task.
+
+    Beyond MAX_BITS / 16 keys the table fills up and tells less, at the cost of a larger shuffle.
+    """
+    size, n = 1 << 16, keys.count()
+    while size < min(16 * n, MAX_BITS):
+        size *= 2
+    at = F.pmod(F.col(key), F.lit(size)) + 1
     rows = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = bytearray(BITS // 8)
+    out = bytearray(size // 8)
     for r in rows:
         a = (r["b"] - 1) * 4096
         out[a : a + 4096] = r["bits"]
     return bytes(out)
 
 
+def in_bits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the longs may be among the keys of a bit table."""
+    at = h % (8 * len(table))
+    return (table[at >> 3] >> (at & 7)) & 1 == 1
+
+
 def maybe_in(keys: DataFrame, key: str):
-    """A filter on longs that drops only those surely not among ``keys``; what it holds is of fixed size."""
+    """A filter on longs that drops only those surely not among ``keys``."""
     bits = keys.sparkSession.sparkContext.broadcast(bit_table(keys, key))
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        at = h.to_numpy() % BITS
-        table = np.frombuffer(bits.value, np.uint8)
-        return pd.Series((table[at >> 3] >> (at & 7)) & 1 == 1)
+        return pd.Series(in_bits(np.frombuffer(bits.value, np.uint8), h.to_numpy()))
 
     return test
 
@@ -82,14 +98,17 @@ def components(edges: DataFrame) -> DataFrame:
     labels = held(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")))
     total = None
     while True:
+        before = labels
         heard = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("comp").alias("heard"))
         near = labels.join(heard, labels["node"] == heard["u"], "left").select("node", F.least("comp", "heard").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
         labels = held(near.join(jump, "comp", "left").select("node", F.least("comp", "far").alias("comp")))
         now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        spent(before)
         if now == total:
             break
         total = now
+    spent(both)
     return labels
 
 
@@ -198,6 +217,7 @@ def groups(members: DataFrame, bodies: DataFrame, features: Callable, least: flo
             of = of.join(main, "bucket").withColumns({"slices": F.ceil((F.col("size") - F.col("main.n")) / BLOCK), "chunks": F.ceil(F.col("size") / BLOCK)})
             of = held(of.select("bucket", "node", "comp", (F.col("comp") != F.col("main.comp")).alias("out"), "slices", "chunks"))
             if of.isEmpty():
+                spent(of)
                 break
             # Outsiders go to every chunk of their bucket, all items to every slice: a row of text moves once per cell.
             upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -208,7 +228,12 @@ def groups(members: DataFrame, bodies: DataFrame, features: Callable, least: flo
             cells = left.unionByName(right).join(bodies, "node").groupBy("bucket", "slice", "chunk").agg(items)
             found = cells.select("items").mapInArrow(_blocks_alike(features, least), "a long, b long")
         found = held(found)
+        spent(of)
         if not found.isEmpty():
+            old = links, comps
             links = held(links.unionByName(found).distinct())
             comps = components(links)
+            spent(*old)
+        spent(found)
+    spent(links)
     return comps

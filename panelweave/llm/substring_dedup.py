@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import fresh
-from panelweave.llm.links import BITS, bit_table, groups, held, landed, maybe_in
+from panelweave.llm.links import bit_table, groups, held, in_bits, landed, maybe_in, spent
 from panelweave.llm.shingles import WORDS, WordHash, mixed, shingles, words_of
 
 MIN_WORDS = 25
@@ -116,8 +116,8 @@ def anchors(words: np.ndarray, start: np.ndarray) -> np.ndarray:
     return at[np.repeat(start, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)]
 
 
-PARTS = "key long, row long, n int, d1 long, d2 long, paragraphs array<struct<at:int,h1:long,h2:long,n:int,bands:array<long>>>, seeds array<long>, places array<int>"
-_NAMES = ["key", "row", "n", "d1", "d2", "paragraphs", "seeds", "places"]
+PARTS = "row long, n int, d1 long, d2 long, paragraphs array<struct<at:int,h1:long,h2:long,n:int,bands:array<long>>>, seeds array<long>, places array<int>"
+_NAMES = ["row", "n", "d1", "d2", "paragraphs", "seeds", "places"]
 
 
 def _listed(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
@@ -128,7 +128,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text with words: its digest, its paragraphs' digests and bands, and its anchors."""
     hashes = WordHash()
     for batch in batches:
-        texts = batch.column(2)
+        texts = batch.column(1)
         a = 0
         while a < batch.num_rows:  # some million code points at a time
             at, h1, h2, words, n, own, owner, length, d1, d2, chars = [], [], [], [], [], [], [], [], [], [], 0
@@ -172,43 +172,55 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             per = np.bincount(of, minlength=len(start))
             seeds = shingles(w)[place].view(np.int64)
             take = pa.array(owner)
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(length, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
+            columns = [batch.column(0).take(take), pa.array(length, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
             columns += [_listed(paragraphs, np.array(inside)), _listed(pa.array(seeds, pa.int64()), per), _listed(pa.array(place - start[of], pa.int32()), per)]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
-RUNS = "h1 long, h2 int, key long, row long, at int, near int"
+RUNS = "h1 long, h2 int, row long, at int, near int"
 #: Shingles at these words of a run cover it.
 _COVER = (*range(0, MIN_RUN - WORDS, WORDS), MIN_RUN - WORDS)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, row, text, places, near): each run of MIN_RUN words whose anchor is at one of ``places``. Bit k of ``near``: its k-th word lies in one of the paragraphs ``near``."""
-    hashes = WordHash()
-    for batch in batches:
-        for i in range(batch.num_rows):
-            w = hashes.of(words_of(batch.column(2)[i].as_py()))
-            at = np.flatnonzero(np.isin(anchors(w, np.array([0])), batch.column(3)[i].values.to_numpy()))
-            if not len(at):
-                continue
-            sh, h1, h2 = shingles(w), np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-            for k, step in enumerate(_COVER):
-                part = sh[at + step]
-                h1 += mixed(part + _SALT[2 * k])
-                h2 += mixed(part ^ _SALT[2 * k + 1])
-            near = np.zeros(len(at), np.int32)
-            spans = batch.column(4)[i].as_py()
-            if spans:
-                flag = np.zeros(len(w), np.int32)
-                for x in spans:
-                    flag[x["start"] : x["end"]] = 1
-                for k in range(MIN_RUN):
-                    near |= flag[at + k] << k
-            same = lambda c: pa.array(np.full(len(at), batch.column(c)[i].as_py()), pa.int64()) if batch.column(c)[i].is_valid else pa.nulls(len(at), pa.int64())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mixed(h1).view(np.int64)), pa.array((mixed(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32)), same(0), same(1), pa.array(at, pa.int32()), pa.array(near)],
-                names=["h1", "h2", "key", "row", "at", "near"],
-            )
+def _runs(often):
+    """Of (row, text, gone, near): each run of MIN_RUN words whose anchor may be among ``often``, with its place in its text.
+
+    Texts that are ``gone`` have none. Bit k of ``near``: the run's k-th word lies in one of the paragraphs ``near``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, table = WordHash(), np.frombuffer(often.value, np.uint8)
+        for batch in batches:
+            gone = batch.column(2).to_pylist()
+            for i in range(batch.num_rows):
+                if gone[i]:
+                    continue
+                w = hashes.of(words_of(batch.column(1)[i].as_py()))
+                if len(w) < MIN_RUN:
+                    continue
+                sh, place = shingles(w), anchors(w, np.array([0]))
+                at = np.flatnonzero(in_bits(table, sh.view(np.int64)[place]))
+                if not len(at):
+                    continue
+                h1, h2 = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+                for k, step in enumerate(_COVER):
+                    part = sh[at + step]
+                    h1 += mixed(part + _SALT[2 * k])
+                    h2 += mixed(part ^ _SALT[2 * k + 1])
+                near = np.zeros(len(at), np.int32)
+                spans = batch.column(3)[i].as_py()
+                if spans:
+                    flag = np.zeros(len(w), np.int32)
+                    for x in spans:
+                        flag[x["start"] : x["end"]] = 1
+                    for k in range(MIN_RUN):
+                        near |= flag[at + k] << k
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mixed(h1).view(np.int64)), pa.array((mixed(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(at), batch.column(0)[i].as_py())), pa.array(at, pa.int32()), pa.array(near)],
+                    names=["h1", "h2", "row", "at", "near"],
+                )
+
+    return run
 
 
 def _bodies(wanted: dict):
@@ -223,7 +235,7 @@ def _bodies(wanted: dict):
                     if len(words) < MIN_WORDS:
                         continue
                     h1, h2 = _key(words)
-                    at = h1 % BITS
+                    at = h1 % (8 * len(table))
                     if table[at >> 3] >> (at & 7) & 1 and (h1, h2) not in seen:
                         if len(seen) < 100_000:
                             seen.add((h1, h2))
@@ -242,51 +254,83 @@ def _sets():
 def repeated(docs: DataFrame) -> DataFrame:
     """``row, start, end``: words [start, end) of the text that occurred before; they may overlap.
 
-    ``docs`` has key, row and text, and the same rows at every read; rows come by key, then by number.
+    ``docs`` has row and text, and the same rows at every read; rows come in the order of their numbers. A
+    place is one number, so that the first of equal things is found by hashing, without a sort.
     """
-    texts = landed(docs.select("key", "row", "text").mapInArrow(_parts, PARTS), "parts")
-    parts = texts.select("key", "row", F.explode("paragraphs").alias("p")).select("key", "row", "p.*")
-    place = F.struct("key", "row", "at")
+    spark = docs.sparkSession
+    texts = landed(docs.select("row", "text").mapInArrow(_parts, PARTS), "parts")
+    span = texts.agg(F.max("row"), F.max("n")).first()
+    shift = max(int(span[1] or 0).bit_length(), 1)
+    # Where a number of 64 bits is too small for row and word, a decimal takes its place.
+    kind = "long" if int(span[0] or 0).bit_length() + shift < 63 else "decimal(38, 0)"
+    place = F.col("row").cast(kind) * F.lit(2**shift).cast(kind) + F.col("at").cast(kind)
+    row_of = lambda p: F.floor(F.col(p) / 2**shift) if kind != "long" else F.shiftright(p, shift)
+    parts = texts.select("row", F.explode("paragraphs").alias("p")).select("row", "p.*")
     # Equal paragraphs have equal bands: one of them stands for all.
-    of_text = parts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("k"), F.first("bands").alias("bands"))
+    of_text = parts.select("h1", "h2", "n", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("k"))
     found = landed(of_text.withColumn("node", F.monotonically_increasing_id()), "found")
-    placed = found.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    # Buckets: of the paragraph at the first place only.
+    first = parts.select("h1", "h2", "bands", place.alias("first")).join(found.select("h1", "h2", "first", "node"), ["h1", "h2", "first"]).select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    placed = landed(first, "buckets")
     shared = held(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
     members = held(placed.filter(maybe_in(shared, "bucket")("bucket")).join(shared, "bucket").select("bucket", "node"))
     near = held(found.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"))
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(near, "h1"))
+    bits = spark.sparkContext.broadcast(bit_table(near, "h1"))
     some = docs.select("text").mapInArrow(_bodies({"bits": bits}), "h1 long, h2 long, body binary")
     bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body")), "bodies")
+    spent(placed, shared, near)
     comps = groups(members, bodies, _sets, SIMILAR)
-    named = found.drop("bands").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = named.groupBy("comp").agg(F.min(F.struct("first", "h1", "h2")).alias("stays"), F.sum("k").alias("total")).filter("total > 1")
-    alike = (F.col("h1") != F.col("stays.h1")) | (F.col("h2") != F.col("stays.h2"))
-    again = held(named.join(several, "comp").select("h1", "h2", F.col("stays.first").alias("stays"), alike.alias("alike")))
-    whole = parts.select("key", "row", "at", "h1", "h2", "n").filter(maybe_in(again, "h1")("h1")).join(again, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("stays")))
+    named = landed(found.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
+    spent(members, bodies, found, comps)
+    several = named.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("k").alias("total")).filter("total > 1")
+    lead = named.select(F.col("first").alias("stays"), F.col("h1").alias("l1"), F.col("h2").alias("l2"))  # a place is of one paragraph
+    alike = (F.col("h1") != F.col("l1")) | (F.col("h2") != F.col("l2"))
+    again = held(named.join(several, "comp").join(lead, "stays").select("h1", "h2", "stays", alike.alias("alike")))
+    whole = parts.select("row", "at", "h1", "h2", "n").filter(maybe_in(again, "h1")("h1")).join(again, ["h1", "h2"]).filter(place != F.col("stays"))
     gone = held(whole.select("row", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"), "alike"))
+    spent(named, again)
     # Texts of the same words go whole but for the first, and take no part from here on.
-    who = F.struct("key", "row")
-    same = held(texts.filter(F.col("n") >= MIN_RUN).groupBy("d1", "d2").agg(F.min(who).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
-    copies = held(texts.select("key", "row", "n", "d1", "d2").filter(maybe_in(same, "d1")("d1")).join(same, ["d1", "d2"]).filter(~who.eqNullSafe(F.col("first"))).select("row", "n"))
-    # Runs anywhere in the others.
-    there = texts.select("row", "seeds", "places").withColumn("hit", maybe_in(copies, "row")("row"))
+    same = held(texts.filter(F.col("n") >= MIN_RUN).groupBy("d1", "d2").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
+    copies = held(texts.select("row", "n", "d1", "d2").filter(maybe_in(same, "d1")("d1")).join(same, ["d1", "d2"]).filter(F.col("row") != F.col("first")).select("row", "n"))
+    # Runs anywhere in the others: those whose anchors stand elsewhere, too.
+    there = texts.select("row", "seeds").withColumn("hit", maybe_in(copies, "row")("row"))
     rest = there.filter("not hit").unionByName(there.filter("hit").join(copies.select("row"), "row", "left_anti"))
-    seeds = rest.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
-    often = held(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("seed"))
-    met = seeds.filter(maybe_in(often, "seed")("seed")).join(often, "seed").groupBy("row").agg(F.collect_list("at").alias("places"))  # bounded by a text's words
-    alike = gone.filter("alike").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("near"))
-    touched = held(met.join(alike, "row", "left"))
-    runs = docs.filter(maybe_in(touched, "row")("row")).join(touched, "row").select("key", "row", "text", "places", "near").mapInArrow(_runs, RUNS)
-    runs = landed(runs, "runs")
-    plain = F.when(F.col("near") == 0, place)
-    firsts = held(runs.groupBy("h1", "h2").agg(F.min(F.struct("key", "row", "at", "near")).alias("first"), F.min(plain).alias("plain"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
+    often = held(rest.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("seed"))
+    table = spark.sparkContext.broadcast(bit_table(often, "seed"))
+    spent(texts, same, often)
+    flags = copies.select("row", F.lit(True).alias("gone"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("near"))
+    flags = flags.unionByName(gone.filter("alike").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("near")).select("row", F.lit(False).alias("gone"), "near"))  # bounded by a text's lines
+    flags = held(flags.groupBy("row").agg(F.max("gone").alias("gone"), F.first("near", True).alias("near")))
+    runs = docs.join(flags, "row", "left").select("row", "text", F.coalesce("gone", F.lit(False)).alias("gone"), "near").mapInArrow(_runs(table), RUNS)
+    runs = landed(runs.select("h1", "h2", place.alias("place"), "near"), "runs")
+    spent(flags)
+    # The first place of all, the first that stays whole, and the words that go at the first of all where it doesn't.
+    word = F.col("near").cast("long").bitwiseAND(F.lit(2**MIN_RUN - 1))
+    marked = F.when(word != 0, F.col("place").cast("decimal(38, 0)") * F.lit(2**MIN_RUN).cast("decimal(38, 0)") + word)
+    firsts = runs.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min(F.when(word == 0, F.col("place"))).alias("plain"), F.min(marked).alias("marked"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    lost = F.when(F.col("plain") == F.col("first"), F.lit(0).cast("long")).otherwise((F.col("marked") % F.lit(2**MIN_RUN)).cast("long"))
+    firsts = held(firsts.select("h1", "h2", "first", "plain", lost.alias("lost")))
     # What stands at the first place of all goes but for words that do not stay there; what stands at an earlier place that stays goes.
-    apart = lambda c: ~place.eqNullSafe(F.struct(f"{c}.key", f"{c}.row", f"{c}.at")) & ((F.col("row") != F.col(f"{c}.row")) | (F.col("at") - F.col(f"{c}.at") >= MIN_RUN))
-    kept = F.when(F.col("plain").isNotNull() & (F.col("plain") < place) & apart("plain"), F.lit(0)).when(apart("first"), F.col("first.near"))
-    cut = runs.filter(maybe_in(firsts, "h1")("h1")).join(firsts, ["h1", "h2"]).select("row", "at", kept.alias("kept")).filter("kept is not null")
+    apart = lambda c: (F.col("place") != F.col(c)) & ((row_of("place") != row_of(c)) | (F.col("place") - F.col(c) >= MIN_RUN))
+    kept = F.when(F.col("plain").isNotNull() & (F.col("plain") < F.col("place")) & apart("plain"), F.lit(0).cast("long")).when(apart("first"), F.col("lost"))
+    cut = runs.filter(maybe_in(firsts, "h1")("h1")).join(firsts, ["h1", "h2"]).select(row_of("place").cast("long").alias("row"), (F.col("place") - row_of("place") * F.lit(2**shift).cast(kind)).cast("int").alias("at"), kept.alias("kept"))
+    cut = landed(joined_runs(cut.filter("kept is not null")), "cut")
+    spent(runs, firsts)
+    whole_copies = copies.select("row", F.lit(0).alias("start"), F.col("n").alias("end"))
+    return gone.drop("alike").unionByName(whole_copies).unionByName(cut)
+
+
+def joined_runs(cut: DataFrame) -> DataFrame:
+    """``row, start, end`` of the words of runs at ``row, at``, but for the words marked in ``kept``; whole runs that overlap become one."""
     words = cut.filter("kept <> 0").select("row", "kept", "at", F.explode(F.sequence(F.lit(0), F.lit(MIN_RUN - 1))).alias("k")).filter("(shiftright(kept, k) & 1) = 0")
-    inner = cut.filter("kept = 0").select("row", F.col("at").alias("start"), (F.col("at") + MIN_RUN).alias("end")).unionByName(words.select("row", (F.col("at") + F.col("k")).alias("start"), (F.col("at") + F.col("k") + 1).alias("end")))
-    return gone.drop("alike").unionByName(copies.select("row", F.lit(0).alias("start"), F.col("n").alias("end"))).unionByName(inner)
+    single = words.select("row", (F.col("at") + F.col("k")).alias("start"), (F.col("at") + F.col("k") + 1).alias("end"))
+    # Runs of a text are neighbours of each other for long stretches: per block of places, one span per stretch.
+    blocks = cut.filter("kept = 0").groupBy("row", F.shiftright("at", 10).alias("block")).agg(F.array_sort(F.collect_set("at")).alias("ats"))  # 1024 at most
+    heads = F.filter("ats", lambda x, i: (i == 0) | (x - F.get("ats", i - 1) > MIN_RUN))
+    tails = F.filter("ats", lambda x, i: (i == F.size("ats") - 1) | (F.get("ats", i + 1) - x > MIN_RUN))
+    spans = F.arrays_zip(heads.alias("start"), tails.alias("end"))
+    whole = blocks.select("row", F.explode(spans).alias("s")).select("row", "s.start", (F.col("s.end") + MIN_RUN).alias("end"))
+    return whole.unionByName(single)
 
 
 def without(text: str, removed: list[tuple[int, int]]) -> tuple[str, int]:
@@ -307,6 +351,22 @@ def without(text: str, removed: list[tuple[int, int]]) -> tuple[str, int]:
     return "".join(out) + text[pos:], gone
 
 
+def in_order(docs: DataFrame, key: str, row: str) -> DataFrame:
+    """``docs`` written once with ``row``, numbers that ascend by key (nulls first), then by place in the input.
+
+    A later plan of ``docs`` may split files otherwise, so the numbers are read back from here. Numbers of a
+    partition follow each other, and those of the next one come after as small a gap as fits.
+    """
+    name = fresh(docs)
+    first, at = name("__first"), name("__at")
+    order = [F.col(key).cast("long").asc_nulls_first(), F.col(first).asc()]
+    rows = docs.withColumn(first, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop(first)
+    rows = landed(rows.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    inside = F.col(at).bitwiseAND(F.lit(2**33 - 1))
+    bits = int(rows.agg(F.max(inside)).first()[0] or 0).bit_length()
+    return rows.withColumn(row, F.shiftleft(F.shiftright(at, 33), bits) + inside).drop(at)
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "words_removed") -> DataFrame:
     """``docs`` without repeated passages, and with ``count``, the words that went.
 
@@ -315,9 +375,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str =
     fields = [c for c in docs.columns if c != count]
     name = fresh(docs)
     row, hit, done = (name(c) for c in ("__row", "__hit", "__cut"))
-    rows = landed(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # a later plan of ``docs`` may split files otherwise
-    gone = repeated(rows.select(F.col(key).cast("long").alias("key"), F.col(row).alias("row"), F.col(text).alias("text")))
+    rows = in_order(docs, key, row)
+    gone = repeated(rows.select(F.col(row).alias("row"), F.col(text).alias("text")))
     by_row = held(gone.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("removed")))
+    spent(gone)
     rows = rows.withColumn(hit, maybe_in(by_row, "row")(row))
     touched = rows.filter(F.col(hit)).join(by_row.withColumnRenamed("row", row).withColumnRenamed("removed", done), row, "left")
 
