@@ -43,23 +43,51 @@ def by_code(df: DataFrame) -> DataFrame:
     return df.repartition(2 * n, "code")
 
 
-def longest(intervals: DataFrame) -> DataFrame:
+def longest(intervals: DataFrame, keys: tuple[str, ...] = ("code",)) -> DataFrame:
     """One interval per (code, start), the longest. The days covered stay the same, and a code
     keeps at most one interval per day, however many rows it has."""
     end = F.max(F.coalesce("end", F.lit(FAR_FUTURE).cast("date"))).alias("end")
-    return intervals.groupBy("code", "start").agg(end)
+    return intervals.groupBy(*keys, "start").agg(end)
 
 
-def merged(intervals: DataFrame) -> DataFrame:
+def merged(intervals: DataFrame, keys: tuple[str, ...] = ("code",)) -> DataFrame:
     """Intervals of a code joined where they overlap, so that no day is covered twice.
 
     After ``longest`` a code has at most one interval per day, which keeps the window small.
     """
-    w = W.partitionBy("code").orderBy("start")
+    w = W.partitionBy(*keys).orderBy("start")
     reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    fresh = longest(intervals).withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    fresh = longest(intervals, keys).withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
     islands = fresh.withColumn("_i", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return islands.groupBy("code", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+    return islands.groupBy(*keys, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+
+
+def over_days(spans: DataFrame, calendar: DataFrame, by: list[str], sums: dict[str, Column], tops: dict[str, Column], start: str | None = None, end: str | None = None, closed: str = "left") -> DataFrame:
+    """Per group and trading day that some span covers: sums and greatest values over the spans that cover it.
+
+    A span is never turned into its days. It is cut into at most two aligned blocks of each size 1, 2, 4, … days; what
+    has the same block is added up before it moves, and a day then takes what its own blocks hold, one of each size.
+    So the work goes by the number of spans, and by groups times days, but not by spans times days.
+    """
+    bounds = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b"), (F.max(F.unix_date("date")) - F.min(F.unix_date("date"))).alias("days")).first()  # one row
+    sizes = range(int(bounds["days"] or 0).bit_length() + 1)
+    lo, hi = (F.lit(x).cast("date") for x in (start or bounds["a"], end or bounds["b"]))
+    last = F.coalesce("end", F.lit(FAR_FUTURE).cast("date"))
+    a = F.unix_date(F.greatest("start", lo))
+    b = F.unix_date(F.least(last if closed == "both" else F.date_sub(last, 1), hi)) + 1  # the first day after
+    rows = spans.select(*by, *[c.alias(n) for n, c in (sums | tops).items()], a.alias("_a"), b.alias("_b")).filter("_a < _b")
+    blocks = []
+    for k in sizes:
+        left, right = F.shiftright(F.col("_a") + F.lit(2**k - 1), k), F.shiftright("_b", k)
+        here = left < right
+        block = lambda at, k=k: F.struct(F.lit(k).alias("size"), at.alias("block"))
+        blocks += [F.when(here & (left.bitwiseAND(F.lit(1)) == 1), block(left)), F.when(here & (right.bitwiseAND(F.lit(1)) == 1), block(right - 1))]
+    joined = [F.sum(n).alias(n) for n in sums] + [F.max(n).alias(n) for n in tops]
+    held = rows.select(*by, *sums, *tops, F.explode(F.array_compact(F.array(*blocks))).alias("_k")).groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"), *joined)
+    days = calendar.select("date").distinct().filter(F.col("date").between(lo, hi))
+    day = F.unix_date("date")
+    days = days.select("date", F.explode(F.array(*[F.struct(F.lit(k).alias("size"), F.shiftright(day, k).alias("block")) for k in sizes])).alias("_k"))
+    return held.join(F.broadcast(days), "_k").groupBy(*by, "date").agg(*joined)
 
 
 def calendar_bounds(calendar: DataFrame, start: str | None, end: str | None) -> tuple[Column, Column]:
@@ -95,6 +123,33 @@ def suspended(calendar: DataFrame, events: DataFrame, daily_status: DataFrame, o
     return cells.filter(F.coalesce(F.col("_status") != -1, F.col("_event"))).select("date", "code")
 
 
+def suspended_spans(events: DataFrame, daily_status: DataFrame, order: list[str]) -> DataFrame:
+    """``suspended`` as disjoint spans per code: a status of -1 takes its day out of a span, any other one adds its day.
+
+    A day's span is the last one that starts by then, found in one window per code over spans and statuses.
+    """
+    last = daily_status.filter(F.col("status").isNotNull()).groupBy("date", "code").agg(F.max_by(F.col("status").cast("int"), F.struct(*order)).alias("_status"))
+    spans = merged(events).select("code", F.col("start").alias("date"), F.lit(None).cast("int").alias("_status"), F.struct("start", "end").alias("_s"))
+    both = spans.unionByName(last.select("code", "date", "_status", F.lit(None).cast("struct<start:date,end:date>").alias("_s")))
+    seen = F.last("_s", ignorenulls=True).over(W.partitionBy("code").orderBy("date", F.col("_s").isNull()).rowsBetween(W.unboundedPreceding, 0))
+    marks = both.withColumn("_in", seen).withColumn("_is", F.coalesce(F.col("_in.end") > F.col("date"), F.lit(False)))
+    added = marks.filter((F.col("_status") != -1) & ~F.col("_is")).select("code", F.col("date").alias("start"), F.date_add("date", 1).alias("end"))
+    # Cuts of each span: days taken out, and its end.
+    cuts = marks.filter(((F.col("_status") == -1) & F.col("_is")) | F.col("_s").isNotNull())
+    cuts = cuts.select("code", "_in", F.when(F.col("_s").isNotNull(), F.col("_s.end")).otherwise(F.col("date")).alias("cut"))
+    before = F.lag("cut").over(W.partitionBy("code", "_in").orderBy("cut"))
+    pieces = cuts.select("code", F.coalesce(F.date_add(before, 1), F.col("_in.start")).alias("start"), F.col("cut").alias("end"))
+    return pieces.filter("start < end").unionByName(added)
+
+
+def member_totals(members: DataFrame, calendar: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """``member_lists`` of ``index_members``, from the memberships' ends and without a row per member and day."""
+    whole = merged(members, ("index_code", "code")).select("index_code", "start", "end", F.lit(1).alias("_one"), F.lit(None).cast("date").alias("opdate"))
+    stamps = members.select("index_code", "start", "end", F.lit(0).alias("_one"), F.col("opdate").cast("date").alias("opdate"))
+    found = over_days(whole.unionByName(stamps), calendar, ["index_code"], {"n_members": F.col("_one")}, {"opdate": F.col("opdate")}, start, end, "both")
+    return found.select("date", "index_code", "n_members", "opdate")
+
+
 def index_members(members: DataFrame, calendar: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Members of each index on each trading day; both ends of a membership count."""
     lo, hi = calendar_bounds(calendar, start, end)

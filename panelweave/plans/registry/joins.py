@@ -18,12 +18,18 @@ def per_day(mask):
     return mask.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum(number).alias("code_sum"), F.max(number).alias("last_code"))
 
 
+def over_days(d, spans, start=None, end=None):
+    """The same rows from disjoint spans of codes."""
+    number = F.substring("code", 2, 20).cast("long")
+    return masks.over_days(spans, d.calendar, [], {"n": F.lit(1), "code_sum": number}, {"last_code": number}, start, end)
+
+
 PER_DAY = "SELECT date, count(*) AS n, CAST(sum(CAST(substr(code, 2) AS BIGINT)) AS BIGINT) AS code_sum, max(CAST(substr(code, 2) AS BIGINT)) AS last_code FROM m GROUP BY date"
 
 
 @query("j2_interval_mask", f"{BASE}, m AS (SELECT DISTINCT cal.date, code FROM cal JOIN ivs ON cal.date >= s AND (e IS NULL OR cal.date < e)) {PER_DAY}")
 def _(d):
-    return per_day(masks.interval_mask(d.calendar, d.intervals))
+    return over_days(d, masks.merged(d.intervals))
 
 
 @query("j2_st_mask", f"""{BASE}, m AS (SELECT DISTINCT cal.date, ivs.code FROM cal JOIN ivs ON cal.date >= s AND (e IS NULL OR cal.date < e) JOIN seg ON seg.code = ivs.code
@@ -37,7 +43,7 @@ def _(d):
   m AS (SELECT coalesce(iv.date, st.date) AS date, coalesce(iv.code, st.code) AS code FROM iv FULL JOIN st ON iv.date = st.date AND iv.code = st.code
   WHERE CASE WHEN status IS NOT NULL THEN status <> -1 ELSE iv.code IS NOT NULL END) {PER_DAY}""")
 def _(d):
-    return per_day(masks.suspended(d.calendar, d.intervals, d.daily_status, ["o_orderkey"]))
+    return over_days(d, masks.suspended_spans(d.intervals, d.daily_status, ["o_orderkey"]))
 
 
 MEM = f"{BASE}, mem AS (SELECT c_mktsegment AS index_code, ivs.code, s, e, s + 7 AS opdate FROM ivs JOIN seg ON seg.code = ivs.code)"
@@ -45,7 +51,7 @@ MEM = f"{BASE}, mem AS (SELECT c_mktsegment AS index_code, ivs.code, s, e, s + 7
 
 @query("j4_index_members", f"""{MEM} SELECT date, index_code, count(*) AS n_members, max(opdate) AS opdate FROM cal JOIN mem ON date >= s AND (e IS NULL OR date <= e) GROUP BY 1, 2""", dates="date opdate")
 def _(d):
-    return masks.member_lists(masks.index_members(d.memberships, d.calendar))
+    return masks.member_totals(d.memberships, d.calendar)
 
 
 @query("j4_members_on_day", f"{MEM} SELECT index_code, code, max(opdate) AS opdate FROM mem WHERE s <= DATE '1997-07-01' AND (e IS NULL OR e >= DATE '1997-07-01') GROUP BY 1, 2", dates="opdate")
