@@ -7,44 +7,83 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.text import tokens
 from panelweave.operators.ordering import numbered, spread
+from panelweave.session import land
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Letters by which queries meet aliases.
+KEY = 3
 PREFERRED_MARKET = "cn_a"
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Okapi scores of every (query, document) pair that shares a term.
+def _postings(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, term, sat`` of the documents' words that any query asks for, and ``query_id, term, w, df``.
 
-    ``docs(doc_id, text)``, ``queries(query_id, text)``. The documents' words are cut to the queries'
-    words before they are counted and shuffled.
-    A negative idf is raised to ``EPSILON`` times the mean idf. A document qualifies by sharing
-    a term and not by the sign of its score.
+    The documents are cut into words once. A negative idf is raised to ``EPSILON`` times the mean idf of all words.
     """
     opened = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", tokens(F.col("text")).alias("_w")).withColumn("dl", F.size("_w").cast("double"))
-    shape = opened.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    n_docs, avgdl = shape.select("n").scalar(), shape.select("avgdl").scalar()
+    opened = land(opened, "words")
+    shape = opened.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n_docs, avgdl = F.lit(shape["n"]), F.lit(shape["avgdl"])
     # A document's own distinct terms are known within its row.
     df = opened.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("_idf", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    floor = raw.agg(F.avg("_idf") * EPSILON).scalar()
-    q_terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    raw = land(df.withColumn("_idf", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "terms")
+    floor = F.lit(raw.agg(F.avg("_idf") * EPSILON).first()[0])
+    q_terms = land(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
     asked = q_terms.select("term").distinct()
-    # The floor is the mean over the whole vocabulary; only asked terms are carried on.
-    idf = raw.join(asked, "term", "left_semi").withColumn("_floor", floor).select(
-        "term", F.when(F.col("_idf") < 0, F.col("_floor")).otherwise(F.col("_idf")).alias("idf")
-    )
-    weighted = q_terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    idf = raw.join(asked, "term", "left_semi").select("term", "df", F.when(F.col("_idf") < 0, floor).otherwise(F.col("_idf")).alias("idf"))
+    weighted = q_terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "df")
     words = opened.select("doc_id", "dl", F.explode("_w").alias("term")).join(asked, "term", "left_semi")
-    hits = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("_avgdl", avgdl)
-    sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avgdl")))
-    scored = hits.select("doc_id", "term", sat.alias("sat")).join(weighted, "term")
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("sat")).alias("score"))
+    hits = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return hits.select("doc_id", "term", sat.alias("sat")), weighted
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Okapi scores of every (query, document) pair that shares a term.
+
+    ``docs(doc_id, text)``, ``queries(query_id, text)``. A document qualifies by sharing a term and not by the
+    sign of its score. ``bm25_topk`` makes fewer pairs.
+    """
+    hits, weighted = _postings(docs, queries)
+    return hits.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("sat")).alias("score"))
+
+
+def essential_terms(hits: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
+    """``query_id, term``: the words by which a document can get among a query's best ``k``.
+
+    No document gets more from a word than the word's weight times its greatest saturation. The query's rarest words,
+    until enough documents have one, give k documents and so a score that the k-th best has at least. Words
+    whose bounds together stay below that score cannot bring a document in alone.
+    """
+    reach = hits.groupBy("term").agg(F.max("sat").alias("most"), F.min("sat").alias("least"))
+    bound = land(weighted.join(reach, "term").select("query_id", "term", "w", "df", F.greatest(F.lit(0.0), F.col("w") * F.col("most")).alias("up"), F.least(F.lit(0.0), F.col("w") * F.col("most")).alias("down")), "bounds")
+    rare = W.partitionBy("query_id").orderBy("df", "term")  # a query's own words
+    before = F.coalesce(F.sum("df").over(rare.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    seeds = bound.withColumn("_b", before).filter(F.col("_b") < 4 * k).select("query_id", "term", "w")
+    part = hits.join(seeds, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("sat")).alias("score"))
+    kth = part.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("_r") <= k)
+    kth = kth.groupBy("query_id").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("query_id", "score")
+    # Words with a negative weight may still take from a seed's score.
+    low = bound.groupBy("query_id").agg(F.sum("down").alias("down")).join(kth, "query_id").select("query_id", (F.col("score") + F.col("down") - 1e-6).alias("at_least"))
+    weak = W.partitionBy("query_id").orderBy("up", F.desc("df"), "term").rowsBetween(W.unboundedPreceding, 0)
+    ranked = bound.withColumn("_sum", F.sum("up").over(weak)).join(low, "query_id", "left")
+    return ranked.filter(F.col("at_least").isNull() | (F.col("_sum") >= F.col("at_least"))).select("query_id", "term")
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` documents per query; the row-number filter is cut on the map side too."""
+    """Best ``k`` documents per query: pairs are made only by words that can bring a document in, and scored in full.
+
+    A stop word's documents are thus never paired with the queries that have it. The row-number filter is cut on the map side, too.
+    """
+    hits, weighted = _postings(docs, queries)
+    hits, weighted = land(hits, "postings"), land(weighted, "weights")
+    pairs = hits.join(essential_terms(hits, weighted, k), "term").select("query_id", "doc_id").distinct()
+    asked = weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("_q"))  # a query's own words
+    held = hits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "sat"))).alias("_d"))  # a document's words that are asked for
+    each = F.transform("_q", lambda t: t["w"] * F.coalesce(F.try_element_at("_d", t["term"]), F.lit(0.0)))
+    scored = pairs.join(asked, "query_id").join(held, "doc_id").select("query_id", "doc_id", F.aggregate(each, F.lit(0.0), lambda s, x: s + x).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("doc_id"))
-    return bm25_scores(docs, queries).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def market_rank(market: Column, preferred: str = PREFERRED_MARKET) -> Column:
@@ -69,24 +108,22 @@ def null_safe_constraint(df: DataFrame, asset_type: Column | None, frequency: Co
 def alias_match(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """Best alias per query: the exact term (1.0), else the longest one it contains (0.9).
 
-    ``aliases`` is a registry of fixed size and is read as one array; each query picks its
-    alias by itself, so there is no join over pairs.
+    Queries meet aliases by the letters an alias begins with: every place of a query offers its next ``KEY``
+    letters (fewer for shorter aliases), and only aliases that begin so are looked at. So the table of aliases may be
+    of any size; it is joined and never held whole.
     """
-    fields = ["alias", "table", "field", "asset_type", "frequency"]
-    listed = aliases.filter("alias <> ''").agg(F.collect_list(F.struct(F.length("alias").alias("len"), *fields))).scalar()
-    q = queries.withColumn("_q", F.trim("text")).withColumn("_all", listed)
-
-    def fits(a: Column) -> Column:
-        ok = F.lit(True)
-        for col in ("asset_type", "frequency"):
-            if col in queries.columns:
-                ok = ok & (F.col(col).isNull() | a[col].isNull() | (a[col] == F.col(col)))
-        return ok
-
-    hits = F.filter("_all", lambda a: F.contains(F.col("_q"), a["alias"]) & fits(a))
-    best = F.array_max(F.transform(hits, lambda a: F.struct(
-        (a["alias"] == F.col("_q")).cast("int").alias("exact"), a["len"].alias("len"), a["alias"].alias("alias"), a["table"].alias("table"), a["field"].alias("field"))))
-    return q.withColumn("_b", best).filter("_b is not null").select(
+    known = aliases.filter("alias <> ''").select(F.substring("alias", 1, KEY).alias("_key"), "alias", "table", "field", F.col("asset_type").alias("_asset"), F.col("frequency").alias("_freq"))
+    q = queries.withColumn("_q", F.trim("text"))
+    places = F.sequence(F.lit(1), F.length("_q"))
+    next_ = lambda k: F.transform(places, lambda i: F.substring(F.col("_q"), i, F.lit(k)))
+    offered = F.array_distinct(F.flatten(F.array(*[next_(k) for k in range(1, KEY + 1)])))
+    own = [c for c in ("asset_type", "frequency") if c in queries.columns]
+    met = q.filter(F.length("_q") > 0).select("query_id", "_q", *own, F.explode(offered).alias("_key")).join(known, "_key").filter(F.contains("_q", "alias"))
+    for col, other in (("asset_type", "_asset"), ("frequency", "_freq")):
+        if col in own:
+            met = met.filter(F.col(col).isNull() | F.col(other).isNull() | (F.col(col) == F.col(other)))
+    rank = F.struct((F.col("alias") == F.col("_q")).cast("int").alias("exact"), F.length("alias").alias("len"), "alias", "table", "field")
+    return met.groupBy("query_id", "_q", *own).agg(F.max(rank).alias("_b")).select(
         "query_id", "_b.alias", "_b.table", "_b.field", F.when(F.col("_b.exact") == 1, 1.0).otherwise(0.9).alias("score")
     )
 

@@ -39,6 +39,42 @@ def test_bm25_equals_a_plain_loop(spark):
     assert [(r.query_id, r.doc_id) for r in se.bm25_topk(mk(docs, "doc_id"), mk(queries, "query_id"), 1).orderBy("query_id").collect()] == [(10, 1), (11, 3)]
 
 
+def test_best_documents_without_pairs_from_stop_words(spark):
+    import random
+
+    rng = random.Random(6)
+    rare = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(["the"] * rng.randrange(1, 4) + ["of"] * rng.randrange(3) + rng.choices(rare, k=rng.randrange(1, 8)))) for i in range(400)]
+    queries = [(q, " ".join(["the", "of", *rng.sample(rare, 2)])) for q in range(15)] + [(50, "the"), (51, "absent"), (52, "the the w1"), (53, "w2 w2 nothing")]
+    mk = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    d, q = mk(docs, "doc_id"), mk(queries, "query_id")
+    best = {}
+    for r in se.bm25_scores(d, q).collect():
+        best.setdefault(r.query_id, []).append((-round(r.score, 9), r.doc_id))
+    want = {(k, i, x[1]) for k, rows in best.items() for i, x in enumerate(sorted(rows)[:3], 1)}
+    assert {(r.query_id, r["rank"], r.doc_id) for r in se.bm25_topk(d, q, 3).collect()} == want
+    kept = {(r.query_id, r.term) for r in se.essential_terms(*se._postings(d, q), 3).collect()}
+    assert (50, "the") in kept and not any((k, w) in kept for k in range(15) for w in ("the", "of"))
+
+
+def test_longest_alias_of_a_large_table(spark):
+    import random
+
+    rng = random.Random(1)
+    names = list({"".join(rng.choices("abc价 ", k=rng.randrange(1, 6))).strip() for _ in range(800)} - {""})
+    table = [(n, "t", f"f{i}", rng.choice([None, "stock"]), None) for i, n in enumerate(names)]
+    texts = ["".join(rng.choices("abc价 ", k=rng.randrange(0, 12))) for _ in range(60)] + names[:20] + ["zzz", ""]
+    q = spark.createDataFrame([(i, t, rng.choice([None, "stock", "index"])) for i, t in enumerate(texts)], "query_id int, text string, asset_type string")
+    got = {r.query_id: (r.alias, r.score) for r in se.alias_match(q, spark.createDataFrame(table, "alias string, table string, field string, asset_type string, frequency string")).collect()}
+    want = {}
+    for i, text, asset in q.collect():
+        fits = [(n == text.strip(), len(n), n) for n, _, _, a, _ in table if n in text.strip() and (a is None or asset is None or a == asset)]
+        if fits:
+            best = max(fits, key=lambda x: (x[0], x[1], x[2].encode()))
+            want[i] = (best[2], 1.0 if best[0] else 0.9)
+    assert got == want and len(want) > 40
+
+
 def test_aliases(spark):
     q = spark.createDataFrame([(1, "收盘价"), (2, "用后复权收盘价算"), (3, "hello")], "query_id int, text string")
     got = {r.query_id: (r.alias, r.score) for r in se.alias_match(q, aliases(spark)).collect()}
