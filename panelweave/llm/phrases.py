@@ -47,7 +47,7 @@ MAX_BITS = 1 << 30
 #: So many shards' automata are united at a time.
 FAN = 64
 #: Rows of a task's tables that are held before they are summed up, and then sent on.
-HELD = 200_000
+HELD = 600_000
 _KIND = kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 
 
@@ -60,8 +60,8 @@ def _symbol(word: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(word, seed) - 2**63
 
 
-def _words(seed: int):
-    """Distinct (lang, word) of a task with their symbols and counts."""
+def _words():
+    """Distinct (lang, word) of a task with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -71,9 +71,8 @@ def _words(seed: int):
             return pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns(["lang", "word", "n"])
 
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            symbols = pa.array([_symbol(w, seed) for w in table["word"].to_pylist()], pa.int64())
             word = table["word"].cast(pa.binary()).cast(pa.string())
-            made = pa.table([table["lang"].cast(pa.string()), word, symbols, table["n"]], names=["lang", "word", "h", "n"])
+            made = pa.table([table["lang"].cast(pa.string()), word, table["n"]], names=["lang", "word", "n"])
             yield from made.to_batches(max_chunksize=50_000)
 
         for batch in batches:
@@ -96,6 +95,17 @@ def _words(seed: int):
     return run
 
 
+def _with_symbols(seed: int):
+    """(lang, word, n) with the symbol of each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = pa.array([_symbol(w, seed) for w in batch.column(1).cast(pa.binary()).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), h, batch.column(2)], names=["lang", "word", "h", "n"])
+
+    return run
+
+
 def run_hash(lang: np.ndarray, symbols: Sequence[np.ndarray]) -> np.ndarray:
     """A 64-bit hash of each run: of its language's hash and its symbols in order."""
     h = mixed(lang + np.uint64(len(symbols)))
@@ -262,8 +272,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     docs = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     seed = 0
     while True:
-        counted = docs.mapInArrow(_words(seed), "lang string, word string, h long, n long")
-        words = landed(counted.groupBy("lang", "word", "h").agg(F.sum("n").alias("n")), "words")
+        counted = docs.mapInArrow(_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        words = landed(counted.mapInArrow(_with_symbols(seed), "lang string, word string, h long, n long"), "words")
         if words.groupBy("lang", "h").count().filter("count > 1").isEmpty():
             break
         seed += 1
