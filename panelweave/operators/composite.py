@@ -124,5 +124,23 @@ def review_gate(metric_keys: list[str], registry: DataFrame) -> DataFrame:
     return gated.agg(F.max("status").alias("review_status"), note.alias("review_note"))
 
 
+def review_gates(declared: DataFrame, registry: DataFrame, by: str = "index_id") -> DataFrame:
+    """``review_gate`` of many indices at once: a row each, with ``refused`` metrics in place of an error.
+
+    ``declared(index_id, pos, key)`` is the metrics of each index; a missing key is none. Of equal metrics of an
+    index one counts.
+    """
+    from panelweave.sources.registry import gate
+
+    gated = gate(declared.groupBy(by, "key").agg(F.min("pos").alias("pos")), registry)
+    listed = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("pos", "key")))), lambda s: s["key"])
+    found = gated.groupBy(by).agg(
+        listed(F.col("key").isNotNull() & ~F.col("allowed")).alias("refused"), listed(F.col("status") == "unreviewed").alias("weak"), F.count("key").alias("n"),
+    )
+    note = F.when(F.col("n") == 0, "no metric declared").otherwise(F.array_join(F.transform("weak", lambda k: F.concat(k, F.lit(" unreviewed"))), "；"))
+    status = F.when(F.size("refused") > 0, "refused").when((F.col("n") == 0) | (F.size("weak") > 0), "unreviewed").otherwise("reviewed")
+    return found.select(by, status.alias("review_status"), note.alias("review_note"), F.array_join("refused", ",").alias("refused"))
+
+
 def with_limitation_note(df: DataFrame, note: str = LIMITATION_NOTE) -> DataFrame:
     return df.withColumn("limitation", F.lit(note))

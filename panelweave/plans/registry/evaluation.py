@@ -183,11 +183,19 @@ def _(d):
     return co.generate_index(composite(d), 15, "factor_score").groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"))
 
 
-@query("i6_review_gate", f"WITH {S.BARS} SELECT 'reviewed' AS review_status, '' AS review_note, count(*) AS cells FROM bars", dates="")
+METRIC = """CASE l_linenumber % 4 WHEN 1 THEN CASE WHEN l_tax < 0.06 THEN 'PB' ELSE ' roe_ttm' END WHEN 2 THEN 'S_DQ_VOLUME' WHEN 3 THEN CASE WHEN l_discount > 0.08 THEN 'FLOAT_MV' END
+  ELSE CASE WHEN l_quantity < 5 THEN 'NO_SUCH' ELSE 'PB' END END"""
+
+
+@query("i6_review_gate", f"""WITH m AS (SELECT l_orderkey AS index_id, {METRIC} AS key, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2)
+  SELECT index_id, CASE WHEN count(CASE WHEN key IN ('FLOAT_MV', 'NO_SUCH') THEN 1 END) > 0 THEN 'refused' WHEN count(key) = 0 THEN 'unreviewed' ELSE 'reviewed' END AS review_status,
+    CASE WHEN count(key) = 0 THEN 'no metric declared' ELSE '' END AS review_note, coalesce(string_agg(CASE WHEN key IN ('FLOAT_MV', 'NO_SUCH') THEN key END, ',' ORDER BY pos, key), '') AS refused FROM m GROUP BY 1""", dates="")
 def _(d):
+    """An order is an index, its lines name the metrics."""
     from panelweave.sources.registry import metrics
 
-    return co.review_gate(["S_DQ_VOLUME", "PB"], metrics(d.spark)).withColumn("cells", d.bars.agg(F.count(F.lit(1))).scalar())
+    declared = d.table("lineitem").select(F.col("l_orderkey").alias("index_id"), F.col("l_linenumber").alias("pos"), F.expr(METRIC).alias("key"))
+    return co.review_gates(declared, metrics(d.spark))
 
 
 @query("i7_limitation_note", f"WITH {_picked(10, 'month')} SELECT date, code, 1.0 / count(*) OVER (PARTITION BY date) AS weight, '{co.LIMITATION_NOTE}' AS limitation FROM pk", nums="weight")

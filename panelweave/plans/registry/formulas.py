@@ -8,7 +8,7 @@ from panelweave.operators import cross_section as xs
 from panelweave.plans import formula as f
 from panelweave.plans.registry import query
 from panelweave.plans.registry import sql as S
-from panelweave.plans.steps import Step, apply_steps, run_factor, step_trace
+from panelweave.plans.steps import Step, apply_steps, run_factor, step_traces
 
 
 def _formula(name, tree, cols, *named):
@@ -87,8 +87,13 @@ def _(d):
     return run_factor(f.rolling_mean("close", 3), d.panel("close"), STEPS, d.industries)
 
 
-@query("x6_step_trace", f"""WITH {S.BARS}, steps(position, step_order, operation, target) AS (VALUES (1, 1, 'winsorize', 'variables'), (2, 2, 'zscore', 'variables'),
-  (3, 3, 'industry_neutralize', 'factor'), (4, 4, 'fillna', 'factor')) SELECT position, step_order, operation, target, (SELECT count(*) FROM bars) AS input_cells FROM steps""", dates="")
+STEP_OF = "CASE l_returnflag WHEN 'A' THEN CASE WHEN l_discount < 0.05 THEN 'winsorize' ELSE 'unknown' END WHEN 'R' THEN 'zscore' ELSE CASE WHEN l_tax < 0.04 THEN 'industry_neutralize' ELSE 'fillna' END END"
+TARGET_OF = "CASE l_linestatus WHEN 'F' THEN 'variables' ELSE 'factor' END"
+
+
+@query("x6_step_trace", f"""WITH s AS (SELECT l_orderkey AS spec_id, l_linenumber AS step_order, {STEP_OF} AS operation, {TARGET_OF} AS target FROM lineitem)
+  SELECT spec_id, row_number() OVER (PARTITION BY spec_id ORDER BY CASE target WHEN 'variables' THEN 0 ELSE 1 END, step_order, operation) AS position, step_order, operation, target FROM s WHERE operation <> 'unknown'""", dates="")
 def _(d):
-    """What ran, beside the number of input cells it ran on."""
-    return step_trace(d.spark, STEPS).withColumn("input_cells", d.bars.agg(F.count(F.lit(1))).scalar())
+    """An order is a factor, its lines are the steps; the trace of every factor."""
+    steps = d.table("lineitem").select(F.col("l_orderkey").alias("spec_id"), F.col("l_linenumber").alias("step_order"), F.expr(STEP_OF).alias("operation"), F.expr(TARGET_OF).alias("target"))
+    return step_traces(steps)

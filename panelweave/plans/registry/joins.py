@@ -202,14 +202,27 @@ def _(d):
     return prices.latest_adjfactor(d.stock_eod, "1999-12-31")
 
 
-@query("p4_market_cap", f"{EOD} SELECT {DAY} AS date, s_info_windcode AS code, s_dq_amount * 10000 AS market_cap FROM eod", nums="market_cap")
+# Some rows come twice, the later one with another amount; cells of the trading grid without a row are there, too.
+CAP = f"""{EOD}, twice AS (SELECT trade_dt, s_info_windcode, s_dq_amount AS amount, 1 AS n FROM eod UNION ALL SELECT trade_dt, s_info_windcode, CASE WHEN s_dq_volume > 40 THEN s_dq_amount * 2 END, 2 FROM eod WHERE s_dq_volume > 30),
+  kept AS (SELECT {DAY} AS date, s_info_windcode AS code, arg_max(CASE WHEN amount IS NULL THEN -1 ELSE amount END, n) AS amount FROM twice GROUP BY 1, 2),
+  days AS (SELECT DISTINCT date_trunc('week', CAST(l_shipdate AS DATE))::DATE AS date FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'), cells AS (SELECT days.date, c.code, CASE WHEN amount >= 0 THEN amount END AS amount FROM days CROSS JOIN (SELECT DISTINCT code FROM kept) c LEFT JOIN kept ON kept.date = days.date AND kept.code = c.code)"""
+
+
+def caps(d, log=False):
+    eod = d.stock_eod.select("trade_dt", "s_info_windcode", F.col("s_dq_amount").alias("amount"), F.lit(1).alias("n"), "s_dq_volume")
+    again = eod.filter("s_dq_volume > 30").withColumns({"amount": F.when(F.col("s_dq_volume") > 40, F.col("amount") * 2), "n": F.lit(2)})
+    days = d.table("lineitem").filter(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")).select(F.trunc("l_shipdate", "week").alias("date")).distinct()
+    return prices.market_cap(eod.unionByName(again), log=log, column="amount", order="n", dates=days)
+
+
+@query("p4_market_cap", f"{CAP} SELECT date, code, amount * 10000 AS market_cap FROM cells", nums="market_cap")
 def _(d):
-    return prices.market_cap(d.stock_eod, column="s_dq_amount")
+    return caps(d)
 
 
-@query("p4_market_cap_log", f"{EOD} SELECT {DAY} AS date, s_info_windcode AS code, ln(s_dq_amount * 10000) AS market_cap FROM eod", nums="market_cap")
+@query("p4_market_cap_log", f"{CAP} SELECT date, code, ln(amount * 10000) AS market_cap FROM cells", nums="market_cap")
 def _(d):
-    return prices.market_cap(d.stock_eod, log=True, column="s_dq_amount")
+    return caps(d, True)
 
 
 @query("p5_adjust_type", f"""{EOD} SELECT s_info_windcode AS code, sum(s_dq_close * f) AS by_adjclose, sum(s_dq_close * b) AS by_forward, sum(s_dq_volume) AS by_volume FROM eod GROUP BY 1""", nums="by_adjclose by_forward by_volume", dates="")

@@ -14,12 +14,13 @@ from panelweave.sources import files
 # ---- sources and sinks ---------------------------------------------------------------
 
 
-@query("s2_scan_bars", "SELECT o_custkey AS code, o_orderdate AS date, o_totalprice FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31'", nums="o_totalprice")
+@query("s2_scan_bars", "SELECT o_custkey AS code, o_orderdate AS date, o_totalprice FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' AND o_custkey % 3 = 1 AND o_custkey < 4000", nums="o_totalprice")
 def _(d):
+    """A list of more codes than one IN takes."""
     import datetime as dt
 
     rows = d.table("orders").withColumnsRenamed({"o_custkey": "code", "o_orderdate": "date"})
-    return qs.scan_bars(rows, None, dt.datetime(1996, 1, 1), dt.datetime(1997, 12, 31), ["o_totalprice"])
+    return qs.scan_bars(rows, list(range(1, 4000, 3)), dt.datetime(1996, 1, 1), dt.datetime(1997, 12, 31), ["o_totalprice"])
 
 
 @query("s3_scan_code_table", """SELECT o_custkey AS code, o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""", nums="o_totalprice", dates="")
@@ -135,8 +136,11 @@ def _spans(d):
 
 @query("q1_point_range", f"SELECT o_custkey, {O_TEXT} AS trade_dt, o_totalprice FROM orders WHERE {O_TEXT} BETWEEN '19960101' AND '19970630'", nums="o_totalprice", dates="")
 def _(d):
-    rows = d.table("orders").withColumn("trade_dt", F.date_format("o_orderdate", "yyyyMMdd"))
-    return qs.point_range(rows, None, "o_custkey", "trade_dt", "19960101", "19970630", ["o_totalprice"])
+    """The bounds are compared with the stored column, so they reach the scan."""
+    import datetime as dt
+
+    got = qs.point_range(d.table("orders"), None, "o_custkey", "o_orderdate", dt.datetime(1996, 1, 1), dt.datetime(1997, 6, 30, 23, 59, 59, 999999), ["o_totalprice"])
+    return got.select("o_custkey", F.date_format("o_orderdate", "yyyyMMdd").alias("trade_dt"), "o_totalprice")
 
 
 REPORT_ROWS = f"WITH {S.REPORTS}"

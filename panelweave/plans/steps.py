@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from panelweave.operators import cross_section as xs
 from panelweave.operators.grid import value_columns
@@ -71,6 +72,18 @@ def step_trace(spark: SparkSession, steps: list[Step]) -> DataFrame:
     return spark.createDataFrame(rows, "position int, step_order int, operation string, target string")
 
 
+def step_traces(steps: DataFrame, spec: str = "spec_id") -> DataFrame:
+    """``step_trace`` of many factors at once: what each ran, in the order it ran.
+
+    ``steps(spec_id, step_order, operation, target)``; a step with an unknown operation or target did not run and is
+    left out. Steps of one order go by operation.
+    """
+    rank = F.when(F.col("target") == TARGETS[0], 0).otherwise(1)
+    ran = steps.filter(F.col("operation").isin(*OPERATIONS) & F.col("target").isin(*TARGETS))
+    w = Window.partitionBy(spec).orderBy(rank, "step_order", "operation")  # a factor's own steps
+    return ran.select(spec, F.row_number().over(w).alias("position"), "step_order", "operation", "target")
+
+
 def run_factor(tree, panel: DataFrame, steps: list[Step] = (), industries: DataFrame | None = None, out: str = "value") -> DataFrame:
     """Inputs' steps, then the formula, then the factor's steps."""
     from panelweave.plans.formula import evaluate
