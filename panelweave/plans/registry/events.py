@@ -165,12 +165,13 @@ def _events(d):
     return d.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
-@query("w1_stream_panel", """WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS w FROM events) SELECT CAST(ts AS DATE) AS date, user_id AS code, sum(value) AS value, count(*) AS events FROM events, m
-  WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= w GROUP BY 1, 2""", nums="value")
+@query("w1_stream_panel", """SELECT CAST(ts AS DATE) AS date, user_id AS code, sum(value) AS value, count(*) AS events, CAST(ts AS DATE) + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 2 HOUR FROM events) AS open FROM events GROUP BY ALL""", nums="value")
 def _(d):
+    """All days: what the stream has sent, and what it still keeps open."""
     stream, root = landed(d, _events(d))
     st.drain(st.stream_panel(stream, "2 hours"), f"{root}/out", f"{root}/cp")
-    return d.spark.read.parquet(f"{root}/out")
+    sent = d.spark.read.parquet(f"{root}/out").withColumn("open", F.lit(False))
+    return sent.unionByName(st.open_days(d.spark, f"{root}/cp").withColumn("open", F.lit(True)))
 
 
 @query("w2_stream_dedup", "SELECT sha256(user_id || '|' || event_type) AS request_key, user_id, event_type FROM events GROUP BY user_id, event_type", dates="")
@@ -182,12 +183,13 @@ def _(d):
 
 @query("w3_stream_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
   s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g), a AS (SELECT user_id, sid, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS fin, count(*) AS events, sum(value) AS value FROM s GROUP BY 1, 2)
-  SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(fin, '%Y-%m-%d %H:%M:%S') AS "end", events, value FROM a WHERE fin <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""", nums="value", dates="")
+  SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(fin, '%Y-%m-%d %H:%M:%S') AS "end", events, value , fin > (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS open FROM a""", nums="value", dates="")
 def _(d):
     stream, root = landed(d, _events(d))
     st.drain(st.stream_sessions(stream, "6 hours", "1 hour"), f"{root}/out", f"{root}/cp")
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return d.spark.read.parquet(f"{root}/out").select("user_id", text("start"), text("end"), "events", "value")
+    sent = d.spark.read.parquet(f"{root}/out").withColumn("open", F.lit(False))
+    return sent.unionByName(st.open_sessions(d.spark, f"{root}/cp").withColumn("open", F.lit(True))).select("user_id", text("start"), text("end"), "events", "value", "open")
 
 
 # ---- library and provenance ----------------------------------------------------------

@@ -84,14 +84,27 @@ def stream_dedup(stream: DataFrame, cols: list[str], delay: str, ts: str = "ts")
 
 
 def stream_panel(stream: DataFrame, delay: str, code: str = "user_id", value: str = "value", ts: str = "ts") -> DataFrame:
-    """Daily panel from events; a day is sent once the watermark has passed its end."""
+    """Daily panel from events; a day is sent once the watermark has passed its end, and until then is among ``open_days``."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     daily = timed.groupBy(F.window(ts, "1 day").alias("_w"), F.col(code).alias("code")).agg(F.sum(value).alias("value"), F.count(F.lit(1)).alias("events"))
     return daily.select(F.col("_w.start").cast("date").alias("date"), "code", "value", "events")
 
 
+def open_days(spark: SparkSession, checkpoint: str, code: str = "user_id") -> DataFrame:
+    """The days of ``stream_panel`` that the watermark still holds back, read from the state that the last drain left."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col("key.window.start").cast("date").alias("date"), F.col(f"key.{code}").alias("code"), F.col("value.sum").alias("value"), F.col("value.count").alias("events"))
+
+
+def open_sessions(spark: SparkSession, checkpoint: str, user: str = "user_id") -> DataFrame:
+    """The sessions of ``stream_sessions`` that may still grow, with the end they have so far."""
+    state = spark.read.format("statestore").load(checkpoint)
+    w = "value.session_window"
+    return state.select(F.col(f"key.{user}").alias(user), F.col(f"{w}.start").alias("start"), F.col(f"{w}.end").alias("end"), F.col("value.count").alias("events"), F.col("value.sum").alias("value"))
+
+
 def stream_sessions(stream: DataFrame, gap: str, delay: str, user: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Activity sessions: events of a user with no pause longer than the gap."""
+    """Activity sessions: events of a user with no pause longer than the gap; those not closed yet are among ``open_sessions``."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     s = timed.groupBy(F.session_window(ts, gap).alias("_w"), user).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
     return s.select(user, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "events", "value")
