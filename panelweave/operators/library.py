@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import json
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.sources.files import create_once
+
 VERSIONS = (
     "factor_spec_version", "execution_plan_version", "preprocessing_version", "time_convention_version",
     "field_metadata_version", "metric_definition_version", "adapter_version", "code_commit", "runtime_version",
 )
+ENTRY = "factor_id string, version long, row_count long, content_hash string, metric_keys array<string>, review_status string, review_note string"
+INFER_KEY = "spark.sql.sources.partitionColumnTypeInference.enabled"
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -33,31 +42,79 @@ def verify_content(df: DataFrame, recorded: DataFrame) -> DataFrame:
 def publish(df: DataFrame, root: str, factor_id: str, metric_keys: list[str], registry: DataFrame) -> int:
     """Write the next version of a factor and return its number.
 
-    A version is a folder of its own and is never replaced: the write fails if it exists.
-    Disputed or unregistered metrics are refused and unreviewed ones are labelled.
+    A number is claimed by a file that is made only where none is, so whoever comes second to it takes the next
+    one. The rows then land in the version's folder, and the version comes to be in one step, when its entry appears:
+    readers go by entries, so a write that is under way or has died is never listed or read, and the
+    number of one that died stays unused. Nothing is ever replaced. The entry keeps the fingerprint of the stored
+    rows for ``verify_version``.
+
+    Disputed or unregistered metrics are refused before anything is written, and unreviewed ones are labelled.
     """
     from panelweave.operators.composite import review_gate
 
+    if not factor_id:
+        raise ValueError("a published factor needs a name")
+    spark = df.sparkSession
     label = review_gate(metric_keys, registry).first()
-    version = _last_version(df.sparkSession, root, factor_id) + 1
-    df.withColumns({"review_status": F.lit(label.review_status), "review_note": F.lit(label.review_note)}).write.mode("errorifexists").parquet(
-        f"{root}/factor_id={factor_id}/version={version}"
-    )
+    name = hashlib.sha256(factor_id.encode()).hexdigest()
+    last = read_entries(spark, root).filter(F.col("factor_id") == factor_id).agg(F.max("version")).first()[0]
+    version = (last or 0) + 1
+    while not create_once(spark, f"{root}/_claims/{name}.{version}", ""):
+        version += 1
+    folder = _folder(root, factor_id, version)
+    df.withColumns({"review_status": F.lit(label.review_status), "review_note": F.lit(label.review_note)}).write.mode("errorifexists").parquet(folder)
+    kept = fingerprint(spark.read.parquet(folder)).first()
+    entry = {
+        "factor_id": factor_id, "version": version, "row_count": kept.row_count, "content_hash": kept.content_hash, "metric_keys": metric_keys,
+        "review_status": label.review_status, "review_note": label.review_note,
+    }
+    if not create_once(spark, f"{root}/_entries/{name}.{version}.json", json.dumps(entry)):
+        raise FileExistsError(f"{factor_id} has a version {version} already")
     return version
 
 
-def _last_version(spark: SparkSession, root: str, factor_id: str) -> int:
-    """Highest version folder, from the file listing alone."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/factor_id={factor_id}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return max([int(n.split("=")[1]) for n in names if n.startswith("version=")], default=0)
+def _folder(root: str, factor_id: str, version: int) -> str:
+    return f"{root}/factor_id={quote(factor_id, safe='')}/version={version}"
+
+
+def read_entries(spark: SparkSession, root: str) -> DataFrame:
+    """A row per published version; none before the first one. A file that is not whole is no entry."""
+    try:
+        found = spark.read.schema(ENTRY).json(f"{root}/_entries")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ENTRY)
+    return found.filter("factor_id is not null and version is not null and content_hash is not null")
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    """All folders of versions, published or not. Names stay text, so that 007 is not 7."""
+    before = spark.conf.get(INFER_KEY)
+    spark.conf.set(INFER_KEY, "false")
+    try:
+        found = spark.read.option("basePath", root).parquet(root)
+    finally:
+        spark.conf.set(INFER_KEY, before)
+    return found.withColumn("version", F.col("version").cast("long"))
 
 
 def read_library(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("basePath", root).parquet(root)
+    """The rows of all published versions; filters on factor and version prune folders."""
+    return _stored(spark, root).join(read_entries(spark, root), ["factor_id", "version"], "left_semi")
+
+
+def verify_version(spark: SparkSession, root: str, factor_id: str, version: int) -> DataFrame:
+    """``verify_content`` of one published version; no row where there is no such version."""
+    entry = read_entries(spark, root).filter((F.col("factor_id") == factor_id) & (F.col("version") == version))
+    if entry.isEmpty():
+        return verify_content(entry, entry).limit(0)
+    return verify_content(spark.read.parquet(_folder(root, factor_id, version)), entry)
+
+
+def unpublished(spark: SparkSession, root: str) -> DataFrame:
+    """Versions with rows but no entry: writes under way, or left by a publisher that died."""
+    return _stored(spark, root).select("factor_id", "version").distinct().join(read_entries(spark, root), ["factor_id", "version"], "left_anti")
 
 
 def get_version(library: DataFrame, factor_id: str, version: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -150,6 +152,21 @@ def _(d):
     return st.latest_snapshot(d.spark.read.parquet(f"{root}/out"))
 
 
+@query("e7_heartbeat", f"""WITH {S.SESSIONS}, p AS (SELECT CASE sequence % 3 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 4 END AS drain, sequence FROM ev),
+  b(drain, batch) AS (VALUES (1, 0), (2, 1), (3, 1), (4, 2), (5, 2))
+  SELECT drain, batch, count(p.sequence) AS events, (SELECT max(q.sequence) FROM p q WHERE q.drain <= b.drain) AS last, count(p.sequence) = 0 AS idle FROM b LEFT JOIN p USING (drain) GROUP BY drain, batch""", dates="")
+def _(d):
+    """Five drains over one checkpoint; the third and the fifth find nothing new."""
+    e = d.session_events.select("session_id", "sequence", "event_type")
+    stream, root = landed(d, e.filter("sequence % 3 = 1"))
+    for n, part in enumerate((None, "sequence % 3 = 0", None, "sequence % 3 = 2", None), 1):
+        if part:
+            e.filter(part).write.mode("append").parquet(f"{root}/in")
+        stream = st.follow(d.spark, f"{root}/in", e.schema)
+        st.drain_watched(stream, f"{root}/out", f"{root}/cp", f"{root}/beats/drain={n}", f"{root}/beats" if n > 1 else None)
+    return d.spark.read.parquet(f"{root}/beats").select("drain", "batch", "events", "last", "idle")
+
+
 @query("e7_replay", f"WITH {S.SESSIONS} SELECT session_id, sequence, event_type FROM ev", dates="")
 def _(d):
     """Two drains over one checkpoint: the second starts where the first stopped."""
@@ -206,6 +223,24 @@ def _(d):
     return lb.read_library(d.spark, root).groupBy("factor_id", "version").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("filled"))
 
 
+@query("l1_publish_at_once", f"""WITH {S.GRID} SELECT 'momentum' AS factor_id, v AS version, count(*) AS row_count, 'unreviewed' AS review_status, true AS unchanged FROM grid, (VALUES (1), (2), (3)) t(v) GROUP BY v""", dates="")
+def _(d):
+    """Three publishers at once, beside one that died before its entry: what the library then lists, checked against the stored rows."""
+    from panelweave.sources.registry import metrics
+
+    root = scratch(d.spark, "library")
+    registry = metrics(d.spark)
+    with ThreadPoolExecutor(3) as pool:
+        numbers = list(pool.map(lambda col: lb.publish(d.one(col), root, "momentum", [], registry), ("close", "high", "volume")))
+    d.one("close").withColumns({"review_status": F.lit("reviewed"), "review_note": F.lit("")}).write.parquet(f"{root}/factor_id=momentum/version={max(numbers) + 1}")
+    rows = lb.read_library(d.spark, root).groupBy("factor_id", "version").agg(F.count(F.lit(1)).alias("row_count"), F.first("review_status").alias("review_status"))
+    checked = None
+    for n in numbers:
+        one = lb.verify_version(d.spark, root, "momentum", n).select(F.lit(n).cast("long").alias("version"), "unchanged")
+        checked = one if checked is None else checked.unionByName(one)
+    return rows.join(checked, "version").select("factor_id", "version", "row_count", "review_status", "unchanged")
+
+
 def entries(d):
     return d.table("part").select(F.col("p_brand").alias("factor_id"), F.col("p_size").alias("version"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("score"))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from urllib.parse import unquote, urlparse
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +57,45 @@ def write_audit(path: str, raw: DataFrame, aligned: DataFrame, universe: DataFra
     excluded.write.mode("errorifexists").parquet(f"{path}/excluded")
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file where none is, in one step; False if there is one. Of several writers exactly one makes it.
+
+    A plain or ``file:`` path is a linked file, which is whole when it appears. Elsewhere it is the file system's own
+    create without overwrite: HDFS lets one writer through; an object store must offer conditional puts.
+    """
+    where = urlparse(path)
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if where.scheme == "file" or not where.scheme and default.startswith("file:"):
+        target = unquote(where.path) if where.scheme else path
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        draft = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}")
+        with open(draft, "x") as f:
+            f.write(text)
+        try:
+            os.link(draft, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    return hadoop_create_once(spark, path, text)
+
+
+def hadoop_create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """``create_once`` through Hadoop's file system of the path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError:
+        if fs.exists(target):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def export_weights(df: DataFrame, path: str) -> None:
     df.select("date", "code", "weight").write.mode("errorifexists").csv(path, header=True)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from panelweave.operators.event_log import INVALIDATES, TRANSITIONS, WRITES, fold_keys, idempotency_key
@@ -24,6 +27,85 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
+class Heartbeat(StreamingQueryListener):
+    """The triggers of one running query as rows: batch, time, events read, greatest number read.
+
+    Spark reports a trigger once; what is kept is a row per batch and never events. The greatest number is observed
+    while the batch is processed, so it costs no job of its own.
+    """
+
+    OBSERVED = "heartbeat"
+    SCHEMA = "batch long, at timestamp, events long, last long, idle boolean"
+
+    def __init__(self) -> None:
+        self.seen: list[tuple] = []
+        self.ended: set[str] = set()
+        self.changed = threading.Condition()
+
+    @classmethod
+    def watch(cls, stream: DataFrame, number: str) -> DataFrame:
+        return stream.observe(cls.OBSERVED, F.count(F.lit(1)).alias("events"), F.max(F.col(number).cast("long")).alias("last"))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        with self.changed:
+            self.seen.append((str(p.runId), p.batchId, p.timestamp, p.observedMetrics.get(self.OBSERVED)))
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def of(self, run: str, timeout: float) -> list[tuple]:
+        """Rows of the run's batches, once Spark has said that it ended."""
+        with self.changed:
+            if not self.changed.wait_for(lambda: run in self.ended, timeout):
+                raise TimeoutError(f"no end of stream {run} was reported within {timeout} s")
+            found = {}
+            for r, batch, at, seen in self.seen:
+                if r == run:
+                    events = seen["events"] if seen else 0
+                    # A batch may be followed by a trigger of the same number that reads nothing.
+                    if batch not in found or events:
+                        found[batch] = (batch, dt.datetime.fromisoformat(at.replace("Z", "+00:00")), events, seen["last"] if seen else None)
+            return [found[b] for b in sorted(found)]
+
+
+def drain_watched(stream: DataFrame, path: str, checkpoint: str, beats: str, earlier: str | None = None, number: str = "sequence", timeout: float = 60.0) -> None:
+    """As ``drain``, and writes what a client that follows would be told: ``(batch, at, events, last, idle)``.
+
+    A row for each batch with events, with the greatest ``number`` sent so far. A drain that finds nothing new
+    still gives one row, ``idle``, with the batch and number it stands at; these come from the ``earlier``
+    heartbeats of the same checkpoint (NULL where there are none).
+    """
+    spark = stream.sparkSession
+    listener = Heartbeat()
+    spark.streams.addListener(listener)
+    try:
+        q = Heartbeat.watch(stream, number).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+        q.awaitTermination()
+        rows = listener.of(str(q.runId), timeout)
+    finally:
+        spark.streams.removeListener(listener)
+    stand = (None, None)
+    if earlier:
+        stand = tuple(spark.read.schema(Heartbeat.SCHEMA).parquet(earlier).agg(F.max("batch"), F.max("last")).first())
+    out, last = [], stand[1]
+    for batch, at, events, top in rows:
+        if events:
+            last = max(x for x in (last, top) if x is not None) if (last, top) != (None, None) else None
+            out.append((batch, at, events, last, False))
+    if not out:
+        out = [(stand[0], dt.datetime.now(dt.timezone.utc), 0, last, True)]
+    spark.createDataFrame(out, Heartbeat.SCHEMA).coalesce(1).write.parquet(beats)
+
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -1,3 +1,6 @@
+import hashlib
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from conftest import panel, wide
 from pyspark.sql import functions as F
@@ -40,6 +43,45 @@ def test_publish_never_replaces(spark, tmp_path):
         p.write.mode("errorifexists").parquet(f"{root}/factor_id=m/version=1")
 
 
+def test_publish_is_one_step(spark, tmp_path):
+    """A version without its entry, whole or in part, is neither listed, read nor numbered over; 007 is no 7."""
+    root, reg = str(tmp_path / "lib"), metrics(spark)
+    p = panel(spark, {"a": [1, 2]})
+    assert lb.read_entries(spark, root).count() == 0
+    assert lb.publish(p, root, "007", ["PB"], reg) == 1
+    # A publisher that has claimed a number and written its rows, but no entry; and an entry that is cut off.
+    name = hashlib.sha256(b"007").hexdigest()
+    assert files.create_once(spark, f"{root}/_claims/{name}.2", "") and not files.create_once(spark, f"{root}/_claims/{name}.2", "")
+    p.withColumn("review_status", F.lit("x")).withColumn("review_note", F.lit("y")).write.parquet(f"{root}/factor_id=007/version=2")
+    (tmp_path / "lib" / "_entries" / f"{name}.2.json").write_text('{"factor_id": "007", "vers')
+    assert [(r.factor_id, r.version) for r in lb.read_entries(spark, root).collect()] == [("007", 1)]
+    assert {(r.factor_id, r.version) for r in lb.read_library(spark, root).collect()} == {("007", 1)}
+    assert [(r.factor_id, r.version) for r in lb.unpublished(spark, root).collect()] == [("007", 2)]
+    assert lb.publish(p.limit(1), root, "007", ["PB"], reg) == 3
+    assert lb.publish(p, root, "a/b c", [], reg) == 1
+    assert lb.get_version(lb.read_library(spark, root), "007", 3).count() == 1 and lb.get_version(lb.read_library(spark, root), "a/b c", 1).count() == 2
+    assert [r.unchanged for r in lb.verify_version(spark, root, "007", 3).collect()] == [True] and lb.verify_version(spark, root, "007", 2).count() == 0
+    p.withColumn("review_status", F.lit("x")).withColumn("review_note", F.lit("y")).write.mode("append").parquet(f"{root}/factor_id=007/version=3")
+    assert [r.unchanged for r in lb.verify_version(spark, root, "007", 3).collect()] == [False]
+    with pytest.raises(ValueError):
+        lb.publish(p, root, "", ["PB"], reg)
+
+
+def test_publishers_at_once_get_numbers_of_their_own(spark, tmp_path):
+    root, reg = str(tmp_path / "lib"), metrics(spark)
+    p = panel(spark, {"a": [1, 2, 3, 4]})
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: lb.publish(p.limit(n), root, "m", ["PB"], reg), range(1, 5)))
+    assert sorted(got) == [1, 2, 3, 4]
+    sizes = {r.version: r["count"] for r in lb.read_library(spark, root).groupBy("version").count().collect()}
+    assert sizes == {v: n for v, n in zip(got, range(1, 5))}
+    with ThreadPoolExecutor(8) as pool:
+        for make in (files.create_once, files.hadoop_create_once):
+            made = list(pool.map(lambda _: make(spark, f"{tmp_path}/{make.__name__}", "x"), range(16 if make is files.create_once else 1)))
+            assert made.count(True) == 1 and not make(spark, f"{tmp_path}/{make.__name__}", "y")
+            assert (tmp_path / make.__name__).read_text() == "x"
+
+
 def test_fingerprint_and_verify(spark):
     p = panel(spark, {"a": [1, 2], "b": [3, None]})
     assert lb.fingerprint(p).first() == lb.fingerprint(p.repartition(3).select("value", "code", "date")).first()

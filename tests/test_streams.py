@@ -68,3 +68,26 @@ def test_stream_of_late_numbers_is_the_batch_fold(spark, tmp_path):
         assert {s: (r.state, r.illegal_at, r.version) for s, r in got.items()} == {s: (r.state, r.illegal_at, r.version) for s, r in want.items()}
         assert {s: r.missing for s, r in got.items()} == {s: max(n for x, n, _ in seen if x == s) - len({n for x, n, _ in seen if x == s}) for s in got}
     assert got["a"].missing == 1 and got["b"].illegal_at == 2400 and got["c"].missing == 0
+
+
+def test_heartbeat_of_batches_and_of_idle_drains(spark, tmp_path):
+    """Several batches in a drain, an idle one, a late lower number, and a number that is missing."""
+    schema = "session_id string, sequence long, event_type string"
+    empty = spark.createDataFrame([], schema).schema
+    beats = f"{tmp_path}/beats"
+
+    def drain(n, rows=None, **kw):
+        for r in rows or []:
+            spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        st.drain_watched(st.follow(spark, f"{tmp_path}/in", empty, **kw), f"{tmp_path}/out", f"{tmp_path}/cp", f"{beats}/drain={n}", beats if n else None)
+        return [tuple(r) for r in spark.read.parquet(f"{beats}/drain={n}").orderBy("batch").select("batch", "events", "last", "idle").collect()]
+
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    assert drain(0) in ([(None, 0, None, True)], [(0, 0, None, True)])
+    got = drain(1, [("a", 5, "x"), ("a", 7, "x")], files_per_trigger=1)
+    assert [g[1] for g in got] == [1, 1] and got[-1][2] == 7
+    assert not any(g[3] for g in got)
+    at = got[-1][0]
+    assert drain(2) == [(at, 0, 7, True)]
+    assert [g[1:] for g in drain(3, [("a", 6, "x"), ("b", None, "x")])] == [(2, 7, False)]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
