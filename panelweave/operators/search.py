@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.text import tokens
 from panelweave.operators.ordering import numbered, spread
+from panelweave.operators.segment import segment
 from panelweave.session import land
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -15,12 +16,18 @@ KEY = 3
 PREFERRED_MARKET = "cn_a"
 
 
-def _postings(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _words_of(texts: DataFrame, key: str, words: DataFrame | None) -> DataFrame:
+    if words is None:
+        return texts.select(key, tokens(F.col("text")).alias("_w"))
+    return segment(texts, words, key).withColumnRenamed("tokens", "_w")
+
+
+def _postings(docs: DataFrame, queries: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``doc_id, term, sat`` of the documents' words that any query asks for, and ``query_id, term, w, df``.
 
     The documents are cut into words once. A negative idf is raised to ``EPSILON`` times the mean idf of all words.
     """
-    opened = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", tokens(F.col("text")).alias("_w")).withColumn("dl", F.size("_w").cast("double"))
+    opened = _words_of(spread(docs.select("doc_id", "text"), "doc_id"), "doc_id", words).withColumn("dl", F.size("_w").cast("double"))
     opened = land(opened, "words")
     shape = opened.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = F.lit(shape["n"]), F.lit(shape["avgdl"])
@@ -28,23 +35,24 @@ def _postings(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame
     df = opened.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = land(df.withColumn("_idf", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "terms")
     floor = F.lit(raw.agg(F.avg("_idf") * EPSILON).first()[0])
-    q_terms = land(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
+    q_terms = land(_words_of(queries, "query_id", words).select("query_id", F.explode("_w").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
     asked = q_terms.select("term").distinct()
     idf = raw.join(asked, "term", "left_semi").select("term", "df", F.when(F.col("_idf") < 0, floor).otherwise(F.col("_idf")).alias("idf"))
     weighted = q_terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "df")
-    words = opened.select("doc_id", "dl", F.explode("_w").alias("term")).join(asked, "term", "left_semi")
-    hits = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    met = opened.select("doc_id", "dl", F.explode("_w").alias("term")).join(asked, "term", "left_semi")
+    hits = met.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     return hits.select("doc_id", "term", sat.alias("sat")), weighted
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_scores(docs: DataFrame, queries: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Okapi scores of every (query, document) pair that shares a term.
 
     ``docs(doc_id, text)``, ``queries(query_id, text)``. A document qualifies by sharing a term and not by the
-    sign of its score. ``bm25_topk`` makes fewer pairs.
+    sign of its score. ``bm25_topk`` makes fewer pairs. With ``words(word, n)`` running text is cut by that dictionary
+    (``segment``; ids are then unique), else into pairs of letters.
     """
-    hits, weighted = _postings(docs, queries)
+    hits, weighted = _postings(docs, queries, words)
     return hits.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("sat")).alias("score"))
 
 
@@ -70,12 +78,13 @@ def essential_terms(hits: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("at_least").isNull() | (F.col("_sum") >= F.col("at_least"))).select("query_id", "term")
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, words: DataFrame | None = None) -> DataFrame:
     """Best ``k`` documents per query: pairs are made only by words that can bring a document in, and scored in full.
 
     A stop word's documents are thus never paired with the queries that have it. The row-number filter is cut on the map side, too.
+    ``words`` is as in ``bm25_scores``.
     """
-    hits, weighted = _postings(docs, queries)
+    hits, weighted = _postings(docs, queries, words)
     hits, weighted = land(hits, "postings"), land(weighted, "weights")
     pairs = hits.join(essential_terms(hits, weighted, k), "term").select("query_id", "doc_id").distinct()
     asked = weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("_q"))  # a query's own words

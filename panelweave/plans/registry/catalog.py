@@ -61,6 +61,27 @@ def _(d):
     return t.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"), F.md5(F.array_join("w", " ").cast("binary")).alias("words_md5"), F.array_max("w").alias("last_word"))
 
 
+@query("t1_segment", """WITH RECURSIVE nm AS (SELECT p_partkey, replace(p_name, ' ', '') AS whole, p_name FROM part),
+  w AS (SELECT word, count(*) AS n FROM (SELECT whole AS word FROM nm UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM nm) GROUP BY 1),
+  tot AS (SELECT ln(sum(n)) AS t FROM w), d AS (SELECT map(list(word), list(CAST(round((ln(n) - t) * 1000000) AS BIGINT))) AS m, max(CAST(round(-t * 1000000) AS BIGINT)) AS u, max(length(word)) AS longest FROM w, tot),
+  x AS (SELECT DISTINCT whole || lower(p_type) || reverse(whole) AS s, length(whole || lower(p_type) || reverse(whole)) AS n FROM part JOIN nm USING (p_partkey)),
+  r AS (SELECT s, n, n AS i, CAST([0] AS BIGINT[]) AS best, CAST([] AS BIGINT[]) AS step FROM x
+    UNION ALL SELECT s, n, i - 1, list_prepend(b[1], best), list_prepend(b[2], step) FROM (SELECT r.*, list_max(list_filter(list_transform(range(1, least(longest, n - i + 1) + 1),
+      lambda k: [coalesce(m[substr(s, i, k)], CASE WHEN k = 1 THEN u END) + best[k], k]), lambda c: c[1] IS NOT NULL)) AS b FROM r, d WHERE i > 0)),
+  p AS (SELECT s, n, best[1] AS weight, step, 1 AS pos, CAST('' AS VARCHAR) AS words, 0 AS n_words FROM r WHERE i = 0
+    UNION ALL SELECT s, n, weight, step, CAST(pos + step[pos] AS INTEGER), words || '|' || substr(s, pos, step[pos]), n_words + 1 FROM p WHERE pos <= n)
+  SELECT p_partkey, n_words, substr(words, 2) AS words FROM part JOIN nm USING (p_partkey) JOIN p ON s = whole || lower(p_type) || reverse(whole) AND pos = n + 1""", dates="")
+def _(d):
+    """Names, types and reversed names run together, cut by the names and the words they consist of."""
+    from panelweave.operators.segment import segment, word_list
+
+    part = d.table("part").withColumn("_whole", F.replace("p_name", F.lit(" "), F.lit("")))
+    joined = part.select("p_partkey", F.concat("_whole", F.lower("p_type"), F.reverse("_whole")).alias("text"))
+    names = part.select(F.explode(F.array("p_name", "_whole")).alias("name"))
+    got = segment(joined, word_list(names, letters="a-z"), "p_partkey", letters="a-z")
+    return got.select("p_partkey", F.size("tokens").alias("n_words"), F.array_join("tokens", "|").alias("words"))
+
+
 BM25 = f"""WITH dt AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM dt),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM dt) GROUP BY 1, 2),
   n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
