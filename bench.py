@@ -16,7 +16,7 @@ HEADLINE = [
     "factor_momentum", "factor_illiquidity", "factor_price_volume", "factor_triple", "factor_pit_quality", "f_rolling_std", "f_nested",
     "x1_winsorize", "x2_zscore", "x5_ordered_steps", "a4_ic", "a6_quantile_bucket", "a11_analyze_factor", "i1_combine_columns", "i1_combine_factors", "i5_index_factor_score",
     "j2_interval_mask", "j3_suspended", "j4_index_members", "j7_resolve_prices", "j8_pit_align", "q7_latest_announcement", "p1_price_post",
-    "v16_result_summary", "f1_audit_trees", "t2_bm25_topk", "d1_score_blocks", "d9_scan_documents", "d10_scan_json", "e1_fold_snapshot", "e2_fold_state", "e6_stream_fold", "e6_stream_states", "w1_stream_panel", "w3_stream_sessions", "m1_suite_metrics", "l7_table_diff",
+    "v16_result_summary", "f1_audit_trees", "t1_segment", "t2_bm25_topk", "d1_score_blocks", "d9_scan_documents", "d10_scan_json", "e1_fold_snapshot", "e2_fold_state", "e6_stream_fold", "e6_stream_states", "w1_stream_panel", "w3_stream_sessions", "m1_suite_metrics", "l7_table_diff",
 ]
 
 

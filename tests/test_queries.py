@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "factor_momentum", "factor_illiquidity", "factor_pit_quality", "factor_members_momentum", "f_nested", "x1_winsorize", "x5_ordered_steps", "a5_rank_ic", "a6_quantile_bucket",
     "i1_combine_factors", "i5_index_factor_score", "j1_instruments", "j3_suspended", "j4_index_members", "j6_industry_zx", "j7_resolve_prices", "q7_latest_announcement",
-    "c3_next_trading_date", "v10_distribution", "f1_audit_trees", "t2_bm25_topk", "t7_price_rerank", "d8_route_extraction", "d10_scan_json", "e1_fold_snapshot", "e4_append_conflicts",
+    "c3_next_trading_date", "v10_distribution", "f1_audit_trees", "t1_segment", "t2_bm25_topk", "t7_price_rerank", "d8_route_extraction", "d10_scan_json", "e1_fold_snapshot", "e4_append_conflicts", "e7_heartbeat", "l1_publish_at_once",
     "w3_stream_sessions", "l7_table_diff", "m1_suite_metrics",
 ]
 
