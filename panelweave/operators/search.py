@@ -162,13 +162,18 @@ ADJUSTMENT = {
     "s_dq_adjclose_backward": "forward",
 }
 # fixed values: wording of close-price requests and of explicit adjustments
-CLOSE_WORDS = r"收盘价|动量|波动|(?<!产)收益率"
-CLOSE_ENGLISH = r"(?i)\b(close|momentum|volatility|adjclose|adj_close)\b|adj close"
-RETURN_ENGLISH = r"(?i)\breturn\b"
-RETURN_ON = r"(?i)return on (equity|assets)"
-NONE_WORDS = r"不复权|未复权|原始收盘价|(?i)\b(unadjusted|raw close)\b"
-FORWARD_WORDS = r"前复权|(?i)\b(forward adj|fwd adj|pre-?adjust)\b"
-BACKWARD_WORDS = r"后复权|(?i)\b(adj close|adjclose|adj_close|backward adj)\b|(?i)adj close"
+CLOSE_WORDS = ["收盘价", "动量", "波动", "(?<!产)收益率"]
+CLOSE_ENGLISH = ["close", "momentum", "volatility", "adjclose", "adj_close"]
+CLOSE_ANYWHERE = ["adj close"]
+RETURN_ENGLISH = ["return"]
+RETURN_ON = ["return on equity", "return on assets"]
+NONE_WORDS = ["不复权", "未复权", "原始收盘价"]
+NONE_ENGLISH = ["unadjusted", "raw close"]
+FORWARD_WORDS = ["前复权"]
+FORWARD_ENGLISH = ["forward adj", "fwd adj", "pre-?adjust"]
+BACKWARD_WORDS = ["后复权"]
+BACKWARD_ENGLISH = ["adj close", "adjclose", "adj_close", "backward adj"]
+BACKWARD_ANYWHERE = ["adj close"]
 # fixed values: family -> preferred column and the others to list
 FAMILIES = {
     "explicit_none": ("s_dq_close", ["s_dq_adjclose", "s_dq_adjclose_backward"]),
@@ -179,11 +184,22 @@ FAMILIES = {
 }
 
 
+def _says(text: Column, anywhere: list[str], whole: list[str] = ()) -> Column:
+    """Whether the text has one of the wordings, in any case: ``anywhere``, or as ``whole`` words."""
+    said = text.rlike("(?i)" + "|".join(anywhere)) if anywhere else F.lit(False)
+    return said | text.rlike(rf"(?i)\b({'|'.join(whole)})\b") if whole else said
+
+
 def price_family(text: Column, use_adjusted: bool = True) -> Column:
     """Which close price a request means; NULL for requests about something else."""
-    close = text.rlike(CLOSE_WORDS) | text.rlike(CLOSE_ENGLISH) | (text.rlike(RETURN_ENGLISH) & ~text.rlike(RETURN_ON))
-    return F.when(~close, F.lit(None)).when(text.rlike(NONE_WORDS), "explicit_none").when(text.rlike(FORWARD_WORDS), "explicit_forward").when(
-        text.rlike(BACKWARD_WORDS), "explicit_backward").otherwise("inferred_adjusted" if use_adjusted else "inferred_plain")
+    close = _says(text, CLOSE_WORDS + CLOSE_ANYWHERE, CLOSE_ENGLISH) | (_says(text, [], RETURN_ENGLISH) & ~_says(text, RETURN_ON))
+    return (
+        F.when(~close, F.lit(None))
+        .when(_says(text, NONE_WORDS, NONE_ENGLISH), "explicit_none")
+        .when(_says(text, FORWARD_WORDS, FORWARD_ENGLISH), "explicit_forward")
+        .when(_says(text, BACKWARD_WORDS + BACKWARD_ANYWHERE, BACKWARD_ENGLISH), "explicit_backward")
+        .otherwise("inferred_adjusted" if use_adjusted else "inferred_plain")
+    )
 
 
 def price_rerank(candidates: DataFrame, requests: DataFrame, aliases: DataFrame, limit: int, use_adjusted: bool = True) -> DataFrame:

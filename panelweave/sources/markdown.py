@@ -28,8 +28,7 @@ ROLE_COLUMNS = {
 }
 # fixed values: shapes of names, types and fill rates in dictionary rows
 FIELD = r"[A-Z][A-Z0-9_]{2,}"
-SIZED = r"(?:VARCHAR2|NUMBER|CHAR)\s*\([\d\s,]+\)"
-TYPE = rf"(?i:{SIZED}|\b(?:DATE|CLOB|FLOAT|INTEGER)\b)"
+TYPE = r"(?i:(?:VARCHAR2|NUMBER|CHAR)\s*\([\d\s,]+\)|\b(?:DATE|CLOB|FLOAT|INTEGER)\b)"
 FIELD_AND_TYPE = r"(?i)\b([A-Z][A-Z0-9_]{2,})\s+((?:VARCHAR2|NUMBER|CHAR)\s*\([\d\s,]+\)|DATE|CLOB|FLOAT|INTEGER)(?=$|\s)"
 FILL = r"(\d+(?:\.\d+)?)%"
 FOLDED = (
