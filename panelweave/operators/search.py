@@ -13,6 +13,8 @@ from panelweave.session import land
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Letters by which queries meet aliases.
 KEY = 3
+#: Up to so many aliases go to every task; more are joined by shuffling both sides.
+FEW_ALIASES = 50_000
 PREFERRED_MARKET = "cn_a"
 
 
@@ -118,16 +120,17 @@ def alias_match(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """Best alias per query: the exact term (1.0), else the longest one it contains (0.9).
 
     Queries meet aliases by the letters an alias begins with: every place of a query offers its next ``KEY``
-    letters (fewer for shorter aliases), and only aliases that begin so are looked at. So the table of aliases may be
-    of any size; it is joined and never held whole.
+    letters (fewer for shorter aliases), and only aliases that begin so are looked at. The offered letters are many times
+    the queries and are never broadcast: ``FEW_ALIASES`` at most are, and a longer list of aliases is joined by merging.
     """
+    how = "broadcast" if aliases.limit(FEW_ALIASES + 1).count() <= FEW_ALIASES else "merge"
     known = aliases.filter("alias <> ''").select(F.substring("alias", 1, KEY).alias("_key"), "alias", "table", "field", F.col("asset_type").alias("_asset"), F.col("frequency").alias("_freq"))
-    q = queries.withColumn("_q", F.trim("text"))
+    q = spread(queries, "query_id").withColumn("_q", F.trim("text"))
     places = F.sequence(F.lit(1), F.length("_q"))
     next_ = lambda k: F.transform(places, lambda i: F.substring(F.col("_q"), i, F.lit(k)))
     offered = F.array_distinct(F.flatten(F.array(*[next_(k) for k in range(1, KEY + 1)])))
     own = [c for c in ("asset_type", "frequency") if c in queries.columns]
-    met = q.filter(F.length("_q") > 0).select("query_id", "_q", *own, F.explode(offered).alias("_key")).join(known, "_key").filter(F.contains("_q", "alias"))
+    met = q.filter(F.length("_q") > 0).select("query_id", "_q", *own, F.explode(offered).alias("_key")).join(known.hint(how), "_key").filter(F.contains("_q", "alias"))
     for col, other in (("asset_type", "_asset"), ("frequency", "_freq")):
         if col in own:
             met = met.filter(F.col(col).isNull() | F.col(other).isNull() | (F.col(col) == F.col(other)))
