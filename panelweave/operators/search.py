@@ -215,14 +215,14 @@ def price_rerank(candidates: DataFrame, requests: DataFrame, aliases: DataFrame,
     wanted_rows = [(f, col, i) for f, (first, others) in FAMILIES.items() for i, col in enumerate([first, *others])]
     spark = candidates.sparkSession
     wanted = F.broadcast(spark.createDataFrame(wanted_rows, "family string, field string, place int"))
-    home = aliases.groupBy("field").agg(F.min("table").alias("table"))
+    home = aliases.filter(F.col("field").isin(sorted({col for _, col, _ in wanted_rows}))).groupBy("field").agg(F.min("table").alias("table"))
     reserved = family.join(wanted, "family").join(F.broadcast(home), "field")
     found = candidates.select("query_id", "table", "field", "position", F.lit(None).cast("int").alias("place"))
     extra = reserved.select("query_id", "table", "field", F.lit(None).cast("int").alias("position"), "place")
     # Found rows and wanted columns meet by (query, field); a wanted column nobody found is added.
     by_field = W.partitionBy("query_id", "field")
     met = found.unionByName(extra).withColumn("_place", F.max("place").over(by_field)).withColumn("_found", F.max("position").over(by_field))
-    rows = met.filter(F.col("position").isNotNull() | F.col("_found").isNull()).join(family, "query_id", "left")
+    rows = met.filter(F.col("position").isNotNull() | F.col("_found").isNull()).join(family.hint("merge"), "query_id", "left")  # a row per request, however short
     adjustment = F.create_map(*[F.lit(x) for kv in ADJUSTMENT.items() for x in kv])
     note = (
         F.when(F.col("family").isNull(), F.lit(None))

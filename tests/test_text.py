@@ -57,6 +57,33 @@ def test_best_documents_without_pairs_from_stop_words(spark):
     assert (50, "the") in kept and not any((k, w) in kept for k in range(15) for w in ("the", "of"))
 
 
+def _broadcasts(df):
+    """The parts of the physical plan that are broadcast, as text."""
+    lines, out = df._jdf.queryExecution().sparkPlan().toString().split("\n"), []
+    for i, line in enumerate(lines):
+        if "Join" in line and "Broadcast" in line:
+            deep = lambda x: len(x) - len(x.lstrip(" :+-"))
+            kids = [j for j in range(i + 1, len(lines)) if deep(lines[j]) == deep(line) + 3]
+            side = kids[0] if "BuildLeft" in line else kids[1]
+            end = next((j for j in range(side + 1, len(lines)) if deep(lines[j]) <= deep(lines[side])), len(lines))
+            out.append("\n".join(lines[side:end]))
+    return out
+
+
+def test_requests_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """A small file of requests offers many times its size; only the short list of aliases goes to every task."""
+    spark.range(300).selectExpr("id as query_id", "concat('ask ', id, ' 收盘价 动量') as text").write.parquet(f"{tmp_path}/q")
+    q, al = spark.read.parquet(f"{tmp_path}/q"), aliases(spark)
+    met = se.alias_match(q, al)
+    sides = _broadcasts(met)
+    assert sides and not any("FileScan" in s for s in sides)
+    monkeypatch.setattr(se, "FEW_ALIASES", 3)
+    merged = se.alias_match(q, al)
+    assert not _broadcasts(merged) and sorted(merged.collect()) == sorted(met.collect())
+    found = met.select("query_id", "table", "field", F.lit(1).alias("position"))
+    assert not any("FileScan" in s for s in _broadcasts(se.price_rerank(found, q, al, 3)))
+
+
 def test_longest_alias_of_a_large_table(spark):
     import random
 
