@@ -162,3 +162,21 @@ def test_long_code_list_is_joined(spark):
     rows = spark.createDataFrame([(i,) for i in range(3000)], "code int")
     assert only_codes(rows, "code", [*range(0, 2 * ISIN_LIMIT), 5]).count() == 2 * ISIN_LIMIT
     assert only_codes(rows, "code", [1, 1, 2]).count() == 2
+
+
+def test_scan_bars_of_all_codes_and_of_a_long_list(spark, tmp_path):
+    """The query reads the bars of every customer in its span; a list of more codes than one IN takes is joined."""
+    import datetime as dt
+
+    from panelweave.plans import registry
+
+    day = dt.datetime(1996, 5, 1)
+    rows = [(c, day, float(c)) for c in range(1, 4500)] + [(7, dt.datetime(1998, 1, 1), 1.0)]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderdate timestamp, o_totalprice double")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.code for r in registry.callables()["s2_scan_bars"](spark, str(tmp_path)).collect()} == set(range(1, 4500))
+    listed = list(range(1, 4000, 3))
+    assert len(listed) > qs.ISIN_LIMIT
+    bars = orders.withColumnsRenamed({"o_custkey": "code", "o_orderdate": "date"})
+    got = qs.scan_bars(bars, listed, day, day, ["o_totalprice"])
+    assert sorted(r.code for r in got.collect()) == listed
