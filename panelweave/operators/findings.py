@@ -30,25 +30,24 @@ def _emit(facts: DataFrame, subject: Column, rules: list[tuple[str | Column, str
     )
 
 
-def panel_facts(panel: DataFrame, value: str = "value") -> DataFrame:
+def panel_facts(panel: DataFrame, value: str = "value", cells: bool = True) -> DataFrame:
     """One row of counts about a long panel.
 
-    Cells are counted first, then codes, then the total: every step is pre-summed. The number
-    of dates comes from a set with one entry per day.
+    Codes are counted first, then the total: every step is pre-summed. Cells are counted before them
+    where ``duplicates`` are asked for (``cells``); without that a task holds its codes and not its cells. The
+    number of dates comes from a set with one entry per day.
     """
-    by_cell = panel.groupBy("code", "date").agg(
-        F.count(F.lit(1)).alias("n"), F.count(value).alias("k"), F.min(value).alias("lo"), F.max(value).alias("hi")
-    )
-    by_code = by_cell.groupBy("code").agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("n") > 1).alias("dup"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("date").alias("first"), F.max("date").alias("last"),
-    )
     n_dates = panel.agg(F.size(F.collect_set("date"))).scalar()
+    one = {"n": F.count(F.lit(1)), "k": F.count(value), "lo": F.min(value), "hi": F.max(value)}
+    if cells:
+        panel = panel.groupBy("code", "date").agg(*[c.alias(n) for n, c in one.items()])
+        one = {"n": F.sum("n"), "k": F.sum("k"), "lo": F.min("lo"), "hi": F.max("hi"), "dup": F.count_if(F.col("n") > 1)}
+    by_code = panel.groupBy("code").agg(*[c.alias(n) for n, c in one.items()], F.min("date").alias("first"), F.max("date").alias("last"))
     return by_code.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("k"), F.lit(0)).alias("non_null"),
         F.count(F.lit(1)).alias("codes"),
-        F.coalesce(F.sum("dup"), F.lit(0)).alias("duplicates"),
+        (F.coalesce(F.sum("dup"), F.lit(0)) if cells else F.lit(None).cast("long")).alias("duplicates"),
         F.coalesce(F.bool_or(F.col("lo") != F.col("hi")), F.lit(False)).alias("some_code_varies"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.min("first").alias("first"), F.max("last").alias("last"),
@@ -62,10 +61,10 @@ def check_inputs(variables: dict) -> None:
 
 def data_findings(
     panel: DataFrame, name: str, value: str = "value", start: str | None = None, end: str | None = None,
-    metric: str | None = None, registry: DataFrame | None = None,
+    metric: str | None = None, registry: DataFrame | None = None, only: str | None = None,
 ) -> DataFrame:
-    """Every input check in one pass over the panel."""
-    facts = panel_facts(panel, value)
+    """Every input check in one pass over the panel, or the ``only`` one named."""
+    facts = panel_facts(panel, value, only in (None, "duplicate_key"))
     some = F.col("rows") > 0
     rules = [
         ("warning", "empty_sample", F.col("rows") == 0, {"variable": F.lit(name)}),
@@ -82,7 +81,7 @@ def data_findings(
         severity = F.when(F.col("_status") == "reviewed", "error").otherwise("warning")
         outside = (F.col("non_null") > 0) & ((F.col("lo") < F.col("_low")) | (F.col("hi") > F.col("_high")))
         rules.append((severity, "implausible_input_magnitude", outside, {"metric": F.lit(metric), "low": _num(F.col("lo")), "high": _num(F.col("hi"))}))
-    return _emit(facts, F.lit(name), rules)
+    return _emit(facts, F.lit(name), [r for r in rules if only in (None, r[1])])
 
 
 def _with_range(facts: DataFrame, metric: str, registry: DataFrame) -> DataFrame:
@@ -92,36 +91,32 @@ def _with_range(facts: DataFrame, metric: str, registry: DataFrame) -> DataFrame
     })
 
 
-def _only(code: str, found: DataFrame) -> DataFrame:
-    return found.filter(F.col("code") == code)
-
-
 def check_empty(panel, name="panel", value="value"):
-    return _only("empty_sample", data_findings(panel, name, value))
+    return data_findings(panel, name, value, only="empty_sample")
 
 
 def check_duplicates(panel, name="panel", value="value"):
-    return _only("duplicate_key", data_findings(panel, name, value))
+    return data_findings(panel, name, value, only="duplicate_key")
 
 
 def check_sparse(panel, name="panel", value="value"):
-    return _only("sparse_data", data_findings(panel, name, value))
+    return data_findings(panel, name, value, only="sparse_data")
 
 
 def check_narrow(panel, name="panel", value="value"):
-    return _only("narrow_cross_section", data_findings(panel, name, value))
+    return data_findings(panel, name, value, only="narrow_cross_section")
 
 
 def check_constant(panel, name="panel", value="value"):
-    return _only("constant_input", data_findings(panel, name, value))
+    return data_findings(panel, name, value, only="constant_input")
 
 
 def check_coverage(panel, start, end, name="panel", value="value"):
-    return _only("partial_coverage", data_findings(panel, name, value, start, end))
+    return data_findings(panel, name, value, start, end, only="partial_coverage")
 
 
 def check_input_range(panel, registry, metric, name="panel", value="value"):
-    return _only("implausible_input_magnitude", data_findings(panel, name, value, metric=metric, registry=registry))
+    return data_findings(panel, name, value, metric=metric, registry=registry, only="implausible_input_magnitude")
 
 
 def check_result(factor: DataFrame, name: str = "factor", value: str = "value") -> DataFrame:
@@ -133,7 +128,7 @@ def check_distribution(factor: DataFrame, name: str = "factor", value: str = "va
 
 
 def _result_rules(factor, name, value, codes):
-    facts = panel_facts(factor, value)
+    facts = panel_facts(factor, value, cells=False)
     has = F.col("non_null") > 0
     rules = [
         ("error", "empty_result", F.col("rows") == 0, {"subject": F.lit(name)}),
@@ -187,7 +182,7 @@ def raise_on_errors(findings: DataFrame) -> None:
 
 def result_summary(factor: DataFrame, value: str = "value", trace: DataFrame | None = None) -> DataFrame:
     """Grid size, non-missing share and, if given, the executed steps."""
-    facts = panel_facts(factor, value).select("dates", "codes", F.col("rate").alias("non_null_rate"))
+    facts = panel_facts(factor, value, cells=False).select("dates", "codes", F.col("rate").alias("non_null_rate"))
     if trace is None:
         return facts
     steps = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "operation"))), lambda s: s.operation), ",")

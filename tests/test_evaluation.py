@@ -205,3 +205,13 @@ def test_market_cap_takes_the_last_row_on_the_trading_grid(spark):
     days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (2, 3, 4)], "date date")
     got = {r.date.day: r.market_cap for r in prices.market_cap(rows, order="n", dates=days).collect()}
     assert got == {2: None, 3: None, 4: 20_000.0}
+
+
+def test_checks_hold_cells_only_for_duplicates(spark):
+    """A check that asks for no duplicates groups by code alone, so a task holds no entry per (code, date)."""
+    rows = panel(spark, {"a": [1, None, 3], "b": [2, 2, 2]}).union(panel(spark, {"b": [5]}))
+    cells = lambda df: "date" in "".join(x.split("functions=")[0] for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Aggregate(keys=" in x)
+    assert cells(fi.check_duplicates(rows)) and fi.check_duplicates(rows).first().evidence == {"duplicates": "1"}
+    assert not any(cells(f(rows)) for f in (fi.check_sparse, fi.check_empty, fi.check_narrow, fi.check_constant, fi.check_result, fi.check_distribution, fi.result_summary))
+    full, lean = fi.panel_facts(rows).drop("duplicates").first(), fi.panel_facts(rows, cells=False).drop("duplicates").first()
+    assert full == lean and full.rows == 7 and full.non_null == 6
