@@ -81,57 +81,87 @@ def parse_dictionary(files: DataFrame, units: dict[str, str] | None = None) -> D
     ).withColumn("frequency", _first_part(F.array_join("business_keys", " "), KEY_FREQUENCY))
 
     lines = F.filter(F.split("text", r"\r?\n"), lambda s: s.startswith("|") & ~s.startswith("|---") & ~F.contains(s, F.lit("序号")))
-    parsed = F.filter(F.transform(lines, _parse_row), lambda r: r.isNotNull() & r["field"].isNotNull())
-    out = per_file.withColumn("_rows", parsed).filter(F.size("_rows") > 0).withColumn("_names", F.transform("_rows", lambda r: r["field"]))
+    out = per_file.select("*", _parse_rows(lines).alias("_rows")).withColumn("_names", F.transform("_rows", lambda r: r["field"]))
     for role, options in ROLE_COLUMNS.items():
         out = out.withColumn(role, F.coalesce(*[F.when(F.array_contains("_names", o), o) for o in options]))
     unit = F.lit(None).cast("string")
     if units:
         unit = F.try_element_at(F.create_map(*[F.lit(x) for kv in units.items() for x in kv]), F.concat_ws(".", "table", "_r.field"))
-    return out.withColumn("_r", F.explode("_rows")).select(
+    # An inner explode would have every row parsed once more, to leave out empty lists before the files are spread.
+    return out.withColumn("_r", F.explode_outer("_rows")).filter("_r is not null").select(
         "path", "table", "_r.field", "_r.name", "_r.data_type", "_r.fill_rate", "_r.description", unit.alias("unit"), "asset_type", "frequency", "market",
         "business_keys", "note", F.lit("WDS").alias("metadata_source"), *ROLE_COLUMNS,
     )
 
 
-def _parse_row(line: Column) -> Column:
-    """One table row; NULL if it has no readable field.
+def _parse_rows(lines: Column) -> Column:
+    """The table rows that have a readable field.
 
     The field is the first cell after the second that is a name by itself. Failing that, the last
     cell that ends in a name and a type, and failing that, a name and a type anywhere in the line.
+    Each step is one pass over the rows and works out what the next ones read, so no pattern is matched twice.
     """
-    cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
-    tail = F.slice(cells, F.lit(3), F.size(cells))
-    at = F.array_position(F.transform(tail, lambda c: c.rlike(rf"^{FIELD}$")), True)
-    both = F.array_position(F.reverse(F.transform(tail, lambda c: c.rlike(FIELD_AND_TYPE))), True)
-    last = F.size(tail) - both + 1  # place of the last cell with a name and a type
-
-    plain_at = (at + 2).cast("int")
-    plain = _row(
-        F.try_element_at(cells, plain_at), F.array_join(F.slice(cells, 2, F.greatest(plain_at - 2, F.lit(0))), " "), F.lit(None).cast("string"),
-        F.slice(cells, plain_at + 1, F.size(cells)),
-    )
-    merged_at = (last + 2).cast("int")
-    cell = F.try_element_at(cells, merged_at)
-    merged = _row(
-        F.regexp_extract(cell, FIELD_AND_TYPE, 1), F.trim(F.regexp_extract(cell, rf"^(.*?){FIELD_AND_TYPE}", 1)),
-        F.regexp_replace(F.regexp_extract(cell, FIELD_AND_TYPE, 2), r"\s+", ""), F.slice(cells, merged_at + 1, F.size(cells)),
-    )
-    folded = F.struct(
-        F.lower(_blank_null(F.regexp_extract(line, FOLDED, 2))).alias("field"), F.trim(F.regexp_extract(line, FOLDED, 1)).alias("name"),
-        F.regexp_replace(F.regexp_extract(line, FOLDED, 3), r"\s+", "").alias("data_type"), F.lit(None).cast("double").alias("fill_rate"), F.lit("").alias("description"),
-    )
-    return F.when(F.size(cells) < 3, F.lit(None)).when(at > 0, plain).when(both > 0, merged).otherwise(folded)
-
-
-def _row(field: Column, name: Column, own_type: Column, rest: Column) -> Column:
-    """Field facts from the cells that follow it."""
-    all_rest = F.when(own_type.isNotNull(), F.concat(F.array(own_type), rest)).otherwise(rest)
-    typed = F.try_element_at(F.filter(all_rest, lambda c: c.rlike(TYPE)), F.lit(1))
-    filled = F.try_element_at(F.filter(all_rest, lambda c: c.rlike(FILL)), F.lit(1))
-    words = F.transform(all_rest, lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, TYPE, ""), FILL, "")))
-    return F.struct(
-        F.lower(field).alias("field"), F.trim(name).alias("name"), F.regexp_replace(F.regexp_extract(typed, TYPE, 0), r"\s+", "").alias("data_type"),
-        (F.regexp_extract(filled, FILL, 1).try_cast("double") / 100).alias("fill_rate"),
-        F.coalesce(F.try_element_at(F.filter(words, lambda w: w != ""), F.lit(-1)), F.lit("")).alias("description"),
-    )
+    split = F.transform(lines, lambda s: F.struct(s.alias("line"), _cells(s).alias("cells")))
+    wide = F.filter(split, lambda r: F.size(r["cells"]) >= 3)
+    placed = F.transform(wide, lambda r: F.struct(*_kept(r, "line", "cells"), _plain_at(r["cells"]).alias("at")))
+    merged = F.transform(placed, lambda r: F.struct(*_kept(r, "line", "cells", "at"), F.when(r["at"] == 0, _merged_at(r["cells"])).alias("merged")))
+    found = F.transform(merged, lambda r: F.struct(*_kept(r, "line", "cells", "at", "merged"), _field(r).alias("field")))
+    readable = F.filter(found, lambda r: r["field"].isNotNull())
+    facts = F.transform(readable, lambda r: F.struct(*_kept(r, "field"), _name(r).alias("name"), _own_type(r).alias("own"), _rest(r).alias("rest")))
+    chosen = F.transform(facts, lambda r: F.struct(
+        *_kept(r, "field", "name", "own", "rest"),
+        F.when(r["own"].isNull(), F.try_element_at(F.filter(r["rest"], lambda c: c.rlike(TYPE)), F.lit(1))).alias("typed"),
+        F.try_element_at(F.filter(r["rest"], lambda c: c.rlike(FILL)), F.lit(1)).alias("filled"),
+        F.filter(F.transform(r["rest"], lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, TYPE, ""), FILL, ""))), lambda w: w != "").alias("words"),
+    ))
+    return F.transform(chosen, lambda r: F.struct(
+        r["field"].alias("field"), r["name"].alias("name"), F.coalesce(r["own"], F.regexp_replace(F.regexp_extract(r["typed"], TYPE, 0), r"\s+", "")).alias("data_type"),
+        (F.regexp_extract(r["filled"], FILL, 1).try_cast("double") / 100).alias("fill_rate"), F.coalesce(F.try_element_at(r["words"], F.lit(-1)), F.lit("")).alias("description"),
+    ))
+
+
+def _kept(row: Column, *names: str) -> list[Column]:
+    return [row[n].alias(n) for n in names]
+
+
+def _cells(line: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+
+
+def _plain_at(cells: Column) -> Column:
+    """Place of the first cell after the second that is a name; 0 if there is none."""
+    at = F.array_position(F.transform(F.slice(cells, F.lit(3), F.size(cells)), lambda c: c.rlike(rf"^{FIELD}$")), True)
+    return F.when(at > 0, (at + 2).cast("int")).otherwise(0)
+
+
+def _merged_at(cells: Column) -> Column:
+    """Place of the last cell after the second with a name and a type; 0 if there is none."""
+    back = F.array_position(F.reverse(F.transform(F.slice(cells, F.lit(3), F.size(cells)), lambda c: c.rlike(FIELD_AND_TYPE))), True)
+    return F.when(back > 0, (F.size(cells) - back + 1).cast("int")).otherwise(0)
+
+
+def _by_shape(row: Column, plain: Column, merged: Column, folded: Column) -> Column:
+    return F.when(row["at"] > 0, plain).when(row["merged"] > 0, merged).otherwise(folded)
+
+
+def _field(row: Column) -> Column:
+    cell = lambda place: F.try_element_at(row["cells"], row[place])
+    return F.lower(_by_shape(row, cell("at"), F.regexp_extract(cell("merged"), FIELD_AND_TYPE, 1), _blank_null(F.regexp_extract(row["line"], FOLDED, 2))))
+
+
+def _name(row: Column) -> Column:
+    before = F.array_join(F.slice(row["cells"], F.lit(2), F.greatest(row["at"] - 2, F.lit(0))), " ")
+    merged = F.regexp_extract(F.try_element_at(row["cells"], row["merged"]), rf"^(.*?){FIELD_AND_TYPE}", 1)
+    return F.trim(_by_shape(row, before, merged, F.regexp_extract(row["line"], FOLDED, 1)))
+
+
+def _own_type(row: Column) -> Column:
+    """The type beside the name, in one cell or folded."""
+    merged = F.regexp_extract(F.try_element_at(row["cells"], row["merged"]), FIELD_AND_TYPE, 2)
+    return F.regexp_replace(_by_shape(row, F.lit(None).cast("string"), merged, F.regexp_extract(row["line"], FOLDED, 3)), r"\s+", "")
+
+
+def _rest(row: Column) -> Column:
+    """The cells after the field's; none of a folded line."""
+    after = lambda place: F.slice(row["cells"], row[place] + 1, F.size(row["cells"]))
+    return _by_shape(row, after("at"), after("merged"), F.array().cast("array<string>"))

@@ -30,6 +30,15 @@ def test_dictionary_rows(spark):
     assert (got["report_period"].name, got["s_fa_roe"].name, got["s_fa_roe"].data_type) == ("a b", "净资产", "FLOAT")
 
 
+def test_dictionary_rows_are_read_once(spark):
+    """No filter below the opening of rows parses them as well, to leave out files without any."""
+    files = spark.createDataFrame([("a.md", "| 1 | x | AAA_B | DATE |"), ("b.md", "no rows"), ("c.md", None)], "path string, text string")
+    got = md.parse_dictionary(files)
+    assert [(r.path, r.field) for r in got.collect()] == [("a.md", "aaa_b")]
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Generate")
+    assert len(below) == 2 and "Filter" not in below[1]
+
+
 def test_publish_never_replaces(spark, tmp_path):
     root, reg = str(tmp_path / "lib"), metrics(spark)
     p = panel(spark, {"a": [1, 2]})
