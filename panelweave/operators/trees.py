@@ -1,7 +1,7 @@
 """Trees given as tables of parent links: depth and shape by pointer doubling, equality by hashes from the leaves up.
 
-A node is ``(spec_id, node_id, parent_id, position, …)``; a root has no parent. Every node is told apart by
-(spec, node), so a spec of any size is spread over tasks.
+A node is ``(spec_id, node_id, parent_id, position, …)``; a root has no parent. A spec of up to ``ROW_NODES`` nodes is
+walked in a row of its own. The nodes of a larger one are told apart by (spec, node), so it is spread over tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelweave.session import land
 
 KEY = ["spec_id", "node_id"]
+ROW_NODES = 256
 
 
 def walked(nodes: DataFrame) -> DataFrame:
@@ -20,9 +21,43 @@ def walked(nodes: DataFrame) -> DataFrame:
     ``state`` is ``rooted``, ``orphaned`` (its topmost ancestor names a parent that is not there) or ``cyclic``
     (going up never ends; ``depth`` is then NULL). A topmost node has depth 1. Of a node given twice, the
     least parent counts. Each round doubles how far every node sees up its way, so a chain of n nodes takes
-    log2(n) rounds, and only nodes that do not see their top yet take part in the next.
+    log2(n) rounds. Both ways, in a row and over tasks, give the same.
     """
     links = land(nodes.groupBy(*KEY).agg(F.min("parent_id").alias("parent_id"), F.count(F.lit(1)).alias("copies")), "links")
+    large = land(links.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ROW_NODES).select("spec_id"), "large")
+    if large.isEmpty():
+        return _walked_in_rows(links)
+    return _walked_in_rows(links.join(large, "spec_id", "left_anti")).unionByName(_walked_over_tasks(links.join(large, "spec_id", "left_semi")))
+
+
+def _walked_in_rows(links: DataFrame) -> DataFrame:
+    """A spec's links are an array in its row. A node's place is its number in the array, 0 is beyond the top."""
+    spec = links.groupBy("spec_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "parent_id", "copies"))).alias("_n"))
+    spec = spec.select("spec_id", "_n", F.col("_n.node_id").alias("_ids"), F.col("_n.parent_id").alias("_ups"))
+    place = F.transform("_ups", lambda p: F.coalesce(F.array_position("_ids", p), F.lit(0)))
+    spec = spec.withColumn("_first", F.transform(place, lambda up, i: F.struct(up.alias("up"), F.when(up == 0, 0).otherwise(1).cast("long").alias("far"), F.when(up == 0, i + 1).otherwise(up).cast("long").alias("top"))))
+
+    def further(seen, _):
+        def step(x):
+            above = F.element_at(seen, x["up"].cast("int"))
+            return F.when(x["up"] == 0, x).otherwise(F.struct(above["up"].alias("up"), (x["far"] + above["far"]).alias("far"), above["top"].alias("top")))
+
+        return F.transform(seen, step)
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("_n").cast("double"))).cast("int") + 1)
+    seen = spec.withColumn("_seen", F.aggregate(rounds, F.col("_first"), further))
+    kids = F.transform("_ids", lambda n: F.coalesce(F.size("_ups") - F.size(F.array_remove("_ups", n)), F.lit(0)).cast("long"))
+    one = seen.select("spec_id", "_ups", F.explode(F.arrays_zip("_n", "_seen", kids.alias("_kids"))).alias("_x"))
+    far, up = F.col("_x._seen.far"), F.col("_x._seen.up")
+    orphan = F.element_at("_ups", F.col("_x._seen.top").cast("int")).isNotNull()
+    return one.select(
+        "spec_id", "_x._n.node_id", "_x._n.parent_id", "_x._n.copies", F.col("_x._kids").alias("children"), F.when(up == 0, far + 1).alias("depth"),
+        F.when(up != 0, "cyclic").when(orphan, "orphaned").otherwise("rooted").alias("state"),
+    )
+
+
+def _walked_over_tasks(links: DataFrame) -> DataFrame:
+    """Rounds of joins; only nodes that do not see their top yet take part in the next."""
     there = links.select("spec_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
     kids = links.filter("parent_id is not null").groupBy("spec_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"))
     known = links.join(there, ["spec_id", "parent_id"], "left").withColumn("up", F.when(F.col("there"), F.col("parent_id")))

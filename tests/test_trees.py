@@ -50,6 +50,24 @@ def test_walk_is_the_plain_one(spark):
     assert got == want and {v[1] for v in want.values()} == {"rooted", "orphaned", "cyclic"} and max(v[0] or 0 for v in want.values()) > 60
 
 
+def test_walk_in_rows_and_over_tasks(spark, monkeypatch):
+    """Small specs take a fixed number of jobs, whatever their depth; both ways give the same rows."""
+    rng = random.Random(8)
+    rows = [(s, n, rng.choice([None, n - 1, n // 2, n + 1, 77]) if n > 1 else None, 0, "x", 1.0) for s in range(30) for n in range(1, rng.choice([2, 7, 30]))]
+    rows += [(50, n, n - 1 or None, 0, "x", 1.0) for n in range(1, 60)] + [(51, 1, None, 0, "x", 1.0)] * 2
+    table = spark.createDataFrame(rows, NODES)
+    columns = ["spec_id", "node_id", "parent_id", "copies", "children", "depth", "state"]
+    landed = []
+    monkeypatch.setattr(trees, "land", lambda df, name, land=trees.land: landed.append(name) or land(df, name))
+    found = []
+    for limit in (256, 0, 10):  # all in rows, none, some of both
+        monkeypatch.setattr(trees, "ROW_NODES", limit)
+        landed.clear()
+        found.append(sorted(trees.walked(table).select(columns).collect(), key=lambda r: (r.spec_id, r.node_id)))
+        assert limit < 256 or landed == ["links", "large"]
+    assert found[0] == found[1] == found[2] and max(r.depth or 0 for r in found[0]) == 59
+
+
 def test_equal_trees_have_equal_hashes(spark):
     def nested(rng, depth):
         return (rng.choice("ab"), rng.choice([None, 1.0]), [nested(rng, depth - 1) for _ in range(rng.randrange(3) if depth else 0)])
