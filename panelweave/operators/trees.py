@@ -64,13 +64,13 @@ def _walked_over_tasks(links: DataFrame) -> DataFrame:
     orphan = F.col("parent_id").isNotNull() & F.col("up").isNull()
     base = land(known.join(kids, KEY, "left").select(*KEY, "parent_id", "copies", F.coalesce("children", F.lit(0).cast("long")).alias("children"), "up", orphan.alias("orphan")), "base")
     seen = base.select(*KEY, "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("far"), F.when(F.col("up").isNull(), F.col("orphan")).alias("orphan"))
+    largest = links.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     ended, reach = None, 1
     while True:
         done = seen.filter("up is null")
         ended = done if ended is None else ended.unionByName(done)
         left = seen.filter("up is not null")
-        sizes = left.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if sizes is None or reach > sizes:  # whoever sees on past all open nodes goes round
+        if reach >= largest or left.isEmpty():  # whoever sees on past as many nodes as there are goes round
             break
         above = seen.unionByName(ended.join(left.select("spec_id").distinct(), "spec_id", "left_semi")).dropDuplicates(KEY)
         above = above.select("spec_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"), F.col("orphan").alias("then"))
