@@ -89,10 +89,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, words: DataFrame | No
     hits, weighted = _postings(docs, queries, words)
     hits, weighted = land(hits, "postings"), land(weighted, "weights")
     pairs = hits.join(essential_terms(hits, weighted, k), "term").select("query_id", "doc_id").distinct()
-    asked = weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("_q"))  # a query's own words
-    held = hits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "sat"))).alias("_d"))  # a document's words that are asked for
-    each = F.transform("_q", lambda t: t["w"] * F.coalesce(F.try_element_at("_d", t["term"]), F.lit(0.0)))
-    scored = pairs.join(asked, "query_id").join(held, "doc_id").select("query_id", "doc_id", F.aggregate(each, F.lit(0.0), lambda s, x: s + x).alias("score"))
+    # Only ids are shuffled with a pair. Its words meet where the document's postings are, and the sum needs no shuffle of its own.
+    met = pairs.join(hits, "doc_id").join(weighted.select("query_id", "term", "w"), ["query_id", "term"])
+    scored = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("sat")).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("doc_id"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

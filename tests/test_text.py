@@ -84,6 +84,15 @@ def test_requests_are_never_broadcast(spark, tmp_path, monkeypatch):
     assert not any("FileScan" in s for s in _broadcasts(se.price_rerank(found, q, al, 3)))
 
 
+def test_pairs_are_shuffled_without_their_words(spark):
+    """No array of a query's words or map of a document's travels with each pair."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} the") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"the w{q}") for q in range(6)], "query_id long, text string")
+    best = se.bm25_topk(docs, asked, 3)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "map_from_entries" not in plan and best.count() == 18
+
+
 def test_longest_alias_of_a_large_table(spark):
     import random
 
