@@ -31,12 +31,21 @@ BLOCK = 384
 COLUMNS = 8192
 #: Bits of the largest table that tells which keys are surely absent: 64 MB.
 MAX_BITS = 1 << 29
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: compressed, and safe from lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    """``df`` written as Parquet in the shared folder and read back: compressed, and safe from lost executors.
+
+    What was shuffled for it goes once it is written, not when the driver next collects its garbage.
+    """
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["_landed_at"] = path
     return out

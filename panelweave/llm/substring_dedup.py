@@ -31,13 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import fresh
 from panelweave.llm.links import bit_table, groups, held, in_bits, landed, maybe_in, spent
-from panelweave.llm.shingles import WORDS, WordHash, mixed, shingles, words_of
+from panelweave.llm.shingles import WORDS, WordHash, mixed, shingles
+from panelweave.llm.wordtable import SAME, chunks, kinds, split_words
 
 MIN_WORDS = 25
 MIN_RUN = 16
@@ -47,6 +49,7 @@ SIMILAR = 0.8
 CUT_EVERY = 8
 MAX_SEGMENT = 48
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_KIND = kinds(b"\x20\x09\x0b\x0c\x0d", b"\n")
 _SALT = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
@@ -85,18 +88,32 @@ def band_keys(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _lines(text: str) -> Iterator[tuple[int, list[bytes]]]:
-    """Number of its first word in the text, and words, of each line."""
-    at = 0
-    for line in text.split("\n"):
-        words = line.encode("utf-8", "replace").split()
-        yield at, words
-        at += len(words)
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of all words of some texts: hash, line (numbers grow over the texts) and row; and each one's number among the distinct ones, and those."""
+    at, distinct, line, row = split_words(texts, _KIND, SAME)
+    distinct = distinct.to_pylist()
+    known = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    return known[at], line, row, at, distinct
 
 
-def _key(words: list[bytes]) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(b" ".join(words))
-    return (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
+def _heads(numbers: np.ndarray) -> np.ndarray:
+    """Where each of the numbers, which do not descend, stands first."""
+    return np.flatnonzero(np.diff(numbers, prepend=-1))
+
+
+def _long_lines(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraphs: their words without all others, where they begin among these and among ``words``, and their sizes."""
+    head = _heads(line)
+    n = np.diff(head, append=len(words))
+    own = words[np.repeat(n >= MIN_WORDS, n)]
+    head, n = head[n >= MIN_WORDS], n[n >= MIN_WORDS]
+    return own, np.cumsum(n) - n, head, n
+
+
+def digests(words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each sequence of words; sequences begin at ``start`` and fill ``words``."""
+    place = (np.arange(1, len(words) + 1) - np.repeat(start, np.diff(start, append=len(words)))).astype(np.uint64)
+    return tuple(mixed(np.add.reduceat(mixed((words ^ (salt << np.uint64(1))) + place * (salt | np.uint64(1))), start)).view(np.int64) for salt in _SALT[:2])
 
 
 def anchors(words: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -126,54 +143,28 @@ def _listed(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text with words: its digest, its paragraphs' digests and bands, and its anchors."""
-    hashes = WordHash()
     for batch in batches:
-        texts = batch.column(1)
-        a = 0
-        while a < batch.num_rows:  # some million code points at a time
-            at, h1, h2, words, n, own, owner, length, d1, d2, chars = [], [], [], [], [], [], [], [], [], [], 0
-            inside = []
-            while a < batch.num_rows and chars < 1_000_000:
-                text = texts[a].as_py() or ""
-                chars += len(text)
-                whole: list[bytes] = []
-                count = 0
-                for place, ws in _lines(text):
-                    if len(ws) >= MIN_WORDS:
-                        x, y = _key(ws)
-                        at.append(place)
-                        h1.append(x)
-                        h2.append(y)
-                        n.append(len(ws))
-                        own += ws
-                        count += 1
-                    whole += ws
-                if whole:
-                    x, y = _key(whole)
-                    owner.append(a)
-                    length.append(len(whole))
-                    d1.append(x)
-                    d2.append(y)
-                    inside.append(count)
-                    words += whole
-                a += 1
-            if not owner:
+        for part in chunks(batch):
+            w, line, row, _, _ = hashed_words(part.column("text"))
+            if not len(w):
                 continue
-            bands = pa.array([], pa.list_(pa.int64()))
-            if n:
-                w, count = hashes.of(own), np.array(n)
-                bands = _listed(pa.array(band_keys(*flat_shingles(w, np.cumsum(count) - count)).ravel(), pa.int64()), np.full(len(n), BANDS))
-            paragraphs = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), bands], names=["at", "h1", "h2", "n", "bands"])
-            w, size = hashes.of(words), np.array(length)
-            start = np.cumsum(size) - size
+            start = _heads(row)
+            text_of = lambda word: np.searchsorted(start, word, "right") - 1  # noqa: B023, E731
+            own, begin, head, n = _long_lines(w, line)
+            bands, h1, h2 = pa.array([], pa.list_(pa.int64())), [], []
+            if len(n):
+                h1, h2 = digests(own, begin)
+                bands = _listed(pa.array(band_keys(*flat_shingles(own, begin)).ravel(), pa.int64()), np.full(len(n), BANDS))
+            inside = text_of(head)
+            paragraphs = pa.StructArray.from_arrays([pa.array(head - start[inside], pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), bands], names=["at", "h1", "h2", "n", "bands"])
             place = anchors(w, start)
             place = place[np.flatnonzero(np.diff(place, prepend=-1))]
-            of = np.searchsorted(start, place, "right") - 1
+            of = text_of(place)
             per = np.bincount(of, minlength=len(start))
             seeds = shingles(w)[place].view(np.int64)
-            take = pa.array(owner)
-            columns = [batch.column(0).take(take), pa.array(length, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
-            columns += [_listed(paragraphs, np.array(inside)), _listed(pa.array(seeds, pa.int64()), per), _listed(pa.array(place - start[of], pa.int32()), per)]
+            d1, d2 = digests(w, start)
+            columns = [part.column("row").take(pa.array(row[start])), pa.array(np.diff(start, append=len(w)), pa.int32()), pa.array(d1), pa.array(d2)]
+            columns += [_listed(paragraphs, np.bincount(inside, minlength=len(start))), _listed(pa.array(seeds, pa.int64()), per), _listed(pa.array(place - start[of], pa.int32()), per)]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
@@ -189,34 +180,35 @@ def _runs(often):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHash(), np.frombuffer(often.value, np.uint8)
+        table = np.frombuffer(often.value, np.uint8)
         for batch in batches:
-            gone = batch.column(2).to_pylist()
-            for i in range(batch.num_rows):
-                if gone[i]:
-                    continue
-                w = hashes.of(words_of(batch.column(1)[i].as_py()))
-                if len(w) < MIN_RUN:
+            for part in chunks(batch.filter(pc.invert(batch.column("gone")))):
+                w, _, row, _, _ = hashed_words(part.column("text"))
+                if not len(w):
                     continue
-                sh, place = shingles(w), anchors(w, np.array([0]))
-                at = np.flatnonzero(in_bits(table, sh.view(np.int64)[place]))
-                if not len(at):
+                start = _heads(row)
+                sh, place = shingles(w), anchors(w, start)
+                hit = np.flatnonzero(in_bits(table, sh.view(np.int64)[place]))
+                if not len(hit):
                     continue
+                runs = np.maximum(np.diff(start, append=len(w)) - MIN_RUN + 1, 0)
+                text = np.repeat(np.arange(len(start)), runs)[hit]
+                at = hit - (np.cumsum(runs) - runs)[text] + start[text]
                 h1, h2 = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
                 for k, step in enumerate(_COVER):
-                    part = sh[at + step]
-                    h1 += mixed(part + _SALT[2 * k])
-                    h2 += mixed(part ^ _SALT[2 * k + 1])
+                    piece = sh[at + step]
+                    h1 += mixed(piece + _SALT[2 * k])
+                    h2 += mixed(piece ^ _SALT[2 * k + 1])
+                flag = np.zeros(len(w), np.int32)
+                for a, spans in zip(start, part.column("near").take(pa.array(row[start])).to_pylist(), strict=True):
+                    for x in spans or ():
+                        flag[a + x["start"] : a + x["end"]] = 1
                 near = np.zeros(len(at), np.int32)
-                spans = batch.column(3)[i].as_py()
-                if spans:
-                    flag = np.zeros(len(w), np.int32)
-                    for x in spans:
-                        flag[x["start"] : x["end"]] = 1
+                if flag.any():
                     for k in range(MIN_RUN):
                         near |= flag[at + k] << k
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mixed(h1).view(np.int64)), pa.array((mixed(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(at), batch.column(0)[i].as_py())), pa.array(at, pa.int32()), pa.array(near)],
+                    [pa.array(mixed(h1).view(np.int64)), pa.array((mixed(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("row").take(pa.array(row[at])), pa.array(at - start[text], pa.int32()), pa.array(near)],
                     names=["h1", "h2", "row", "at", "near"],
                 )
 
@@ -229,17 +221,19 @@ def _bodies(wanted: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.frombuffer(wanted["bits"].value, np.uint8), set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for part in chunks(batch):
+                w, line, _, at, distinct = hashed_words(part.column("text"))
+                own, begin, head, n = _long_lines(w, line)
+                if not len(n):
+                    continue
+                h1, h2 = digests(own, begin)
                 got = []
-                for _, words in _lines(text or ""):
-                    if len(words) < MIN_WORDS:
-                        continue
-                    h1, h2 = _key(words)
-                    at = h1 % (8 * len(table))
-                    if table[at >> 3] >> (at & 7) & 1 and (h1, h2) not in seen:
+                for i in np.flatnonzero(in_bits(table, h1)):
+                    key = (int(h1[i]), int(h2[i]))
+                    if key not in seen:
                         if len(seen) < 100_000:
-                            seen.add((h1, h2))
-                        got.append((h1, h2, b" ".join(words)))
+                            seen.add(key)
+                        got.append((*key, b" ".join(map(distinct.__getitem__, at[head[i] : head[i] + n[i]].tolist()))))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["h1", "h2", "body"])
 
@@ -301,7 +295,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     flags = copies.select("row", F.lit(True).alias("gone"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("near"))
     flags = flags.unionByName(gone.filter("alike").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("near")).select("row", F.lit(False).alias("gone"), "near"))  # bounded by a text's lines
     flags = held(flags.groupBy("row").agg(F.max("gone").alias("gone"), F.first("near", True).alias("near")))
-    runs = docs.join(flags, "row", "left").select("row", "text", F.coalesce("gone", F.lit(False)).alias("gone"), "near").mapInArrow(_runs(table), RUNS)
+    # Only texts that may have a flag move to meet it.
+    flagged = docs.select("row", "text").withColumn("hit", maybe_in(flags, "row")("row"))
+    plain = flagged.filter("not hit").select("row", "text", F.lit(False).alias("gone"), F.lit(None).cast(flags.schema["near"].dataType).alias("near"))
+    touched = flagged.filter("hit").join(flags, "row", "left").select("row", "text", F.coalesce("gone", F.lit(False)).alias("gone"), "near")
+    runs = plain.unionByName(touched).mapInArrow(_runs(table), RUNS)
     runs = landed(runs.select("h1", "h2", place.alias("place"), "near"), "runs")
     spent(flags)
     # The first place of all, the first that stays whole, and the words that go at the first of all where it doesn't.

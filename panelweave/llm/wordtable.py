@@ -9,7 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1_500_000
-_LOW = np.arange(256, dtype=np.uint8)
+SAME = np.arange(256, dtype=np.uint8)
+_LOW = SAME.copy()
 _LOW[0x41:0x5B] += 32
 
 
@@ -21,8 +22,8 @@ def kinds(between_words: bytes, between_pieces: bytes = b"") -> np.ndarray:
     return table
 
 
-def split_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Of texts with A-Z lower-cased: each word's number among the distinct ones, those, its piece and its row."""
+def split_words(texts: pa.Array, table: np.ndarray, letters: np.ndarray = _LOW) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Of texts with A-Z lower-cased (or as ``letters`` turns each byte): each word's number among the distinct ones, those, its piece and its row."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
@@ -39,7 +40,7 @@ def split_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, pa.Arra
     row = np.searchsorted(begin, start, "right") - 1
     piece = np.cumsum(kind == 2, dtype=np.int64)[start] + row  # grows with either
     offsets = np.concatenate(([0], np.cumsum(end - start, dtype=np.int64)))
-    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(_LOW[raw[word]])]).dictionary_encode()
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters[raw[word]])]).dictionary_encode()
     return coded.indices.to_numpy(), coded.dictionary, piece, row
 
 

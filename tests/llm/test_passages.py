@@ -1,10 +1,12 @@
 """Repeated passages against brute force: wrapped, in the middle of paragraphs, and chains of common pieces."""
 
+import glob
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from panelweave.llm import near_dedup, substring_dedup
+from panelweave.llm import links, near_dedup, substring_dedup
 from tests.llm.test_text_models import edited, table, words
 
 RUN, PARAGRAPH = substring_dedup.MIN_RUN, substring_dedup.MIN_WORDS
@@ -121,3 +123,27 @@ def test_row_numbers_do_not_follow_the_splits(spark, tmp_path, monkeypatch):
         assert sorted(r.text for r in near_dedup.keep_one(near).collect()) == sorted(passage)
     finally:
         spark.conf.unset(size)
+
+
+def test_words_of_many_texts_at_once_are_those_of_each():
+    """Line numbers, digests and bodies do not depend on what else is in the batch."""
+    rng = random.Random(8)
+    texts = [None, "", " \n", words(rng, 30), words(rng, 30) + "\n\x0b" + words(rng, 26) + "\r é", words(rng, 24), "A a\n\n" + words(rng, 40)]
+    texts.append(texts[3])
+    w, line, row, at, distinct = substring_dedup.hashed_words(pa.array(texts))
+    assert [[distinct[a].decode() for a, r in zip(at, row) if r == i] for i in range(len(texts))] == [(t or "").split() for t in texts]
+    assert {r: len({x for x, q in zip(line, row) if q == r}) for r in set(row)} == {i: sum(bool(x.split()) for x in (t or "").split("\n")) for i, t in enumerate(texts) if (t or "").split()}
+    parts = [substring_dedup._parts(iter([pa.RecordBatch.from_arrays([pa.array(r), pa.array(t, pa.string())], names=["row", "text"])])) for r, t in [([*range(len(texts))], texts), *([[i], [t]] for i, t in enumerate(texts))]]
+    whole, *single = [[x for b in p for x in b.to_pylist()] for p in parts]
+    assert whole == [x for s in single for x in s] and [len(x["paragraphs"]) for x in whole] == [1, 2, 0, 1, 1]
+    assert (whole[0]["d1"], whole[0]["d2"]) == (whole[-1]["d1"], whole[-1]["d2"]) and len({(x["d1"], x["d2"]) for x in whole}) == 4
+
+
+def test_what_was_shuffled_goes_once_it_is_written(spark):
+    before = spark.conf.get(links.CLEAN_UP, None)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in local for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    there = files()
+    landed = links.landed(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "x")
+    assert not files() - there
+    assert landed.count() == 7 and spark.conf.get(links.CLEAN_UP, None) == before
