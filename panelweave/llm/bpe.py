@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,6 +202,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "tokens
     return docs.mapInArrow(run, schema)
 
 
+def joined(ids: pa.ListArray, strings: pa.Array) -> pa.Array:
+    """For each list of numbers, their ``strings`` with a space between; empty for null."""
+    count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(ids.flatten())), pa.scalar(" ", strings.type)).cast(pa.string())
+
+
 def decode(docs: DataFrame, path: str, tokens: str = "tokens", text: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids in ``tokens``: the vocabulary's strings with a space between.
 
@@ -211,12 +219,11 @@ def decode(docs: DataFrame, path: str, tokens: str = "tokens", text: str = "deco
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        say = shared.value.__getitem__
+        strings = pa.array(shared.value, pa.large_string())
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(tokens))
             for a in range(0, batch.num_rows, 256):
-                part = [" ".join(map(say, ids.values.tolist())) if ids.is_valid else "" for ids in column.slice(a, 256)]
-                yield _with(batch.slice(a, 256), text, pa.array(part, pa.string()), names)
+                yield _with(batch.slice(a, 256), text, joined(column.slice(a, 256), strings), names)
 
     return docs.mapInArrow(run, schema)
 

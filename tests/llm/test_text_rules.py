@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,11 @@ def test_bpe_equals_the_library_both_ways(spark):
         ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.tokens == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
     assert bpe.op4(spark.createDataFrame([], SCHEMA), path).collect() == []
+
+
+def test_bpe_ids_become_texts_without_a_step_per_token():
+    strings = pa.array(["a</w>", "é", ""], pa.large_string())
+    ids = pa.array([None, [0, 1], [], [2, 0], None, [1] * 3, [2]], pa.list_(pa.int32()))
+    want = ["", "a</w> é", "", " a</w>", "", "é é é", ""]
+    assert bpe.joined(ids, strings).to_pylist() == want and bpe.joined(ids.slice(2, 4), strings).to_pylist() == want[2:6]
+    assert bpe.joined(ids.slice(0, 0), strings).to_pylist() == []
