@@ -3,7 +3,9 @@
 Every task counts the word runs of its shard, sorts them and builds weighted acyclic automata from them
 (``transducers``), one for each language and prefix range. A range's automata are united and their
 weights summed; runs below the least count go. Longer runs are counted only where the runs inside
-them were frequent, which loses nothing since a run is no more frequent than its parts. Counts of the
+them were frequent, which loses nothing since a run is no more frequent than its parts. Most pairs of frequent words
+are rare: they are first counted by 32 bits of their hash, a few bytes each, and only pairs whose hash occurs often
+enough go into automata, by their symbols; hashes shared by several pairs can only let more in. Counts of the
 parts of a candidate come from composing the parts asked for with the automata of their ranges.
 
 A word's symbol is a 64-bit hash. That no two words of a language share one is checked over all
@@ -123,15 +125,94 @@ def prefix_range(lang: np.ndarray, symbols: Sequence[np.ndarray], parts: int) ->
     return ((run_hash(lang, symbols[:2]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _symbols(batches: Iterator[pa.RecordBatch], table: np.ndarray, inner: int, seed: int, names: dict[str, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For the words of some texts at a time: language's number in ``names`` and hash, symbol and piece; and which runs of ``inner`` words may be frequent."""
+    full = np.uint64(len(table) * 8)
+    for batch in batches:
+        for part in chunks(batch, CHUNK):
+            at, words, piece, row = split_words(part.column("text"), _KIND)
+            m = len(at)
+            if m < inner:
+                continue
+            code, langs = _langs(part)
+            number = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
+            hashed = _lang_hash(langs)[code][row]
+            symbol = np.fromiter((_symbol(w, seed) for w in words.to_pylist()), np.int64, len(words))[at]
+            h = run_hash(hashed[: m - inner + 1], [symbol[j : m - inner + 1 + j] for j in range(inner)]) % full
+            yield number[code][row], hashed, symbol, piece, _among(table, h)
+
+
+def _among(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (table[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+TALLIES = "part long, rows int, steps binary, counts binary"
+
+
+def _short(lang: np.ndarray, symbols: Sequence[np.ndarray]) -> np.ndarray:
+    """32 bits of each run's hash."""
+    return run_hash(lang, symbols) >> np.uint64(32)
+
+
+def _tallies(bits, seed: int, parts: int, least: int):
+    """Counts of pairs of words that may both be frequent, by 32 bits of the pair's hash: ascending, as steps, in ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            (h,), n = tally([np.concatenate([x for x, _ in held])], np.concatenate([n for _, n in held]))
+            return h, n
+
+        def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            part = h * np.uint64(parts) >> np.uint64(32)
+            start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            packed = lambda x: pa.compress(x.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+            cut = [slice(a, b) for a, b in zip(start, [*start[1:], len(h)], strict=True)]
+            columns = [pa.array(part[start].astype(np.int64)), pa.array([c.stop - c.start for c in cut], pa.int32())]
+            columns += [pa.array([packed(np.diff(h[c], prepend=np.uint64(0))) for c in cut], pa.binary()), pa.array([packed(np.minimum(n[c], least)) for c in cut], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "rows", "steps", "counts"])
+
+        for _, hashed, symbol, piece, ok in _symbols(batches, np.frombuffer(bits.value, np.uint8), 1, seed, {}):
+            where = np.flatnonzero((piece[:-1] == piece[1:]) & ok[:-1] & ok[1:])
+            if len(where):
+                held.append(np.unique(_short(hashed[where], [symbol[where], symbol[where + 1]]), return_counts=True))
+                rows += len(held[-1][0])
+            if rows > HELD:
+                held[:] = [folded()]
+                rows = len(held[0][0])
+                if rows > HELD // 2:
+                    yield out(*held.pop())
+                    rows = 0
+        if held:
+            yield out(*folded())
+
+    return run
+
+
+def _enough(least: int):
+    """The hashes of a range that are counted often enough over all shards."""
+
+    def run(shards: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c: [np.frombuffer(pa.decompress(x, 4 * n, codec="zstd", asbytes=True), np.uint32) for x, n in zip(shards[c], shards["rows"].tolist(), strict=True)]
+        (h,), n = tally([np.concatenate([np.cumsum(x, dtype=np.int64) for x in read("steps")])], np.concatenate(read("counts")).astype(np.int64))
+        return pd.DataFrame({"h": h[n >= least]})
+
+    return run
+
+
 SHARDS = f"size int, lang string, part long, task int, {COLUMNS}"
 
 
-def _shards(sizes: Sequence[int], inner: int, bits, seed: int, parts: int):
-    """Automata of the runs of ``sizes`` words whose runs of ``inner`` words may all be frequent, by language and range."""
+def _shards(sizes: Sequence[int], inner: int, bits, seed: int, parts: int, pairs=None):
+    """Automata of the runs of ``sizes`` words whose runs of ``inner`` words may all be frequent, by language and range.
+
+    With ``pairs``, a table of ``_short`` hashes, only of those that begin with one of these pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
-        full = np.uint64(len(table) * 8)
         names: dict[str, int] = {}
         held: dict[int, list] = {k: [] for k in sizes}
         rows = dict.fromkeys(sizes, 0)
@@ -159,34 +240,25 @@ def _shards(sizes: Sequence[int], inner: int, bits, seed: int, parts: int):
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values)).cast(t)))
             return pa.RecordBatch.from_arrays(columns, names=["size", "lang", "part", "task", "first", "label", "target", "weight", "final", "counts"])
 
-        for batch in batches:
-            for piece_of in chunks(batch, CHUNK):
-                at, words, piece, row = split_words(piece_of.column("text"), _KIND)
-                if not len(at):
-                    continue
-                code, langs = _langs(piece_of)
-                number = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
-                lang, hashed = number[code][row], _lang_hash(langs)[code][row]
-                symbol = np.fromiter((_symbol(w, seed) for w in words.to_pylist()), np.int64, len(words))[at]
-                m = len(symbol)
-                if m < min(sizes):
+        for lang, hashed, symbol, piece, ok in _symbols(batches, table, inner, seed, names):
+            m = len(symbol)
+            for k in sizes:
+                if m < k:
                     continue
-                h = run_hash(hashed[: m - inner + 1], [symbol[j : m - inner + 1 + j] for j in range(inner)]) % full
-                ok = (table[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                for k in sizes:
-                    if m < k:
-                        continue
-                    good = piece[: m - k + 1] == piece[k - 1 :]
-                    for j in range(k - inner + 1):
-                        good = good & ok[j : m - k + 1 + j]
-                    where = np.flatnonzero(good)
-                    if len(where):
-                        held[k].append(tally([lang[where], *(symbol[where + j] for j in range(k))], np.ones(len(where), np.int64)))
-                        rows[k] += len(held[k][-1][1])
-                        if rows[k] > HELD:
-                            fold(k)
-                            if rows[k] > HELD // 2:
-                                yield out(k)
+                good = piece[: m - k + 1] == piece[k - 1 :]
+                for j in range(k - inner + 1):
+                    good = good & ok[j : m - k + 1 + j]
+                where = np.flatnonzero(good)
+                if pairs and len(where):
+                    two = np.frombuffer(pairs.value, np.uint8)
+                    where = where[_among(two, _short(hashed[where], [symbol[where], symbol[where + 1]]) % np.uint64(len(two) * 8))]
+                if len(where):
+                    held[k].append(tally([lang[where], *(symbol[where + j] for j in range(k))], np.ones(len(where), np.int64)))
+                    rows[k] += len(held[k][-1][1])
+                    if rows[k] > HELD:
+                        fold(k)
+                        if rows[k] > HELD // 2:
+                            yield out(k)
         for k in sizes:
             if held[k]:
                 fold(k)
@@ -303,8 +375,14 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     for sizes in plan:
         known = levels[-1]
         bits = _bits(spark, known.select(F.explode("hashes").alias("h")))
-        levels.append(_frequent(docs.mapInArrow(_shards(sizes, sizes[0] - 1, bits, seed, parts), SHARDS), tasks, least))
+        pairs = None
+        if sizes == [2]:
+            tallies = docs.mapInArrow(_tallies(bits, seed, parts, least), TALLIES)
+            pairs = _bits(spark, landed(tallies.groupBy("part").applyInPandas(_enough(least), "h long"), "pairs"))
+        levels.append(_frequent(docs.mapInArrow(_shards(sizes, sizes[0] - 1, bits, seed, parts, pairs), SHARDS), tasks, least))
         bits.unpersist()
+        if pairs:
+            pairs.unpersist()
     everything = levels[0]
     for more in levels[1:]:
         everything = everything.unionByName(more)

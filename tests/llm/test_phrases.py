@@ -130,3 +130,21 @@ def test_split_words():
     at, words, piece, row = phrases.split_words(pa.array(["A b", None, "b.c", "", "éA"]), phrases._KIND)
     assert [words[i].as_py() for i in at.tolist()] == [b"a", b"b", b"b", b"c", "éa".encode()]
     assert row.tolist() == [0, 0, 2, 2, 4] and np.diff(piece).astype(bool).tolist() == [False, True, True, True]
+
+
+def test_rare_pairs_of_frequent_words_are_left_out_by_few_bytes(spark, monkeypatch):
+    """Automata of pairs hold the frequent ones and hardly any other; what is counted before takes a few bytes a pair."""
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choices([f"w{i}" for i in range(300)], k=200)) + " a b c", "en") for _ in range(150)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    seen = []
+    held = phrases._frequent
+    monkeypatch.setattr(phrases, "_frequent", lambda shards, tasks, least: seen.append(shards.selectExpr("size", "size(counts) as n").groupBy("size").sum("n").collect()) or held(shards, tasks, least))
+    got = phrases.mine(docs, least=90, top=None).collect()
+    assert sorted(r.phrase for r in got) == ["a b c"] and 2 <= seen[0][0]["sum(n)"] < 20  # of some 25,000
+    none = type("None", (), {"value": bytes(8192)})
+    every = pa.RecordBatch.from_arrays([pa.array(["x y z y"] * 3), pa.array(["en"] * 3)], names=["text", "lang"])
+    assert [*phrases._tallies(none, 0, 4, 2)(iter([every]))] == []
+    full = type("Full", (), {"value": b"\xff" * 8192})
+    made = pa.Table.from_batches(phrases._tallies(full, 0, 4, 2)(iter([every]))).to_pandas()
+    assert made["rows"].sum() == 3 and len(phrases._enough(3)(made)) == 0 and len(phrases._enough(2)(made)) == 3
