@@ -68,3 +68,13 @@ def test_rebalance_is_the_last_date_there_is(spark):
     assert sorted(r.date.day for r in cal.rebalance_dates(c, "monthly").collect()) == [28, 31]
     with pytest.raises(ValueError):
         cal.rebalance_dates(c, "yearly")
+
+
+def test_cells_of_the_grid_are_made_without_a_shuffle(spark):
+    """The plan hashes reports only: above the step that makes the days, nothing is exchanged."""
+    r = spark.createDataFrame([(f"c{i}", D("2022-12-31"), D("2023-03-31"), float(i)) for i in range(9)], "code string, report_period date, announcement_date date, value double")
+    got = asof.pit_align(r, days(spark, "2023-03-31", "2023-04-01"), [])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")] and "Exchange" in plan
+    assert len(got.collect()) == 18
+    assert asof.pit_align(r, days(spark), []).count() == 0 and asof.pit_align(r.limit(0), days(spark, "2023-03-31"), []).count() == 0
