@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import let
 
 K = 16
-W = 16  # a power of two: window minima are found by doubling
+W = 16  # a power of four: window minima are found by fours
 REACH = K + W - 1
 LAST = 2**31 - 1
 
@@ -32,16 +32,16 @@ def kept_hashes(text: Column) -> Column:
     mask = F.lit(-(1 << 32)).cast("long")
 
     def grams(raw: Column, n: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(n - K, F.lit(0)))
-        return F.transform(at, lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * K))).bitwiseAND(mask) + (LAST - i))
+        at = F.sequence(F.lit(1), F.greatest(n - K, F.lit(0)) * 4 + 1, F.lit(4))
+        return F.transform(at, lambda byte, i: F.xxhash64(F.substring(raw, byte, F.lit(4 * K))).bitwiseAND(mask) + (LAST - i))
 
     def least(values: Column, width: int) -> Column:
         if width == W:
             m = F.greatest(F.size(values) - (W - 1), F.lit(1))
-            return let(F.slice(values, F.lit(1), m), lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1))))
-        return let(F.transform(values, lambda x, i: F.least(x, F.get(values, i + width))), lambda v: least(v, 2 * width))
+            return let(F.slice(values, F.lit(1), m), lambda v: F.filter(v, lambda x, i: ~x.eqNullSafe(F.get(v, i - 1))))
+        return let(F.transform(values, lambda x, i: F.least(x, *(F.get(values, i + k * width) for k in (1, 2, 3)))), lambda v: least(v, 4 * width))
 
-    found = let(F.struct(F.encode(text, "UTF-32").alias("raw"), F.char_length(text).alias("n")), lambda t: grams(t["raw"], t["n"]))
+    found = let(F.encode(text, "UTF-32"), lambda raw: grams(raw, F.char_length(text)))
     return F.when(F.char_length(text) > 0, let(found, lambda v: least(v, 1))).otherwise(F.array().cast("array<long>"))
 
 
