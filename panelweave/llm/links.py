@@ -157,6 +157,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _sized(size: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Which sets are near enough in size to one of the others that the two can be alike."""
+    others = np.sort(others)
+    return np.searchsorted(others, least * size - 1e-6) < np.searchsorted(others, (size + 1e-6) / least, "right")
+
+
 def _blocks_alike(features: Callable, least: float):
     """Links between the two blocks of a cell, enough to join all groups that are alike."""
 
@@ -164,13 +170,17 @@ def _blocks_alike(features: Callable, least: float):
         ready = features()
         for batch in batches:
             for i in range(batch.num_rows):
-                items = batch.column(0)[i].as_py()
-                left, right = ([x for x in items if x["out"] == side] for side in (True, False))
-                if not left or not right:
+                items = batch.column(0)[i].values
+                out = items.field("out").to_numpy(zero_copy_only=False)
+                node, comp = (items.field(c).to_numpy() for c in ("node", "comp"))
+                sets = [ready(x) for x in items.field("body").to_pylist()]
+                size = np.array([len(x) for x in sets])
+                left, right = (np.flatnonzero(out == side) for side in (True, False))
+                left, right = left[_sized(size[left], size[right], least)], right[_sized(size[right], size[left], least)]
+                if not len(left) or not len(right):
                     continue
-                f, g = ([ready(x["body"]) for x in side] for side in (left, right))
-                both = overlaps(f, g)
-                size = np.add.outer([len(v) for v in f], [len(v) for v in g])
+                both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+                size = np.add.outer(size[left], size[right])
                 parent: dict[int, int] = {}
 
                 def root(c: int) -> int:
@@ -178,15 +188,15 @@ def _blocks_alike(features: Callable, least: float):
                         c = parent[c]  # noqa: B023
                     return c
 
-                out = []
+                found = []
                 for k, j in zip(*(at.tolist() for at in np.nonzero((both > 0) & (both >= least * (size - both)))), strict=True):
                     x, y = left[k], right[j]
-                    a, b = root(x["comp"]), root(y["comp"])
+                    a, b = root(int(comp[x])), root(int(comp[y]))
                     if a != b:
                         parent[a] = b
-                        out.append((min(x["node"], y["node"]), max(x["node"], y["node"])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                        found.append((min(node[x], node[y]), max(node[x], node[y])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 

@@ -32,14 +32,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import fresh
 from panelweave.llm.links import bit_table, groups, held, in_bits, landed, maybe_in, spent
-from panelweave.llm.shingles import WORDS, WordHash, mixed, shingles
-from panelweave.llm.wordtable import SAME, chunks, kinds, split_words
+from panelweave.llm.shingles import WORDS, mixed, shingles
+from panelweave.llm.wordtable import SAME, chunks, kinds, span_hashes, split_words, word_spans
 
 MIN_WORDS = 25
 MIN_RUN = 16
@@ -69,14 +68,15 @@ def segment_starts(words: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.repeat(at, parts) + step * MAX_SEGMENT
 
 
-def flat_shingles(words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of paragraphs of at least five words each, and where each paragraph's begin."""
-    found = shingles(words)
-    size = np.diff(start, append=len(words))
-    inside = np.ones(len(words), bool)
-    for k in range(1, WORDS):
-        inside[start + size - k] = False
-    return found[inside[: len(found)]], start - np.arange(len(start)) * (WORDS - 1)
+def flat_shingles(words: np.ndarray, start: np.ndarray, size: np.ndarray | None = None, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of paragraphs of at least five words each, and where each paragraph's begin.
+
+    Paragraphs fill ``words`` unless their ``size`` is given; ``found`` are all shingles of ``words`` where they are known.
+    """
+    found = shingles(words) if found is None else found
+    n = (np.diff(start, append=len(words)) if size is None else size) - WORDS + 1
+    begin = np.cumsum(n) - n
+    return found[np.repeat(start - begin, n) + np.arange(n.sum())], begin
 
 
 def band_keys(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -88,12 +88,16 @@ def band_keys(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of some texts: hash, line (numbers grow over the texts) and row."""
+    raw, _, start, end, line, row = word_spans(texts, _KIND)
+    return span_hashes(raw, start, end), line, row
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Of all words of some texts: hash, line (numbers grow over the texts) and row; and each one's number among the distinct ones, and those."""
-    at, distinct, line, row = split_words(texts, _KIND, SAME)
-    distinct = distinct.to_pylist()
-    known = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
-    return known[at], line, row, at, distinct
+    """As ``word_hashes``, and each word's number among the distinct ones, and those."""
+    at, distinct, _, _ = split_words(texts, _KIND, SAME)
+    return *word_hashes(texts), at, distinct.to_pylist()
 
 
 def _heads(numbers: np.ndarray) -> np.ndarray:
@@ -116,13 +120,13 @@ def digests(words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(mixed(np.add.reduceat(mixed((words ^ (salt << np.uint64(1))) + place * (salt | np.uint64(1))), start)).view(np.int64) for salt in _SALT[:2])
 
 
-def anchors(words: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """For every run of MIN_RUN words of the texts that begin at ``start`` in ``words``, the place of its anchor: its least shingle, the last of equal ones."""
+def anchors(words: np.ndarray, start: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For every run of MIN_RUN words of the texts that begin at ``start`` in ``words``, the place of its anchor: its least shingle (of all, ``found``), the last of equal ones."""
     size = np.diff(start, append=len(words))
     runs = np.maximum(size - MIN_RUN + 1, 0)
     if not runs.sum():
         return np.zeros(0, np.int64)
-    least = shingles(words)
+    least = found
     at = np.arange(len(least))
     wide, most = 1, MIN_RUN - WORDS + 1
     while wide < most:
@@ -145,23 +149,23 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text with words: its digest, its paragraphs' digests and bands, and its anchors."""
     for batch in batches:
         for part in chunks(batch):
-            w, line, row, _, _ = hashed_words(part.column("text"))
+            w, line, row = word_hashes(part.column("text"))
             if not len(w):
                 continue
-            start = _heads(row)
+            start, sh = _heads(row), shingles(w)
             text_of = lambda word: np.searchsorted(start, word, "right") - 1  # noqa: B023, E731
             own, begin, head, n = _long_lines(w, line)
             bands, h1, h2 = pa.array([], pa.list_(pa.int64())), [], []
             if len(n):
                 h1, h2 = digests(own, begin)
-                bands = _listed(pa.array(band_keys(*flat_shingles(own, begin)).ravel(), pa.int64()), np.full(len(n), BANDS))
+                bands = _listed(pa.array(band_keys(*flat_shingles(w, head, n, sh)).ravel(), pa.int64()), np.full(len(n), BANDS))
             inside = text_of(head)
             paragraphs = pa.StructArray.from_arrays([pa.array(head - start[inside], pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), bands], names=["at", "h1", "h2", "n", "bands"])
-            place = anchors(w, start)
+            place = anchors(w, start, sh)
             place = place[np.flatnonzero(np.diff(place, prepend=-1))]
             of = text_of(place)
             per = np.bincount(of, minlength=len(start))
-            seeds = shingles(w)[place].view(np.int64)
+            seeds = sh[place].view(np.int64)
             d1, d2 = digests(w, start)
             columns = [part.column("row").take(pa.array(row[start])), pa.array(np.diff(start, append=len(w)), pa.int32()), pa.array(d1), pa.array(d2)]
             columns += [_listed(paragraphs, np.bincount(inside, minlength=len(start))), _listed(pa.array(seeds, pa.int64()), per), _listed(pa.array(place - start[of], pa.int32()), per)]
@@ -183,11 +187,11 @@ def _runs(often):
         table = np.frombuffer(often.value, np.uint8)
         for batch in batches:
             for part in chunks(batch.filter(pc.invert(batch.column("gone")))):
-                w, _, row, _, _ = hashed_words(part.column("text"))
+                w, _, row = word_hashes(part.column("text"))
                 if not len(w):
                     continue
-                start = _heads(row)
-                sh, place = shingles(w), anchors(w, start)
+                start, sh = _heads(row), shingles(w)
+                place = anchors(w, start, sh)
                 hit = np.flatnonzero(in_bits(table, sh.view(np.int64)[place]))
                 if not len(hit):
                     continue
@@ -216,24 +220,27 @@ def _runs(often):
 
 
 def _bodies(wanted: dict):
-    """Texts of the paragraphs whose digest may be wanted."""
+    """The distinct shingles, in order, of the paragraphs whose digest may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.frombuffer(wanted["bits"].value, np.uint8), set()
         for batch in batches:
             for part in chunks(batch):
-                w, line, _, at, distinct = hashed_words(part.column("text"))
+                w, line, _ = word_hashes(part.column("text"))
                 own, begin, head, n = _long_lines(w, line)
                 if not len(n):
                     continue
                 h1, h2 = digests(own, begin)
+                hit = np.flatnonzero(in_bits(table, h1))
+                if not len(hit):
+                    continue
+                flat, at = flat_shingles(w, head[hit], n[hit])
                 got = []
-                for i in np.flatnonzero(in_bits(table, h1)):
-                    key = (int(h1[i]), int(h2[i]))
+                for key, sh in zip(zip(h1[hit].tolist(), h2[hit].tolist(), strict=True), np.split(flat, at[1:]), strict=True):
                     if key not in seen:
                         if len(seen) < 100_000:
                             seen.add(key)
-                        got.append((*key, b" ".join(map(distinct.__getitem__, at[head[i] : head[i] + n[i]].tolist()))))
+                        got.append((*key, np.unique(sh).tobytes()))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["h1", "h2", "body"])
 
@@ -241,8 +248,7 @@ def _bodies(wanted: dict):
 
 
 def _sets():
-    hashes = WordHash()
-    return lambda body: np.unique(shingles(hashes.of(body.split())))
+    return lambda body: np.frombuffer(body, np.uint64)
 
 
 def repeated(docs: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 import glob
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from panelweave.llm import links, near_dedup, substring_dedup
+from panelweave.llm import links, near_dedup, shingles, substring_dedup, wordtable
 from tests.llm.test_text_models import edited, table, words
 
 RUN, PARAGRAPH = substring_dedup.MIN_RUN, substring_dedup.MIN_WORDS
@@ -139,6 +140,32 @@ def test_words_of_many_texts_at_once_are_those_of_each():
     assert (whole[0]["d1"], whole[0]["d2"]) == (whole[-1]["d1"], whole[-1]["d2"]) and len({(x["d1"], x["d2"]) for x in whole}) == 4
 
 
+def test_word_hashes_go_by_bytes_and_size():
+    """Alone or among others, up to and beyond LONG_WORD bytes; zero bytes count."""
+    kinds = ["a", "a\0", "\0a", "\0", "\0\0", "a" * 7, "a" * 8, "a" * 9, "a" * 16, "a" * 17, "b" * 8 + "a" * 8, "é" * 9]
+    kinds += ["x" * n for n in (wordtable.LONG_WORD - 1, wordtable.LONG_WORD, wordtable.LONG_WORD + 1)] + ["x" * 400 + "y", "x" * 400 + "z"]
+    whole, line, row = substring_dedup.word_hashes(pa.array([" ".join(kinds), None, "", "\n".join(reversed(kinds))]))
+    assert len(set(whole.tolist())) == len(kinds) and whole[len(kinds) :].tolist() == whole[: len(kinds)][::-1].tolist()
+    assert whole[: len(kinds)].tolist() == [int(substring_dedup.word_hashes(pa.array([k]))[0][0]) for k in kinds]
+    assert row.tolist() == [0] * len(kinds) + [3] * len(kinds) and len(set(line.tolist())) == 1 + len(kinds)
+
+
+def test_bodies_are_the_paragraph_shingles():
+    rng = random.Random(9)
+    texts = [words(rng, 40), words(rng, 10) + "\n" + words(rng, 30) + "\n" + words(rng, 25), None]
+    bits = type("Bits", (), {"value": b"\xff" * 8192})
+    got = [r["body"] for b in substring_dedup._bodies({"bits": bits})(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])) for r in b.to_pylist()]
+    lines = [t for text in texts for t in (text or "").split("\n") if len(t.split()) >= PARAGRAPH]
+    want = [np.unique(shingles.shingles(substring_dedup.word_hashes(pa.array([t]))[0])) for t in lines]
+    assert len(got) == 3 and all((substring_dedup._sets()(g) == w).all() for g, w in zip(got, want, strict=True))
+
+
+def test_only_sets_of_near_sizes_are_compared():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(1, 60, 40), rng.integers(1, 60, 3)
+    assert links._sized(a, b, 0.8).tolist() == [any(min(x, y) / max(x, y) >= 0.8 - 1e-9 for y in b) for x in a]
+
+
 def test_what_was_shuffled_goes_once_it_is_written(spark):
     before = spark.conf.get(links.CLEAN_UP, None)
     local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
