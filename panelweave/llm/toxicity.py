@@ -44,6 +44,8 @@ MIN_Z = 3.5
 MAX_VALUE = 6.0
 _STRIP = ".,;:!?|#$%&*()[]<>\"'"
 _KEPT_WORDS = 300_000
+#: Sums of features that a task holds before Spark adds them up.
+SUMS_HELD = 100_000
 
 
 def word_features(word: str) -> list[str]:
@@ -151,26 +153,33 @@ def _sampled(df: DataFrame, key: Column, most: int, n: int) -> DataFrame:
     return df if share == 1.0 else df.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per feature and side of (text, positive): sum and sum of squares of its values so far, given out whenever SUMS_HELD of them have come together."""
+
+    def out(sums: dict) -> pa.RecordBatch:
+        keys, values = [*sums], [*sums.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([v[0] for v in values], pa.float64()), pa.array([v[1] for v in values], pa.float64())],
+            names=["feature", "positive", "s", "ss"],
+        )
+
+    sums: dict = {}
+    for batch in batches:
+        for text, side in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for f, x in text_values(text.as_py()).items():
+                got = sums.setdefault((f, side), [0.0, 0.0])
+                got[0] += x
+                got[1] += x * x
+            if len(sums) >= SUMS_HELD:
+                yield out(sums)
+                sums = {}
+    if sums:
+        yield out(sums)
+
+
 def _moments(sample: DataFrame) -> DataFrame:
     """Per feature and side: sum and sum of squares of its values; tasks add up before anything moves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums: dict = {}
-            for text, side in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f, x in text_values(text).items():
-                    got = sums.setdefault((f, side), [0.0, 0.0])
-                    got[0] += x
-                    got[1] += x * x
-            keys = list(sums)
-            for a in range(0, len(keys), 50_000):
-                part = keys[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.bool_()), pa.array([sums[k][0] for k in part]), pa.array([sums[k][1] for k in part])],
-                    names=["feature", "positive", "s", "ss"],
-                )
-
-    made = sample.select("text", "positive").mapInArrow(run, "feature string, positive boolean, s double, ss double")
+    made = sample.select("text", "positive").mapInArrow(_sums, "feature string, positive boolean, s double, ss double")
     side = lambda c, p: F.sum(F.when(F.col("positive") == F.lit(p), F.col(c)).otherwise(0.0))
     return made.groupBy("feature").agg(side("s", True).alias("sp"), side("s", False).alias("su"), side("ss", False).alias("ssu"), side("ss", True).alias("ssp"))
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,24 @@ def toxic_tables(spark):
     return table(spark, texts + [None, ""], [*range(600), None, 601]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_toxicity_sums_leave_a_task_before_they_pile_up(monkeypatch):
+    monkeypatch.setattr(toxicity, "SUMS_HELD", 500)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20)) for _ in range(60)] + ["", None]
+    sides = [i % 3 == 0 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(sides)], names=["text", "positive"])
+    most = max(len(toxicity.text_values(t)) for t in texts)
+    got, want = defaultdict(float), defaultdict(float)
+    for part in toxicity._sums(iter([batch])):
+        assert part.num_rows < 500 + most
+        for r in part.to_pylist():
+            got[r["feature"], r["positive"]] += r["s"] + 2 * r["ss"]
+    for t, side in zip(texts, sides, strict=True):
+        for f, x in toxicity.text_values(t).items():
+            want[f, side] += x + 2 * x * x
+    assert got == pytest.approx(want)
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = toxic_tables(spark)
     got = toxicity.op8(docs, labels).collect()
