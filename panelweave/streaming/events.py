@@ -154,7 +154,7 @@ def stream_states(stream: DataFrame, transitions=TRANSITIONS, start: str = "crea
     from panelweave.streaming.runs import RunStates
 
     key = stream.schema[session].dataType.simpleString()
-    return stream.select(session, F.col("sequence").cast("long").alias("sequence"), "event_type").groupBy(session).transformWithStateInPandas(
+    return stream.select(session, F.col("sequence").cast("long").alias("sequence"), "event_type").groupBy(session).transformWithState(
         RunStates(session, transitions, start), f"{session} {key}, state string, version long, illegal_at long, missing long", "Update", "None",
     )
 

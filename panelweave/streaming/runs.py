@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from panelweave.operators.event_log import state_names
 
 #: Numbers in a chunk; a whole chunk is one function.
 CHUNK = 1024
+#: Open chunks of a session that lie in one value, and events that are taken in at a time.
+FEW_CHUNKS = 4
+PIECE = 10_000
 
 
 class Moves:
@@ -43,7 +48,8 @@ class Moves:
     @staticmethod
     def then(to: np.ndarray, bad: np.ndarray, to2: np.ndarray, bad2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row by row, the first function and then the second."""
-        return np.take_along_axis(to2, to, 1), np.where(to == 0, bad, np.take_along_axis(bad2, to, 1))
+        row = np.arange(len(to))[:, None]
+        return to2[row, to], np.where(to == 0, bad, bad2[row, to])
 
     def all_of(self, to: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One function for all rows in order: neighbours are joined, then neighbours of those."""
@@ -91,48 +97,81 @@ class Runs:
 
 
 class RunStates(StatefulProcessor):
-    """Per session: one function for the chunks that are whole from number 1 on, and the runs of each other chunk."""
+    """Per session: one function for the chunks that are whole from number 1 on, and the runs of each other chunk.
+
+    A few open chunks lie beside that function, so that a session is read and written once per batch; more of them are a map by chunk.
+    """
 
     def __init__(self, session: str, transitions, start: str):
         self.session, self.moves = session, Moves(transitions, start)
+        self.out = Row(session, "state", "version", "illegal_at", "missing")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.whole = handle.getValueState("whole", "upto long, to array<long>, bad array<long>")
+        self.whole = handle.getValueState("whole", "upto long, to array<long>, bad array<long>, mapped boolean, chunks array<long>, sizes array<long>, first array<long>, last array<long>, open_to array<long>, open_bad array<long>")
         self.open = handle.getMapState("open", "chunk long", "first array<long>, last array<long>, to array<long>, bad array<long>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         m = self.moves
         whole = self.whole.get()
-        upto, to, bad = (whole[0], np.array([whole[1]]), np.array([whole[2]])) if whole else (0, np.arange(m.size)[None, :], np.full((1, m.size), -1))
-        for part in rows:  # a part is one Arrow batch
-            part = part.dropna(subset=["sequence"])
-            chunk = (part["sequence"].to_numpy(np.int64) - 1) // CHUNK
+        upto, to, bad, mapped = (whole[0], np.array([whole[1]]), np.array([whole[2]]), whole[3]) if whole else (0, np.arange(m.size)[None, :], np.full((1, m.size), -1), False)
+        near = self._unpacked(*whole[4:]) if whole and not mapped else {}
+
+        def opened(c: int) -> Runs | None:
+            if c not in near and mapped and self.open.containsKey((c,)):
+                return Runs(m, *self.open.getValue((c,)))
+            return near.get(c)
+
+        def closed(c: int) -> None:
+            near.pop(c, None)
+            if mapped:
+                self.open.removeKey((c,))
+
+        while part := [(r["sequence"], r["event_type"]) for r in islice(rows, PIECE)]:
+            numbers = np.array([n for n, _ in part if n is not None], np.int64)
+            events = [e for n, e in part if n is not None]
+            chunk = (numbers - 1) // CHUNK
             for c in np.unique(chunk).tolist():
                 if 0 <= c < upto:
                     continue  # every number of it has been seen
-                some = part[chunk == c]
-                runs = Runs(m, *self.open.getValue((c,))) if self.open.containsKey((c,)) else Runs(m)
-                runs.add(some["sequence"].to_numpy(np.int64), some["event_type"].tolist())
-                self.open.updateValue((c,), runs.row())
-        while self.open.containsKey((upto,)):
-            runs = Runs(m, *self.open.getValue((upto,)))
-            if runs.count < CHUNK:
-                break
+                at = np.flatnonzero(chunk == c)
+                runs = opened(c) or Runs(m)
+                runs.add(numbers[at], [events[i] for i in at.tolist()])
+                if mapped:
+                    self.open.updateValue((c,), runs.row())
+                else:
+                    near[c] = runs
+            if not mapped and len(near) > FEW_CHUNKS:
+                mapped = True
+                for c, runs in near.items():
+                    self.open.updateValue((c,), runs.row())
+                near.clear()
+        while (runs := opened(upto)) and runs.count == CHUNK:
             to, bad = m.then(to, bad, runs.to, runs.bad)
-            self.open.removeKey((upto,))
+            closed(upto)
             upto += 1
-        self.whole.update((upto, to[0].tolist(), bad[0].tolist()))
-        left = sorted((k[0], v) for k, v in self.open.iterator())
-        before = [Runs(m, *v) for c, v in left if c < 0]
-        after = [Runs(m, *v) for c, v in left if c >= 0]
+        left = sorted(((k[0], Runs(m, *v)) for k, v in self.open.iterator()) if mapped else near.items(), key=itemgetter(0))
+        if mapped and len(left) <= FEW_CHUNKS:
+            mapped = False
+            self.open.clear()
+        self.whole.update((upto, to[0].tolist(), bad[0].tolist(), mapped, *self._packed([] if mapped else left)))
+        before = [x for c, x in left if c < 0]
+        after = [x for c, x in left if c >= 0]
         ends = np.concatenate([x.to for x in before] + [to] + [x.to for x in after]), np.concatenate([x.bad for x in before] + [bad] + [x.bad for x in after])
         last = max([upto * CHUNK] * (upto > 0) + [int(x.last[-1]) for x in before + after], default=None)
         seen = upto * CHUNK + sum(x.count for x in after)
-        f, g = (x[0, m.start] for x in m.all_of(*ends))
-        yield pd.DataFrame({
-            self.session: [key[0]], "state": [m.names[f]], "version": pd.array([last], "Int64"), "illegal_at": pd.array([int(g) if g >= 0 else None], "Int64"),
-            "missing": pd.array([max(last or 0, 0) - seen], "Int64"),
-        })
+        f, g = (int(x[0, m.start]) for x in m.all_of(*ends))
+        yield self.out(key[0], m.names[f], last, g if g >= 0 else None, max(last or 0, 0) - seen)
+
+    def _packed(self, left: list[tuple[int, Runs]]) -> tuple:
+        rows = [x.row() for _, x in left]
+        return [c for c, _ in left], [len(x.first) for _, x in left], *([v for row in rows for v in row[k]] for k in range(4))
+
+    def _unpacked(self, chunks: list, sizes: list, *flat: list) -> dict[int, Runs]:
+        out, a, wide = {}, 0, (1, 1, self.moves.size, self.moves.size)
+        for c, n in zip(chunks, sizes, strict=True):
+            out[c] = Runs(self.moves, *(x[a * w : (a + n) * w] for x, w in zip(flat, wide, strict=True)))
+            a += n
+        return out
 
     def close(self) -> None:
         pass

@@ -44,6 +44,49 @@ def test_runs_are_one_function_once_gaps_close(seed):
     assert len(runs.first) == 1
 
 
+class Kept:
+    """A session's state in memory, as a value and as a map; counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.map, self.asked = None, {}, 0
+
+    def __getattr__(self, name):
+        self.asked += 1
+        return {
+            "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k],
+            "updateValue": lambda k, v: self.map.update({k: v}), "removeKey": lambda k: self.map.pop(k), "iterator": lambda: iter(self.map.items()), "clear": lambda: self.map.clear(),
+        }[name]
+
+
+def test_a_session_of_few_chunks_is_read_and_written_once_a_batch():
+    from pyspark.sql import Row
+
+    from panelweave.streaming.runs import CHUNK, FEW_CHUNKS, RunStates
+
+    rng = random.Random(6)
+    event = Row("session", "sequence", "event_type")
+    for top in (60, CHUNK * (FEW_CHUNKS + 3)):
+        numbers = [*range(-5, top + 1), None]
+        events = {n: rng.choice(["stay", "go"] if n == 1 else ["stay"]) for n in numbers}
+        rng.shuffle(numbers)
+        numbers.sort(key=lambda n: n is not None and n % 7 == 1)  # these come last
+        state = RunStates("session", MOVES, "created")
+        state.whole, state.open = Kept(), Kept()
+        seen, cut, mapped = [], [0, len(numbers) // 5, len(numbers) // 2, len(numbers)], []
+        for a, b in zip(cut, cut[1:]):
+            part = numbers[a:b] + numbers[: min(a, 9)]
+            seen += numbers[a:b]
+            before = state.whole.asked + state.open.asked
+            (got,) = state.handleInputRows(("s",), iter([event("s", n, events[n]) for n in part]), None)
+            there = sorted((n, events[n]) for n in seen if n is not None)
+            want, illegal = walked(there)
+            assert (got.session, got.state, got.illegal_at, got.version) == ("s", want, illegal, there[-1][0])
+            assert got.missing == there[-1][0] - sum(n > 0 for n, _ in there)
+            mapped.append(bool(state.open.map))
+            assert top > 60 or state.whole.asked + state.open.asked - before == 2
+        assert mapped == [top > 60] * 2 + [False]
+
+
 def test_stream_of_late_numbers_is_the_batch_fold(spark, tmp_path):
     """Over several chunks; one session never gets number 1500, one gets all of it last of all."""
     rng = random.Random(3)
