@@ -23,6 +23,9 @@ RESULT_KEY = r"factor_values|result_rows|execution_result|^values$"
 BODY_KEY = r"report_text|report_body|pdf_text|full_text|raw_text"
 EXCERPT_KEY = r"report_excerpt|excerpt"
 DATE_VALUE = r"^\d{8}$|^\d{4}-\d{2}-\d{2}$"
+# Where a text in JSON may look like a bare value, or be written by numbers of letters; and bare values but objects, lists and null.
+UNCLEAR = r'"(?:[-\[{0-9\\]|true"|false")|\\u'
+BARE_VALUE = r"^(?:[-0-9]|(?:true|false)\z)"
 MAX_ROWS = 20
 MAX_EXCERPT_CHARS = 2000
 
@@ -96,23 +99,25 @@ def _hit(at: Column, phase: int, category: Column, path: Column) -> Column:
 
 
 def _key_hits(opened: str, allow_excerpt: bool, max_excerpt: int) -> Column:
-    """Hits by key name among the children of the objects of a level."""
+    """Hits by key name among the children of the objects of a level; places are made of hits only."""
     objects = F.filter(opened, lambda n: n["hit"].isNull() & (n["kind"] == "object"))
-    hits = F.flatten(F.transform(objects, lambda n: F.transform(n["children"], lambda c, k: _hit(
-        F.array_append(n["at"], k), 0, _key_rule(c["name"], c["kind"], c["raw"], allow_excerpt, max_excerpt), F.array_append(n["path"], c["name"])))))
-    return F.filter(hits, lambda h: h["category"].isNotNull())
+    rule = lambda c: _key_rule(c["name"], c["kind"], c["raw"], allow_excerpt, max_excerpt)
+    found = lambda n: F.filter(F.transform(n["children"], lambda c, k: F.struct(k.alias("k"), c["name"].alias("name"), rule(c).alias("rule"))), lambda h: h["rule"].isNotNull())
+    return F.flatten(F.transform(objects, lambda n: F.transform(found(n), lambda h: _hit(F.array_append(n["at"], h["k"]), 0, h["rule"], F.array_append(n["path"], h["name"])))))
 
 
 def _opened(node: Column) -> Column:
     """A node with its children ``(name, raw, kind)`` in text order and its own hit."""
     raw, kind = node["raw"], node["kind"]
-    entry = lambda name, text, value: F.struct(name.alias("name"), text.alias("raw"), _variant_kind(value).alias("kind"))
-    members = F.zip_with(
-        F.map_entries(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,variant>")), lambda e, v: entry(e["key"], e["value"], v)
-    )
-    items = F.transform(
-        F.arrays_zip(F.from_json(raw, "array<string>").alias("t"), F.from_json(raw, "array<variant>").alias("v")), lambda z, k: entry(k.cast("string"), z["t"], z["v"])
-    )
+    entry = lambda name, text, kind: F.struct(name.alias("name"), text.alias("raw"), kind.alias("kind"))
+    texts, list_texts = F.from_json(raw, "map<string,string>"), F.from_json(raw, "array<string>")
+    members = F.transform(F.map_entries(texts), lambda e: entry(e["key"], e["value"], _plain_kind(e["value"])))
+    items = F.transform(list_texts, lambda t, k: entry(k.cast("string"), t, _plain_kind(t)))
+    # A text that begins as other values do is told apart from them by its parsed value.
+    exact_members = F.zip_with(F.map_entries(texts), F.map_values(F.from_json(raw, "map<string,variant>")), lambda e, v: entry(e["key"], e["value"], _variant_kind(v)))
+    exact_items = F.transform(F.arrays_zip(list_texts.alias("t"), F.from_json(raw, "array<variant>").alias("v")), lambda z, k: entry(k.cast("string"), z["t"], _variant_kind(z["v"])))
+    unclear = raw.rlike(UNCLEAR)
+    members, items = F.when(unclear, exact_members).otherwise(members), F.when(unclear, exact_items).otherwise(items)
     none = F.array().cast("array<struct<name:string,raw:string,kind:string>>")
     children = F.coalesce(F.when(kind == "object", members).when(kind == "list", items), none)
     # The children are bound once and then looked at by the node's rule.
@@ -121,6 +126,15 @@ def _opened(node: Column) -> Column:
     return F.element_at(bound, 1)
 
 
+def _plain_kind(text: Column) -> Column:
+    """Kind of a value by its text, where no text begins as another kind of value."""
+    first = F.substring(text, 1, 1)
+    return (
+        F.when(text.isNull(), "null").when(first == "{", "object").when(first == "[", "list")
+        .when(text.rlike(BARE_VALUE), "number").otherwise("text")
+    )
+
+
 def _variant_kind(v: Column) -> Column:
     t = F.schema_of_variant(v)
     return (

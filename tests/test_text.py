@@ -198,6 +198,27 @@ def test_excerpts_may_be_allowed_up_to_a_length(spark):
     assert got == {1: None, 2: "full_report_body"}
 
 
+def test_json_values_are_told_from_texts_like_them(spark, monkeypatch):
+    """By their beginnings, and by their parsed values alone."""
+    values = ["5", '"5"', "-1.5e3", '"-"', "true", '"true"', r'"true\n"', r'"tru\u0065"', r'"\u0035"', r'"\t5"', '"truely"', '""', "null", '"null"', "{}", '"{"', "[ ]", '"[]"', '"20240101"', r'"a\"5\""', ' "x"']
+    docs = [f'{{"{k}" : {v}}}' for k in ("values", "s_x") for v in values] + [f'[[{v}], {{"values":{v}}}]' for v in values]
+    rows = spark.createDataFrame([*enumerate(docs)], "id int, doc string")
+
+    def wanted(doc):
+        whole = json.loads(doc)
+        inner, at = (whole, "") if isinstance(whole, dict) else (whole[1], "1.")
+        (key, v), = inner.items()
+        if key == "s_x":
+            observed = isinstance(v, (bool, int, float)) or v == "20240101"
+            return ("raw_data", "<root>") if observed else (None, None)
+        return ("full_result_data", f"{at}values") if isinstance(v, (str, dict, list)) else (None, None)
+
+    for unclear in (ob.UNCLEAR, ""):
+        monkeypatch.setattr(ob, "UNCLEAR", unclear)
+        got = {r.id: (r.category, r.location) for r in ob.scan_json(rows, "id", "doc").collect()}
+        assert got == {i: wanted(d) for i, d in enumerate(docs)}
+
+
 def plain_walk(node, path=()):
     """The first hit of a plain depth-first walk that knows one rule: a key named password."""
     if isinstance(node, dict):
