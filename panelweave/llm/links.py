@@ -18,8 +18,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelweave.session import scratch
 
@@ -29,6 +30,8 @@ ROUNDS = 2
 BLOCK = 384
 #: Columns of a block's feature table that are multiplied at a time.
 COLUMNS = 8192
+#: Groups that a task remembers the links of.
+KEPT_GROUPS = 100_000
 #: Bits of the largest table that tells which keys are surely absent: 64 MB.
 MAX_BITS = 1 << 29
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -61,7 +64,12 @@ def spent(*frames: DataFrame | None) -> None:
     for df in frames:
         path = df.__dict__.pop("_landed_at", None) if df is not None else None
         if path:
-            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+            empty(df.sparkSession, df.schema).write.mode("overwrite").parquet(path)
+
+
+def empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows of a schema, without Python on the executors."""
+    return spark.range(0, numPartitions=1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def bit_table(keys: DataFrame, key: str) -> bytes:
@@ -101,24 +109,48 @@ def maybe_in(keys: DataFrame, key: str):
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for the nodes of ``edges`` (a, b): the least node that each is linked to.
 
-    Labels go to neighbours and then jump to their label's label, so chains shorten by powers.
+    Each node takes its least neighbour; labels jump to their label's label until they end at nodes that have
+    none below. Only edges between such ends are left for the next turn, so an edge is met once or a few times.
     """
-    both = held(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = held(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")))
-    total = None
-    while True:
-        before = labels
-        heard = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("comp").alias("heard"))
-        near = labels.join(heard, labels["node"] == heard["u"], "left").select("node", F.least("comp", "heard").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        labels = held(near.join(jump, "comp", "left").select("node", F.least("comp", "far").alias("comp")))
-        now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
-        spent(before)
-        if now == total:
-            break
-        total = now
-    spent(both)
-    return labels
+    ends = lambda df, a, b: df.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct()
+    left, labels = held(ends(edges, "a", "b")), None
+    while labels is None or not left.isEmpty():
+        below = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("v"))
+        hooks = held(below.select(F.col("u").alias("node"), F.least("u", "v").alias("comp"), F.lit(True).alias("moved")))
+        while not hooks.filter("moved").isEmpty():
+            before, far = hooks, hooks.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+            hooks = held(before.join(far, "comp").select("node", F.col("far").alias("comp"), (F.col("far") < F.col("comp")).alias("moved")))
+            spent(before)
+        before = left, labels
+        for c in ("u", "v"):
+            left = left.join(hooks.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")), c)
+        left = held(ends(left, "u_comp", "v_comp"))
+        if labels is None:
+            labels = hooks
+        else:
+            labels = held(relabelled(labels, hooks))
+            before = *before, hooks
+        spent(*before)
+    spent(left)
+    return labels.select("node", "comp")
+
+
+def relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) by what became of their comps in ``merged`` (node, comp), if anything did."""
+    far = merged.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+    return labels.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
+
+
+def merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after the links ``found`` (a, b); only links between different groups are followed."""
+    pairs = found
+    for c in ("a", "b"):
+        pairs = pairs.join(comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")), c, "left")
+    new = components(pairs.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
+    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti")
+    out = held(relabelled(comps.unionByName(nodes.select("node", F.col("node").alias("comp"))), new))
+    spent(new)
+    return out
 
 
 def _pairs_alike(features: Callable, least: float):
@@ -164,10 +196,17 @@ def _sized(size: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
 
 
 def _blocks_alike(features: Callable, least: float):
-    """Links between the two blocks of a cell, enough to join all groups that are alike."""
+    """Links between the two blocks of a cell, enough to join all groups that are alike; a task gives none between groups that it has joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = features()
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
         for batch in batches:
             for i in range(batch.num_rows):
                 items = batch.column(0)[i].values
@@ -181,13 +220,8 @@ def _blocks_alike(features: Callable, least: float):
                     continue
                 both = overlaps([sets[k] for k in left], [sets[k] for k in right])
                 size = np.add.outer(size[left], size[right])
-                parent: dict[int, int] = {}
-
-                def root(c: int) -> int:
-                    while parent.setdefault(c, c) != c:  # noqa: B023
-                        c = parent[c]  # noqa: B023
-                    return c
-
+                if len(parent) > KEPT_GROUPS:
+                    parent.clear()
                 found = []
                 for k, j in zip(*(at.tolist() for at in np.nonzero((both > 0) & (both >= least * (size - both)))), strict=True):
                     x, y = left[k], right[j]
@@ -209,13 +243,13 @@ def groups(members: DataFrame, bodies: DataFrame, features: Callable, least: flo
     numbers); two nodes are alike at a Jaccard similarity of ``least``.
     """
     spark = members.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    comps = spark.createDataFrame([], "node long, comp long")
+    links = empty(spark, StructType.fromDDL("a long, b long"))
+    comps = empty(spark, StructType.fromDDL("node long, comp long"))
     for round_ in range(ROUNDS + 1):
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         of = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if round_ < ROUNDS:
             # Of either end of a bucket's groups: the item with most links, or any one.
+            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
             of = of.join(degree, "node", "left")
             rep = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("node").alias("h"), "node")
             of = held(of.select("bucket", "node", "comp", rep.alias("rep")))
@@ -250,8 +284,8 @@ def groups(members: DataFrame, bodies: DataFrame, features: Callable, least: flo
         spent(of)
         if not found.isEmpty():
             old = links, comps
-            links = held(links.unionByName(found).distinct())
-            comps = components(links)
+            links = held(links.unionByName(found)) if round_ < ROUNDS - 1 else None  # for the next round's degrees
+            comps = merged(comps, found)
             spent(*old)
         spent(found)
     spent(links)

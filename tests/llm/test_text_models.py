@@ -173,6 +173,43 @@ def test_components_of_a_chain(spark):
     assert {(r.comp, r["count"]) for r in links.components(chain).groupBy("comp").count().collect()} == {(100, 41), (1, 2)}
 
 
+def test_components_of_a_dense_group_and_long_ways(spark):
+    rng = random.Random(7)
+    pairs = [(i, j) for i in range(30) for j in range(i)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)]
+    least = {v: v for p in pairs for v in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    got = {r.node: r.comp for r in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {v: c for v, c in least.items() if any(a != b and v in (a, b) for a, b in pairs)}
+
+
+def test_old_links_are_not_followed_again(spark, monkeypatch):
+    monkeypatch.setattr(links, "ROUNDS", 1)
+    monkeypatch.setattr(links, "BLOCK", 2)
+    followed, real = [], links.components
+    monkeypatch.setattr(links, "components", lambda edges: followed.append(edges.filter("a <> b").distinct().count()) or real(edges))
+    values = [*range(0, 60, 2), *range(1, 60, 2), 200]
+    members = spark.createDataFrame([(b, i) for b in (7, 8) for i in range(len(values))], "bucket long, node long")
+    bodies = spark.createDataFrame([(i, str(v)) for i, v in enumerate(values)], "node long, body string")
+    got = links.groups(members, bodies, lambda: lambda v: np.arange(int(v), int(v) + 10, dtype=np.uint64), 0.8)
+    assert {(r.node, r.comp) for r in got.collect()} == {(i, 0) for i in range(60)}
+    # 59 links join all; those of the first round come again in no later one.
+    assert len(followed) == 2 and sum(followed) == 59
+
+
+def test_a_task_links_two_groups_once():
+    kind = pa.list_(pa.struct([("out", pa.bool_()), ("node", pa.int64()), ("comp", pa.int64()), ("body", pa.string())]))
+    cell = [{"out": i < 3, "node": i, "comp": i, "body": "x"} for i in range(6)]
+    run = links._blocks_alike(lambda: lambda v: np.arange(10, dtype=np.uint64), 0.8)
+    cells = pa.RecordBatch.from_arrays([pa.array([cell, cell, cell], kind)], names=["items"])
+    assert sum(b.num_rows for b in run(iter([cells, cells]))) == 5
+
+
 def test_repeated_passages_go_and_the_rest_stays(spark):
     rng = random.Random(3)
     passage, inner, clean = words(rng, 60), words(rng, 60), [words(rng, 80) for _ in range(5)]
