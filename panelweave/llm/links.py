@@ -35,28 +35,41 @@ KEPT_GROUPS = 100_000
 #: Bits of the largest table that tells which keys are surely absent: 64 MB.
 MAX_BITS = 1 << 29
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of numbers, texts, and cells of texts that go to Python at a time: a batch lies in memory several times, on both sides.
+NUMBERS, TEXTS, CELLS = 10_000, 1_000, 4
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session gives Python at most TEXTS rows at a time, as a plan of texts that runs later should. Results are the same."""
+    if not 0 < int(spark.conf.get(BATCH)) <= TEXTS:
+        spark.conf.set(BATCH, str(TEXTS))
+
+
+def landed(df: DataFrame, name: str, batch: int = NUMBERS) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: compressed, and safe from lost executors.
 
-    What was shuffled for it goes once it is written, not when the driver next collects its garbage.
+    What was shuffled for it goes once it is written, not when the driver next collects its garbage. Python
+    gets ``batch`` rows at a time at most.
     """
     path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(CLEAN_UP, None)
-    conf.set(CLEAN_UP, "true")
+    settings = {CLEAN_UP: "true", BATCH: str(batch)}
+    before = {k: conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            conf.set(k, v)
         df.write.parquet(path)
     finally:
-        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["_landed_at"] = path
     return out
 
 
-def held(df: DataFrame) -> DataFrame:
+def held(df: DataFrame, batch: int = NUMBERS) -> DataFrame:
     """``df`` landed, for links, labels and other rows that are small beside the texts."""
-    return landed(df, "held")
+    return landed(df, "held", batch)
 
 
 def spent(*frames: DataFrame | None) -> None:
@@ -160,8 +173,8 @@ def _pairs_alike(features: Callable, least: float):
         ready = features()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                f, g = ready(x), ready(y)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                f, g = ready(x.as_py()), ready(y.as_py())
                 both = len(np.intersect1d(f, g, assume_unique=True))
                 keep.append(both > 0 and both >= least * (len(f) + len(g) - both))
             mask = pa.array(keep, pa.bool_())
@@ -212,7 +225,7 @@ def _blocks_alike(features: Callable, least: float):
                 items = batch.column(0)[i].values
                 out = items.field("out").to_numpy(zero_copy_only=False)
                 node, comp = (items.field(c).to_numpy() for c in ("node", "comp"))
-                sets = [ready(x) for x in items.field("body").to_pylist()]
+                sets = [ready(x.as_py()) for x in items.field("body")]
                 size = np.array([len(x) for x in sets])
                 left, right = (np.flatnonzero(out == side) for side in (True, False))
                 left, right = left[_sized(size[left], size[right], least)], right[_sized(size[right], size[left], least)]
@@ -280,7 +293,7 @@ def groups(members: DataFrame, bodies: DataFrame, features: Callable, least: flo
             items = F.collect_list(F.struct("out", "node", "comp", "body")).alias("items")  # about two BLOCKs
             cells = left.unionByName(right).join(bodies, "node").groupBy("bucket", "slice", "chunk").agg(items)
             found = cells.select("items").mapInArrow(_blocks_alike(features, least), "a long, b long")
-        found = held(found)
+        found = held(found, TEXTS if round_ < ROUNDS else CELLS)
         spent(of)
         if not found.isEmpty():
             old = links, comps

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import WORD, fresh
-from panelweave.llm.links import groups, held, landed, maybe_in
+from panelweave.llm.links import TEXTS, groups, held, landed, maybe_in
 from panelweave.llm.shingles import WordHash, counted, mixed, shingles, words_of
 from panelweave.session import freeze
 
@@ -199,7 +199,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = freeze(docs.select("key", _text_key().alias("k"), (~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)).alias("blank")).select("key", "k.*", "blank"))
     # Copies weigh once from here on: one row per text.
     texts = freeze(rows.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    signed = landed(docs.select(_text_key().alias("k"), "text").select("k.*", "text").mapInArrow(_sign, "h1 long, h2 long, bands array<long>"), "signed")
+    signed = landed(docs.select(_text_key().alias("k"), "text").select("k.*", "text").mapInArrow(_sign, "h1 long, h2 long, bands array<long>"), "signed", TEXTS)
     one = signed.groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
     nodes = landed(one.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "h1", "h2", "bands"), "nodes")
     placed = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
@@ -207,7 +207,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     members = held(placed.filter(maybe_in(shared, "bucket")("bucket")).join(shared, "bucket").select("bucket", "node"))
     near = held(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2"))
     some = docs.select(_text_key().alias("k"), "text").select("k.*", "text").filter(maybe_in(near, "h1")("h1"))
-    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("body")), "bodies")
+    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("body")), "bodies", TEXTS)
 
     comps = groups(members, bodies, _occurrences, SIMILAR)
     named = texts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

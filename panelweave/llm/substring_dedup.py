@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import fresh
-from panelweave.llm.links import bit_table, groups, held, in_bits, landed, maybe_in, spent
+from panelweave.llm.links import TEXTS, bit_table, groups, held, in_bits, landed, maybe_in, small_batches, spent
 from panelweave.llm.shingles import WORDS, mixed, shingles
 from panelweave.llm.wordtable import SAME, chunks, kinds, span_hashes, split_words, word_spans
 
@@ -258,7 +258,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     place is one number, so that the first of equal things is found by hashing, without a sort.
     """
     spark = docs.sparkSession
-    texts = landed(docs.select("row", "text").mapInArrow(_parts, PARTS), "parts")
+    texts = landed(docs.select("row", "text").mapInArrow(_parts, PARTS), "parts", TEXTS)
     span = texts.agg(F.max("row"), F.max("n")).first()
     shift = max(int(span[1] or 0).bit_length(), 1)
     # Where a number of 64 bits is too small for row and word, a decimal takes its place.
@@ -277,7 +277,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     near = held(found.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"))
     bits = spark.sparkContext.broadcast(bit_table(near, "h1"))
     some = docs.select("text").mapInArrow(_bodies({"bits": bits}), "h1 long, h2 long, body binary")
-    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body")), "bodies")
+    bodies = landed(near.join(some, ["h1", "h2"]).groupBy("node").agg(F.first("body").alias("body")), "bodies", TEXTS)
     spent(placed, shared, near)
     comps = groups(members, bodies, _sets, SIMILAR)
     named = landed(found.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
@@ -306,7 +306,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     plain = flagged.filter("not hit").select("row", "text", F.lit(False).alias("gone"), F.lit(None).cast(flags.schema["near"].dataType).alias("near"))
     touched = flagged.filter("hit").join(flags, "row", "left").select("row", "text", F.coalesce("gone", F.lit(False)).alias("gone"), "near")
     runs = plain.unionByName(touched).mapInArrow(_runs(table), RUNS)
-    runs = landed(runs.select("h1", "h2", place.alias("place"), "near"), "runs")
+    runs = landed(runs.select("h1", "h2", place.alias("place"), "near"), "runs", TEXTS)
     spent(flags)
     # The first place of all, the first that stays whole, and the words that go at the first of all where it doesn't.
     word = F.col("near").cast("long").bitwiseAND(F.lit(2**MIN_RUN - 1))
@@ -383,6 +383,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str =
     gone = repeated(rows.select(F.col(row).alias("row"), F.col(text).alias("text")))
     by_row = held(gone.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("removed")))
     spent(gone)
+    small_batches(docs.sparkSession)
     rows = rows.withColumn(hit, maybe_in(by_row, "row")(row))
     touched = rows.filter(F.col(hit)).join(by_row.withColumnRenamed("row", row).withColumnRenamed("removed", done), row, "left")
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.links import small_batches
 from panelweave.session import freeze
 
 #: Bounds of the training sample and of the known clean documents that place the cut, in documents, and of the features chosen from it.
@@ -241,6 +242,7 @@ def score(docs: DataFrame, model: Model | float, text: str = "text", name: str =
     """``docs`` with ``name``: how likely the text is toxic, 0 to 1."""
     if not isinstance(model, Model):
         return docs.withColumn(name, F.lit(float(model)))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES strings and numbers
 
     @F.pandas_udf("double")

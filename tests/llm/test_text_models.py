@@ -173,6 +173,22 @@ def test_components_of_a_chain(spark):
     assert {(r.comp, r["count"]) for r in links.components(chain).groupBy("comp").count().collect()} == {(100, 41), (1, 2)}
 
 
+def test_python_gets_texts_by_small_batches(spark):
+    rows = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    before = spark.conf.get(links.BATCH)
+    try:
+        spark.conf.set(links.BATCH, "10000")
+        counted = docs.mapInArrow(rows, "n long")
+        assert max(r.n for r in links.landed(counted, "rows", 100).collect()) == 100
+        assert spark.conf.get(links.BATCH) == "10000"
+        # Scores are made when the caller reads them.
+        toxicity.score(docs, toxicity.Model({"=some": 0}, np.ones(1), np.ones(1), 0.0))
+        assert max(r.n for r in counted.collect()) == links.TEXTS
+    finally:
+        spark.conf.set(links.BATCH, before)
+
+
 def test_components_of_a_dense_group_and_long_ways(spark):
     rng = random.Random(7)
     pairs = [(i, j) for i in range(30) for j in range(i)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)]
