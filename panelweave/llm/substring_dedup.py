@@ -310,7 +310,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     spent(flags)
     # The first place of all, the first that stays whole, and the words that go at the first of all where it doesn't.
     word = F.col("near").cast("long").bitwiseAND(F.lit(2**MIN_RUN - 1))
-    marked = F.when(word != 0, F.col("place").cast("decimal(38, 0)") * F.lit(2**MIN_RUN).cast("decimal(38, 0)") + word)
+    wide = "long" if int(span[0] or 0).bit_length() + shift + MIN_RUN < 63 else "decimal(38, 0)"
+    marked = F.when(word != 0, F.col("place").cast(wide) * F.lit(2**MIN_RUN).cast(wide) + word.cast(wide))
     firsts = runs.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min(F.when(word == 0, F.col("place"))).alias("plain"), F.min(marked).alias("marked"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     lost = F.when(F.col("plain") == F.col("first"), F.lit(0).cast("long")).otherwise((F.col("marked") % F.lit(2**MIN_RUN)).cast("long"))
     firsts = held(firsts.select("h1", "h2", "first", "plain", lost.alias("lost")))
@@ -325,16 +326,17 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def joined_runs(cut: DataFrame) -> DataFrame:
-    """``row, start, end`` of the words of runs at ``row, at``, but for the words marked in ``kept``; whole runs that overlap become one."""
-    words = cut.filter("kept <> 0").select("row", "kept", "at", F.explode(F.sequence(F.lit(0), F.lit(MIN_RUN - 1))).alias("k")).filter("(shiftright(kept, k) & 1) = 0")
-    single = words.select("row", (F.col("at") + F.col("k")).alias("start"), (F.col("at") + F.col("k") + 1).alias("end"))
-    # Runs of a text are neighbours of each other for long stretches: per block of places, one span per stretch.
-    blocks = cut.filter("kept = 0").groupBy("row", F.shiftright("at", 10).alias("block")).agg(F.array_sort(F.collect_set("at")).alias("ats"))  # 1024 at most
-    heads = F.filter("ats", lambda x, i: (i == 0) | (x - F.get("ats", i - 1) > MIN_RUN))
-    tails = F.filter("ats", lambda x, i: (i == F.size("ats") - 1) | (F.get("ats", i + 1) - x > MIN_RUN))
-    spans = F.arrays_zip(heads.alias("start"), tails.alias("end"))
-    whole = blocks.select("row", F.explode(spans).alias("s")).select("row", "s.start", (F.col("s.end") + MIN_RUN).alias("end"))
-    return whole.unionByName(single)
+    """``row, start, end`` of the words of runs at ``row, at``, but for the words marked in ``kept``; runs that overlap become one.
+
+    Per block of 64 words, a bit each for those that go (``low``), and for those that its runs have in the next block (``high``).
+    """
+    goes = cut.select("row", F.shiftright("at", 6).alias("block"), F.expr("at & 63").alias("at"), (F.lit(2**MIN_RUN - 1).cast("long") - F.col("kept")).alias("goes"))
+    bits = goes.groupBy("row", "block").agg(F.expr("bit_or(shiftleft(goes, at))").alias("low"), F.expr("bit_or(shiftrightunsigned(shiftrightunsigned(goes, 1), 63 - at))").alias("high"))
+    heads, tails = ("low & ~shiftleft(low, 1)", "high & ~(shiftleft(high, 1) | shiftrightunsigned(low, 63))"), ("low & ~(shiftrightunsigned(low, 1) | shiftleft(high, 63))", "high & ~shiftrightunsigned(high, 1)")
+    edges = bits.select("row", "block", *[F.expr(x).alias(name) for name, x in zip(("h0", "h1", "t0", "t1"), heads + tails, strict=True)])
+    at = lambda c: f"filter(sequence(0, {62 + MIN_RUN}), i -> if(i < 64, shiftright({c}0, i), shiftright({c}1, i - 64)) & 1 = 1)"
+    spans = edges.select("row", "block", F.explode(F.arrays_zip(F.expr(at("h")).alias("head"), F.expr(at("t")).alias("tail"))).alias("s"))
+    return spans.select("row", *[F.expr(f"cast(64 * block + s.{x} as int)").alias(name) for x, name in (("head", "start"), ("tail + 1", "end"))])
 
 
 def without(text: str, removed: list[tuple[int, int]]) -> tuple[str, int]:

@@ -174,3 +174,15 @@ def test_what_was_shuffled_goes_once_it_is_written(spark):
     landed = links.landed(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "x")
     assert not files() - there
     assert landed.count() == 7 and spark.conf.get(links.CLEAN_UP, None) == before
+
+
+def test_words_of_runs_join_over_blocks(spark):
+    rng = random.Random(5)
+    runs = [(row, at, rng.choice([0, 0, rng.randrange(2**RUN)])) for row in range(4) for at in rng.sample(range(400), 25 + 20 * row)] + [(9, 63, 0), (9, 64, 0), (9, 112, 2**RUN - 1), (10, 64, 0)]
+    want = {(row, at + k) for row, at, kept in runs for k in range(RUN) if not kept >> k & 1}
+    cut = spark.createDataFrame(runs, "row long, at int, kept long").mapInArrow(lambda batches: batches, "row long, at int, kept long")
+    joined = substring_dedup.joined_runs(cut)
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # the runs are made once
+    got = joined.collect()
+    assert {(r.row, w) for r in got for w in range(r.start, r.end)} == want
+    assert all(r.start < r.end for r in got) and [(r.start, r.end) for r in got if r.row == 10] == [(64, 64 + RUN)]
