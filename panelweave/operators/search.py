@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.text import tokens
 from panelweave.operators.ordering import numbered, spread
+from panelweave.operators.ranking import K1, B, best_of_tasks
 from panelweave.operators.segment import segment
 from panelweave.session import land
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
+EPSILON = 0.25
 #: Letters by which queries meet aliases.
 KEY = 3
 #: Up to so many aliases go to every task; more are joined by shuffling both sides.
@@ -24,27 +25,36 @@ def _words_of(texts: DataFrame, key: str, words: DataFrame | None) -> DataFrame:
     return segment(texts, words, key).withColumnRenamed("tokens", "_w")
 
 
-def _postings(docs: DataFrame, queries: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, term, sat`` of the documents' words that any query asks for, and ``query_id, term, w, df``.
+def _weights(docs: DataFrame, queries: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float | None]:
+    """Landed ``doc_id, _w, dl`` of the documents cut into words, ``query_id, term, w, df``, and the documents' mean length.
 
-    The documents are cut into words once. A negative idf is raised to ``EPSILON`` times the mean idf of all words.
+    The documents are cut once. A negative idf is raised to ``EPSILON`` times the mean idf of all words.
     """
     opened = _words_of(spread(docs.select("doc_id", "text"), "doc_id"), "doc_id", words).withColumn("dl", F.size("_w").cast("double"))
     opened = land(opened, "words")
     shape = opened.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n_docs, avgdl = F.lit(shape["n"]), F.lit(shape["avgdl"])
+    n_docs = F.lit(shape["n"])
     # A document's own distinct terms are known within its row.
     df = opened.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = land(df.withColumn("_idf", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "terms")
     floor = F.lit(raw.agg(F.avg("_idf") * EPSILON).first()[0])
     q_terms = land(_words_of(queries, "query_id", words).select("query_id", F.explode("_w").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
-    asked = q_terms.select("term").distinct()
-    idf = raw.join(asked, "term", "left_semi").select("term", "df", F.when(F.col("_idf") < 0, floor).otherwise(F.col("_idf")).alias("idf"))
-    weighted = q_terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "df")
-    met = opened.select("doc_id", "dl", F.explode("_w").alias("term")).join(asked, "term", "left_semi")
+    idf = raw.join(q_terms.select("term").distinct(), "term", "left_semi").select("term", "df", F.when(F.col("_idf") < 0, floor).otherwise(F.col("_idf")).alias("idf"))
+    return opened, q_terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "df"), shape["avgdl"]
+
+
+def _hits(opened: DataFrame, weighted: DataFrame, avgdl: float | None) -> DataFrame:
+    """``doc_id, term, sat`` of the documents' words that any query asks for."""
+    met = opened.select("doc_id", "dl", F.explode("_w").alias("term")).join(weighted.select("term").distinct(), "term", "left_semi")
     hits = met.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return hits.select("doc_id", "term", sat.alias("sat")), weighted
+    sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    return hits.select("doc_id", "term", sat.alias("sat"))
+
+
+def _postings(docs: DataFrame, queries: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, term, sat`` of the documents' words that any query asks for, and ``query_id, term, w, df``."""
+    opened, weighted, avgdl = _weights(docs, queries, words)
+    return _hits(opened, weighted, avgdl), weighted
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, words: DataFrame | None = None) -> DataFrame:
@@ -81,19 +91,22 @@ def essential_terms(hits: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, words: DataFrame | None = None) -> DataFrame:
-    """Best ``k`` documents per query: pairs are made only by words that can bring a document in, and scored in full.
+    """Best ``k`` documents per query, without a row for each pair.
 
-    A stop word's documents are thus never paired with the queries that have it. The row-number filter is cut on the map side, too.
-    ``words`` is as in ``bm25_scores``.
+    Tasks score their own documents against blocks of queries (``ranking``), and only each task's best ``k`` per query are shuffled.
+    ``words`` is as in ``bm25_scores``. Rows of one ``doc_id`` are one document.
     """
-    hits, weighted = _postings(docs, queries, words)
-    hits, weighted = land(hits, "postings"), land(weighted, "weights")
-    pairs = hits.join(essential_terms(hits, weighted, k), "term").select("query_id", "doc_id").distinct()
-    # Only ids are shuffled with a pair. Its words meet where the document's postings are, and the sum needs no shuffle of its own.
-    met = pairs.join(hits, "doc_id").join(weighted.select("query_id", "term", "w"), ["query_id", "term"])
-    scored = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("sat")).alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("doc_id"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    opened, weighted, avgdl = _weights(docs, queries, words)
+    weighted = land(weighted, "weights")
+    if opened.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        best = best_of_tasks(opened.select("doc_id", "_w"), weighted, k, avgdl)
+    else:
+        hits = land(_hits(opened, weighted, avgdl).groupBy("doc_id", "term").agg(F.sum("sat").alias("sat")), "postings")
+        most = hits.agg(F.coalesce(F.max("sat"), F.lit(0.0))).first()[0]
+        whole = hits.groupBy("doc_id").agg(F.collect_list(F.struct("term", "sat")).alias("_p")).select("doc_id", F.col("_p.term").alias("_w"), F.col("_p.sat").alias("_s"))
+        best = best_of_tasks(whole, weighted, k, avgdl, most)
+    order = W.partitionBy("query_id").orderBy(F.col("rounded").desc(), F.col("doc_id"))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rounded")
 
 
 def market_rank(market: Column, preferred: str = PREFERRED_MARKET) -> Column:

@@ -60,8 +60,18 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared checkpoint folder and read back: as ``freeze``, but compressed."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+def land(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet to the shared checkpoint folder and read back: as ``freeze``, but compressed.
+
+    With ``batch`` Python gets so many rows at a time at most.
+    """
+    path, conf, key = scratch(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key, None)
+    try:
+        if batch:
+            conf.set(key, str(batch))
+        df.write.parquet(path)
+    finally:
+        if batch:
+            conf.unset(key) if before is None else conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
